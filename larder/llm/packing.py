@@ -256,7 +256,7 @@ def slots_of(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int
 def rank_in_class(pieces: DataFrame) -> DataFrame:
     """Pieces with their rank (from 0) among those of their size class, without one task per class."""
     n = pieces.count()
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(8, n // PIECES_PER_BUCKET)))
+    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(256, n // PIECES_PER_BUCKET)))
     rows = pieces.withColumn("bucket", bucket)
     counts = rows.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

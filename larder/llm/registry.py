@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, near_dedup, packing, url_filter
+from larder.llm import decontaminate, language_id, near_dedup, packing, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": url_filter.op2_url_filter,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_packing": packing.op5_packing,
+        "op6_language_id": language_id.op6_language_id,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
