@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, language_id, near_dedup, packing, toxicity, url_filter
+from larder.llm import decontaminate, language_id, near_dedup, packing, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": url_filter.op2_url_filter,
+        "op3_warc": warc.op3_warc,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_packing": packing.op5_packing,
         "op6_language_id": language_id.op6_language_id,
@@ -23,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": url_filter.OP2_SQL,
+        "op3_warc": warc.OP3_SQL,
         "op10_decontaminate": decontaminate.OP10_SQL,
     }
