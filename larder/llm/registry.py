@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, language_id, near_dedup, packing, toxicity, url_filter, warc
+from larder.llm import ann, decontaminate, language_id, near_dedup, packing, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": ann.op1_ann,
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_warc": warc.op3_warc,
         "op4_toxicity": toxicity.op4_toxicity,
