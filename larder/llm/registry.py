@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import ann, decontaminate, html_text, language_id, near_dedup, packing, toxicity, url_filter, warc
+from larder.llm import ann, decontaminate, html_text, language_id, lm_score, near_dedup, packing, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.op5_packing,
         "op6_language_id": language_id.op6_language_id,
         "op7_near_dedup": near_dedup.op7_near_dedup,
+        "op8_lm_score": lm_score.op8_lm_score,
         "op9_html_text": html_text.op9_html_text,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
