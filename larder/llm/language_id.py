@@ -34,7 +34,7 @@ ORDER = 4
 LETTERS = 62  #: with the space and the shared symbol 64 codes of 6 bits
 BITS = 6
 MAX_TEXTS = 6000
-CALIBRATION_TEXTS = 400
+CALIBRATION_TEXTS, CALIBRATION_CHARS = 250, 6_000
 REJECT_SHARE, REJECT_MARGIN = 0.999, 6.0
 BATCH_CHARS = 1_000_000
 _U = np.uint64
@@ -296,7 +296,7 @@ def fit(documents: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col
     letters = _counted_letters(rows)
     counted = _counted_grams(rows, letters)
     langs = sorted(counted)
-    sample = [(r.lang, r.text) for lang in langs for r in rows.where(F.col("lang") == lang).select("lang", F.substring("text", 1, 20_000).alias("text"), "draw").orderBy("draw", "text").limit(CALIBRATION_TEXTS).select("lang", "text").collect()]
+    sample = [(r.lang, r.text) for lang in langs for r in rows.where(F.col("lang") == lang).select("lang", F.substring("text", 1, CALIBRATION_CHARS).alias("text"), "draw").orderBy("draw", "text").limit(CALIBRATION_TEXTS).select("lang", "text").collect()]
     return Identifier(letters, langs, [CharModel(*counted[x]) for x in langs], sample)
 
 

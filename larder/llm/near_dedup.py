@@ -12,9 +12,11 @@
    the smallest hashed id).  Pairs within the distance are confirmed on their
    full shingle sets, and confirmed links are merged into components.
 4. What hubs can't show: buckets that still hold more than one component are
-   joined with themselves, for pairs of different components within the distance
-   only.  Those are confirmed too and merged.  Pairs inside one component are
-   never listed, so a large group of near copies costs its size, not its square.
+   joined with themselves, for pairs of different components only, each in the
+   first bucket that it shares, within the distance, and within that of a longer
+   signature.  Those are confirmed too and merged.  Pairs inside one component
+   are never listed, so a large group of near copies costs its size, not its
+   square.
 
 Two texts with Jaccard similarity 0.75 differ in 7.5 of 30 symbols on average,
 and in more than 17 with probability 5e-5; each further link of a group is one
@@ -46,8 +48,12 @@ SHINGLE = 5
 SYMBOLS, CHUNKS, CHUNK_ERRORS, SYMBOL_BITS = 30, 6, 2, 15
 #: Guaranteed by the pigeonhole principle: CHUNKS * (CHUNK_ERRORS + 1) - 1.
 MAX_DISTANCE = 17
-LONGS = -(-SYMBOLS // 4)
-SIG = [f"s{k}" for k in range(LONGS)]
+SIG = [f"s{k}" for k in range(-(-SYMBOLS // 4))]
+#: A longer signature for what hubs can't settle: 510 symbols of 4 bits, 15 to a long.
+FINE_SYMBOLS, FINE_BITS = 510, 4
+FINE = [f"t{k}" for k in range(FINE_SYMBOLS // 15)]
+#: Texts of similarity 0.75 differ in 119.5 of these on average; 157 is four standard deviations more.
+FINE_DISTANCE = 157
 PARTNERS_PER_SALT = 200
 BATCH_BYTES = 2_000_000
 
@@ -109,19 +115,19 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(rolled)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash symbols of each non-empty set, packed four to a long: (sets, LONGS) int64."""
+def signatures(sets: list[np.ndarray], symbols: int = SYMBOLS, bits: int = SYMBOL_BITS, seed: int = 7) -> np.ndarray:
+    """MinHash symbols of each non-empty set, as many to a long as fit into 60 bits: (sets, longs) int64."""
     sizes = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    packed = np.zeros((len(sets), LONGS), np.int64)
-    rng = np.random.default_rng(7)
-    odd = rng.integers(1, 1 << 63, SYMBOLS, np.uint64) * _U(2) + _U(1)
-    for k in range(SYMBOLS):
+    lanes = 60 // bits
+    packed = np.zeros((len(sets), -(-symbols // lanes)), np.int64)
+    odd = np.random.default_rng(seed).integers(1, 1 << 63, symbols, np.uint64) * _U(2) + _U(1)
+    for k in range(symbols):
         values = flat * odd[k]
         values ^= values >> _U(29)
-        low = _mixed(np.minimum.reduceat(values, starts)) & _U((1 << SYMBOL_BITS) - 1)
-        packed[:, k // 4] |= low.astype(np.int64) << np.int64(SYMBOL_BITS * (k % 4))
+        low = _mixed(np.minimum.reduceat(values, starts)) & _U((1 << bits) - 1)
+        packed[:, k // lanes] |= low.astype(np.int64) << np.int64(bits * (k % lanes))
     return packed
 
 
@@ -142,14 +148,14 @@ def shingle_table(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                     stop += 1
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.nonzero(n)[0]
-                sig, f = np.zeros((len(sets), LONGS), np.int64), np.zeros((2, len(sets)), np.int64)
+                sig, f = np.zeros((len(sets), len(SIG)), np.int64), np.zeros((2, len(sets)), np.int64)
                 if len(full):
                     sig[full] = signatures([sets[i] for i in full])
                     flat = np.concatenate(sets)
                     at = np.concatenate(([0], np.cumsum(n[full])[:-1]))
                     f[0, full] = np.add.reduceat(_mixed(flat), at).view(np.int64)
                     f[1, full] = np.bitwise_xor.reduceat(_mixed(flat + _U(0xD1B54A32D192ED03)), at).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), pa.array(n), pa.array(f[0]), pa.array(f[1]), *(pa.array(sig[:, k]) for k in range(LONGS))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), pa.array(n), pa.array(f[0]), pa.array(f[1]), *(pa.array(sig[:, k]) for k in range(len(SIG)))], names=schema.names)
                 start = stop
 
     return rows.mapInArrow(sketch, schema)
@@ -163,7 +169,7 @@ def _key_choices() -> list[list[int]]:
 
 
 def signature_keys(classes: DataFrame) -> DataFrame:
-    """(key, id): each class once for every key of its signature."""
+    """(key, j, id): each class once for every key of its signature; j is the key's number."""
     choices = _key_choices()
 
     def keys(batches):
@@ -174,23 +180,62 @@ def signature_keys(classes: DataFrame) -> DataFrame:
                 code = np.full(len(ids), _U(j + 1), np.uint64)
                 for k in kept:
                     code = (code << _U(SYMBOL_BITS)) | symbols[k]
-                yield pa.RecordBatch.from_arrays([pa.array(_mixed(code).view(np.int64)), ids], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(_mixed(code).view(np.int64)), pa.array(np.full(len(ids), j, np.int8)), ids], names=["key", "j", "id"])
 
-    return classes.select("id", *SIG).mapInArrow(keys, T.StructType([T.StructField("key", T.LongType()), classes.schema["id"]]))
+    return classes.select("id", *SIG).mapInArrow(keys, T.StructType([T.StructField("key", T.LongType()), T.StructField("j", T.ByteType()), classes.schema["id"]]))
 
 
-def distance(left: str, right: str) -> Column:
-    """Symbols in which two signatures differ, in JVM arithmetic: four lanes of 15 bits a long."""
-    low = sum(((1 << (SYMBOL_BITS - 1)) - 1) << (SYMBOL_BITS * k) for k in range(4))
-    high = sum(1 << (SYMBOL_BITS * (k + 1) - 1) for k in range(4))
+def fine_table(texts: DataFrame) -> DataFrame:
+    """(id, the longer signature) for rows (id, text) with at least one word."""
+    schema = T.StructType([texts.schema["id"], *(T.StructField(t, T.LongType()) for t in FINE)])
+
+    def sketch(batches):
+        for batch in batches:
+            start = 0
+            while start < len(batch):
+                sets, size, stop = [], 0, start
+                while stop < len(batch) and size < BATCH_BYTES:
+                    text = batch.column("text")[stop].as_py()
+                    size += len(text)
+                    sets.append(shingle_set(text))
+                    stop += 1
+                sig = signatures(sets, FINE_SYMBOLS, FINE_BITS, 11)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, stop - start), *(pa.array(sig[:, k]) for k in range(len(FINE)))], names=schema.names)
+                start = stop
+
+    return texts.select("id", "text").mapInArrow(sketch, schema)
+
+
+def _differing(left: str, right: str, name: str, bits: int) -> Column:
+    """The highest bit of each lane in which two packed longs differ."""
+    lanes = range(60 // bits)
+    low = sum(((1 << (bits - 1)) - 1) << (bits * k) for k in lanes)
+    high = sum(1 << (bits * (k + 1) - 1) for k in lanes)
+    x = F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}"))
+    return (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(high))
+
+
+def distance(left: str, right: str, names: list[str] = SIG, bits: int = SYMBOL_BITS) -> Column:
+    """Symbols in which two signatures differ, in JVM arithmetic."""
     total = F.lit(0)
-    for s in SIG:
-        x = F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))
-        lanes = (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(high))
-        total = total + F.bit_count(lanes)
+    for name in names:
+        total = total + F.bit_count(_differing(left, right, name, bits))
     return total
 
 
+def first_common_key(left: str, right: str) -> Column:
+    """The number of the first key that two signatures share, so that each pair is taken in one bucket only."""
+    apart = {k: _differing(left, right, SIG[k], SYMBOL_BITS) for k in range(len(SIG))}
+    choices = []
+    for j, kept in enumerate(_key_choices()):
+        same = F.lit(True)
+        for k in sorted({x // 4 for x in kept}):
+            mask = sum(1 << (SYMBOL_BITS * (x % 4 + 1) - 1) for x in kept if x // 4 == k)
+            same = same & (apart[k].bitwiseAND(F.lit(mask)) == 0)
+        choices.append(F.when(same, F.lit(j)))
+    return F.coalesce(*choices)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, share: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have 100 * intersection >= share * union.
 
@@ -252,7 +297,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     sketched = cut(shingle_table(documents, id_col, text_col))
     classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("id"), *(F.min(s).alias(s) for s in SIG))
     classes = cut(classes)
-    signed = classes.select("id", *SIG)
+    signed = classes.select("id", "n_shingles", *SIG)
     keys = cut(signature_keys(signed))
     mixed = F.struct(F.xxhash64("id").alias("h"), F.col("id"))
     buckets = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.min(mixed)["id"].alias("other")).where("n > 1").drop("n"))
@@ -263,15 +308,24 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     stars = members.select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(members.select(F.col("other").alias("a"), F.col("id").alias("b")))
     stars = stars.where("a <> b").distinct()
     left, right = signed.withColumnRenamed("id", "a").alias("l"), signed.withColumnRenamed("id", "b").alias("r")
-    close = stars.join(left, "a").join(right, "b").where(distance("l", "r") <= MAX_DISTANCE).select("a", "b")
+    close = stars.join(left, "a").join(right, "b").where((100 * F.least("l.n_shingles", "r.n_shingles") >= share * F.greatest("l.n_shingles", "r.n_shingles")) & (distance("l", "r") <= MAX_DISTANCE)).select("a", "b")
     links = cut(confirmed(close, texts, share))
     found = components(links)
 
     placed = cut(signed.join(small_side(found), "id", "left").withColumn("component", F.coalesce("component", "id")))
-    named = members.select("key", "id").join(small_side(placed.select("id", "component")), "id")
+    named = members.select("key", "j", "id").join(small_side(placed.select("id", "component")), "id")
     open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    still = cut(named.select("key", "id").join(small_side(cut(open_keys)), "key", "left_semi").join(placed, "id"))
-    across = (F.col("l.component") != F.col("r.component")) & (F.col("l.id") < F.col("r.id")) & (distance("l", "r") <= MAX_DISTANCE)
+    still = cut(named.select("key", "j", "id").join(small_side(cut(open_keys)), "key", "left_semi"))
+    fine = cut(fine_table(texts.join(small_side(cut(still.select("id").distinct())), "id", "left_semi")))
+    still = still.join(placed, "id").join(fine, "id")
+    across = (
+        (F.col("l.component") != F.col("r.component"))
+        & (F.col("l.id") < F.col("r.id"))
+        & (100 * F.least("l.n_shingles", "r.n_shingles") >= share * F.greatest("l.n_shingles", "r.n_shingles"))
+        & (distance("l", "r") <= MAX_DISTANCE)
+        & (distance("l", "r", FINE, FINE_BITS) <= FINE_DISTANCE)
+        & (first_common_key("l", "r") == F.col("l.j"))
+    )
     rest = still.alias("l").join(still.alias("r"), (F.col("l.key") == F.col("r.key")) & across).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     tried = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(confirmed(rest.join(tried, ["a", "b"], "left_anti"), texts, share))
