@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from larder.llm.common import cut, small_side
+from larder.llm.common import bound_batches, cut, small_side
 
 VOCABULARY = 32_768
 SLOTS = 1 << 19
@@ -70,6 +70,23 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
 
 
+class WordIndex(dict):
+    """Word numbers; words outside the vocabulary share the last."""
+
+    def __init__(self, words: list[str]):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.rare = len(words)
+
+    def __missing__(self, word: str) -> int:
+        return self.rare
+
+    def __reduce__(self):
+        return WordIndex, (list(self),)
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 def slots_of(ids: np.ndarray, n_slots: int = SLOTS) -> np.ndarray:
     """The slot of the bigram that ends at each token; the first follows a start symbol."""
     before = np.concatenate(([0], ids[:-1] + 1)).astype(np.uint64)
@@ -79,21 +96,33 @@ def slots_of(ids: np.ndarray, n_slots: int = SLOTS) -> np.ndarray:
     return (x % np.uint64(n_slots)).astype(np.int64)
 
 
-def slot_counts(texts: DataFrame, index: dict[str, int], n_slots: int = SLOTS) -> DataFrame:
+def slot_counts(texts: DataFrame, index: WordIndex, n_slots: int = SLOTS) -> DataFrame:
     """(slot, n_target, n_all) of the bigrams of all rows."""
-    rare = len(index)
-
     def count(batches):
         target, both, any_row = np.zeros(n_slots, np.int64), np.zeros(n_slots, np.int64), False
+        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        size = 0
+
+        def add():
+            for is_target, parts in held.items():
+                if parts:
+                    n = np.bincount(np.concatenate(parts), minlength=n_slots)
+                    np.add(both, n, out=both)
+                    if is_target:
+                        np.add(target, n, out=target)
+                    parts.clear()
+
         for batch in batches:
             for text, is_target in zip(batch.column("text"), batch.column("target"), strict=True):
                 words = words_of(text.as_py())
                 if words:
-                    n = np.bincount(slots_of(np.fromiter((index.get(w, rare) for w in words), np.int64, len(words)), n_slots))
-                    both[: len(n)] += n
-                    if is_target.as_py():
-                        target[: len(n)] += n
+                    held[is_target.as_py()].append(slots_of(index.ids(words), n_slots))
+                    size += len(words)
                     any_row = True
+                if size > HELD_WORDS:
+                    add()
+                    size = 0
+        add()
         if any_row:
             used = np.nonzero(both)[0]
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(target[used]), pa.array(both[used])], names=["slot", "n_target", "n_all"])
@@ -107,7 +136,7 @@ class MatchedModels:
 
     def __init__(self, words: list[str], uni: np.ndarray, bi: np.ndarray):
         """``uni`` (2, words + 1) and ``bi`` (2, slots) counts of target and background; the last word is every other one."""
-        self.index = {w: k for k, w in enumerate(words)}
+        self.index = WordIndex(words)
         size = uni.sum(axis=1)
         self.no_target = not size[0]
         if self.no_target:
@@ -126,15 +155,16 @@ class MatchedModels:
         ``counted`` says which models have counted this text; its own counts are
         taken out of those, so that no text vouches for itself.
         """
-        rare = len(self.index)
-        ids = np.fromiter((self.index.get(w, rare) for w in words), np.int64, len(words))
+        ids = self.index.ids(words)
         slot = slots_of(ids, self.bigram.shape[1])
-        own_ids, own_slots = (np.unique(x, return_inverse=True, return_counts=True)[1:] for x in (ids, slot))
+        own_ids = np.bincount(ids)[ids]
+        place, times = np.unique(slot, return_inverse=True, return_counts=True)[1:]
+        own_slots = times[place]
         out = []
         for k in (0, 1):
             mine = self.scale[k] if counted[k] else 0.0
-            count = np.maximum(self.words[k][ids] - mine * own_ids[1][own_ids[0]], 0)
-            pairs = np.maximum(self.bigram[k][slot] - mine * own_slots[1][own_slots[0]], 0)
+            count = np.maximum(self.words[k][ids] - mine * own_ids, 0)
+            pairs = np.maximum(self.bigram[k][slot] - mine * own_slots, 0)
             low = (count + UNIGRAM_FLOOR) / (max(self.total[k] - mine * len(ids), 0) + UNIGRAM_FLOOR * self.words.shape[1])
             context = np.concatenate(([self.starts], count[:-1]))
             high = np.minimum(pairs / np.maximum(context, 1e-6), 1.0)
@@ -145,6 +175,7 @@ class MatchedModels:
 
 def fit(documents: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> MatchedModels:
     """Models of the rows whose id is in ``target_ids`` and of all rows."""
+    bound_batches(documents.sparkSession)
     wanted = cut(target_ids.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct()).withColumn("target", F.lit(True))
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     texts = texts.join(small_side(wanted), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
@@ -154,7 +185,7 @@ def fit(documents: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id",
     words = [r.word for r in kept]
     uni = np.array([[r.n_target for r in kept] + [0], [r.n_all for r in kept] + [0]], float)
     uni[:, -1] = np.array(total, float) - uni.sum(axis=1)
-    got = slot_counts(texts, {w: k for k, w in enumerate(words)}).toArrow()
+    got = slot_counts(texts, WordIndex(words)).toArrow()
     bi = np.zeros((2, SLOTS))
     at = got.column("slot").to_numpy()
     bi[0, at], bi[1, at] = got.column("n_target").to_numpy(), got.column("n_all").to_numpy()
