@@ -40,5 +40,12 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches small enough for whole texts: at most 1000 rows and 8 MB.
+
+    Spark's default of 10,000 rows makes batches of 30 MB and more of ordinary
+    documents, held by the JVM and by each Python worker at once.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")

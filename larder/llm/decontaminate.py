@@ -30,6 +30,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from larder.llm.common import bound_batches
+
 WINDOW = 13
 SLICE_CHARS = 16_000_000
 
@@ -152,6 +154,7 @@ def _judged(frame: DataFrame, share: int) -> DataFrame:
 
 def mark_contamination(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = 20, keep_text: bool = True, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """``documents`` with hits, item ids and spans; contaminated: share * n_hit >= n_words and any hit."""
+    bound_batches(documents.sparkSession)
     frame = documents.drop(*ARROW_OUT.names, "_n", "_spans", "_items")
     slices = list(_slices(benchmark, item_id_col, item_text_col, slice_chars))
     for k, items in enumerate(slices):

@@ -32,7 +32,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from larder.llm.common import cut, small_side
+from larder.llm.common import bound_batches, cut, small_side
 from larder.llm.url_filter import url_host
 
 MIN_PAGES, LEAST_IMPORTANCE, G = 6, 0.25, 0.9
@@ -228,6 +228,7 @@ def path_importance(evidence: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", keep_html: bool = False) -> DataFrame:
     """``pages`` with text and n_chars (columns of these names are replaced)."""
+    bound_batches(pages.sparkSession)
     frame = pages.drop("text", "n_chars", "host", "unimportant")
     hosted = frame.withColumn("host", url_host(F.col(url_col)))
     evidence = tree_evidence(hosted.select("host", F.col(html_col).alias("html")))

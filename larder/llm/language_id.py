@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from larder.llm.common import bound_batches
+
 ORDER = 4
 LETTERS = 62  #: with the space and the shared symbol 64 codes of 6 bits
 BITS = 6
@@ -292,6 +294,7 @@ class Identifier:
 
 def fit(documents: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_texts: int = MAX_TEXTS) -> Identifier:
     """Models of every language among the rows for which ``learn`` holds."""
+    bound_batches(documents.sparkSession)
     rows = training_rows(documents, id_col, text_col, lang_col, learn, max_texts)
     letters = _counted_letters(rows)
     counted = _counted_grams(rows, letters)
@@ -302,6 +305,7 @@ def fit(documents: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col
 
 def identify(documents: DataFrame, model: Identifier, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``documents`` with lang_pred, score and rejected (columns of these names are replaced)."""
+    bound_batches(documents.sparkSession)
     frame = documents.drop("lang_pred", "score", "rejected")
     kept = [c for c in frame.columns if keep_text or c != text_col]
     schema = T.StructType([*(frame.schema[c] for c in kept), *T.StructType.fromDDL("lang_pred string, score double, rejected boolean")])

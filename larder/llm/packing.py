@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from larder.llm.common import cut
+from larder.llm.common import bound_batches, cut
 
 CAPACITY, STEP, END_ID = 1024, 4, 0
 PIECES_PER_BUCKET = 20_000
@@ -99,6 +99,7 @@ def default_tokenizer() -> str:
 
 def token_pieces(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Full sequences and one remainder for each document; with the token ids if asked for."""
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *T.StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)])
     names = schema.names

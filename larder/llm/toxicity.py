@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from larder.llm.common import cut
+from larder.llm.common import bound_batches, cut
 
 MAX_ROWS = 8000
 FOLDS = 3
@@ -184,6 +184,7 @@ def _vocabulary(sample: DataFrame, n: int) -> list[str]:
 
 def fit(documents: DataFrame, labels: DataFrame, categories: list[str], *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Chain:
     """A chain over ``categories`` (0/1 columns of ``labels``, in chain order)."""
+    bound_batches(documents.sparkSession)
     sample = _sample(documents, labels, categories, id_col, text_col, max_rows)
     n = sample.count()
     vocabulary = _vocabulary(sample, n)
@@ -203,6 +204,7 @@ def fit(documents: DataFrame, labels: DataFrame, categories: list[str], *, id_co
 
 def classify(documents: DataFrame, chain: Chain, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``documents`` with p_<category> for each category and <last category> as a decision."""
+    bound_batches(documents.sparkSession)
     outs = [f"p_{c}" for c in chain.categories] + [chain.categories[-1]]
     frame = documents.drop(*outs)
     kept = [c for c in frame.columns if keep_text or c != text_col]

@@ -35,7 +35,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from larder.llm.common import cut, scratch_dir, small_side
+from larder.llm.common import bound_batches, cut, scratch_dir, small_side
 
 MIN_REVISIT_BYTES = 100
 DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_CHARS = 65_536, 1_500, 8_192
@@ -129,6 +129,7 @@ def mark_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
 
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archives: int | None = None) -> str:
     """Writes the archives into the folder ``path`` and returns it."""
+    bound_batches(pages.sparkSession)
     rows = mark_revisits(pages, id_col, url_col, html_col)
     dictionary = train_dictionary(pages, id_col, url_col, html_col)
     if archives is None:
