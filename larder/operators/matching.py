@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder.functions import text as X, words as W
+from larder.sources.scratch import cut
 
 MAX_CANDIDATES = 120
 BAND = 0.03
@@ -65,14 +66,16 @@ def fuzzy_head_split(word: Column) -> Column:
 
 def prepare_lines(lines: DataFrame) -> DataFrame:
     """line_id, raw_text with the token arrays, split heads and fat share that matching needs."""
-    text = X.expand_abbreviations(X.with_lookalikes(X.split_case(F.col("raw_text"))))
-    rows = lines.withColumn("fat", X.fat_percent(F.col("raw_text"))).withColumn("words", F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    rows = lines.withColumn("fat", X.fat_percent(F.col("raw_text"))).withColumn("cased", X.split_case(F.col("raw_text")))
+    rows = rows.withColumn("read", X.with_lookalikes(F.col("cased"))).withColumn("text", X.expand_abbreviations(F.col("read")))
+    text = F.col("text")
+    rows = rows.withColumn("words", F.filter(F.split(text, r"\s+"), lambda w: w != ""))
     rows = rows.withColumn("splits", F.transform("words", lambda w: F.struct(w.alias("word"), fuzzy_head_split(w).alias("s"))))
     rows = rows.withColumn("heads", F.array_distinct(F.transform(F.filter("splits", lambda x: x["s"].isNotNull()), lambda x: x["s"]["head"])))
     final = F.array_join(F.transform("splits", lambda x: F.coalesce(F.concat(x["s"]["stem"], F.lit(" "), x["s"]["head"]), x["word"])), " ")
     clean = lambda t: F.filter(X.tokens(t), lambda w: ~X.is_quantity(w))
     rows = rows.withColumn("final", final).withColumn("raw", clean(X.normalize(F.col("final")))).withColumn("ascii", clean(X.ascii_fold(F.col("final"))))
-    return rows.drop("words", "splits", "final")
+    return rows.drop("cased", "read", "text", "words", "splits", "final")
 
 
 def edit_variants(token: Column) -> Column:
@@ -96,7 +99,7 @@ def candidate_hits(lines: DataFrame, foods: DataFrame, variants: bool = True) ->
 
     ``lines`` as from :func:`prepare_lines`.
     """
-    index = food_tokens(foods).select("id", "token")
+    index = cut(food_tokens(foods).select("id", "token"))
     keys = index.select("token").distinct()
     tokens = lines.select("line_id", F.posexplode(F.array_distinct(F.concat("raw", "ascii"))).alias("pos", "q")).withColumn("q_stem", X.light_stem(F.col("q")))
     named = lambda df, key: df.select(F.col("token").alias(key), F.col("id"))
@@ -143,25 +146,28 @@ def best_candidates(hits: DataFrame, foods: DataFrame, limit: int = MAX_CANDIDAT
     return ordered.withColumn("place", place).where(F.col("place") <= limit).select("line_id", "id", "hits", "row_ord")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def token_similarity(o: Column, n: Column) -> Column:
     """How alike a line token and a food token are, 0 to 1."""
     lo, ln = F.length(o), F.length(n)
     least, most = F.least(lo, ln), F.greatest(lo, ln)
     so, sn = X.light_stem(o), X.light_stem(n)
     ratio = least / most
-    sim = 1 - F.levenshtein(o, n) / most
     stem_sim = 1 - F.levenshtein(so, sn) / F.greatest(F.length(so), F.length(sn))
-    sim = F.when((sim > 0.45) & (sim <= 0.75) & ((so != o) | (sn != n)), F.greatest(sim, stem_sim)).otherwise(sim)
     first4, last4 = F.substring(o, F.lit(1), F.lit(4)), F.substring(o, lo - 3, F.lit(4))
     edge = n.startswith(first4) | n.endswith(first4) | n.startswith(last4) | n.endswith(last4)
+    inside = F.when((least >= 5) & (n.contains(o) | o.contains(n)), 0.4 + ratio * 0.35).when(edge, 0.6).otherwise(0.0)
+    lifted = lambda sim: F.when((sim > 0.45) & (sim <= 0.75) & ((so != o) | (sn != n)), F.greatest(sim, stem_sim)).otherwise(sim)
+    spelled = _bound(1 - F.levenshtein(o, n) / most, lambda sim: _bound(lifted(sim), lambda x: F.when(x > 0.7, x).otherwise(inside)))
     return (
         F.when((least < 4) & (o != n), 0.0)
         .when(o == n, 1.0)
         .when(n.startswith(o) | o.startswith(n), F.when(so == sn, 0.97).otherwise(0.5 + ratio * 0.35))
-        .when(sim > 0.7, sim)
-        .when((least >= 5) & (n.contains(o) | o.contains(n)), 0.4 + ratio * 0.35)
-        .when(edge, 0.6)
-        .otherwise(0.0)
+        .otherwise(spelled)
     )
 
 
@@ -173,75 +179,80 @@ def _has_form(tokens: Column) -> Column:
     return F.exists(tokens, lambda t: (t == "dough") | (t.endswith("teig") & ~t.contains("waren")) | ((F.length(t) >= 6) & t.endswith("eis") & ~t.endswith("reis")))
 
 
-def match_confidence(o: Column, n: Column, full_food: Column, heads: Column, parens: Column, fat: Column, name: Column, english: bool) -> Column:
-    """struct(confidence, unmatched) of one line against one name of one food."""
+def score_names(rows: DataFrame) -> DataFrame:
+    """confidence and unmatched of each row: line tokens o, food tokens n, and what goes with them.
+
+    Steps are columns of their own, so that each is computed once.
+    """
+    o, n, heads, parens, fat = (F.col(c) for c in ("o", "n", "heads", "parens", "fat"))
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
-    best = F.transform(o, lambda t: F.coalesce(F.array_max(F.transform(n, lambda x: token_similarity(t, x))), F.lit(0.0)))
     core = lambda t: X.is_core_noun(t) | F.array_contains(heads, t)
-    first_core = F.array_position(F.transform(o, core), True)
+    rows = rows.withColumn("best", F.transform(o, lambda t: F.coalesce(F.array_max(F.transform(n, lambda x: token_similarity(t, x))), F.lit(0.0))))
+    rows = rows.withColumn("core_at", F.array_position(F.transform(o, core), True).cast("int"))
+    core_at = F.col("core_at")
 
     def weight(t: Column, i: Column) -> Column:
         strong = F.when(F.array_contains(heads, t), 5.0).otherwise(3.0) * F.when(i == 0, 1.5).otherwise(1.0)
-        return F.when(t.isin(W.DESCRIPTORS), 0.0).when(first_core == i + 1, strong).otherwise(1.0)
+        return F.when(t.isin(W.DESCRIPTORS), 0.0).when(core_at == i + 1, strong).otherwise(1.0)
 
-    weights = F.transform(o, weight)
-    overlap = total(F.zip_with(best, weights, lambda b, w: b * w))
-    conf = F.coalesce(F.try_divide(overlap, total(weights)), F.lit(0.0))
-    lead = F.get(n, F.lit(0))
-    at_core = F.get(o, (first_core - 1).cast("int"))
-    best_core = F.get(best, (first_core - 1).cast("int"))
-    lead_hit = (first_core > 0) & (best_core > 0.8) & (token_similarity(at_core, lead) >= best_core)
-    conf = conf + F.when(lead_hit, 0.08).otherwise(0.0)
+    rows = rows.withColumn("weights", F.transform(o, weight))
+    overlap = total(F.zip_with("best", "weights", lambda b, w: b * w))
+    best_core = F.get("best", core_at - 1)
+    lead_hit = (core_at > 0) & (best_core > 0.8) & (token_similarity(F.get(o, core_at - 1), F.get(n, F.lit(0))) >= best_core)
+    rows = rows.withColumn("base", F.coalesce(F.try_divide(overlap, total(F.col("weights"))), F.lit(0.0)) + F.when(lead_hit, 0.08).otherwise(0.0))
 
     counted = F.filter(n, lambda t: ~t.isin(W.IMPLICIT_QUALIFIERS) & ~F.array_contains(parens, t))
     near = lambda t, q: (t == q) | (1 - F.levenshtein(q, t) / F.greatest(F.length(q), F.length(t)) > 0.6) | ((F.length(t) >= 4) & (t.contains(q) | q.contains(t)))
-    covered = F.transform(counted, lambda t: F.struct(F.when(X.is_core_noun(t), 3.0).otherwise(1.0).alias("w"), F.exists(o, lambda q: near(t, q)).alias("hit")))
-    share = F.try_divide(total(F.transform(covered, lambda c: F.when(c["hit"], c["w"]).otherwise(0.0))), total(F.transform(covered, lambda c: c["w"])))
-    conf = conf * 0.65 + F.coalesce(share, F.lit(1.0)) * 0.35
-    unmatched = F.size(F.filter(covered, lambda c: ~c["hit"]))
+    rows = rows.withColumn("covered", F.transform(counted, lambda t: F.struct(F.when(X.is_core_noun(t), 3.0).otherwise(1.0).alias("w"), F.exists(o, lambda q: near(t, q)).alias("hit"))))
+    share = F.try_divide(total(F.transform("covered", lambda c: F.when(c["hit"], c["w"]).otherwise(0.0))), total(F.transform("covered", lambda c: c["w"])))
+    rows = rows.withColumn("unmatched", F.size(F.filter("covered", lambda c: ~c["hit"]))).withColumn("mixed", F.col("base") * 0.65 + F.coalesce(share, F.lit(1.0)) * 0.35)
 
     line = F.array_join(o, " ")
-    whole = 1 - F.levenshtein(line, full_food) / F.greatest(F.length(line), F.length(full_food))
-    conf = F.when((whole > conf) & (whole > 0.6) & (conf > 0.1), whole).otherwise(conf)
-    if english:
-        conf = conf * 0.85
+    rows = rows.withColumn("whole", 1 - F.levenshtein(line, F.col("full")) / F.greatest(F.length(line), F.length("full")))
+    rows = rows.withColumn("conf", F.when((F.col("whole") > F.col("mixed")) & (F.col("whole") > 0.6) & (F.col("mixed") > 0.1), F.col("whole")).otherwise(F.col("mixed")))
     only_food = lambda parts: _any_word(n, parts) & ~_any_word(o, parts)
-    conf = conf * F.when(only_food(W.PLANT_WORDS), 0.6).otherwise(1.0) * F.when(only_food(W.DIET_WORDS), 0.7).otherwise(1.0)
-    conf = conf * F.when(_has_form(n) & ~_has_form(o), 0.65).otherwise(1.0) * F.when(_any_word(n, W.COMPOSITE_WORDS), 0.8).otherwise(1.0)
-    additive = F.col("name").rlike(r"(?i)(?<![A-Za-z0-9_])E[-\s]?\d{3}(?![A-Za-z0-9_])|additive|chemical|curing salt")
-    conf = F.when(additive & (conf < 0.95), conf * 0.4).otherwise(conf)
+    factor = F.when(F.col("english"), 0.85).otherwise(1.0) * F.when(only_food(W.PLANT_WORDS), 0.6).otherwise(1.0) * F.when(only_food(W.DIET_WORDS), 0.7).otherwise(1.0)
+    factor = factor * F.when(_has_form(n) & ~_has_form(o), 0.65).otherwise(1.0) * F.when(_any_word(n, W.COMPOSITE_WORDS), 0.8).otherwise(1.0)
+    rows = rows.withColumn("cut", F.col("conf") * factor)
+    additive = F.col("english_name").rlike(r"(?i)(?<![A-Za-z0-9_])E[-\s]?\d{3}(?![A-Za-z0-9_])|additive|chemical|curing salt")
 
     def bonus(q: Column, t: Column) -> Column:
         sq, st = X.light_stem(q), X.light_stem(t)
         alike = 1 - F.levenshtein(sq, st) / F.greatest(F.length(sq), F.length(st)) > 0.75
         return F.when(~(X.is_core_noun(q) | X.is_core_noun(t)), 0.0).when(q == t, 0.55).when(alike, 0.5).otherwise(0.0)
 
-    floor = F.coalesce(F.array_max(F.flatten(F.transform(o, lambda q: F.transform(n, lambda t: bonus(q, t))))), F.lit(0.0))
-    conf = F.least(F.lit(0.95), conf + floor * 0.2)
-    food_fat = X.fat_percent(name)
-    conf = conf - F.when(fat.isNull(), 0.0).when(food_fat.isNotNull(), F.abs(fat - food_fat) * 0.01).otherwise(0.05)
-    return F.when(F.size(o) > 0, F.struct(conf.alias("confidence"), unmatched.alias("unmatched")))
+    rows = rows.withColumn("floor", F.coalesce(F.array_max(F.flatten(F.transform(o, lambda q: F.transform(n, lambda t: bonus(q, t))))), F.lit(0.0)))
+    capped = F.least(F.lit(0.95), F.when(additive & (F.col("cut") < 0.95), F.col("cut") * 0.4).otherwise(F.col("cut")) + F.col("floor") * 0.2)
+    rows = rows.withColumn("food_fat", X.fat_percent(F.col("tested_name")))
+    loss = F.when(fat.isNull(), 0.0).when(F.col("food_fat").isNotNull(), F.abs(fat - F.col("food_fat")) * 0.01).otherwise(0.05)
+    return rows.select("line_id", "id", "row_ord", "hits", (capped - loss).alias("confidence"), "unmatched")
 
 
 def fuzzy_match(lines: DataFrame, foods: DataFrame) -> DataFrame:
-    """line_id, food_id, confidence for every line with a recognised token."""
-    prepared = prepare_lines(lines)
+    """line_id, food_id, confidence for every line with a recognised token.
+
+    Prepared lines, candidates and their names are written once: each is used by
+    several joins or steps.
+    """
+    prepared = cut(prepare_lines(lines))
     named = foods.select("id", "name", "name_de")
     for key, column in (("de", F.col("name_de")), ("en", F.col("name"))):
         named = named.withColumns({f"{key}_raw_text": X.normalize(column), f"{key}_ascii_text": X.ascii_fold(column)})
         named = named.withColumns({f"{key}_raw": X.tokens(F.col(f"{key}_raw_text")), f"{key}_ascii": X.tokens(F.col(f"{key}_ascii_text"))})
     named = named.withColumn("parens", F.array_distinct(F.concat(X.paren_tokens(F.col("name")), F.coalesce(X.paren_tokens(F.col("name_de")), F.expr("cast(array() as array<string>)")))))
-    rows = best_candidates(candidate_hits(prepared, foods), foods).join(prepared, "line_id").join(named, "id")
+    rows = cut(best_candidates(candidate_hits(prepared, foods), foods)).join(prepared, "line_id").join(named, "id")
     tries = []
     for key, name in (("de", "name_de"), ("en", "name")):
         for form in ("raw", "ascii"):
-            value = match_confidence(F.col(form), F.col(f"{key}_{form}"), F.col(f"{key}_{form}_text"), F.col("heads"), F.col("parens"), F.col("fat"), F.col(name), key == "en")
-            tries.append(F.when(F.col(name).isNotNull(), value))
-    scored = rows.select("line_id", "id", "row_ord", "hits", F.explode(F.array_compact(F.array(*tries))).alias("m"))
-    top = F.max("m.confidence").over(Window.partitionBy("line_id"))
-    banded = scored.withColumn("top", top).where(F.col("m.confidence") >= F.col("top") - BAND)
-    order = F.struct(F.col("m.unmatched").alias("u"), (-F.col("m.confidence")).alias("c"), (-F.col("hits")).alias("h"), F.col("row_ord").alias("o"))
-    best = banded.groupBy("line_id").agg(F.min_by(F.struct(F.col("id"), F.col("m.confidence")), order).alias("b"))
+            one = F.struct(F.col(form).alias("o"), F.col(f"{key}_{form}").alias("n"), F.col(f"{key}_{form}_text").alias("full"), F.col(name).alias("tested_name"), F.lit(key == "en").alias("english"))
+            other = F.lit(True) if form == "raw" else (F.col("ascii") != F.col("raw")) | (F.col(f"{key}_ascii_text") != F.col(f"{key}_raw_text"))
+            tries.append(F.when(F.col(name).isNotNull() & (F.size(form) > 0) & other, one))
+    tested = rows.select("line_id", "id", "row_ord", "hits", "heads", "parens", "fat", F.col("name").alias("english_name"), F.explode(F.array_compact(F.array(*tries))).alias("m"))
+    scored = score_names(cut(tested.select("*", "m.*").drop("m")))
+    top = F.max("confidence").over(Window.partitionBy("line_id"))
+    banded = scored.withColumn("top", top).where(F.col("confidence") >= F.col("top") - BAND)
+    order = F.struct(F.col("unmatched").alias("u"), (-F.col("confidence")).alias("c"), (-F.col("hits")).alias("h"), F.col("row_ord").alias("o"))
+    best = banded.groupBy("line_id").agg(F.min_by(F.struct("id", "confidence"), order).alias("b"))
     return best.select("line_id", F.col("b.id").alias("food_id"), F.col("b.confidence").alias("confidence"))
 
 
@@ -273,7 +284,8 @@ def brand_hits(lines: DataFrame, brands: DataFrame, gram: int = 3) -> DataFrame:
     low = lines.select("line_id", F.lower(F.trim("raw_text")).alias("line"))
     sizes = [1, 2, gram]
     keyed = brands.withColumn("size", F.least(F.length("key"), F.lit(gram))).withColumn("gram", F.substring(F.col("key"), F.lit(1), F.col("size")))
-    parts = F.array_distinct(F.flatten(F.array(*(F.transform(X.grams(F.col("line"), n), lambda g, n=n: F.struct(F.lit(n).alias("size"), g.alias("gram"))) for n in sizes))))
+    tagged = [F.transform(X.grams(F.col("line"), n), lambda g: F.struct(F.length(g).alias("size"), g.alias("gram"))) for n in sizes]
+    parts = F.array_distinct(F.flatten(F.array(*tagged)))
     pairs = low.select("line_id", "line", F.explode(parts).alias("p")).select("line_id", "line", "p.size", "p.gram").join(keyed, ["size", "gram"])
     letter = "[a-zäöüß]"
     quoted = F.concat(F.lit(r"\Q"), F.col("key"), F.lit(r"\E"))

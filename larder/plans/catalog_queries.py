@@ -1,15 +1,607 @@
-"""Registered queries over the driver tables, with their DuckDB counterparts."""
+"""Registered queries over the driver tables, each with DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from larder.functions import nutrition as N, text as X, words as W
+from larder.operators import feedback, history, learning, matching, recipes, search, swaps
+from larder.plans import testdata as D
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _foods(spark, d):
+    return D.frame(spark, d, D.CATALOG)
+
+
+def _table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(x, places=4):
+    return F.round(x, places)
+
+
+FOODS, RECIPES, INGREDIENTS = D.duck(D.CATALOG), D.duck(D.RECIPES), D.duck(D.INGREDIENTS)
+ITEMS, PROFILES, LINES = D.duck(D.SCAN_ITEMS), D.duck(D.PROFILES), D.duck(D.NOISY_LINES)
+
+
+def _alt(parts: list[str]) -> str:
+    return "|".join(parts)
+
+
+def _quoted(parts: list[str]) -> str:
+    return "(" + ", ".join(f"'{p}'" for p in parts) + ")"
+
+
+# Swap SQL, written from the definitions: group, words, score and quality as expressions over s and c.
+def _group_sql(swiss: str, name: str) -> str:
+    whens = []
+    for group, cats, names in W.GROUPS:
+        test = f"regexp_matches(lower({swiss}), '{_alt(cats)}')" + (f" OR regexp_matches(lower({name}), '{_alt(names)}')" if names else "")
+        whens.append(f"WHEN {test} THEN '{group}'")
+    return "CASE " + " ".join(whens) + f" ELSE split_part(lower({swiss}), '/', 1) END"
+
+
+def _role_sql(swiss: str, name: str) -> str:
+    whens = []
+    for role, parts in W.ROLES:
+        test = f"regexp_matches(lower({name}), '\\b({_alt(parts)})\\b')"
+        if role in ("FAT", "DAIRY_LIQUID"):
+            test += f" AND split_part({swiss}, '/', 1) NOT IN {_quoted(W.ROLE_EXCLUDED)}"
+        whens.append(f"WHEN {test} THEN '{role}'")
+    return "CASE " + " ".join(whens) + f" WHEN split_part({swiss}, '/', 1) = 'Vegetables' THEN 'VEGETABLE' WHEN split_part({swiss}, '/', 1) = 'Fruit' THEN 'FRUIT' ELSE 'OTHER' END"
+
+
+_NUMERIC = "^([0-9]+(e[0-9]+)?|0x[0-9a-f]+|0b[01]+|0o[0-7]+)$"
+_HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda ch: ascii(ch)::BIGINT)), lambda h, ch: (((h * 31 + ch + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648)"
+_FEATURED = f"""
+SELECT id, row_ord, name, category, swiss_category, health_score, nova_group,
+       {', '.join(f'coalesce({c}, 0.0) AS {c}' for c in ('kcal', 'protein_g', 'carbs_g', 'sugars_g', 'fat_g', 'saturated_fat_g', 'fiber_g', 'salt_g', 'calcium_mg', 'iron_mg'))},
+       regexp_matches(lower(name), '{_alt(W.LIQUID)}') AS liquid,
+       regexp_matches(lower(name || ' # ' || category || ' # ' || swiss_category), '{_alt(W.SMART_LIQUID)}') AS smart_liquid,
+       regexp_matches(lower(name), '{_alt(W.RAW_INGREDIENT)}') AS raw,
+       regexp_matches(lower(name || ' # ' || category || ' ' || swiss_category), '{_alt(W.RESTRICTED)}') AS restricted,
+       {_group_sql('swiss_category', 'name')} AS eq_group, {_role_sql('swiss_category', 'name')} AS role, split_part(swiss_category, '/', 2) AS branch,
+       list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g'), ' '), lambda w: length(w) > 2 AND w NOT IN {_quoted(W.OVERLAP_STOP_WORDS)}) AS words,
+       list_filter(regexp_split_to_array(regexp_replace(lower(name), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN {_quoted(W.SMART_STOP_WORDS)}) AS smart_tokens,
+       regexp_matches(lower(name), '{_alt(W.SWEETENED)}') AS sweet, regexp_matches(lower(name), '{_alt(W.UNSWEETENED)}') AS unsweet,
+       list_transform(list_filter(regexp_split_to_array(regexp_replace(lower(name), '[^a-z0-9 ]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN {_quoted(W.VECTOR_STOP_WORDS)} AND NOT regexp_matches(w, '{_NUMERIC}')), lambda w: abs({_HASH}) % 64) AS bins
+FROM {FOODS}
+"""
+
+
+def _dot_sql(a: str, b: str) -> str:
+    return f"coalesce(list_sum(list_transform({a}, lambda x: len(list_filter({b}, lambda y: y = x)))), 0)"
+
+
+_COSINE = f"CASE WHEN len(s.bins) = 0 OR len(c.bins) = 0 THEN 0.0 ELSE CAST({_dot_sql('s.bins', 'c.bins')} AS DOUBLE) / (sqrt(CAST({_dot_sql('s.bins', 's.bins')} AS DOUBLE)) * sqrt(CAST({_dot_sql('c.bins', 'c.bins')} AS DOUBLE))) END"
+_SCORE = """
+(CASE WHEN c.health_score > s.health_score THEN sqrt(CAST(c.health_score - s.health_score AS DOUBLE)) * 5e0 + CASE WHEN c.health_score - s.health_score BETWEEN 10 AND 40 THEN 40 ELSE 0 END ELSE 0e0 END
+ + CASE WHEN s.swiss_category = c.swiss_category THEN 300 ELSE 0 END
+ + 150 * len(list_filter(s.words, lambda w: list_contains(c.words, w)))
+ + CASE WHEN s.sweet AND c.unsweet THEN 150 ELSE 0 END
+ + CASE s.eq_group WHEN 'OILS_FATS' THEN (s.saturated_fat_g - c.saturated_fat_g) * 15
+     WHEN 'DAIRY_ALT' THEN (s.sugars_g - c.sugars_g) * 8 + (s.fat_g - c.fat_g) * 6 + (c.calcium_mg - s.calcium_mg) / 50 * 4
+     WHEN 'MEAT_ALT' THEN (c.protein_g - s.protein_g) * 8 + (s.saturated_fat_g - c.saturated_fat_g) * 10 + (c.iron_mg - s.iron_mg) * 8
+     ELSE (s.sugars_g - c.sugars_g) * CASE WHEN s.sugars_g > c.sugars_g THEN 4 ELSE 2 END END
+ + (s.salt_g - c.salt_g) * CASE WHEN s.eq_group IN ('OILS_FATS', 'DAIRY_ALT') THEN 12 ELSE 20 END
+ + (c.fiber_g - s.fiber_g) * 5
+ + CASE WHEN c.kcal / CASE WHEN s.kcal = 0 THEN 1e0 ELSE s.kcal END BETWEEN 0.8e0 AND 1.2e0 THEN 40
+     WHEN c.kcal / CASE WHEN s.kcal = 0 THEN 1e0 ELSE s.kcal END > 1.5e0 OR c.kcal / CASE WHEN s.kcal = 0 THEN 1e0 ELSE s.kcal END < 0.5e0 THEN -100 ELSE 0 END)
+"""
+
+
+def _quality_sql(cosine: str | None, flags: bool = True) -> str:
+    value = {
+        "cosine_sim": cosine, "same_swiss_category": "CAST(s.swiss_category = c.swiss_category AS INT)",
+        "liquid_mismatch": "CAST(s.liquid <> c.liquid AS INT)" if flags else "0", "raw_ingredient_mismatch": "CAST(s.raw <> c.raw AS INT)" if flags else "0",
+        "delta_kcal": "(c.kcal - s.kcal)", "delta_sugar_g": "(c.sugars_g - s.sugars_g)", "delta_fat_g": "(c.fat_g - s.fat_g)",
+        "delta_satfat_g": "(c.saturated_fat_g - s.saturated_fat_g)", "delta_protein_g": "(c.protein_g - s.protein_g)",
+    }
+    z = " + ".join([f"{W.RANKER_INTERCEPT}e0", *(f"({value[n]} - ({m}e0)) / {sc}e0 * ({w}e0)" for n, m, sc, w in W.RANKER if value[n])])
+    return f"(1e0 / (1e0 + exp(-({z}))))"
+
+
+_PAIR_SQL = f"""
+WITH f AS ({_FEATURED}),
+pairs AS (
+  SELECT s.id AS food_id, c.id AS swap_id, c.row_ord AS ord, c.swiss_category AS swap_category, {_SCORE} * ({_quality_sql(_COSINE)} + 0.5e0) AS score
+  FROM f s JOIN f c ON c.liquid = s.liquid AND c.health_score >= s.health_score + 10 AND c.id <> s.id
+   AND (c.swiss_category = s.swiss_category OR (c.eq_group = s.eq_group AND (s.eq_group NOT IN {_quoted(W.STRICT_GROUPS)} OR (s.branch <> '' AND s.branch = c.branch))))
+  WHERE s.health_score < 80 AND NOT c.restricted),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY food_id ORDER BY score DESC, ord) AS rank FROM pairs)
+"""
+
+
+@_query(_PAIR_SQL + "SELECT food_id, swap_id, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM ranked WHERE rank <= 3")
+def swap_topk(spark, d):
+    return swaps.top_swaps(_foods(spark, d), 3).select("food_id", "swap_id", F.col("rank").cast("int").alias("rank"), _r("score").alias("score"))
+
+
+def _feedback(spark, d):
+    items = D.frame(spark, d, D.SCAN_ITEMS).where(F.col("event_type").isin("purchase", "error") & F.col("food_id").isNotNull())
+    foods = _foods(spark, d).select(F.col("id").alias("food_id"), "swiss_category")
+    return items.join(foods, "food_id").select("food_id", "swiss_category", "seq", (F.col("event_type") == "purchase").alias("accepted"))
+
+
+def _prefs(spark, d):
+    events = _feedback(spark, d)
+    by_food = feedback.preference_fold(events, ["food_id"], feedback.FOOD_SHARE).select(F.lit("food").alias("kind"), F.col("food_id").alias("key"), "multiplier", "n_events")
+    by_category = feedback.preference_fold(events, ["swiss_category"], feedback.CATEGORY_SHARE).select(F.lit("category").alias("kind"), F.col("swiss_category").alias("key"), "multiplier", "n_events")
+    return by_category.unionByName(by_food)
+
+
+# A sequential fold, as the closed form's counterpart.
+_PREFS_SQL = f"""
+fb AS (SELECT i.food_id, f.swiss_category, i.seq, i.event_type = 'purchase' AS accepted FROM {ITEMS} i JOIN {FOODS} f ON f.id = i.food_id WHERE i.event_type IN ('purchase', 'error')),
+keyed AS (SELECT 'food' AS kind, food_id AS key, seq, accepted, 0.075e0 AS a FROM fb UNION ALL SELECT 'category', swiss_category, seq, accepted, 0.045e0 FROM fb),
+prefs AS (
+  SELECT kind, key, list_reduce(list_prepend(1e0, list(CASE WHEN accepted THEN 1e0 ELSE -1e0 END ORDER BY seq)), lambda m, x: CASE WHEN x > 0 THEN m + any_a * (1.8e0 - m) ELSE m - any_a * (m - 0.3e0) END) AS multiplier, n_events
+  FROM (SELECT kind, key, any_value(a) AS any_a, list(CASE WHEN accepted THEN 1e0 ELSE -1e0 END ORDER BY seq) AS xs, count(*) AS n_events FROM keyed GROUP BY kind, key))
+""".replace("list_prepend(1e0, list(CASE WHEN accepted THEN 1e0 ELSE -1e0 END ORDER BY seq))", "list_prepend(1e0, xs)")
+
+
+@_query("WITH " + _PREFS_SQL + " SELECT kind, key, round(multiplier, 6) AS multiplier, n_events FROM prefs")
+def pref_fold(spark, d):
+    return _prefs(spark, d).select("kind", "key", _r("multiplier", 6).alias("multiplier"), "n_events")
+
+
+@_query(_PAIR_SQL + f", {_PREFS_SQL}, pool AS (SELECT r.food_id, r.swap_id, r.rank, r.score * (coalesce(pc.multiplier, 1e0) + coalesce(pf.multiplier, 1e0)) / 2 AS score FROM ranked r LEFT JOIN prefs pc ON pc.kind = 'category' AND pc.key = r.swap_category LEFT JOIN prefs pf ON pf.kind = 'food' AND pf.key = r.swap_id WHERE r.rank <= 9), placed AS (SELECT *, row_number() OVER (PARTITION BY food_id ORDER BY score DESC, rank) AS place FROM pool) SELECT food_id, swap_id, CAST(place AS INT) AS rank, round(score, 4) AS score FROM placed WHERE place <= 3")
+def swap_personalized(spark, d):
+    found = swaps.personalised_swaps(_foods(spark, d), _prefs(spark, d), 3)
+    return found.select("food_id", "swap_id", F.col("rank").cast("int").alias("rank"), _r("score").alias("score"))
+
+
+@_query(f"""
+WITH f AS ({_FEATURED}),
+pairs AS (SELECT s.id AS food_id, c.id AS swap_id, c.row_ord AS ord, {_SCORE} * ({_quality_sql(None, False)} + 0.5e0) * (0.7e0 + 0.6e0 * ({_COSINE})) AS score
+  FROM f s JOIN f c ON s.role = c.role AND s.liquid = c.liquid AND s.raw = c.raw AND c.health_score >= s.health_score + 10 AND s.id <> c.id
+  WHERE s.health_score < 75 AND s.role NOT IN {_quoted(W.COARSE_ROLES)})
+SELECT food_id, swap_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY food_id ORDER BY score DESC, ord) AS k FROM pairs) WHERE k = 1""")
+def recipe_swap(spark, d):
+    return swaps.recipe_swaps(_foods(spark, d)).select("food_id", "swap_id", _r("score").alias("score"))
+
+
+_SMART = f"""
+(sqrt(CAST(c.health_score - s.health_score AS DOUBLE)) * 3e0 + CASE WHEN c.health_score - s.health_score BETWEEN 15 AND 45 THEN 35 WHEN c.health_score - s.health_score > 45 THEN 10 ELSE 0 END
+ + CASE WHEN s.swiss_category = c.swiss_category THEN 120 WHEN s.category = c.category THEN 40 + CASE WHEN split_part(s.swiss_category, '/', 1) = split_part(c.swiss_category, '/', 1) THEN 45 ELSE 0 END ELSE -150 END
+ + 40 * len(list_filter(c.smart_tokens, lambda t: list_contains(s.smart_tokens, t)))
+ + CASE WHEN len(list_filter(c.smart_tokens, lambda t: list_contains(s.smart_tokens, t))) > 0 AND regexp_matches(lower(s.name), '{_alt(W.SMART_SWEETENED)}') AND regexp_matches(lower(c.name), '{_alt(W.SMART_UNSWEETENED)}') THEN 150 ELSE 0 END
+ + CASE WHEN c.sugars_g < s.sugars_g THEN (s.sugars_g - c.sugars_g) * 4 WHEN c.sugars_g > s.sugars_g + 2 THEN (c.sugars_g - s.sugars_g) * -2 ELSE 0e0 END
+ + CASE WHEN c.saturated_fat_g < s.saturated_fat_g THEN (s.saturated_fat_g - c.saturated_fat_g) * 5 ELSE 0e0 END
+ + CASE WHEN c.salt_g < s.salt_g THEN (s.salt_g - c.salt_g) * 25 ELSE 0e0 END
+ + CASE WHEN c.protein_g > s.protein_g THEN (c.protein_g - s.protein_g) * 3 ELSE 0e0 END
+ + CASE WHEN c.fiber_g > s.fiber_g THEN (c.fiber_g - s.fiber_g) * 4 ELSE 0e0 END
+ + CASE WHEN least(CASE WHEN s.kcal = 0 THEN 1e0 ELSE s.kcal END, CASE WHEN c.kcal = 0 THEN 1e0 ELSE c.kcal END) / greatest(CASE WHEN s.kcal = 0 THEN 1e0 ELSE s.kcal END, CASE WHEN c.kcal = 0 THEN 1e0 ELSE c.kcal END) >= 0.6e0 THEN 20 ELSE 0 END
+ - CASE WHEN CASE WHEN c.kcal = 0 THEN 1e0 ELSE c.kcal END > CASE WHEN s.kcal = 0 THEN 1e0 ELSE s.kcal END * 1.5e0 THEN 15 ELSE 0 END
+ + CASE WHEN s.nova_group = 4 AND c.nova_group < 4 AND c.nova_group > 0 THEN 35 ELSE 0 END + CASE WHEN c.nova_group = 1 THEN 15 ELSE 0 END
+ + CASE WHEN c.protein_g > s.protein_g THEN 25 ELSE 0 END)
+"""
+
+
+@_query(f"""
+WITH f AS ({_FEATURED}),
+pairs AS (SELECT s.id AS food_id, c.id AS swap_id, c.row_ord AS ord, {_SMART} AS score
+  FROM f s JOIN f c ON s.smart_liquid = c.smart_liquid AND c.health_score > s.health_score + 5 AND s.id <> c.id
+   AND (contains(lower(s.name), 'decaf') = contains(lower(c.name), 'decaf') OR NOT (contains(lower(s.name), 'coffee') OR contains(lower(c.name), 'coffee')))
+  WHERE c.health_score >= 65 AND NOT regexp_matches(lower(c.name || ' # ' || c.category), '{_alt(W.SMART_RESTRICTED)}|energy drink'))
+SELECT food_id, swap_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY food_id ORDER BY score DESC, ord) AS k FROM pairs) WHERE k = 1 AND score > -50""")
+def smart_swap(spark, d):
+    return swaps.smart_swaps(_foods(spark, d), ["High Protein"]).select("food_id", "swap_id", _r("score").alias("score"))
+
+
+@_query(f"SELECT id, eq_group, role, liquid, smart_liquid, raw, restricted FROM ({_FEATURED})")
+def food_flags(spark, d):
+    return swaps.food_features(_foods(spark, d)).select("id", "eq_group", "role", "liquid", "smart_liquid", "raw", "restricted")
+
+
+@_query(f"SELECT id, words, smart_tokens, list_sort(bins) AS bins FROM ({_FEATURED})".replace("SELECT id, words, smart_tokens, list_sort(bins) AS bins", "SELECT id, array_to_string(words, ' ') AS words, array_to_string(smart_tokens, ' ') AS smart_tokens, array_to_string(list_sort(bins), ' ') AS bins"))
+def token_overlap(spark, d):
+    f = swaps.food_features(_foods(spark, d))
+    return f.select("id", F.array_join("words", " ").alias("words"), F.array_join("smart_tokens", " ").alias("smart_tokens"), F.array_join(F.transform(F.array_sort("bins"), lambda x: x.cast("string")), " ").alias("bins"))
+
+
+@_query(f"WITH f AS ({_FEATURED}) SELECT s.id AS a, c.id AS b, round({_COSINE}, 6) AS cosine FROM f s JOIN f c ON s.role = c.role AND s.row_ord < c.row_ord AND c.row_ord <= s.row_ord + 200")
+def hashed_cosine(spark, d):
+    f = swaps.food_features(_foods(spark, d)).select("id", "row_ord", "role", "bins", "bin_norm")
+    pairs = f.alias("s").join(f.alias("c"), (F.col("s.role") == F.col("c.role")) & (F.col("s.row_ord") < F.col("c.row_ord")) & (F.col("c.row_ord") <= F.col("s.row_ord") + 200))
+    return pairs.select(F.col("s.id").alias("a"), F.col("c.id").alias("b"), _r(swaps.cosine("s", "c"), 6).alias("cosine"))
+
+
+@_query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def dense_cosine(spark, d):
+    e = _table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    e = e.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("v").alias("w"), F.col("n").alias("m"))
+    pair = e.join(nxt, "vec_id")
+    return pair.select(F.col("vec_id").alias("a"), "b", _r(F.coalesce(F.try_divide(dot(F.col("v"), F.col("w")), F.col("n") * F.col("m")), F.lit(0.0)), 5).alias("cosine"))
+
+
+@_query(f"SELECT id, category, swiss_category FROM {FOODS} WHERE NOT regexp_matches(category, 'Meat|Fish|Dairy') AND NOT contains(lower(swiss_category), 'egg') AND coalesce(carbs_g, 0) <= 20")
+def diet_catalog(spark, d):
+    return swaps.diet_filter_catalog(_foods(spark, d), ["Vegan", "Low Carb"]).select("id", "category", "swiss_category")
+
+
+# Recipes
+_LINKED = f"(SELECT i.*, f.id AS f_id, f.name AS f_name, f.category AS f_category, f.swiss_category AS f_swiss, f.health_score, {', '.join(f'f.{m}' for m in N.MACROS)} FROM {INGREDIENTS} i LEFT JOIN {FOODS} f ON f.id = i.food_id)"
+
+
+def _totals_sql(linked: str) -> str:
+    return f"""
+SELECT r.id, {', '.join(f"round(coalesce(t.{m}, 0) / coalesce(nullif(r.serves, 0), 1), 4) AS {m}" for m in N.MACROS)},
+       CAST(coalesce(floor(t.score_kcal / nullif(t.linked_kcal, 0) + 0.5), 50) AS INT) AS health_score
+FROM {RECIPES} r LEFT JOIN (
+  SELECT recipe_id, {', '.join(f'sum(coalesce({m}, 0) * grams / 100) AS {m}' for m in N.MACROS)},
+         sum(health_score * kcal * grams / 100) FILTER (WHERE kcal * grams > 0) AS score_kcal, sum(kcal * grams / 100) FILTER (WHERE kcal * grams > 0) AS linked_kcal
+  FROM {linked} WHERE f_id IS NOT NULL GROUP BY recipe_id) t ON t.recipe_id = r.id"""
+
+
+def _recipe_parts(spark, d):
+    foods = _foods(spark, d)
+    return D.frame(spark, d, D.RECIPES), D.frame(spark, d, D.INGREDIENTS), foods
+
+
+@_query(_totals_sql(_LINKED))
+def recipe_totals(spark, d):
+    r, i, f = _recipe_parts(spark, d)
+    t = recipes.recipe_totals(r, recipes.linked_ingredients(i, f))
+    return t.select("id", *(_r(m).alias(m) for m in N.MACROS), "health_score")
+
+
+_SIMPLE_SWAPS = f"(SELECT food_id, min(swap_id) AS swap_id FROM (SELECT id AS food_id, CAST(row_ord + 1 AS VARCHAR) AS swap_id FROM {FOODS} WHERE health_score < 30) GROUP BY food_id)"
+
+
+@_query(_totals_sql(f"(SELECT i.recipe_id, i.grams, f.id AS f_id, f.health_score, {', '.join(f'f.{m}' for m in N.MACROS)} FROM {INGREDIENTS} i LEFT JOIN {_SIMPLE_SWAPS} w ON w.food_id = i.food_id LEFT JOIN {FOODS} f ON f.id = coalesce(w.swap_id, i.food_id))"))
+def recipe_swap_totals(spark, d):
+    r, i, f = _recipe_parts(spark, d)
+    chosen = f.where("health_score < 30").select(F.col("id").alias("food_id"), (F.col("row_ord") + 1).cast("string").alias("swap_id"))
+    t = recipes.recipe_totals_with_swaps(r, i, f, chosen)
+    return t.select("id", *(_r(m).alias(m) for m in N.MACROS), "health_score")
+
+
+@_query(f"SELECT r.id FROM {RECIPES} r WHERE NOT EXISTS (SELECT 1 FROM {_LINKED} l WHERE l.recipe_id = r.id AND (l.f_category IN ('Meat', 'Fish', 'Dairy') OR contains(lower(l.f_swiss), 'egg')))")
+def recipe_diet_anti(spark, d):
+    r, i, f = _recipe_parts(spark, d)
+    return recipes.diet_recipes(r, recipes.linked_ingredients(i, f), ["Vegan"]).select("id")
+
+
+@_query(f"SELECT r.id, count(o.food_id) AS relevance FROM {RECIPES} r LEFT JOIN {_LINKED} l ON l.recipe_id = r.id LEFT JOIN (SELECT DISTINCT food_id FROM {ITEMS} WHERE food_id IS NOT NULL) o ON o.food_id = l.food_id GROUP BY r.id")
+def recipe_feed(spark, d):
+    r, i, f = _recipe_parts(spark, d)
+    owned = history.owned_foods(D.frame(spark, d, D.SCAN_ITEMS))
+    return recipes.feed(r, recipes.linked_ingredients(i, f), owned).select("id", "relevance")
+
+
+@_query(f"SELECT r.id, r.name FROM {RECIPES} r WHERE contains(lower(r.name), 'cola') OR EXISTS (SELECT 1 FROM {_LINKED} l WHERE l.recipe_id = r.id AND (contains(lower(l.raw_text), 'cola') OR contains(lower(coalesce(l.f_name, '')), 'cola')))")
+def recipe_search(spark, d):
+    r, i, f = _recipe_parts(spark, d)
+    return recipes.search_recipes(r, recipes.linked_ingredients(i, f), "Cola").select("id", "name")
+
+
+@_query(f"SELECT r.id, count(i.recipe_id) AS n_ingredients, string_agg(i.raw_text, '|' ORDER BY i.sort_order, i.food_id NULLS FIRST, i.raw_text) AS texts FROM {RECIPES} r LEFT JOIN {INGREDIENTS} i ON i.recipe_id = r.id GROUP BY r.id")
+def recipe_children(spark, d):
+    r, i, _ = _recipe_parts(spark, d)
+    rows = recipes.with_children(r, i)
+    n = F.coalesce(F.size("ingredients"), F.lit(0))
+    return rows.select("id", F.when(F.col("ingredients").isNull(), 0).otherwise(n).cast("long").alias("n_ingredients"), F.array_join("ingredients.raw_text", "|").alias("texts"))
+
+
+@_query(f"SELECT i.recipe_id, i.sort_order, coalesce(w.swap_id, i.food_id) AS food_id, round(i.grams * 4 / coalesce(nullif(r.serves, 0), 1), 4) AS quantity, r.name AS recipe_name FROM {INGREDIENTS} i JOIN {RECIPES} r ON r.id = i.recipe_id LEFT JOIN {_SIMPLE_SWAPS} w ON w.food_id = i.food_id")
+def shopping_list(spark, d):
+    r, i, f = _recipe_parts(spark, d)
+    chosen = f.where("health_score < 30").select(F.col("id").alias("food_id"), (F.col("row_ord") + 1).cast("string").alias("swap_id"))
+    return recipes.shopping_list(r, i, 4, chosen).select("recipe_id", "sort_order", "food_id", _r("quantity").alias("quantity"), "recipe_name")
+
+
+_UNITS = " ".join(f"WHEN '{u}' THEN {float(g)}e0" for u, g in W.UNIT_GRAMS.items())
+
+
+@_query(rf"""
+WITH t AS (SELECT recipe_id, sort_order, raw_text, replace(replace(lower(trim(raw_text)), '½', '0.5'), ',', '.') AS s FROM {INGREDIENTS}),
+m AS (SELECT *, try_cast(regexp_extract(s, '(\d+\.?\d*)\s*({W.UNIT_PATTERN})', 1) AS DOUBLE) AS q, regexp_extract(s, '(\d+\.?\d*)\s*({W.UNIT_PATTERN})', 2) AS u, try_cast(regexp_extract(s, '^(\d+\.?\d*)\s', 1) AS DOUBLE) AS b FROM t)
+SELECT recipe_id, sort_order, CAST(CASE WHEN q IS NOT NULL THEN floor(q * CASE u {_UNITS} ELSE 1e0 END + 0.5) WHEN b <= 10 THEN floor(b * 30 + 0.5) WHEN b IS NOT NULL THEN floor(b + 0.5) ELSE 50 END AS DOUBLE) AS grams FROM m""")
+def parse_grams(spark, d):
+    i = D.frame(spark, d, D.INGREDIENTS)
+    return i.select("recipe_id", "sort_order", X.parse_grams(F.col("raw_text")).alias("grams"))
+
+
+# History and state
+@_query(f"SELECT i.scan_id, CAST(coalesce(floor(avg(f.health_score) FILTER (WHERE i.confidence >= 0.45) + 0.5), 0) AS INT) AS average_score FROM {ITEMS} i LEFT JOIN {FOODS} f ON f.id = i.food_id GROUP BY i.scan_id")
+def scan_scores(spark, d):
+    foods = _foods(spark, d).select(F.col("id").alias("food_id"), "health_score")
+    return history.scan_scores(D.frame(spark, d, D.SCAN_ITEMS).join(foods, "food_id", "left"))
+
+
+@_query(f"SELECT CAST(date_trunc('week', scan_date) AS DATE) AS week_start, CAST(date_trunc('week', scan_date) AS DATE) + 6 AS week_end, count(*) AS n_scans, CAST(floor(avg(score) + 0.5) AS INT) AS average_score FROM (SELECT scan_id, min(scan_date) AS scan_date, bool_or(is_shopping_list) AS is_list, CAST(floor(avg(confidence) * 100 + 0.5) AS INT) AS score FROM {ITEMS} GROUP BY scan_id) WHERE NOT is_list GROUP BY 1, 2")
+def weekly_scans(spark, d):
+    items = D.frame(spark, d, D.SCAN_ITEMS)
+    scans = items.groupBy("scan_id").agg(F.min("scan_date").alias("date"), F.max("is_shopping_list").alias("is_shopping_list"), N.half_up(F.avg("confidence") * 100).cast("int").alias("average_score"))
+    return history.weekly_groups(scans).select("week_start", "week_end", "n_scans", "average_score")
+
+
+@_query(f"SELECT food_id, arg_max(scan_id, seq) AS last_scan, min(seq) AS first_seq, count(*) AS times FROM {ITEMS} WHERE food_id IS NOT NULL GROUP BY food_id")
+def owned_foods(spark, d):
+    found = history.distinct_foods(D.frame(spark, d, D.SCAN_ITEMS))
+    return found.select("food_id", F.col("last.scan_id").alias("last_scan"), "first_seq", "times")
+
+
+@_query(f"SELECT user_id, seq FROM (SELECT user_id, seq, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS k FROM {ITEMS}) WHERE k <= 5")
+def last_n_log(spark, d):
+    return history.last_entries(D.frame(spark, d, D.SCAN_ITEMS), 5, F.col("user_id"), "seq").select("user_id", "seq")
+
+
+@_query(f"SELECT scan_id, {', '.join(f'round(sum(coalesce(f.{m}, 0) * coalesce(nullif(i.quantity, 0), 100) / 100), 4) AS {m}' for m in N.MACROS)} FROM {ITEMS} i JOIN {FOODS} f ON f.id = i.food_id GROUP BY scan_id")
+def receipt_nutrients(spark, d):
+    t = history.receipt_totals(D.frame(spark, d, D.SCAN_ITEMS), _foods(spark, d), N.MACROS)
+    return t.select("scan_id", *(_r(m).alias(m) for m in N.MACROS))
+
+
+@_query("SELECT user_id, 'vitamin_k_ug' AS nutrient, CAST(sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS DOUBLE) AS amount FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY user_id")
+def micro_long(spark, d):
+    e = _table(spark, d, "events").withColumn("m", F.from_json("props", "map<string,double>"))
+    e = e.withColumn("micros", F.coalesce(F.transform_keys("m", lambda k, v: F.when(k == "k", F.lit("vitamin_k_ug")).otherwise(k)), F.expr("cast(map() as map<string,double>)")))
+    return history.micro_totals(e.select("user_id", "micros"), "user_id")
+
+
+@_query(f"SELECT okey, arg_max(food_id, seq) AS food_id FROM (SELECT CAST(user_id % 50 AS VARCHAR) AS okey, food_id, seq FROM {ITEMS} WHERE food_id IS NOT NULL) GROUP BY okey")
+def override_upsert(spark, d):
+    rows = D.frame(spark, d, D.SCAN_ITEMS).where("food_id is not null").select((F.col("user_id") % 50).cast("string").alias("okey"), "food_id", "seq")
+    return feedback.upsert_latest(rows, "okey", "seq").select("okey", "food_id")
+
+
+# Search
+_SCANS = f"(SELECT scan_id AS id, CAST(min(scan_date) AS VARCHAR) AS date, CASE WHEN min(user_id) % 3 = 0 THEN 'List 1' ELSE '' END AS recipe_name, CAST(floor(avg(confidence) * 100 + 0.5) AS INT) AS average_score FROM {ITEMS} GROUP BY scan_id)"
+_BAND = "CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 65 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END"
+
+
+@_query(f"SELECT kind, id, title, score, {_BAND} AS band FROM (SELECT 'food' AS kind, id, name AS title, health_score AS score FROM {FOODS} WHERE contains(lower(name), '1') OR contains(lower(category), '1') OR contains(lower(name), 'a') OR contains(lower(category), 'a') UNION ALL SELECT 'recipe', id, name, CAST(CAST(id AS BIGINT) % 100 AS INT) FROM {RECIPES} WHERE contains(lower(name), 'a') UNION ALL SELECT 'scan', id, coalesce(nullif(recipe_name, ''), date), average_score FROM {_SCANS} WHERE contains(lower(coalesce(nullif(recipe_name, ''), date)), 'a'))".replace("contains(lower(name), '1') OR contains(lower(category), '1') OR ", ""))
+def universal_search(spark, d):
+    r = D.frame(spark, d, D.RECIPES).withColumn("health_score", (F.col("id").cast("long") % 100).cast("int"))
+    items = D.frame(spark, d, D.SCAN_ITEMS)
+    scans = items.groupBy(F.col("scan_id").alias("id")).agg(F.min("scan_date").cast("string").alias("date"), F.when(F.min("user_id") % 3 == 0, "List 1").otherwise("").alias("recipe_name"), N.half_up(F.avg("confidence") * 100).cast("int").alias("average_score"))
+    return search.universal_search(_foods(spark, d), r, scans, "a")
+
+
+@_query(f"SELECT id, name FROM {FOODS} WHERE nutri_grade IN ('A', 'B') AND coalesce(kcal, 0) <= 300 AND health_score >= 40 AND category = 'Dairy'")
+def food_facets(spark, d):
+    return search.search_foods(_foods(spark, d), "", ["A", "B"], 300, 40, "Dairy").select("id", "name")
+
+
+@_query(f"SELECT f.id FROM {FOODS} f WHERE f.id IN (SELECT food_id FROM {ITEMS} WHERE event_type = 'click')")
+def favorites_semi(spark, d):
+    fav = D.frame(spark, d, D.SCAN_ITEMS).where("event_type = 'click' and food_id is not null").select(F.col("food_id").alias("id"))
+    return search.favourites(_foods(spark, d), fav).select("id")
+
+
+@_query(f"SELECT category, count(*) AS n FROM {FOODS} GROUP BY category")
+def categories(spark, d):
+    return _foods(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Profiles and presentation
+_KCAL = f"CAST(floor((weight * 10 + height * 6.25 - age * 5 + CASE WHEN sex = 'Male' THEN 5 ELSE -161 END) * CASE activity_level {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}e0' for k, v in W.ACTIVITY.items())} END + CASE weight_goal {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in W.GOAL_KCAL.items())} END + 0.5) AS INT)"
+_SHARES = {"protein_g": "CASE diet WHEN 'High Protein' THEN 0.35e0 WHEN 'Low Carb' THEN 0.30e0 WHEN 'Vegan' THEN 0.20e0 WHEN 'Vegetarian' THEN 0.20e0 ELSE 0.25e0 END / 4", "carbs_g": "CASE diet WHEN 'High Protein' THEN 0.35e0 WHEN 'Low Carb' THEN 0.20e0 WHEN 'Vegan' THEN 0.50e0 WHEN 'Vegetarian' THEN 0.50e0 ELSE 0.45e0 END / 4", "fat_g": "CASE diet WHEN 'Low Carb' THEN 0.50e0 ELSE 0.30e0 END / 9", "sugars_g": "0.1e0 / 4", "saturated_fat_g": "0.1e0 / 9"}
+
+
+@_query(f"SELECT id, kcal, {', '.join(f'CAST(floor(kcal * {v} + 0.5) AS INT) AS {k}' for k, v in _SHARES.items())}, CAST(floor(kcal / 1000e0 * 14 + 0.5) AS INT) AS fiber_g, 6 AS salt_g FROM (SELECT *, {_KCAL} AS kcal FROM {PROFILES})")
+def profile_targets(spark, d):
+    p = D.frame(spark, d, D.PROFILES)
+    p = p.withColumn("kcal", N.energy_target(*(F.col(c) for c in ("sex", "age", "weight", "height", "activity_level", "weight_goal"))))
+    return p.select("id", "kcal", *(v.alias(k) for k, v in N.macro_targets(F.col("kcal"), F.array("diet")).items()))
+
+
+_MICRO_VALUES = D.values([(n, f, m) for n, f, m in W.MICRO_TARGETS], "nutrient, female, male")
+
+
+@_query(f"SELECT f.id, t.nutrient, CAST(coalesce(least(100, floor(f.amount / t.female * 100 + 0.5)), 0) AS INT) AS percent FROM (SELECT id, 'calcium_mg' AS nutrient, calcium_mg AS amount FROM {FOODS} UNION ALL SELECT id, 'iron_mg', iron_mg FROM {FOODS}) f JOIN {_MICRO_VALUES.replace(' AS v(', ' AS t(')} ON t.nutrient = f.nutrient")
+def percent_of_target(spark, d):
+    f = _foods(spark, d).select("id", F.explode(F.array(F.struct(F.lit("calcium_mg").alias("nutrient"), F.col("calcium_mg").alias("amount")), F.struct(F.lit("iron_mg").alias("nutrient"), F.col("iron_mg").alias("amount")))).alias("x")).select("id", "x.*")
+    targets = spark.sql(f"SELECT * FROM {_MICRO_VALUES}")
+    return f.join(F.broadcast(targets), "nutrient").select("id", "nutrient", N.percent_of_target(F.col("amount"), F.col("female")).alias("percent"))
+
+
+_SITES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.SITES.items())
+
+
+@_query(rf"WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#:]+)', 1)), '^www\.', '') AS host FROM pages) SELECT page_id, CASE host {_SITES} WHEN '' THEN 'Original Recipe' ELSE upper(substr(split_part(host, '.', 1), 1, 1)) || substr(split_part(host, '.', 1), 2) END AS site FROM h")
+def site_name(spark, d):
+    return _table(spark, d, "pages").select("page_id", N.site_name(F.col("url")).alias("site"))
+
+
+@_query("SELECT conv_id, turn, CAST(i AS INT) AS line_no, lines[i + 1] AS line FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS lines, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM conversations) WHERE lines[i + 1] <> ''")
+def ocr_flatten(spark, d):
+    rows = _table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    return rows.where("line <> ''")
+
+
+@_query(f"SELECT CAST(seq AS BIGINT) AS seq, CASE WHEN food_id IS NULL OR confidence < 0.45 THEN 'not_found' WHEN confidence > 0.72 THEN 'confident' ELSE 'potential' END AS bucket FROM {ITEMS}")
+def confidence_buckets(spark, d):
+    return D.frame(spark, d, D.SCAN_ITEMS).select("seq", N.confidence_bucket(F.col("confidence"), F.col("food_id")).alias("bucket"))
+
+
+@_query(f"SELECT id, CASE {' '.join(f'WHEN regexp_matches(lower(category), {chr(39)}{_alt(parts)}{chr(39)}) THEN {chr(39)}{icon}{chr(39)}' for icon, parts in W.ICONS)} ELSE 'fast-food-outline' END AS icon FROM {FOODS}")
+def category_icons(spark, d):
+    return _foods(spark, d).select("id", N.category_icon(F.col("category")).alias("icon"))
+
+
+# Text and matching
+_DOC_LINES = "(SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)"
+
+
+def _doc_lines(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+
+
+def _fold_sql(x: str) -> str:
+    for a, b in zip(X.ACCENTS, X.PLAIN, strict=True):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+_UMLAUTS = "replace(replace(replace(replace(lower(line), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')"
+
+
+def _clean_sql(x: str, letters: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '[./-]', ' ', 'g'), '[^a-zA-Z0-9_\\s{letters}]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@_query(f"SELECT doc_id, md5(string_agg(n, '|' ORDER BY n)) AS digest, count(DISTINCT n) AS n_distinct FROM (SELECT doc_id, {_clean_sql(_fold_sql('lower(line)'), 'äöüß')} AS n FROM {_DOC_LINES}) GROUP BY doc_id")
+def normalize_text(spark, d):
+    rows = _doc_lines(spark, d).select("doc_id", X.normalize(F.col("line")).alias("n"))
+    return rows.groupBy("doc_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("n")), "|")).alias("digest"), F.count_distinct("n").alias("n_distinct"))
+
+
+@_query(f"SELECT doc_id, md5(string_agg(n, '|' ORDER BY n)) AS digest FROM (SELECT doc_id, {_clean_sql(_fold_sql(_UMLAUTS), '')} AS n FROM {_DOC_LINES}) GROUP BY doc_id")
+def ascii_fold(spark, d):
+    rows = _doc_lines(spark, d).select("doc_id", X.ascii_fold(F.col("line")).alias("n"))
+    return rows.groupBy("doc_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list("n")), "|")).alias("digest"))
+
+
+@_query(rf"SELECT line_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw_text), '\b\d+[.,]\d{{2}}\b', ' ', 'g'), '\b\d+([.,]\d+)?\s*(mg|kg|g|ml|cl|l)\b', ' ', 'g'), '\b\d+\s*(x|st|stk|er)\b', ' ', 'g'), '\s+[a-c]\s*$', ' '), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), '\s+', ' ', 'g')) AS okey FROM {LINES}")
+def override_key(spark, d):
+    return D.frame(spark, d, D.NOISY_LINES).select("line_id", X.override_key(F.col("raw_text")).alias("okey"))
+
+
+_TOKEN_SQL = f"""
+names AS (SELECT id, row_ord, name AS nm FROM {FOODS} UNION ALL SELECT id, row_ord, name_de FROM {FOODS} WHERE name_de IS NOT NULL),
+folded AS (SELECT id, row_ord, {_clean_sql(_fold_sql('lower(nm)'), 'äöüß')} AS a, {_clean_sql(_fold_sql(_UMLAUTS.replace('lower(line)', 'lower(nm)')), '')} AS b FROM names),
+toks AS (SELECT DISTINCT id, row_ord, t FROM (SELECT id, row_ord, unnest(list_concat(string_split(a, ' '), string_split(b, ' '))) AS t FROM folded) WHERE length(t) > 2),
+heads AS (SELECT id, row_ord, t, list_filter([{', '.join(f"'{h}'" for h in W.HEAD_NOUNS)}], lambda s: ends_with(t, s) AND length(t) > length(s) + 3)[1] AS h FROM toks WHERE length(t) >= 8),
+idx AS (SELECT id, row_ord, t AS token FROM toks UNION SELECT id, row_ord, substr(t, 1, length(t) - length(h)) FROM heads WHERE h IS NOT NULL AND length(t) - length(h) > 2 UNION SELECT id, row_ord, h FROM heads WHERE h IS NOT NULL AND length(h) > 2)
+"""
+_STEM = "CASE WHEN length({0}) > 4 THEN regexp_replace({0}, '(en|e|n|s)$', '') ELSE {0} END"
+
+
+@_query("WITH " + _TOKEN_SQL + f" SELECT token, {_STEM.format('token')} AS stem, count(DISTINCT id) AS n_foods FROM idx GROUP BY token")
+def token_index(spark, d):
+    return matching.token_index(_foods(spark, d)).select("token", "stem", "n_foods")
+
+
+@_query("WITH " + _TOKEN_SQL + " SELECT DISTINCT substr(token, CAST(i AS INT), 5) AS gram, token FROM (SELECT token, unnest(range(1, greatest(length(token) - 3, 2))) AS i FROM (SELECT DISTINCT token FROM idx))")
+def shingle_index(spark, d):
+    return matching.shingle_index(_foods(spark, d), 5).select("gram", "token")
+
+
+@_query("WITH " + _TOKEN_SQL + f""",
+q AS (SELECT id AS line_id, t AS q, {_STEM.format('t')} AS qs FROM toks WHERE NOT regexp_matches(lower(t), '^[0-9]+([.,][0-9]+)?(g|kg|mg|ml|cl|l|stk|st|er)?$')),
+st AS (SELECT DISTINCT id, {_STEM.format('token')} AS stem FROM idx),
+keys AS (SELECT DISTINCT token FROM idx),
+five AS (SELECT DISTINCT substr(token, CAST(i AS INT), 5) AS gram, token FROM (SELECT token, unnest(range(1, greatest(length(token) - 3, 2))) AS i FROM keys)),
+qg AS (SELECT line_id, q, substr(q, CAST(i AS INT), 5) AS gram FROM (SELECT line_id, q, unnest(range(1, greatest(length(q) - 3, 2))) AS i FROM q WHERE length(q) >= 4)),
+by5 AS (SELECT DISTINCT line_id, q, token FROM qg JOIN five USING (gram) WHERE contains(token, q) OR contains(q, token) OR abs(length(token) - length(q)) <= 2),
+hits AS (
+  SELECT line_id, id, 2 AS w FROM q JOIN idx ON idx.token = q.q
+  UNION ALL SELECT line_id, id, 2 FROM (SELECT line_id, CASE WHEN qs IN (SELECT stem FROM st) THEN qs ELSE q END AS k FROM q WHERE qs <> q) JOIN st ON st.stem = k
+  UNION ALL SELECT line_id, id, 1 FROM by5 JOIN idx ON idx.token = by5.token)
+SELECT line_id, count(*) AS n_foods, CAST(sum(h) AS BIGINT) AS hits FROM (SELECT line_id, id, sum(w) AS h FROM hits GROUP BY line_id, id) GROUP BY line_id""")
+def candidate_hits(spark, d):
+    foods = _foods(spark, d)
+    names = foods.select(F.col("id").alias("line_id"), F.explode(F.array_compact(F.array("name", "name_de"))).alias("nm"))
+    both = names.groupBy("line_id").agg(F.flatten(F.collect_list(F.concat(X.tokens(X.normalize(F.col("nm"))), X.tokens(X.ascii_fold(F.col("nm")))))).alias("t"))
+    lines = both.select("line_id", F.filter(F.array_distinct("t"), lambda t: ~X.is_quantity(t)).alias("raw"), F.expr("cast(array() as array<string>)").alias("ascii"))
+    hits = matching.candidate_hits(lines, foods, variants=False)
+    return hits.groupBy("line_id").agg(F.count(F.lit(1)).alias("n_foods"), F.sum("hits").alias("hits"))
+
+
+@_query()
+def fuzzy_match_top1(spark, d):
+    """Each receipt line with its best food."""
+    found = matching.parse_lines(D.frame(spark, d, D.RECEIPT_LINES), _foods(spark, d))
+    return found.select("line_id", "raw_text", "food_id", _r("confidence").alias("confidence"))
+
+
+_BRANDS = D.values([("cola", "cola"), ("gouda", "gouda cheese"), ("apfel", "apple"), ("tomate", "tomato raw"), ("brot", "white bread"), ("milch", "whole milk"), ("bier", "beer"), ("tee", "black tea")], "bkey, food_name")
+
+
+@_query(f"""
+WITH l AS (SELECT line_id, lower(trim(raw_text)) AS line FROM {LINES}),
+hit AS (SELECT line_id, bkey, food_name, regexp_matches(line, '(^|[^a-zäöüß])' || bkey || '($|[^a-zäöüß])') AS whole
+  FROM l JOIN {_BRANDS} ON contains(line, bkey)
+  WHERE regexp_matches(' ' || regexp_replace(line, bkey || '[a-zäöüß]*(mus|mark|saft|öl|oel|creme|brei)($|[^a-zäöüß])', '#\\2', 'g'), bkey))
+SELECT line_id, bkey, food_name, whole FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY whole DESC, length(bkey) DESC, bkey) AS k FROM hit) WHERE k = 1""")
+def brand_contains(spark, d):
+    brands = spark.sql(f"SELECT bkey AS key, food_name FROM {_BRANDS}")
+    return matching.brand_hits(D.frame(spark, d, D.NOISY_LINES), brands).select("line_id", F.col("key").alias("bkey"), "food_name", "whole")
+
+
+@_query()
+def tier_resolve(spark, d):
+    """Receipt lines through all tiers: override, exact, brand, fuzzy, and known non-matches."""
+    foods, lines = _foods(spark, d), D.frame(spark, d, D.RECEIPT_LINES)
+    overrides = lines.where("cast(line_id as long) % 7 = 0").select(X.override_key(F.col("raw_text")).alias("key"), F.col("line_id").alias("food_id")).dropDuplicates(["key"])
+    dictionary = foods.where("row_ord % 6 = 0").select(F.lower("name").alias("key"), F.col("name").alias("food_name"))
+    brands = foods.where("row_ord % 5 = 4 and name_de is not null").select(F.lower("name_de").alias("key"), F.col("name_de").alias("food_name"))
+    barred = foods.where("row_ord % 12 = 0").select(F.lower("name").alias("key"))
+    found = matching.resolve_lines(lines, foods, overrides, dictionary, brands, barred)
+    return found.select("line_id", "food_id", _r("confidence").alias("confidence"), "source")
+
+
+@_query()
+def line_filter(spark, d):
+    """Which document and benchmark lines pass for product lines."""
+    rows = _doc_lines(spark, d).where("line <> ''").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "line")
+    rows = rows.unionByName(_table(spark, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.col("text").alias("line")))
+    rows = rows.unionByName(D.frame(spark, d, D.NOISY_LINES).select(F.lit("line").alias("kind"), F.col("line_id").cast("long").alias("id"), F.col("raw_text").alias("line")))
+    return rows.groupBy("kind", "id").agg(F.count_if(X.is_product_line(F.col("line"))).alias("n_product"), F.count(F.lit(1)).alias("n_lines"))
+
+
+# Learning
+_EVAL = f"(SELECT i.event_type AS tier, i.food_id AS actual, CASE WHEN seq % 7 = 0 THEN NULL WHEN seq % 5 = 0 THEN '0' ELSE CAST((seq * 7) % 200 + 1 AS VARCHAR) END AS expected, confidence FROM {ITEMS} i)"
+
+
+def _eval(spark, d):
+    i = D.frame(spark, d, D.SCAN_ITEMS)
+    expected = F.when(F.col("seq") % 7 == 0, None).when(F.col("seq") % 5 == 0, "0").otherwise(((F.col("seq") * 7) % 200 + 1).cast("string"))
+    return i.select(F.col("event_type").alias("tier"), F.col("food_id").alias("actual"), expected.alias("expected"), "confidence")
+
+
+@_query(f"SELECT count(actual) AS answered, count(expected) AS answerable, count(*) FILTER (WHERE actual = expected) AS correct, count(*) FILTER (WHERE actual IS NOT NULL AND actual IS DISTINCT FROM expected AND confidence > 0.72) AS confident_wrong, count(*) FILTER (WHERE actual IS NULL AND expected IS NULL) AS withheld, round(count(*) FILTER (WHERE actual = expected) / nullif(count(actual), 0), 6) AS precision, round(count(*) FILTER (WHERE actual = expected) / nullif(count(expected), 0), 6) AS recall FROM {_EVAL}")
+def eval_precision_recall(spark, d):
+    r = learning.precision_recall(_eval(spark, d), "expected", "actual", F.col("confidence") > 0.72)
+    return r.withColumns({"precision": _r("precision", 6), "recall": _r("recall", 6)})
+
+
+@_query(f"SELECT coalesce(tier, 'all') AS tier, count(*) AS n, count(*) FILTER (WHERE expected IS NOT DISTINCT FROM actual) AS n_correct, round(count(*) FILTER (WHERE expected IS NOT DISTINCT FROM actual) / count(*), 6) AS accuracy FROM {_EVAL} GROUP BY ROLLUP (tier)")
+def accuracy_by_tier(spark, d):
+    return learning.accuracy_by(_eval(spark, d), "tier", "expected", "actual").withColumn("accuracy", _r("accuracy", 6))
+
+
+@_query(f"SELECT id, round((kcal - avg(kcal) OVER ()) / coalesce(nullif(stddev_pop(kcal) OVER (), 0), 1), 4) AS kcal, round((fat_g - avg(fat_g) OVER ()) / coalesce(nullif(stddev_pop(fat_g) OVER (), 0), 1), 4) AS fat_g FROM {FOODS}")
+def standardize(spark, d):
+    z = learning.standardise(_foods(spark, d).select("id", "kcal", "fat_g"), ["kcal", "fat_g"])
+    return z.select("id", _r("kcal").alias("kcal"), _r("fat_g").alias("fat_g"))
+
+
+_RANK_FEATURES = ["delta_kcal", "delta_sugar_g", "delta_fat_g"]
+
+
+@_query()
+def ranker_cv(spark, d):
+    """Five-fold accuracy of the ranker on labelled pairs of the catalog."""
+    f = _foods(spark, d).where("kcal is not null")
+    rows = f.select("id", (F.col("kcal") - 300).alias("delta_kcal"), (F.col("sugars_g") - 20).alias("delta_sugar_g"), (F.col("fat_g") - 25).alias("delta_fat_g"), (F.col("health_score") + F.col("sugars_g") < 60).cast("int").alias("is_good"))
+    return learning.cross_validate(rows, _RANK_FEATURES, "id").withColumn("accuracy", _r("accuracy", 4))
