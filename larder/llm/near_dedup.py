@@ -51,7 +51,6 @@ MAX_DISTANCE = 17
 SIG = [f"s{k}" for k in range(-(-SYMBOLS // 4))]
 #: A longer signature for what hubs can't settle: 510 symbols of 4 bits, 15 to a long.
 FINE_SYMBOLS, FINE_BITS = 510, 4
-FINE = [f"t{k}" for k in range(FINE_SYMBOLS // 15)]
 #: Texts of similarity 0.75 differ in 119.5 of these on average; 157 is four standard deviations more.
 FINE_DISTANCE = 157
 PARTNERS_PER_SALT = 200
@@ -186,8 +185,8 @@ def signature_keys(classes: DataFrame) -> DataFrame:
 
 
 def fine_table(texts: DataFrame) -> DataFrame:
-    """(id, the longer signature) for rows (id, text) with at least one word."""
-    schema = T.StructType([texts.schema["id"], *(T.StructField(t, T.LongType()) for t in FINE)])
+    """(id, fine: the longer signature) for rows (id, text) with at least one word."""
+    schema = T.StructType([texts.schema["id"], T.StructField("fine", T.ArrayType(T.LongType()))])
 
     def sketch(batches):
         for batch in batches:
@@ -200,32 +199,46 @@ def fine_table(texts: DataFrame) -> DataFrame:
                     sets.append(shingle_set(text))
                     stop += 1
                 sig = signatures(sets, FINE_SYMBOLS, FINE_BITS, 11)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, stop - start), *(pa.array(sig[:, k]) for k in range(len(FINE)))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, stop - start), pa.array(list(sig), pa.list_(pa.int64()))], names=schema.names)
                 start = stop
 
     return texts.select("id", "text").mapInArrow(sketch, schema)
 
 
-def _differing(left: str, right: str, name: str, bits: int) -> Column:
+def _differing(left: Column, right: Column, bits: int) -> Column:
     """The highest bit of each lane in which two packed longs differ."""
     lanes = range(60 // bits)
     low = sum(((1 << (bits - 1)) - 1) << (bits * k) for k in lanes)
     high = sum(1 << (bits * (k + 1) - 1) for k in lanes)
-    x = F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}"))
+    x = left.bitwiseXOR(right)
     return (x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(high))
 
 
-def distance(left: str, right: str, names: list[str] = SIG, bits: int = SYMBOL_BITS) -> Column:
+def _apart(left: str, right: str, name: str) -> Column:
+    return _differing(F.col(f"{left}.{name}"), F.col(f"{right}.{name}"), SYMBOL_BITS)
+
+
+def distance(left: str, right: str) -> Column:
     """Symbols in which two signatures differ, in JVM arithmetic."""
     total = F.lit(0)
-    for name in names:
-        total = total + F.bit_count(_differing(left, right, name, bits))
+    for name in SIG:
+        total = total + F.bit_count(_apart(left, right, name))
     return total
 
 
+def fine_distance(left: str, right: str) -> Column:
+    """Symbols in which two longer signatures differ.
+
+    Written over arrays: 34 unrolled terms would make the join's generated
+    method too long for the JVM to compile, and every pair would be interpreted.
+    """
+    each = F.zip_with(f"{left}.fine", f"{right}.fine", lambda x, y: F.bit_count(_differing(x, y, FINE_BITS)))
+    return F.aggregate(each, F.lit(0), lambda total, n: total + n)
+
+
 def first_common_key(left: str, right: str) -> Column:
     """The number of the first key that two signatures share, so that each pair is taken in one bucket only."""
-    apart = {k: _differing(left, right, SIG[k], SYMBOL_BITS) for k in range(len(SIG))}
+    apart = {k: _apart(left, right, SIG[k]) for k in range(len(SIG))}
     choices = []
     for j, kept in enumerate(_key_choices()):
         same = F.lit(True)
@@ -324,7 +337,7 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         & (F.col("l.id") < F.col("r.id"))
         & (100 * F.least("l.n_shingles", "r.n_shingles") >= share * F.greatest("l.n_shingles", "r.n_shingles"))
         & (distance("l", "r") <= MAX_DISTANCE)
-        & (distance("l", "r", FINE, FINE_BITS) <= FINE_DISTANCE)
+        & (fine_distance("l", "r") <= FINE_DISTANCE)
         & (first_common_key("l", "r") == F.col("l.j"))
     )
     rest = still.alias("l").join(still.alias("r"), (F.col("l.key") == F.col("r.key")) & across).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
