@@ -102,11 +102,15 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str, slice_chars: int)
         yield [(r.i, r.t) for r in part.collect()]
 
 
-def _passes(frame: DataFrame, tables, first: bool, text_col: str, keep_text: bool) -> DataFrame:
-    """One pass of the documents over one slice's tables."""
+def _passes(frame: DataFrame, tables, first: bool, share: int | None, text_col: str, keep_text: bool) -> DataFrame:
+    """One pass of the documents over one slice's tables; the last one (``share`` given) also judges.
+
+    Judging in the same pass keeps it to one Python worker a task.
+    """
     names = [c for c in frame.columns if c not in ("_spans", "_items", "_n")]
     kept = [c for c in names if keep_text or c != text_col]
-    schema = T.StructType([frame.schema[c] for c in kept] + list(T.StructType.fromDDL("_n long, _spans array<int>, _items array<string>")))
+    made_ddl = "_n long, _spans array<int>, _items array<string>" if share is None else OUT_DDL
+    schema = T.StructType([frame.schema[c] for c in kept] + list(T.StructType.fromDDL(made_ddl)))
 
     def scan(batches):
         for batch in batches:
@@ -124,32 +128,28 @@ def _passes(frame: DataFrame, tables, first: bool, text_col: str, keep_text: boo
                 counts.append(len(words))
                 spans.append(at)
                 found.append(sorted(x for x in ids if x is not None))
-            cols = [batch.column(c) for c in kept] + [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*kept, "_n", "_spans", "_items"])
+            if share is None:
+                made = pa.RecordBatch.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=["_n", "_spans", "_items"])
+            else:
+                made = _judged(counts, spans, found, share)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made.columns], names=[*kept, *made.schema.names])
 
     return frame.mapInArrow(scan, schema)
 
 
-def _judged(frame: DataFrame, share: int) -> DataFrame:
-    kept = [c for c in frame.columns if c not in ("_spans", "_items", "_n")]
-    schema = T.StructType([frame.schema[c] for c in kept] + list(T.StructType.fromDDL(OUT_DDL)))
-
-    def judge(batches):
-        for batch in batches:
-            rows = []
-            for n, at, ids in zip(batch.column("_n").to_pylist(), batch.column("_spans").to_pylist(), batch.column("_items").to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for start, stop in sorted(zip(at[::2], at[1::2], strict=True)):
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], stop)
-                    else:
-                        merged.append([start, stop])
-                hit = sum(b - a for a, b in merged)
-                rows.append({"n_words": n, "n_hit": hit, "n_items": len(ids), "items_sha256": hashlib.sha256(",".join(ids).encode()).hexdigest(), "contaminated": hit > 0 and share * hit >= n, "item_ids": ids, "hit_spans": [{"start": a, "stop": b} for a, b in merged]})
-            made = pa.RecordBatch.from_pylist(rows, schema=ARROW_OUT)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made.columns], names=[*kept, *ARROW_OUT.names])
-
-    return frame.mapInArrow(judge, schema)
+def _judged(counts: list[int], spans: list[list[int]], found: list[list[str]], share: int) -> pa.RecordBatch:
+    """The output columns of documents, given the starts and stops of their occurrences."""
+    rows = []
+    for n, at, ids in zip(counts, spans, found, strict=True):
+        merged: list[list[int]] = []
+        for start, stop in sorted(zip(at[::2], at[1::2], strict=True)):
+            if merged and start <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], stop)
+            else:
+                merged.append([start, stop])
+        hit = sum(b - a for a, b in merged)
+        rows.append({"n_words": n, "n_hit": hit, "n_items": len(ids), "items_sha256": hashlib.sha256(",".join(ids).encode()).hexdigest(), "contaminated": hit > 0 and share * hit >= n, "item_ids": ids, "hit_spans": [{"start": a, "stop": b} for a, b in merged]})
+    return pa.RecordBatch.from_pylist(rows, schema=ARROW_OUT)
 
 
 def mark_contamination(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = 20, keep_text: bool = True, slice_chars: int = SLICE_CHARS) -> DataFrame:
@@ -158,8 +158,9 @@ def mark_contamination(documents: DataFrame, benchmark: DataFrame, *, text_col:
     frame = documents.drop(*ARROW_OUT.names, "_n", "_spans", "_items")
     slices = list(_slices(benchmark, item_id_col, item_text_col, slice_chars))
     for k, items in enumerate(slices):
-        frame = _passes(frame, build_tables(items, window), k == 0, text_col, keep_text or k < len(slices) - 1)
-    return _judged(frame, share)
+        more = k < len(slices) - 1
+        frame = _passes(frame, build_tables(items, window), k == 0, None if more else share, text_col, keep_text or more)
+    return frame
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
