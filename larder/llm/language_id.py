@@ -38,7 +38,7 @@ BITS = 6
 MAX_TEXTS = 6000
 CALIBRATION_TEXTS, CALIBRATION_CHARS = 250, 6_000
 REJECT_SHARE, REJECT_MARGIN = 0.999, 6.0
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 250_000
 _U = np.uint64
 
 
