@@ -7,13 +7,14 @@ both alike.  A document's score is the mean over its tokens of the target loss
 minus the background loss: the lower, the more the text is like the target.  A
 text's own counts are left out of the models that score it.
 
-The vocabulary holds the ``VOCABULARY`` most frequent words of all texts; other
-words are one symbol.  Bigrams are counted in ``SLOTS`` hashed slots, so the
-models have a fixed size whatever the corpus holds, and their error shrinks
-with more slots.  All texts are counted in full: first word counts (partial
-sums in the tasks, final sums by a shuffle that grows with the corpus), then
-slot counts.  No n-gram of the corpus reaches the driver beyond the vocabulary
-and the slots.
+Every word of the corpus is a symbol of the vocabulary, whatever its count, and
+one more symbol stands for words that no text holds.  The counts of words and of
+(previous word, word) pairs are exact Spark tables that grow with the corpus;
+words are named in them by 64-bit hashes, of which 10^8 words share one with
+probability 3e-4.  Each document brings its distinct pairs, counted within it,
+and meets the table by an equi join; a pair that many documents hold is split
+by the adaptive skew join.  Nothing of the corpus but three sums and the
+histogram of word counts reaches the driver.
 
 Edge cases: null texts and texts without words have no tokens, and null scores.
 Label rows with null ids or null values mark no target.  Repeated labels count
@@ -25,19 +26,19 @@ are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from larder.llm.common import bound_batches, cut, small_side
+from larder.llm.common import BROADCAST_ROWS, bound_batches, cut, small_side
 
-VOCABULARY = 32_768
-SLOTS = 1 << 19
 BIGRAM_SHARE, UNIGRAM_FLOOR = 0.6, 0.5
-HELD_WORDS = 400_000
+ROWS_OUT = 100_000
+START = 0  # stands before the first word
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -45,151 +46,133 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n_target, n_all) over all rows of ``texts`` (text, target)."""
+def word_hash(word: str) -> int:
+    """The word's number in all tables; never that of the start symbol."""
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big", signed=True) or 1
 
-    def count(batches):
-        held: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
-        def emptied():
-            words = list(held[True].keys() | held[False].keys())
-            target = [held[True][w] for w in words]
-            both = [t + held[False][w] for t, w in zip(target, words, strict=True)]
-            held[True].clear()
-            held[False].clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(target, pa.int64()), pa.array(both, pa.int64())], names=["word", "n_target", "n_all"])
+def _tokens(texts) -> tuple[np.ndarray, ...]:
+    """Over all tokens of ``texts`` (an Arrow column): text, previous word and word by number; then the numbers' hashes and the texts' lengths.
 
-        for batch in batches:
-            for text, target in zip(batch.column("text"), batch.column("target"), strict=True):
-                held[target.as_py()].update(words_of(text.as_py()))
-                if len(held[True]) + len(held[False]) > HELD_WORDS:
-                    yield emptied()
-        yield emptied()
+    The last number is the start symbol's.
+    """
+    split = [words_of(t.as_py()) for t in texts]
+    lengths = np.array([len(w) for w in split], np.int64)
+    coded = pa.array([w for words in split for w in words], pa.string()).dictionary_encode()
+    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = np.array([*map(word_hash, coded.dictionary.to_pylist()), START], np.int64)
+    before = np.concatenate(([len(hashes) - 1], word[:-1]))[: len(word)]
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    before[starts] = len(hashes) - 1
+    return np.repeat(np.arange(len(split)), lengths), before, word, hashes, lengths
 
-    counted = texts.select("text", "target").mapInArrow(count, "word string, n_target long, n_all long")
-    return counted.groupBy("word").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
 
+def _in_parts(columns: dict[str, np.ndarray]):
+    size = len(next(iter(columns.values())))
+    for at in range(0, size, ROWS_OUT):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + ROWS_OUT]) for c in columns.values()], names=list(columns))
 
-class WordIndex(dict):
-    """Word numbers; words outside the vocabulary share the last."""
 
-    def __init__(self, words: list[str]):
-        super().__init__(zip(words, range(len(words)), strict=True))
-        self.rare = len(words)
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(prev, word, n_target, n_all) over all rows of ``texts`` (text, target)."""
 
-    def __missing__(self, word: str) -> int:
-        return self.rare
+    def count(batches):
+        for batch in batches:
+            text, before, word, hashes, _ = _tokens(batch.column("text"))
+            is_target = batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64)[text]
+            pairs, place, n = np.unique(before * len(hashes) + word, return_inverse=True, return_counts=True)
+            n_target = np.bincount(place, is_target, len(pairs)).astype(np.int64)
+            yield from _in_parts({"prev": hashes[pairs // len(hashes)], "word": hashes[pairs % len(hashes)], "n_target": n_target, "n_all": n})
 
-    def __reduce__(self):
-        return WordIndex, (list(self),)
+    counted = texts.select("text", "target").mapInArrow(count, "prev long, word long, n_target long, n_all long")
+    return counted.groupBy("prev", "word").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+def text_pairs(texts: DataFrame) -> DataFrame:
+    """The distinct pairs of each row of ``texts`` (key, target, text): how often it has the pair, its previous word and its word, and its length."""
 
-def slots_of(ids: np.ndarray, n_slots: int = SLOTS) -> np.ndarray:
-    """The slot of the bigram that ends at each token; the first follows a start symbol."""
-    before = np.concatenate(([0], ids[:-1] + 1)).astype(np.uint64)
-    x = before * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return (x % np.uint64(n_slots)).astype(np.int64)
+    def gather(batches):
+        for batch in batches:
+            text, before, word, hashes, lengths = _tokens(batch.column("text"))
+            size = len(hashes)
+            place, times = np.unique(text * size + word, return_inverse=True, return_counts=True)[1:]
+            own = times[place]
+            first, n = np.unique((text * size + before) * size + word, return_index=True, return_counts=True)[1:]
+            at = text[first]
+            own_prev = np.where(before[first] == size - 1, 0, own[first - 1])
+            yield from _in_parts({
+                "key": batch.column("key").to_numpy(zero_copy_only=False)[at], "target": batch.column("target").to_numpy(zero_copy_only=False)[at],
+                "prev": hashes[before[first]], "word": hashes[word[first]], "n": n, "own_prev": own_prev, "own_word": own[first], "length": lengths[at],
+            })
+
+    return texts.select("key", "target", "text").mapInArrow(gather, "key long, target boolean, prev long, word long, n long, own_prev long, own_word long, length long")
+
+
+def _look_up(rows: DataFrame, key: str, hot: DataFrame, cold: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the counts of the word in ``key``: frequent words by broadcast, the others by shuffle."""
+    hot, cold = (t.select(F.col("word").alias(key), F.col("n_target").alias(f"{name}_target"), F.col("n_all").alias(f"{name}_all")) for t in (hot, cold))
+    found = rows.join(F.broadcast(hot), key, "left")
+    rest = found.where(F.col(f"{name}_all").isNull()).drop(f"{name}_target", f"{name}_all")
+    return found.where(F.col(f"{name}_all").isNotNull()).unionByName(rest.join(cold, key, "left"))
+
+
+@dataclass
+class MatchedModels:
+    """``pairs``: each pair with its counts and those of its two words; ``words``: all words, of which those with more than ``hot_above`` are few enough to broadcast."""
 
+    pairs: DataFrame
+    words: DataFrame
+    hot_above: int
+    n_words: int
+    n_target: int
+    n_all: int
 
-def slot_counts(texts: DataFrame, index: WordIndex, n_slots: int = SLOTS) -> DataFrame:
-    """(slot, n_target, n_all) of the bigrams of all rows."""
-    def count(batches):
-        target, both, any_row = np.zeros(n_slots, np.int64), np.zeros(n_slots, np.int64), False
-        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        size = 0
-
-        def add():
-            for is_target, parts in held.items():
-                if parts:
-                    n = np.bincount(np.concatenate(parts), minlength=n_slots)
-                    np.add(both, n, out=both)
-                    if is_target:
-                        np.add(target, n, out=target)
-                    parts.clear()
+    @property
+    def no_target(self) -> bool:
+        return not self.n_target
 
-        for batch in batches:
-            for text, is_target in zip(batch.column("text"), batch.column("target"), strict=True):
-                words = words_of(text.as_py())
-                if words:
-                    held[is_target.as_py()].append(slots_of(index.ids(words), n_slots))
-                    size += len(words)
-                    any_row = True
-                if size > HELD_WORDS:
-                    add()
-                    size = 0
-        add()
-        if any_row:
-            used = np.nonzero(both)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(target[used]), pa.array(both[used])], names=["slot", "n_target", "n_all"])
-
-    counted = texts.select("text", "target").mapInArrow(count, "slot long, n_target long, n_all long")
-    return counted.groupBy("slot").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
+    def losses(self, k: str, counted: Column) -> Column:
+        """The loss of one pair under model ``k``, target or all.
 
+        ``counted`` says whether the model has counted this text; its own counts
+        are taken out then, so that no text vouches for itself.
+        """
+        if self.no_target:
+            k = "all"
+        total = float(self.n_all if self.no_target else self.n_target)
+        scale = 1.0 if k == "target" or self.no_target else total / max(self.n_all, 1)  # the background matched to the target's size
+        mine = F.when(counted, F.lit(scale)).otherwise(F.lit(0.0))
+        left = lambda c, own: F.greatest(F.coalesce(F.col(f"{c}_{k}"), F.lit(0)) * scale - mine * F.col(own), F.lit(0.0))
+        count, pairs = left("word", "own_word"), left("n", "n")
+        floor = UNIGRAM_FLOOR * (self.n_words + 1)
+        low = (count + UNIGRAM_FLOOR) / (F.greatest(F.lit(total) - mine * F.col("length"), F.lit(0.0)) + floor)
+        context = F.when(F.col("prev") == START, F.lit(total / 100)).otherwise(left("prev", "own_prev"))
+        high = F.least(pairs / F.greatest(context, F.lit(1e-6)), F.lit(1.0))
+        weight = BIGRAM_SHARE * context / (context + 5.0)
+        return -F.log(weight * high + (1 - weight) * low)
 
-class MatchedModels:
-    """Per word and per slot what the two models' losses need."""
 
-    def __init__(self, words: list[str], uni: np.ndarray, bi: np.ndarray):
-        """``uni`` (2, words + 1) and ``bi`` (2, slots) counts of target and background; the last word is every other one."""
-        self.index = WordIndex(words)
-        size = uni.sum(axis=1)
-        self.no_target = not size[0]
-        if self.no_target:
-            uni, bi, size = np.stack([uni[1]] * 2), np.stack([bi[1]] * 2), np.stack([size[1]] * 2)
-        scale = np.array([1.0, size[0] / max(size[1], 1)])  # the background matched to the target's size
-        uni, bi = uni * scale[:, None], bi * scale[:, None]
-        total = uni.sum(axis=1, keepdims=True)
-        self.words = uni.astype(np.float32)  # also how often a word stands before another
-        self.total, self.scale = total[:, 0], scale
-        self.bigram = bi.astype(np.float32)
-        self.starts = float(total[0, 0]) / 100  # the weight of the start symbol as a context
-
-    def losses(self, words: list[str], counted: tuple[bool, bool]) -> tuple[float, float]:
-        """Mean loss per token under the target and the background model.
-
-        ``counted`` says which models have counted this text; its own counts are
-        taken out of those, so that no text vouches for itself.
-        """
-        ids = self.index.ids(words)
-        slot = slots_of(ids, self.bigram.shape[1])
-        own_ids = np.bincount(ids)[ids]
-        place, times = np.unique(slot, return_inverse=True, return_counts=True)[1:]
-        own_slots = times[place]
-        out = []
-        for k in (0, 1):
-            mine = self.scale[k] if counted[k] else 0.0
-            count = np.maximum(self.words[k][ids] - mine * own_ids, 0)
-            pairs = np.maximum(self.bigram[k][slot] - mine * own_slots, 0)
-            low = (count + UNIGRAM_FLOOR) / (max(self.total[k] - mine * len(ids), 0) + UNIGRAM_FLOOR * self.words.shape[1])
-            context = np.concatenate(([self.starts], count[:-1]))
-            high = np.minimum(pairs / np.maximum(context, 1e-6), 1.0)
-            weight = BIGRAM_SHARE * context / (context + 5.0)
-            out.append(float(-np.log(weight * high + (1 - weight) * low).mean()))
-        return out[0], out[1]
+def _marked(documents: DataFrame, target_ids: DataFrame, id_col: str) -> DataFrame:
+    flags = cut(target_ids.select(id_col).where(F.col(id_col).isNotNull()).distinct()).withColumn("_target", F.lit(True))
+    return documents.join(small_side(flags), id_col, "left").withColumn("_target", F.coalesce("_target", F.lit(False)))
 
 
 def fit(documents: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> MatchedModels:
     """Models of the rows whose id is in ``target_ids`` and of all rows."""
     bound_batches(documents.sparkSession)
-    wanted = cut(target_ids.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct()).withColumn("target", F.lit(True))
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    texts = texts.join(small_side(wanted), "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = cut(word_counts(texts))
-    kept = counts.orderBy(F.desc("n_all"), "word").limit(VOCABULARY).collect()
-    total = counts.agg(F.coalesce(F.sum("n_target"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
-    words = [r.word for r in kept]
-    uni = np.array([[r.n_target for r in kept] + [0], [r.n_all for r in kept] + [0]], float)
-    uni[:, -1] = np.array(total, float) - uni.sum(axis=1)
-    got = slot_counts(texts, WordIndex(words)).toArrow()
-    bi = np.zeros((2, SLOTS))
-    at = got.column("slot").to_numpy()
-    bi[0, at], bi[1, at] = got.column("n_target").to_numpy(), got.column("n_all").to_numpy()
-    return MatchedModels(words, uni, bi)
+    texts = _marked(documents.select(id_col, text_col).where(F.col(text_col).isNotNull()), target_ids, id_col)
+    pairs = cut(pair_counts(texts.select(F.col(text_col).alias("text"), F.col("_target").alias("target"))))
+    words = cut(pairs.groupBy("word").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all")))
+    sums = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_target"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
+    # with the words of the corpus this histogram grows at most as the root of their number
+    sizes = sorted(map(tuple, words.groupBy("n_all").count().collect()), reverse=True)
+    hot_above, held = 0, 0
+    for n, many in sizes:
+        held += many
+        if held > BROADCAST_ROWS:
+            hot_above = n
+            break
+    return MatchedModels(pairs, words, hot_above, *sums)
 
 
 def score(documents: DataFrame, models: MatchedModels, target_ids: DataFrame | None = None, *, counted: bool = True, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -197,30 +180,28 @@ def score(documents: DataFrame, models: MatchedModels, target_ids: DataFrame | N
 
     ``counted``: the models were fitted on these documents, with ``target_ids``.
     """
+    bound_batches(documents.sparkSession)
     outs = ["n_tokens", "target_loss", "background_loss", "score"]
-    frame = documents.drop(*outs, "_target")
+    frame = documents.drop(*outs, "_target", "_key")
     kept = [c for c in frame.columns if keep_text or c != text_col]
-    if target_ids is None:
-        frame = frame.withColumn("_target", F.lit(False))
+    frame = frame.withColumn("_target", F.lit(False)) if target_ids is None else _marked(frame, target_ids, id_col)
+    # the score depends on the text and the flag alone: copies share a key, and their sums keep the mean
+    frame = frame.withColumn("_key", F.xxhash64(text_col, "_target"))
+    found = text_pairs(frame.where(F.col(text_col).isNotNull()).select(F.col("_key").alias("key"), F.col("_target").alias("target"), F.col(text_col).alias("text")))
+    hot = models.words.where(F.col("n_all") > models.hot_above)
+    hot = hot.unionByName(documents.sparkSession.range(1).select(F.lit(START).cast("long").alias("word"), F.lit(0).cast("long").alias("n_target"), F.lit(0).cast("long").alias("n_all")))
+    cold = models.words.where(F.col("n_all") <= models.hot_above)
+    with_words = lambda rows: _look_up(_look_up(rows, "word", hot, cold, "word"), "prev", hot, cold, "prev")
+    if counted:  # then every pair is in the table
+        rows = found.join(with_words(models.pairs), ["prev", "word"])
     else:
-        flags = cut(target_ids.select(id_col).where(F.col(id_col).isNotNull()).distinct()).withColumn("_target", F.lit(True))
-        frame = frame.join(small_side(flags), id_col, "left").withColumn("_target", F.coalesce("_target", F.lit(False)))
-    schema = T.StructType([*(frame.schema[c] for c in kept), *T.StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double")])
-
-    def judge(batches):
-        for batch in batches:
-            n, target, background = [], [], []
-            for text, is_target in zip(batch.column(text_col), batch.column("_target"), strict=True):
-                words = words_of(text.as_py())
-                t, b = models.losses(words, (counted and (is_target.as_py() or models.no_target), counted)) if words else (None, None)
-                n.append(len(words))
-                target.append(t)
-                background.append(b)
-            difference = [None if t is None else t - b for t, b in zip(target, background, strict=True)]
-            made = [pa.array(n, pa.int64()), *(pa.array(x, pa.float64()) for x in (target, background, difference))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, *outs])
-
-    return frame.mapInArrow(judge, schema)
+        rows = with_words(cut(found.join(models.pairs, ["prev", "word"], "left")))
+    is_target = F.lit(counted) & (F.col("target") | F.lit(models.no_target))
+    n = F.col("n")
+    rows = rows.select("key", "length", "n", (n * models.losses("target", is_target)).alias("t"), (n * models.losses("all", F.lit(counted))).alias("b"))
+    sums = rows.groupBy("key").agg(F.max("length").alias("n_tokens"), (F.sum("t") / F.sum("n")).alias("target_loss"), (F.sum("b") / F.sum("n")).alias("background_loss"))
+    made = frame.select(*kept, "_key").join(sums.withColumnRenamed("key", "_key"), "_key", "left")
+    return made.select(*kept, F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import hashlib
 import html
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -326,6 +326,48 @@ def test_lm_score(spark):
     assert lm_score.score(table.limit(0), lm_score.fit(table.limit(0), target)).count() == 0
 
 
+def exact_scores(texts, is_target):
+    """Both models' losses with a number for each word and each pair, one text at a time."""
+    words = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    uni, bi = ([Counter(), Counter()] for _ in range(2))
+    for w, good in zip(words, is_target):
+        for k in (0, 1) if good else (1,):
+            uni[k].update(w)
+            bi[k].update(zip([None, *w], w))
+    size, size_all, vocabulary = sum(uni[0].values()), sum(uni[1].values()), len(uni[1]) + 1
+    out = []
+    for w, good in zip(words, is_target):
+        own, own_bi, losses = Counter(w), Counter(zip([None, *w], w)), []
+        for k, scale in ((0, 1.0), (1, size / size_all)):
+            mine = scale if k or good else 0
+            total = 0.0
+            for before, x in zip([None, *w], w):
+                low = (uni[k][x] * scale - mine * own[x] + 0.5) / (size - mine * len(w) + 0.5 * vocabulary)
+                context = size / 100 if before is None else uni[k][before] * scale - mine * own[before]
+                high = min((bi[k][before, x] * scale - mine * own_bi[before, x]) / max(context, 1e-6), 1.0)
+                weight = 0.6 * context / (context + 5)
+                total -= np.log(weight * high + (1 - weight) * low)
+            losses.append(total / len(w))
+        out.append((len(w), losses[0], losses[1]))
+    return out
+
+
+def test_lm_score_counts_every_word_and_pair(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60_000, 2000)) for _ in range(40)]
+    texts += [texts[3], texts[3], "w1 w2 w1 w2 unheard", "w1"]
+    is_target = [i % 3 == 0 for i in range(len(texts))]
+    table = docs(spark, texts)
+    target = spark.createDataFrame([(i,) for i, good in enumerate(is_target) if good], "doc_id long")
+    models = lm_score.fit(table, target)
+    got = {r.doc_id: r for r in lm_score.score(table, models, target, keep_text=False).collect()}
+    assert len({w for t in texts for w in t.split()}) > 32_768
+    for i, (n, t, b) in enumerate(exact_scores(texts, is_target)):
+        assert got[i].n_tokens == n and abs(got[i].target_loss - t) < 1e-9 and abs(got[i].background_loss - b) < 1e-9
+    new = lm_score.score(docs(spark, ["w1 neverseen w2", "neverseen"]), models, counted=False).collect()
+    assert [r.n_tokens for r in sorted(new, key=lambda r: r.doc_id)] == [3, 1] and all(r.score is not None for r in new)
+
+
 # main text
 
 
