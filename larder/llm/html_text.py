@@ -10,7 +10,10 @@ Branches of low importance are taken out of each page.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
 and styles that say what they are, by tag, role, class or id, go in any case.
-Where a page marks its article (or main part), only that is read.
+Where a page marks its article (or main part), only that is read.  A name drops
+its branch by whole class tokens, not by parts of them after no-, has- or with-;
+a branch that holds the only article or main part of the page stays, and so do
+all named branches if nothing else on the page has text.
 
 The tree is a table of (host, path) rows: counts are partial sums in Spark, so
 a host with a third of all pages is spread over all tasks.  Copies of one page
@@ -48,42 +51,67 @@ CLOSES_P = BLOCK - frozenset("html head body option legend caption tbody thead t
 ONE_OF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?])[^>]*>?|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<closed>>)?)", re.S)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+READ = frozenset("class id role hidden aria-hidden".split())
 NAME_PART = re.compile(r"[a-z0-9]+")
+SAYS_OTHERWISE = frozenset("no not non without has with".split())
+KEPT, NAMED, BARRED = 0, 1, 2  # what an element's own tag and attributes say
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "scope", "block", "children")
+    __slots__ = ("tag", "path", "dropped", "scope", "block", "children", "verdict", "number")
 
-    def __init__(self, tag, path, dropped, scope, block):
-        self.tag, self.path, self.dropped, self.scope, self.block, self.children = tag, path, dropped, scope, block, []
+    def __init__(self, tag, path, dropped, scope, block, verdict=KEPT, number=0):
+        self.tag, self.path, self.dropped, self.scope, self.block, self.children, self.verdict, self.number = tag, path, dropped, scope, block, [], verdict, number
 
 
-def _is_boilerplate(tag: str, attrs: dict[str, str], inside: bool) -> bool:
+def _names(value: str) -> set[str]:
+    """Whole tokens of a class or id, and the parts of those that do not speak of another element's presence or absence."""
+    found = set()
+    for token in value.lower().split():
+        parts = NAME_PART.findall(token)
+        found |= {token} if SAYS_OTHERWISE.intersection(parts) else {token, *parts}
+    return found
+
+
+def _verdict(tag: str, attrs: dict[str, str], inside: bool) -> int:
     if tag in DROPPED or (tag == "header" and not inside) or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
+        return BARRED
     if attrs.get("role", "") in ROLES:
-        return True
+        return BARRED
     if tag in ("html", "body", "main", "article"):
-        return False
-    names = set(NAME_PART.findall((attrs.get("class", "") + " " + attrs.get("id", "")).lower()))
-    return bool(names & NAMES) or ("header" in names and not inside)
+        return KEPT
+    names = _names(attrs.get("class", "") + " " + attrs.get("id", "")) if "class" in attrs or "id" in attrs else ()
+    return NAMED if not NAMES.isdisjoint(names) or ("header" in names and not inside) else KEPT
 
 
 class Page:
     """The text blocks of one page with their element paths, and the presentations of its elements."""
 
     def __init__(self, source: str):
+        self.spared: frozenset[int] | None = frozenset()  # elements that no name drops, None for all
+        self._parse(source)
+        narrow = True
+        if not self.marked and self.holders:  # the article stands in a named branch
+            narrow = not self.blocks
+            self.spared = frozenset(self.holders)
+            self._parse(source)
+        if not self.blocks and self.named:
+            self.spared = None
+            self._parse(source)
+        if narrow and any(scope for _, _, scope in self.blocks):
+            self.blocks = [b for b in self.blocks if b[2]]
+
+    def _parse(self, source: str) -> None:
         self.blocks: list[tuple[tuple[int, ...], str, bool]] = []
         self.styles: list[tuple[int, int]] = []
         self.text: list[str] = []
         self.stack = [Node("", (), False, False, True)]
+        self.opened, self.marked, self.named, self.holders = 0, False, False, set()
         self._read(source)
         while len(self.stack) > 1:
             self._pop()
         self._flush()
-        if any(scope for _, _, scope in self.blocks):
-            self.blocks = [b for b in self.blocks if b[2]]
 
     def _flush(self) -> None:
         if self.text:
@@ -119,7 +147,7 @@ class Page:
             self._close_to(depth)
         if tag in ONE_OF and (depth := self._find((tag, "dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,), ONE_OF[tag])):
             self._close_to(depth)
-        attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(raw_attrs)} if raw_attrs else {}
+        attrs = {name: m[2] or m[3] or m[4] or "" for m in ATTR.finditer(raw_attrs) if (name := m[1].lower()) in READ} if raw_attrs else {}
         above = self.stack[-1]
         block = tag in BLOCK
         if block:
@@ -128,7 +156,18 @@ class Page:
         holder = next(n for n in reversed(self.stack) if n.block)
         holder.children.append(label)
         path = (*holder.path, zlib.crc32(label.encode(), holder.path[-1] if holder.path else 0)) if block else holder.path
-        self.stack.append(Node(tag, path, above.dropped or _is_boilerplate(tag, attrs, above.scope), above.scope or tag in ("article", "main"), block))
+        self.opened += 1
+        verdict = _verdict(tag, attrs, above.scope)
+        if verdict == NAMED:
+            self.named = True
+            if self.spared is None or self.opened in self.spared:
+                verdict = KEPT
+        self.stack.append(Node(tag, path, above.dropped or verdict != KEPT, above.scope or tag in ("article", "main"), block, verdict, self.opened))
+        if tag in ("article", "main"):
+            if not self.stack[-1].dropped:
+                self.marked = True
+            elif all(n.verdict != BARRED for n in self.stack):
+                self.holders.update(n.number for n in self.stack if n.verdict == NAMED)
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)

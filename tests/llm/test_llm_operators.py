@@ -380,6 +380,22 @@ def test_main_text():
     assert html.unescape("&am") == "&am"
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'data-hidden="false"', 'title="A hidden gem"', 'data-id="nav"', 'data-class="sidebar"', 'class="content no-sidebar"', 'id="page-with-nav"', 'class="has-banner"', 'class="widget"', 'id=nav'])
+def test_no_article_is_lost(attrs):
+    assert html_text.main_text(f"<body><div {attrs}><article><p>whole story</p></article></div></body>") == "whole story"
+    if attrs not in ('class="widget"', "id=nav"):
+        assert html_text.main_text(f"<body><p>first</p><div {attrs}><p>second</p></div></body>") == "first\nsecond"
+
+
+def test_named_branches_still_go():
+    for attrs in ("hidden", "HIDDEN=''", "class='box ad'", "id=main-nav", 'class="site-footer"', "role=navigation"):
+        assert html_text.main_text(f"<body><p>story</p><div {attrs}>menu</div></body>") == "story"
+    assert html_text.main_text("<body><article>story</article><div class=comments><article>reply</article></div></body>") == "story"
+    assert html_text.main_text("<body><nav><article>x</article></nav><p>story</p></body>") == "story"
+    assert html_text.main_text("<body><div class=story>story</div><div class=related><article>other</article></div></body>") == "story\nother"
+    assert html_text.main_text("<body><div id=widget><p>all there is</p></div></body>") == "all there is"
+
+
 def test_site_tree_removes_what_recurs(spark):
     same = "<div class=box><p>Read our other offers every day</p></div>"
     rows = [(i, f"http://h/{i}", f"<body>{same}<div class=story><p>story {i} with its own words {i * 7}</p></div></body>") for i in range(12)]
