@@ -530,7 +530,7 @@ def candidate_hits(spark, d):
 @_query()
 def fuzzy_match_top1(spark, d):
     """Each receipt line with its best food."""
-    found = matching.parse_lines(D.frame(spark, d, D.RECEIPT_LINES), _foods(spark, d))
+    found = matching.parse_lines(D.frame(spark, d, D.NOISY_LINES), _foods(spark, d))
     return found.select("line_id", "raw_text", "food_id", _r("confidence").alias("confidence"))
 
 
@@ -551,7 +551,7 @@ def brand_contains(spark, d):
 @_query()
 def tier_resolve(spark, d):
     """Receipt lines through all tiers: override, exact, brand, fuzzy, and known non-matches."""
-    foods, lines = _foods(spark, d), D.frame(spark, d, D.RECEIPT_LINES)
+    foods, lines = _foods(spark, d), D.frame(spark, d, D.NOISY_LINES)
     overrides = lines.where("cast(line_id as long) % 7 = 0").select(X.override_key(F.col("raw_text")).alias("key"), F.col("line_id").alias("food_id")).dropDuplicates(["key"])
     dictionary = foods.where("row_ord % 6 = 0").select(F.lower("name").alias("key"), F.col("name").alias("food_name"))
     brands = foods.where("row_ord % 5 = 4 and name_de is not null").select(F.lower("name_de").alias("key"), F.col("name_de").alias("food_name"))

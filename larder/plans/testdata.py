@@ -124,9 +124,6 @@ SELECT id AS line_id,
 FROM ({CATALOG})
 """
 
-#: One receipt line for each supplier: the damaged name of the food with its number.
-RECEIPT_LINES = f"SELECT n.line_id, n.raw_text FROM ({NOISY_LINES}) n JOIN {{supplier}} s ON CAST(s.s_suppkey AS STRING) = n.line_id"
-
 _TABLES = ("supplier", "part", "orders", "lineitem", "events", "customer", "documents", "benchmark", "labels", "conversations", "pages", "embeddings")
 
 

@@ -130,3 +130,10 @@ def test_compare_and_search(spark):
 
 def test_registry_names_match():
     assert set(catalog_queries.oracle_sql()) <= set(catalog_queries.queries())
+
+
+@pytest.mark.parametrize("name", ["fuzzy_match_top1", "tier_resolve"])
+def test_every_product_line_is_matched(spark, name):
+    lines = {r.line_id for r in D.frame(spark, SF, D.NOISY_LINES).where(X.is_product_line(F.col("raw_text"))).collect()}
+    got = [r.line_id for r in catalog_queries.queries()[name](spark, SF).select("line_id").collect()]
+    assert len(lines) > 100 and len(got) == len(set(got)) and lines <= set(got)
