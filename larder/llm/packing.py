@@ -47,7 +47,7 @@ class Encoder:
 
     Byte-level BPE vocabularies whose ids are merge ranks are run by tiktoken,
     which gives the same ids several times faster; others by tokenizers.
-    Special tokens' strings inside a text are ordinary text.
+    Strings of added tokens inside a text are those tokens, as the file has it.
     """
 
     def __init__(self, path: str):
@@ -55,26 +55,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         self.fast = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre, special = spec.get("pre_tokenizer") or {}, {t["content"] for t in spec.get("added_tokens", [])}
-        if spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
+        pre, added = spec.get("pre_tokenizer") or {}, {t["content"]: t for t in spec.get("added_tokens", [])}
+        plain = not any(t.get(flag) for t in added.values() for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+        if spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and plain:
             import public_tokenizers
 
             to_byte, vocab = _byte_alphabet(), spec["model"]["vocab"]
-            ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items() if token not in special}
+            ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items() if token not in added}
             merged = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
             if all(vocab[a + b] == 256 + k for k, (a, b) in enumerate(merged)):
-                self.fast = tiktoken.Encoding("from_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+                self.fast = tiktoken.Encoding("from_file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={token: t["id"] for token, t in added.items()})
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None:
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(text) <= STRETCH:
-            return self.fast.encode_to_numpy(text, disallowed_special=())
-        return np.concatenate([self.fast.encode_to_numpy(x, disallowed_special=()) for x in stretches(text)])
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        return np.concatenate([self.fast.encode_to_numpy(x, allowed_special="all") for x in stretches(text)])
 
 
 def stretches(text: str, size: int = STRETCH) -> list[str]:
