@@ -6,9 +6,9 @@ returns packed pieces.  Between stages the rows are written as Parquet in the
 folder that the cluster shares, so a lost executor costs one stage at most.
 
 Defined results: documents without a letter are rejected by the first stage, and
-null texts with them.  Documents without an id pass the near-duplicate stage, as
-no duplicate group can name them; repeated rows (same id and text) leave one
-row.  Empty tables pass through every stage.
+null texts with them.  In the near-duplicate stage rows are told apart by id and
+text: a group keeps the row that names it, a group of rows without ids keeps
+one, and repeated rows leave one.  Empty tables pass through every stage.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.llm import decontaminate, language_id, near_dedup, packing, toxicity
-from larder.llm.common import cut, scratch_dir, small_side
+from larder.llm.common import cut, scratch_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,16 +33,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    judged = cut(near_dedup.near_duplicates(docs).select("doc_id", "kept"))
-    gone = small_side(cut(judged.where(~F.col("kept")).select("doc_id").distinct()))
-    repeated = cut(judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if not repeated.limit(1).count():
-        return kept.select(*docs.columns)
-    several = small_side(repeated)
-    once = kept.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(several, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    """Keeps one document of each group of near-duplicates, the one that gives the group its id."""
+    judged = near_dedup.near_duplicates(docs).select("doc_id", "text_hash", "group_id", "kept")
+    # what stays of a group: rows of the least text hash, should rows share the group's id or have none
+    stays = judged.where("kept and group_id is not null").groupBy("group_id").agg(F.min("text_hash").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    placed = cut(judged.where("group_id is not null").join(stays, "group_id", "left"))
+    gone = placed.where("not kept or text_hash <> _stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    repeated = placed.where("kept and text_hash = _stays and _rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same_row = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    kept = docs.join(gone, same_row, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, same_row, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, same_row, "left_anti").unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

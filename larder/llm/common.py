@@ -13,11 +13,14 @@ BROADCAST_ROWS = 200_000
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Only where the
-    setting is absent (tests, one machine) is a local folder used.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Where the setting
+    is absent, a local folder is used if the master is local, as in tests;
+    anything else is an error, as executors could not read it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="larder-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/larder-{uuid.uuid4().hex}"
@@ -31,6 +34,36 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Cut tables of one computation; they are deleted when its ``with`` block ends.
+
+    What leaves the block must have been cut by :func:`cut` itself, or not
+    depend on these tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.clear()
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = scratch_dir(self.spark)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in self.paths:
+            place = hadoop(path)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+
+
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is counted to have at most ``max_rows`` rows.
 
@@ -44,7 +77,8 @@ def bound_batches(spark: SparkSession) -> None:
     """Arrow batches small enough for whole texts: at most 1000 rows and 8 MB.
 
     Spark's default of 10,000 rows makes batches of 30 MB and more of ordinary
-    documents, held by the JVM and by each Python worker at once.
+    documents, held by the JVM and by each Python worker at once.  Spark reads
+    the setting when a plan runs, so it has to outlive the call that makes one.
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

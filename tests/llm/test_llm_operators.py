@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.llm import ann, decontaminate, html_text, language_id, lm_score, near_dedup, packing, toxicity, url_filter, warc
+from larder.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 BASE = " ".join(f"word{i}" for i in range(60))
@@ -68,21 +69,80 @@ def test_near_dedup_edges(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(0, False)]
 
 
-def test_signature_keys_guarantee_the_distance():
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    a, b = BASE, " ".join(f"other{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail"), (4, "unlike all the others here"), (4, a + " more")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (4, 4, True)]
+    assert len({r.group_id for r in got}) == 3
+
+
+def test_near_dedup_of_a_long_text_and_other_shares(spark):
+    rng = np.random.default_rng(4)
+    long = [f"t{k}" for k in rng.integers(0, 10**6, 60_000)]
+    near = list(long)
+    for k in range(0, 60_000, 40):
+        near[k] = "changed"
+    half = BASE.split()
+    half[::12] = ["z"] * 5  # five words apart: 5 * 5 of 56 shingles, similarity 0.38
+    table = docs(spark, [" ".join(long), " ".join(near), BASE, " ".join(half)])
+    assert [r.component_id for r in near_dedup.near_duplicates(table).orderBy("doc_id").collect()] == [0, 0, 2, 3]
+    assert [r.component_id for r in near_dedup.near_duplicates(table, share=35).orderBy("doc_id").collect()] == [0, 0, 2, 2]
+    assert [r.component_id for r in near_dedup.near_duplicates(table, share=90).orderBy("doc_id").collect()] == [0, 1, 2, 3]
+
+
+def test_near_dedup_in_blocks_equals_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(150):  # one common passage, tails of their own: many members of one bucket, several components
+        tail = [f"x{rng.integers(12)}" for _ in range(20)]
+        texts.append(" ".join(BASE.split() + tail))
+    want, _ = brute_components(texts)
+    assert len(set(want)) > 1
+    monkeypatch.setattr(near_dedup, "MEMBERS_PER_BLOCK", 16)
+    got = near_dedup.near_duplicates(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == want
+
+
+@pytest.mark.parametrize("share", [35, 60, 75, 90])
+def test_signature_keys_guarantee_the_distance(spark, share):
     rng = np.random.default_rng(0)
-    choices = near_dedup._key_choices()
-    for _ in range(300):
+    errors = near_dedup.chunk_errors(share)
+    rows = []
+    for i in range(60):
+        symbols = rng.integers(0, 1 << near_dedup.SYMBOL_BITS, (2, near_dedup.SYMBOLS))
         same = np.ones(near_dedup.SYMBOLS, bool)
-        same[rng.choice(near_dedup.SYMBOLS, near_dedup.MAX_DISTANCE, replace=False)] = False
-        assert any(all(same[k] for k in kept) for kept in choices)
-    assert near_dedup.MAX_DISTANCE == near_dedup.CHUNKS * (near_dedup.CHUNK_ERRORS + 1) - 1
+        same[rng.choice(near_dedup.SYMBOLS, near_dedup.max_distance(errors), replace=False)] = False
+        symbols[1, same] = symbols[0, same]
+        for side in (0, 1):
+            lanes = symbols[side].reshape(near_dedup.CHUNKS, near_dedup.LANES)
+            rows.append((2 * i + side, *(int(sum(int(x) << (near_dedup.SYMBOL_BITS * k) for k, x in enumerate(chunk))) for chunk in lanes)))
+    table = spark.createDataFrame(rows, "cid long, " + ", ".join(f"{c} long" for c in near_dedup.SIG))
+    keys = near_dedup.signature_keys(table, errors)
+    met = keys.groupBy("key").agg(F.collect_set("cid").alias("ids")).where("size(ids) > 1").select(F.explode("ids").alias("cid")).distinct()
+    assert met.count() == 120
+
+
+def test_the_bitmap_bound_keeps_every_link(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(80):
+        n, pool = int(rng.integers(1, 3000)), rng.integers(0, 1 << 62, 4000).astype(np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[: n - n // 8], pool[n : n + int(rng.integers(0, 1 + n // 8))]]))
+        both = len(np.intersect1d(a, b))
+        rows.append((i, len(a), near_dedup.bitmap(a).tolist(), len(b), near_dedup.bitmap(b).tolist(), 100 * both >= 75 * (len(a) + len(b) - both)))
+    table = spark.createDataFrame(rows, "i long, n long, x array<long>, m long, y array<long>, link boolean")
+    left, right = table.selectExpr("i", "n as n_shingles", "x as bits", "link").alias("l"), table.selectExpr("i", "m as n_shingles", "y as bits").alias("r")
+    judged = left.join(right, "i").select("link", near_dedup.may_overlap(75).alias("kept")).collect()
+    assert all(r.kept for r in judged if r.link) and any(r.link for r in judged)
 
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (50, 45), (45, 41)]
-    got = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and {got[i] for i in (41, 45, 50)} == {41}
-    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with Scratch(spark) as work:
+        got = {r.cid: r.component for r in near_dedup.components(spark.createDataFrame(chain, "a long, b long"), work).collect()}
+        assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and {got[i] for i in (41, 45, 50)} == {41}
+        assert near_dedup.components(spark.createDataFrame([], "a long, b long"), work).count() == 0
 
 
 # decontamination
@@ -124,10 +184,9 @@ def test_decontamination_equals_brute_force(spark):
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
-    texts = [None, "", "hello", "hello", "long text " * 3000, "ümläut 😀 <|endoftext|> x", *(f"doc {i} " * (i % 37) for i in range(80))]
+    texts = [None, "", "hello", "hello", "long text " * 3000, "ümläut 😀 <|endoftext|> x", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|>\n<|endoftext|> <|endoftex|>", "x " * 150_000 + "<|endoftext|> y z " + "w " * 150_000, *(f"doc {i} " * (i % 37) for i in range(80))]
     got = packing.pack_documents(docs(spark, texts), with_ids=True).toPandas()
     slow = Tokenizer.from_file(packing.default_tokenizer())
-    slow.encode_special_tokens = True
     for i, t in enumerate(texts):
         ids = slow.encode(t or "", add_special_tokens=False).ids + [0]
         rows = got[got.doc_id == i].sort_values("start")
