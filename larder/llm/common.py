@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 200_000
@@ -83,3 +84,37 @@ def bound_batches(spark: SparkSession) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
+
+
+_U = np.uint64
+_POWERS: list[np.ndarray] = []
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finalizer."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        base = 0x9E3779B97F4A7C15
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, _U(b), np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _POWERS[:] = out
+    return _POWERS[0], _POWERS[1]
+
+
+def run_hashes(units: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes or code points: polynomial over the units, then mixed."""
+    n = len(units)
+    power, inverse = _powers(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((units.astype(np.uint64) + _U(1)) * power[:n], out=sums[1:])
+    length = (stops - starts).astype(np.uint64)
+    return mixed((sums[stops] - sums[starts]) * inverse[starts] + mixed(length + _U(0x9E3779B97F4A7C15)))

@@ -4,207 +4,391 @@ Two interpolated bigram models share one vocabulary: one of the target texts,
 one of the background, which is every text.  Their counts come from the same
 pass, and the background's are scaled to the target's size, so smoothing acts on
 both alike.  A document's score is the mean over its tokens of the target loss
-minus the background loss: the lower, the more the text is like the target.  A
-text's own counts are left out of the models that score it.
-
-Every word of the corpus is a symbol of the vocabulary, whatever its count, and
-one more symbol stands for words that no text holds.  The counts of words and of
-(previous word, word) pairs are exact Spark tables that grow with the corpus;
-words are named in them by 64-bit hashes, of which 10^8 words share one with
-probability 3e-4.  Each document brings its distinct pairs, counted within it,
-and meets the table by an equi join; a pair that many documents hold is split
-by the adaptive skew join.  Nothing of the corpus but three sums and the
-histogram of word counts reaches the driver.
+minus the background loss: the lower, the more the text is like the target.  In
+:func:`score_corpus` a text's own counts are left out of the models that score
+it.
+
+A model's probability of a word w after v is s * c(v, w) / c(v) + (1 - s) * u(w),
+with s = BIGRAM_SHARE * c(v) / (c(v) + CONTEXT_PULL), c(v) the number of words
+that follow v, and u(w) = (c(w) + UNIGRAM_FLOOR) / (n + UNIGRAM_FLOOR * (V + 1)).
+Every word of the corpus is a symbol of the vocabulary of V words, whatever its
+count, and one more symbol stands for words that no text holds, so each model's
+probabilities sum to one.
+
+Counts are exact and grow with the corpus.  Texts are tokenised once and kept as
+batches of about ``BATCH_TOKENS`` word numbers.  Each batch sends the distinct
+n-grams that it holds, as sorted 64-bit hashes with their counts, to the parts of
+the hash range (as many as the corpus needs); each part sums what it gets from all
+batches, and sends each batch the totals of its n-grams in the order that they
+came in.  An n-gram that every text holds thus costs one entry a batch.  Nothing
+of the corpus but four sums reaches the driver.  10^8 n-grams share a hash with
+probability 3e-4.
 
 Edge cases: null texts and texts without words have no tokens, and null scores.
 Label rows with null ids or null values mark no target.  Repeated labels count
 once.  If no text is a target, both models are the background and scores are 0.
-Repeated documents are counted and scored as often as they occur.  An empty
-table gives no rows.  Extra columns are kept, those named as an output column
-are replaced.
+Repeated documents are counted and scored as often as they occur.  A text longer
+than a batch is a batch of its own.  An empty table gives no rows.  Extra columns
+are kept, those named as an output column are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from larder.llm.common import Scratch, bound_batches, cut, mixed, run_hashes, small_side
+
+BIGRAM_SHARE, CONTEXT_PULL, UNIGRAM_FLOOR = 0.6, 5.0, 0.5
+BATCH_TOKENS, RUN_CHARS = 1_000_000, 1_000_000
+#: Part sizes follow from this many tokens for each part of the hash range.
+TOKENS_PER_PART = 1_500_000
+OUTS = ["n_tokens", "target_loss", "background_loss", "score"]
+_U = np.uint64
+_START = _U(0x5DEECE66D)
+_ALNUM: list[np.ndarray] = []
+
+
+def alnum_table() -> np.ndarray:
+    """Which code points belong to words."""
+    if not _ALNUM:
+        _ALNUM.append(np.array([chr(c).isalnum() for c in range(0x110000)]))
+    return _ALNUM[0]
+
+
+def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of ``texts`` in order, and each text's number of words."""
+    points = [np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    first = np.cumsum([0] + [len(p) + 1 for p in points])
+    units = np.zeros(first[-1], np.uint32)  # texts end with a zero, which is no part of a word
+    for p, at in zip(points, first, strict=False):
+        units[at : at + len(p)] = p
+    edge = np.diff(np.concatenate(([False], alnum_table()[units], [False])).astype(np.int8))
+    starts, stops = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    return run_hashes(units, starts, stops), np.diff(np.searchsorted(starts, first))
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Eight planes of bytes of int64 values; planes of zeros cost next to nothing once compressed."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view("<i8")
+
+
+class Grams:
+    """The distinct n-grams of one batch: words, contexts and pairs, by number and by hash."""
+
+    def __init__(self, words: np.ndarray, ids: np.ndarray, lengths: np.ndarray):
+        self.n_words, self.ids = len(words), ids
+        self.text = np.repeat(np.arange(len(lengths)), lengths)
+        self.before = np.concatenate(([self.n_words], ids[:-1]))[: len(ids)]
+        self.before[(np.cumsum(lengths) - lengths)[lengths > 0]] = self.n_words
+        self.pairs, self.pair = np.unique(self.before * (self.n_words + 1) + ids, return_inverse=True)
+        context = mixed(np.append(words, _START) ^ _U(0xA24BAED4963EE407))
+        prev, word = np.divmod(self.pairs, self.n_words + 1)
+        hashes = np.concatenate([mixed(words), context, mixed(context[prev] * _U(0x9FB21C651E98DF25) + words[word])])
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+
+    def counts(self, weight: np.ndarray | None = None) -> np.ndarray:
+        """How often the batch has each n-gram, in the order of the hashes."""
+        sums = [np.bincount(x, weight, n) for x, n in ((self.ids, self.n_words), (self.before, self.n_words + 1), (self.pair, len(self.pairs)))]
+        return np.concatenate(sums).astype(np.int64)[self.order]
+
+    def spread(self, totals: np.ndarray) -> list[np.ndarray]:
+        """Totals in the order of the hashes, as one for each token: of its word, its context and its pair."""
+        by_number = np.empty(len(totals), totals.dtype)
+        by_number[self.order] = totals
+        return [by_number[: self.n_words][self.ids], by_number[self.n_words : 2 * self.n_words + 1][self.before], by_number[2 * self.n_words + 1 :][self.pair]]
+
+    def own(self) -> list[np.ndarray]:
+        """For each token, how often its own text has its word, its context and its pair."""
+        out = []
+        for x, n in ((self.ids, self.n_words), (self.before, self.n_words + 1), (self.pair, max(len(self.pairs), 1))):
+            place, times = np.unique(self.text * n + x, return_inverse=True, return_counts=True)[1:]
+            out.append(times[place])
+        return out
+
+
+def encode(documents: DataFrame, kept: list[str], text_col: str = "text") -> DataFrame:
+    """Batches of tokenised texts: (batch, words: their hashes, ids: each token's word, docs: the ``kept`` columns, _target and _n of each row)."""
+    struct = T.StructType([*(documents.schema[c] for c in kept), *T.StructType.fromDDL("_target boolean, _n long")])
+    schema = T.StructType([*T.StructType.fromDDL("batch long, tokens long, target_tokens long, words binary, ids binary"), T.StructField("docs", T.ArrayType(struct))])
 
-from larder.llm.common import BROADCAST_ROWS, bound_batches, cut, small_side
+    def gather(batches):
+        hashes, lengths, rows, number = [], [], [], 0
+
+        def closed():
+            nonlocal number
+            words, ids, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            by = np.argsort(-n, kind="stable")  # frequent words get small numbers
+            turn = np.empty_like(by)
+            turn[by] = np.arange(len(by))
+            length = np.concatenate(lengths)
+            table = pa.Table.from_batches(rows).combine_chunks()
+            cols = [table.column(c).combine_chunks() if table.num_rows else pa.array([], table.schema.field(c).type) for c in table.column_names]
+            target = table.column("_target").to_numpy().astype(bool)
+            docs = pa.StructArray.from_arrays([*cols, pa.array(length)], names=[*table.column_names, "_n"])
+            out = [pa.array([(TaskContext.get().partitionId() << 40) + number]), pa.array([int(length.sum())]), pa.array([int(length[target].sum())]), pa.array([words[by].tobytes()], pa.binary()), pa.array([packed(turn[ids])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(length)], pa.int32()), docs)]
+            number += 1
+            hashes.clear(), lengths.clear(), rows.clear()
+            return pa.RecordBatch.from_arrays(out, names=schema.names)
 
-BIGRAM_SHARE, UNIGRAM_FLOOR = 0.6, 0.5
-ROWS_OUT = 100_000
-START = 0  # stands before the first word
-WORD = re.compile(r"[^\W_]+")
+        for batch in batches:
+            texts, start = batch.column(text_col), 0
+            while start < len(batch):
+                run, size, stop = [], 0, start
+                while stop < len(batch) and size < RUN_CHARS:
+                    run.append(texts[stop].as_py())
+                    size += len(run[-1] or "")
+                    stop += 1
+                found = token_hashes(run)
+                hashes.append(found[0])
+                lengths.append(found[1])
+                rows.append(batch.slice(start, stop - start).select([*kept, "_target"]))
+                start = stop
+                if sum(map(len, hashes)) >= BATCH_TOKENS:
+                    yield closed()
+        if rows:
+            yield closed()
 
+    return documents.mapInArrow(gather, schema)
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
 
+def _grams_of(row: dict) -> tuple[Grams, pa.StructArray]:
+    docs = row["docs"].values
+    lengths = docs.field("_n").to_numpy(zero_copy_only=False)
+    return Grams(np.frombuffer(row["words"].as_buffer(), np.uint64), unpacked(row["ids"].as_buffer()), lengths), docs
 
-def word_hash(word: str) -> int:
-    """The word's number in all tables; never that of the start symbol."""
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big", signed=True) or 1
 
+def _rows(batch: pa.RecordBatch):
+    for i in range(len(batch)):
+        yield {c: batch.column(c)[i] for c in batch.schema.names}
 
-def _tokens(texts) -> tuple[np.ndarray, ...]:
-    """Over all tokens of ``texts`` (an Arrow column): text, previous word and word by number; then the numbers' hashes and the texts' lengths.
 
-    The last number is the start symbol's.
-    """
-    split = [words_of(t.as_py()) for t in texts]
-    lengths = np.array([len(w) for w in split], np.int64)
-    coded = pa.array([w for words in split for w in words], pa.string()).dictionary_encode()
-    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    hashes = np.array([*map(word_hash, coded.dictionary.to_pylist()), START], np.int64)
-    before = np.concatenate(([len(hashes) - 1], word[:-1]))[: len(word)]
-    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-    before[starts] = len(hashes) - 1
-    return np.repeat(np.arange(len(split)), lengths), before, word, hashes, lengths
+def requests(encoded: DataFrame, bits: int) -> DataFrame:
+    """(p, batch, grams, n_all, n_target): the n-grams of each batch by part of the hash range."""
 
+    def ask(batches):
+        for batch in batches:
+            for row in _rows(batch):
+                grams, docs = _grams_of(row)
+                n_all = grams.counts()
+                target = docs.field("_target").to_numpy(zero_copy_only=False).astype(float)
+                n_target = grams.counts(target[grams.text]) if target.any() else np.zeros_like(n_all)
+                part = (grams.hashes >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams.hashes), np.int64)
+                edges = [0, *(np.nonzero(np.diff(part))[0] + 1), len(part)]
+                spans = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([part[a] for a, _ in spans], pa.int32()), pa.array([row["batch"].as_py()] * len(spans), pa.int64()),
+                    *(pa.array([make(x[a:b]) for a, b in spans], pa.binary()) for make, x in ((np.ndarray.tobytes, grams.hashes), (packed, n_all), (packed, n_target))),
+                ], names=["p", "batch", "grams", "n_all", "n_target"])
+
+    return encoded.select("batch", "words", "ids", "docs").mapInArrow(ask, "p int, batch long, grams binary, n_all binary, n_target binary")
+
+
+def _parts(asked: DataFrame, work):
+    """``work`` on all rows of each part at once; a part's size is bounded by TOKENS_PER_PART."""
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for row in _rows(batch):
+                if held and row["p"].as_py() != at:
+                    yield work(held)
+                    held = []
+                at = row["p"].as_py()
+                held.append({c: v.as_py() for c, v in row.items()})
+        if held:
+            yield work(held)
 
-def _in_parts(columns: dict[str, np.ndarray]):
-    size = len(next(iter(columns.values())))
-    for at in range(0, size, ROWS_OUT):
-        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + ROWS_OUT]) for c in columns.values()], names=list(columns))
+    return asked.repartition("p").sortWithinPartitions("p", "batch").mapInArrow(run, "p int, batch long, grams binary, n_all binary, n_target binary")
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(prev, word, n_target, n_all) over all rows of ``texts`` (text, target)."""
+def _summed(held: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct hashes of a part, each entry's place among them, and their totals."""
+    grams, place = np.unique(np.concatenate([np.frombuffer(r["grams"], np.uint64) for r in held]), return_inverse=True)
+    return grams, place, [np.bincount(place, np.concatenate([unpacked(r[c]) for r in held]), len(grams)).astype(np.int64) for c in ("n_all", "n_target")]
 
-    def count(batches):
-        for batch in batches:
-            text, before, word, hashes, _ = _tokens(batch.column("text"))
-            is_target = batch.column("target").to_numpy(zero_copy_only=False).astype(np.int64)[text]
-            pairs, place, n = np.unique(before * len(hashes) + word, return_inverse=True, return_counts=True)
-            n_target = np.bincount(place, is_target, len(pairs)).astype(np.int64)
-            yield from _in_parts({"prev": hashes[pairs // len(hashes)], "word": hashes[pairs % len(hashes)], "n_target": n_target, "n_all": n})
 
-    counted = texts.select("text", "target").mapInArrow(count, "prev long, word long, n_target long, n_all long")
-    return counted.groupBy("prev", "word").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
+def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["p", "batch", "grams", "n_all", "n_target"])
 
 
-def text_pairs(texts: DataFrame) -> DataFrame:
-    """The distinct pairs of each row of ``texts`` (key, target, text): how often it has the pair, its previous word and its word, and its length."""
+def corpus_totals(asked: DataFrame) -> DataFrame:
+    """The requests with the totals over all of them, without the hashes."""
 
-    def gather(batches):
-        for batch in batches:
-            text, before, word, hashes, lengths = _tokens(batch.column("text"))
-            size = len(hashes)
-            place, times = np.unique(text * size + word, return_inverse=True, return_counts=True)[1:]
-            own = times[place]
-            first, n = np.unique((text * size + before) * size + word, return_index=True, return_counts=True)[1:]
-            at = text[first]
-            own_prev = np.where(before[first] == size - 1, 0, own[first - 1])
-            yield from _in_parts({
-                "key": batch.column("key").to_numpy(zero_copy_only=False)[at], "target": batch.column("target").to_numpy(zero_copy_only=False)[at],
-                "prev": hashes[before[first]], "word": hashes[word[first]], "n": n, "own_prev": own_prev, "own_word": own[first], "length": lengths[at],
-            })
+    def answer(held):
+        _, place, totals = _summed(held)
+        ends = np.cumsum([len(r["grams"]) // 8 for r in held])
+        return _batch_of([(r["p"], r["batch"], None, *(packed(t[place[b - len(r["grams"]) // 8 : b]]) for t in totals)) for r, b in zip(held, ends, strict=True)])
+
+    return _parts(asked, answer)
+
+
+def part_tables(asked: DataFrame) -> DataFrame:
+    """One row for each part: its n-grams in order and their totals (batch is null)."""
+
+    def table(held):
+        grams, _, totals = _summed(held)
+        return _batch_of([(held[0]["p"], None, grams.tobytes(), *map(packed, totals))])
 
-    return texts.select("key", "target", "text").mapInArrow(gather, "key long, target boolean, prev long, word long, n long, own_prev long, own_word long, length long")
+    return _parts(asked, table)
 
 
-def _look_up(rows: DataFrame, key: str, hot: DataFrame, cold: DataFrame, name: str) -> DataFrame:
-    """``rows`` with the counts of the word in ``key``: frequent words by broadcast, the others by shuffle."""
-    hot, cold = (t.select(F.col("word").alias(key), F.col("n_target").alias(f"{name}_target"), F.col("n_all").alias(f"{name}_all")) for t in (hot, cold))
-    found = rows.join(F.broadcast(hot), key, "left")
-    rest = found.where(F.col(f"{name}_all").isNull()).drop(f"{name}_target", f"{name}_all")
-    return found.where(F.col(f"{name}_all").isNotNull()).unionByName(rest.join(cold, key, "left"))
+def table_totals(asked: DataFrame, tables: DataFrame) -> DataFrame:
+    """The requests with the totals that ``tables`` has for them, without the hashes."""
+
+    def answer(held):
+        known = next((r for r in held if r["batch"] is None), None)
+        grams = np.frombuffer(known["grams"], np.uint64) if known else np.empty(0, np.uint64)
+        totals = [np.append(unpacked(known[c]) if known else [], 0).astype(np.int64) for c in ("n_all", "n_target")]
+        rows = []
+        for r in held:
+            if r["batch"] is not None:
+                own = np.frombuffer(r["grams"], np.uint64)
+                at = np.searchsorted(grams, own)
+                at[np.append(grams, _U(0))[at] != own] = len(grams)
+                rows.append((r["p"], r["batch"], None, *(packed(t[at]) for t in totals)))
+        return _batch_of(rows) if rows else _batch_of([(0, 0, None, None, None)]).slice(0, 0)
+
+    return _parts(asked.unionByName(tables), answer)
+
+
+def n_distinct_words(encoded: DataFrame) -> int:
+    def words(batches):
+        for batch in batches:
+            for x in batch.column("words"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64))], names=["word"])
+
+    return encoded.select("words").mapInArrow(words, "word long").distinct().count()
 
 
 @dataclass
-class MatchedModels:
-    """``pairs``: each pair with its counts and those of its two words; ``words``: all words, of which those with more than ``hot_above`` are few enough to broadcast."""
+class Sizes:
+    """What of the corpus a model needs beside the counts."""
 
-    pairs: DataFrame
-    words: DataFrame
-    hot_above: int
+    bits: int
     n_words: int
-    n_target: int
     n_all: int
+    n_target: int
 
-    @property
-    def no_target(self) -> bool:
-        return not self.n_target
-
-    def losses(self, k: str, counted: Column) -> Column:
-        """The loss of one pair under model ``k``, target or all.
-
-        ``counted`` says whether the model has counted this text; its own counts
-        are taken out then, so that no text vouches for itself.
-        """
-        if self.no_target:
-            k = "all"
-        total = float(self.n_all if self.no_target else self.n_target)
-        scale = 1.0 if k == "target" or self.no_target else total / max(self.n_all, 1)  # the background matched to the target's size
-        mine = F.when(counted, F.lit(scale)).otherwise(F.lit(0.0))
-        left = lambda c, own: F.greatest(F.coalesce(F.col(f"{c}_{k}"), F.lit(0)) * scale - mine * F.col(own), F.lit(0.0))
-        count, pairs = left("word", "own_word"), left("n", "n")
-        floor = UNIGRAM_FLOOR * (self.n_words + 1)
-        low = (count + UNIGRAM_FLOOR) / (F.greatest(F.lit(total) - mine * F.col("length"), F.lit(0.0)) + floor)
-        context = F.when(F.col("prev") == START, F.lit(total / 100)).otherwise(left("prev", "own_prev"))
-        high = F.least(pairs / F.greatest(context, F.lit(1e-6)), F.lit(1.0))
-        weight = BIGRAM_SHARE * context / (context + 5.0)
-        return -F.log(weight * high + (1 - weight) * low)
-
-
-def _marked(documents: DataFrame, target_ids: DataFrame, id_col: str) -> DataFrame:
+
+def sizes_of(encoded: DataFrame) -> Sizes:
+    n_all, n_target = encoded.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("target_tokens"), F.lit(0))).first()
+    return Sizes((n_all // TOKENS_PER_PART).bit_length(), n_distinct_words(encoded), n_all, n_target)
+
+
+def token_losses(grams: Grams, totals: list[np.ndarray], n: float, n_words: int, scale: float, own: list[np.ndarray] | None, length: np.ndarray) -> np.ndarray:
+    """The loss of each token under one model; ``own`` (None: not counted) is taken out of the model."""
+    word, context, pair = (np.maximum(t * scale - (0 if own is None else scale * own[k]), 0.0) for k, t in enumerate(totals))
+    left = n - (0 if own is None else scale * length)
+    low = (word + UNIGRAM_FLOOR) / (np.maximum(left, 0.0) + UNIGRAM_FLOOR * (n_words + 1))
+    share = BIGRAM_SHARE * context / (context + CONTEXT_PULL)
+    return -np.log(share * pair / np.maximum(context, 1e-9) + (1 - share) * low)
+
+
+def losses(encoded: DataFrame, totals: DataFrame, sizes: Sizes, kept: list[str], counted: bool) -> DataFrame:
+    """The ``kept`` columns, n_tokens, target_loss, background_loss and score of every row in ``encoded``."""
+    docs_type = encoded.schema["docs"].dataType
+    schema = T.StructType([*(docs_type.elementType[c] for c in kept), *T.StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double")])
+    nothing = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    replies = totals.select("batch", "p", "n_all", "n_target", *nothing("words", "ids"), F.lit(None).cast(docs_type).alias("docs"))
+    bodies = encoded.select("batch", F.lit(1 << 30).alias("p"), *nothing("n_all", "n_target"), "words", "ids", "docs")
+    dealt = replies.unionByName(bodies).repartition("batch").sortWithinPartitions("batch", "p")
+    n = float(sizes.n_target or sizes.n_all)
+    scale = n / max(sizes.n_all, 1)  # the background matched to the target's size
+
+    def judged(row, parts):
+        grams, docs = _grams_of(row)
+        lengths = docs.field("_n").to_numpy(zero_copy_only=False)
+        length = lengths[grams.text]
+        spread = {c: grams.spread(np.concatenate([np.empty(0, np.int64), *(unpacked(x[c]) for x in parts)])) for c in ("n_all", "n_target")}
+        own = grams.own() if counted else None
+        target = docs.field("_target").to_numpy(zero_copy_only=False).astype(float)[grams.text]
+        back = token_losses(grams, spread["n_all"], n, sizes.n_words, scale, own, length)
+        if sizes.n_target:
+            own = own and [x * target for x in own]
+            front = token_losses(grams, spread["n_target"], n, sizes.n_words, 1.0, own, length * target)
+        else:
+            front = back
+        full, starts = lengths > 0, (np.cumsum(lengths) - lengths)
+        means = [np.full(len(lengths), np.nan) for _ in range(2)]
+        if full.any():
+            for mean, x in zip(means, (front, back), strict=True):
+                mean[full] = np.add.reduceat(x, starts[full]) / lengths[full]
+        made = [pa.array(m, pa.float64(), mask=~full) for m in (*means, means[0] - means[1])]
+        return pa.RecordBatch.from_arrays([*(docs.field(c) for c in kept), pa.array(lengths), *made], names=schema.names)
+
+    def judge(batches):
+        parts = []
+        for batch in batches:
+            for row in _rows(batch):
+                if row["docs"].is_valid:
+                    yield judged(row, parts)
+                    parts = []
+                else:
+                    parts.append({c: row[c].as_py() for c in ("n_all", "n_target")})
+
+    return dealt.mapInArrow(judge, schema)
+
+
+def _marked(documents: DataFrame, target_ids: DataFrame | None, id_col: str) -> DataFrame:
+    if target_ids is None:
+        return documents.withColumn("_target", F.lit(False))
     flags = cut(target_ids.select(id_col).where(F.col(id_col).isNotNull()).distinct()).withColumn("_target", F.lit(True))
     return documents.join(small_side(flags), id_col, "left").withColumn("_target", F.coalesce("_target", F.lit(False)))
 
 
-def fit(documents: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> MatchedModels:
-    """Models of the rows whose id is in ``target_ids`` and of all rows."""
+def _prepared(documents: DataFrame, target_ids: DataFrame | None, id_col: str, text_col: str, keep_text: bool) -> tuple[DataFrame, list[str]]:
     bound_batches(documents.sparkSession)
-    texts = _marked(documents.select(id_col, text_col).where(F.col(text_col).isNotNull()), target_ids, id_col)
-    pairs = cut(pair_counts(texts.select(F.col(text_col).alias("text"), F.col("_target").alias("target"))))
-    words = cut(pairs.groupBy("word").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all")))
-    sums = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_target"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
-    # with the words of the corpus this histogram grows at most as the root of their number
-    sizes = sorted(map(tuple, words.groupBy("n_all").count().collect()), reverse=True)
-    hot_above, held = 0, 0
-    for n, many in sizes:
-        held += many
-        if held > BROADCAST_ROWS:
-            hot_above = n
-            break
-    return MatchedModels(pairs, words, hot_above, *sums)
-
-
-def score(documents: DataFrame, models: MatchedModels, target_ids: DataFrame | None = None, *, counted: bool = True, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``documents`` with n_tokens, target_loss, background_loss and score (their difference).
-
-    ``counted``: the models were fitted on these documents, with ``target_ids``.
-    """
-    bound_batches(documents.sparkSession)
-    outs = ["n_tokens", "target_loss", "background_loss", "score"]
-    frame = documents.drop(*outs, "_target", "_key")
+    frame = documents.drop(*OUTS, "_target", "_n")
     kept = [c for c in frame.columns if keep_text or c != text_col]
-    frame = frame.withColumn("_target", F.lit(False)) if target_ids is None else _marked(frame, target_ids, id_col)
-    # the score depends on the text and the flag alone: copies share a key, and their sums keep the mean
-    frame = frame.withColumn("_key", F.xxhash64(text_col, "_target"))
-    found = text_pairs(frame.where(F.col(text_col).isNotNull()).select(F.col("_key").alias("key"), F.col("_target").alias("target"), F.col(text_col).alias("text")))
-    hot = models.words.where(F.col("n_all") > models.hot_above)
-    hot = hot.unionByName(documents.sparkSession.range(1).select(F.lit(START).cast("long").alias("word"), F.lit(0).cast("long").alias("n_target"), F.lit(0).cast("long").alias("n_all")))
-    cold = models.words.where(F.col("n_all") <= models.hot_above)
-    with_words = lambda rows: _look_up(_look_up(rows, "word", hot, cold, "word"), "prev", hot, cold, "prev")
-    if counted:  # then every pair is in the table
-        rows = found.join(with_words(models.pairs), ["prev", "word"])
-    else:
-        rows = with_words(cut(found.join(models.pairs, ["prev", "word"], "left")))
-    is_target = F.lit(counted) & (F.col("target") | F.lit(models.no_target))
-    n = F.col("n")
-    rows = rows.select("key", "length", "n", (n * models.losses("target", is_target)).alias("t"), (n * models.losses("all", F.lit(counted))).alias("b"))
-    sums = rows.groupBy("key").agg(F.max("length").alias("n_tokens"), (F.sum("t") / F.sum("n")).alias("target_loss"), (F.sum("b") / F.sum("n")).alias("background_loss"))
-    made = frame.select(*kept, "_key").join(sums.withColumnRenamed("key", "_key"), "_key", "left")
-    return made.select(*kept, F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+    return encode(_marked(frame, target_ids, id_col), kept, text_col), kept
+
+
+def score_corpus(documents: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``documents`` with n_tokens, target_loss, background_loss and score (their difference), under models of all other rows.
+
+    The models are those of the rows whose id is in ``target_ids`` and of all rows.
+    """
+    encoded, kept = _prepared(documents, target_ids, id_col, text_col, keep_text)
+    encoded = cut(encoded)
+    sizes = sizes_of(encoded)
+    return losses(encoded, corpus_totals(requests(encoded, sizes.bits)), sizes, kept, True)
+
+
+@dataclass
+class MatchedModels:
+    """Exact counts of both models by part of the hash range, for scoring other texts."""
+
+    tables: DataFrame
+    sizes: Sizes
+
+
+def fit(documents: DataFrame, target_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> MatchedModels:
+    """Models of the rows whose id is in ``target_ids`` and of all rows."""
+    with Scratch(documents.sparkSession) as work:
+        encoded = work.cut(_prepared(documents.select(id_col, text_col), target_ids, id_col, text_col, False)[0])
+        sizes = sizes_of(encoded)
+        return MatchedModels(cut(part_tables(requests(encoded, sizes.bits))), sizes)
+
+
+def score(documents: DataFrame, models: MatchedModels, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``documents``, which the models have not counted, with n_tokens, target_loss, background_loss and score."""
+    encoded, kept = _prepared(documents, None, "", text_col, keep_text)
+    encoded = cut(encoded)
+    return losses(encoded, table_totals(requests(encoded, models.sizes.bits), models.tables), models.sizes, kept, False)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     target = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return score(docs, fit(docs, target), target, keep_text=False)
+    return score_corpus(docs, target, keep_text=False)

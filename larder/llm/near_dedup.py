@@ -50,7 +50,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from larder.llm.common import Scratch, bound_batches, cut
+from larder.llm.common import Scratch, bound_batches, cut, mixed, run_hashes
 
 SHINGLE = 5
 #: A chunk has four symbols and is one long of the signature.
@@ -69,13 +69,6 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finalizer."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words of one text: polynomial over the bytes, then mixed."""
     raw = np.frombuffer(text.translate(_LOWER), np.uint8)
@@ -84,28 +77,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     starts, stops = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
     if not len(starts):
         return np.empty(0, np.uint64)
-    n = len(raw)
-    power, inverse = _powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + _U(1)) * power[:n], out=sums[1:])
-    length = (stops - starts).astype(np.uint64)
-    return _mixed((sums[stops] - sums[starts]) * inverse[starts] + _mixed(length + _U(0x9E3779B97F4A7C15)))
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        base = 0x9E3779B97F4A7C15
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, _U(b), np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+    return run_hashes(raw, starts, stops)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -117,7 +89,7 @@ def shingle_set(text: str | None) -> np.ndarray:
     width = min(SHINGLE, n)
     rolled = np.full(n - width + 1, _U(width), np.uint64)
     for k in range(width):
-        rolled = _mixed(rolled * _U(0x2545F4914F6CDD1D) + words[k : n - width + 1 + k])
+        rolled = mixed(rolled * _U(0x2545F4914F6CDD1D) + words[k : n - width + 1 + k])
     return np.unique(rolled)
 
 
@@ -133,7 +105,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         np.multiply(flat, odd[k], out=values)
         np.right_shift(values, _U(29), out=turned)
         np.bitwise_xor(values, turned, out=values)
-        low = _mixed(np.minimum.reduceat(values, starts)) & _U((1 << SYMBOL_BITS) - 1)
+        low = mixed(np.minimum.reduceat(values, starts)) & _U((1 << SYMBOL_BITS) - 1)
         packed[:, k // LANES] |= low.astype(np.int64) << np.int64(SYMBOL_BITS * (k % LANES))
     return packed
 
@@ -141,7 +113,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def bitmap(shingles: np.ndarray) -> np.ndarray:
     """The cells that a set fills, 64 to a long."""
     cells = np.zeros(BITMAP, np.uint8)
-    cells[(_mixed(shingles ^ _U(0x5851F42D4C957F2D)) % _U(BITMAP)).astype(np.int64)] = 1
+    cells[(mixed(shingles ^ _U(0x5851F42D4C957F2D)) % _U(BITMAP)).astype(np.int64)] = 1
     return np.packbits(cells, bitorder="little").view(np.int64)
 
 
@@ -174,8 +146,8 @@ def shingle_table(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                     sig[full] = signatures([sets[i] for i in full])
                     flat = np.concatenate(sets)
                     at = np.concatenate(([0], np.cumsum(n[full])[:-1]))
-                    f[0, full] = np.add.reduceat(_mixed(flat), at).view(np.int64)
-                    f[1, full] = np.bitwise_xor.reduceat(_mixed(flat + _U(0xD1B54A32D192ED03)), at).view(np.int64)
+                    f[0, full] = np.add.reduceat(mixed(flat), at).view(np.int64)
+                    f[1, full] = np.bitwise_xor.reduceat(mixed(flat + _U(0xD1B54A32D192ED03)), at).view(np.int64)
                 own = [batch.column(c).slice(start, stop - start) for c in ("doc_id", "text_hash")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(f[0]), pa.array(f[1]), *(pa.array(sig[:, k]) for k in range(CHUNKS))], names=schema.names)
 

@@ -376,55 +376,74 @@ def test_lm_score(spark):
     bad = [" ".join(rng.choice(["foo", "bar", "baz", "red"], 30)) for _ in range(60)]
     table = docs(spark, [*good, *bad, None, "", "!!!"])
     target = spark.createDataFrame([(i,) for i in [*range(40), 3]] + [(None,)], "doc_id long")
-    got = {r.doc_id: r for r in lm_score.score(table.withColumn("score", F.lit(1)), lm_score.fit(table, target), target).collect()}
+    got = {r.doc_id: r for r in lm_score.score_corpus(table.withColumn("score", F.lit(1)), target).collect()}
     assert max(got[i].score for i in range(60)) < min(got[i].score for i in range(60, 120))
     assert all(got[i].n_tokens == 0 and got[i].score is None for i in (120, 121, 122))
-    assert all(abs(r.score - (r.target_loss - r.background_loss)) < 1e-9 for i, r in got.items() if i < 120)
-    flat = lm_score.score(table, lm_score.fit(table, target.limit(0)), target.limit(0)).where("score is not null").collect()
-    assert all(abs(r.score) < 1e-6 for r in flat)
+    assert got[7].text == good[7] and got[7].lang == "en"
+    flat = lm_score.score_corpus(table, target.limit(0)).where("score is not null").collect()
+    assert len(flat) == 120 and all(abs(r.score) < 1e-6 for r in flat)
+    assert lm_score.score_corpus(table.limit(0), target).count() == 0
     assert lm_score.score(table.limit(0), lm_score.fit(table.limit(0), target)).count() == 0
 
 
-def exact_scores(texts, is_target):
-    """Both models' losses with a number for each word and each pair, one text at a time."""
-    words = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
-    uni, bi = ([Counter(), Counter()] for _ in range(2))
-    for w, good in zip(words, is_target):
+def exact_losses(texts, is_target, new=None):
+    """Both models' mean losses of each text, from plain counters; a counted text's own counts are taken out."""
+    words = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    uni, ctx, bi = ([Counter(), Counter()] for _ in range(3))
+    for w, good in zip(words, is_target, strict=True):
         for k in (0, 1) if good else (1,):
             uni[k].update(w)
+            ctx[k].update([None, *w][: len(w)])
             bi[k].update(zip([None, *w], w))
     size, size_all, vocabulary = sum(uni[0].values()), sum(uni[1].values()), len(uni[1]) + 1
     out = []
-    for w, good in zip(words, is_target):
-        own, own_bi, losses = Counter(w), Counter(zip([None, *w], w)), []
+    for w, good in zip(words, is_target, strict=True) if new is None else [(re.findall(r"[^\W_]+", t.lower()), False) for t in new]:
+        own, own_ctx, own_bi, losses = Counter(w), Counter([None, *w][: len(w)]), Counter(zip([None, *w], w)), []
         for k, scale in ((0, 1.0), (1, size / size_all)):
-            mine = scale if k or good else 0
+            mine = scale if new is None and (k or good) else 0
             total = 0.0
             for before, x in zip([None, *w], w):
                 low = (uni[k][x] * scale - mine * own[x] + 0.5) / (size - mine * len(w) + 0.5 * vocabulary)
-                context = size / 100 if before is None else uni[k][before] * scale - mine * own[before]
-                high = min((bi[k][before, x] * scale - mine * own_bi[before, x]) / max(context, 1e-6), 1.0)
+                context = ctx[k][before] * scale - mine * own_ctx[before]
+                high = (bi[k][before, x] * scale - mine * own_bi[before, x]) / max(context, 1e-9)
                 weight = 0.6 * context / (context + 5)
                 total -= np.log(weight * high + (1 - weight) * low)
-            losses.append(total / len(w))
-        out.append((len(w), losses[0], losses[1]))
+            losses.append(total / len(w) if w else None)
+        out.append((len(w), *losses))
     return out
 
 
-def test_lm_score_counts_every_word_and_pair(spark):
+@pytest.mark.parametrize("batch, part", [(lm_score.BATCH_TOKENS, lm_score.TOKENS_PER_PART), (2500, 9000)])
+def test_lm_score_equals_plain_counters(spark, monkeypatch, batch, part):
+    monkeypatch.setattr(lm_score, "BATCH_TOKENS", batch)
+    monkeypatch.setattr(lm_score, "RUN_CHARS", 3 * batch)
+    monkeypatch.setattr(lm_score, "TOKENS_PER_PART", part)
     rng = np.random.default_rng(8)
-    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60_000, 2000)) for _ in range(40)]
-    texts += [texts[3], texts[3], "w1 w2 w1 w2 unheard", "w1"]
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60_000, 2000)) for _ in range(30)] + [" ".join(f"w{i}" for i in rng.integers(0, 40, 300)) for _ in range(20)]
+    texts += [texts[3], texts[3], "w1 w2 W1 w2 unheard", "w1", None, "", "Ünder_score 12x"]
     is_target = [i % 3 == 0 for i in range(len(texts))]
-    table = docs(spark, texts)
+    table = docs(spark, texts).repartition(3)
     target = spark.createDataFrame([(i,) for i, good in enumerate(is_target) if good], "doc_id long")
-    models = lm_score.fit(table, target)
-    got = {r.doc_id: r for r in lm_score.score(table, models, target, keep_text=False).collect()}
-    assert len({w for t in texts for w in t.split()}) > 32_768
-    for i, (n, t, b) in enumerate(exact_scores(texts, is_target)):
-        assert got[i].n_tokens == n and abs(got[i].target_loss - t) < 1e-9 and abs(got[i].background_loss - b) < 1e-9
-    new = lm_score.score(docs(spark, ["w1 neverseen w2", "neverseen"]), models, counted=False).collect()
-    assert [r.n_tokens for r in sorted(new, key=lambda r: r.doc_id)] == [3, 1] and all(r.score is not None for r in new)
+    got = {r.doc_id: r for r in lm_score.score_corpus(table, target, keep_text=False).collect()}
+    for i, (n, t, b) in enumerate(exact_losses(texts, is_target)):
+        assert got[i].n_tokens == n
+        if n:
+            assert abs(got[i].target_loss - t) < 1e-9 and abs(got[i].background_loss - b) < 1e-9 and abs(got[i].score - (t - b)) < 1e-9
+    new = ["w1 neverseen w2", "neverseen", texts[0]]
+    found = lm_score.score(docs(spark, new), lm_score.fit(table, target)).orderBy("doc_id").collect()
+    for r, (n, t, b) in zip(found, exact_losses(texts, is_target, new), strict=True):
+        assert r.n_tokens == n and abs(r.target_loss - t) < 1e-9 and abs(r.background_loss - b) < 1e-9
+
+
+def test_lm_models_sum_to_one(spark):
+    texts = ["a b a c", "b a", "c c c b"]
+    table = docs(spark, texts)
+    models = lm_score.fit(table, spark.createDataFrame([(0,), (2,)], "doc_id long"))
+    after = docs(spark, [f"a {w}" for w in ("a", "b", "c", "unheard")])
+    rows = lm_score.score(after, models).collect()
+    first = exact_losses(texts, [True, False, True], ["a"])[0]
+    for name, k in (("target_loss", 1), ("background_loss", 2)):
+        assert abs(sum(np.exp(-(2 * r[name] - first[k])) for r in rows) - 1) < 1e-9
 
 
 # main text
