@@ -9,9 +9,11 @@
    Each chunk therefore gives a key for every choice of symbols to leave out,
    and any two signatures within the distance share a key.  For other shares the
    number of symbols left out is derived from the share (``chunk_errors``).
-3. In each key's bucket every class is paired with two hubs (the smallest and
-   the largest class number).  Pairs within the distance are confirmed on their
-   full shingle sets, and confirmed links are merged into components.
+3. In each key's bucket every class is paired with two hubs: the one that meets
+   most classes over all its buckets, as the text that others were made from
+   does, and the one of the smallest number.  Pairs within the distance are
+   confirmed on their full shingle sets, and confirmed links are merged into
+   components.
 4. What hubs can't show: buckets that still hold more than one component are
    joined with themselves, for pairs of different components only, each in the
    first chunk that it shares, within the distance.  A large bucket is dealt in
@@ -216,9 +218,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int, work: Scratch) -> D
 
     ``a``'s set is read once for each salt and its partners stream past it.
     """
-    known = sets.select("cid", "bits", (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"))
-    pairs = pairs.join(known.withColumnRenamed("cid", "a").alias("l"), "a").join(known.withColumnRenamed("cid", "b").alias("r"), "b")
-    pairs = work.cut(pairs.where(may_overlap(share)).select("a", "b"))
+    pairs, sets = work.cut(pairs), sets.select("cid", "shingles")
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS_PER_SALT).cast("int").alias("salts"))
     partners = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     partners = partners.join(sets.select(F.col("cid").alias("b"), "shingles"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "shingles")
@@ -267,12 +267,12 @@ def components(edges: DataFrame, work: Scratch) -> DataFrame:
     return edges.select(F.col("v").alias("cid"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("cid"), F.col("u").alias("component")).distinct())
 
 
-def hub_pairs(members: DataFrame, signed: DataFrame, share: int, errors: int) -> DataFrame:
-    """(a, b): each bucket's members with its two hubs, where within the distance."""
+def hub_pairs(members: DataFrame, profiles: DataFrame, share: int, errors: int) -> DataFrame:
+    """(a, b): each bucket's members with its two hubs, where within the distance and the bitmaps' bound."""
     stars = members.select("cid", F.explode(F.array(F.struct(F.col("lo").alias("hub"), F.lit(False).alias("high")), F.struct(F.col("hi").alias("hub"), F.lit(True).alias("high")))).alias("_h"), "lo")
     stars = stars.where("_h.hub <> cid and not (_h.high and cid = lo)").select(F.col("_h.hub").alias("a"), F.col("cid").alias("b")).distinct()
-    close = stars.join(signed.withColumnRenamed("cid", "a").alias("l"), "a").join(signed.withColumnRenamed("cid", "b").alias("r"), "b")
-    return close.where(alike_in_size(share) & (distance() <= max_distance(errors))).select("a", "b")
+    close = stars.join(profiles.withColumnRenamed("cid", "a").alias("l"), "a").join(profiles.withColumnRenamed("cid", "b").alias("r"), "b")
+    return close.where(alike_in_size(share) & (distance() <= max_distance(errors)) & may_overlap(share)).select("a", "b")
 
 
 def symbols_of(packed: np.ndarray) -> np.ndarray:
@@ -282,7 +282,7 @@ def symbols_of(packed: np.ndarray) -> np.ndarray:
 
 
 def pairs_within(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None, share: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of pairs within the distance, of other components and like size, which this bucket is the first to hold.
+    """Places (i, j) of pairs within the distance and the bitmaps' bound, of other components, which this bucket is the first to hold.
 
     Without ``right`` these are pairs of ``left``, each once.
     """
@@ -296,20 +296,24 @@ def pairs_within(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | Non
     same = (left["symbols"][i] == other["symbols"][j]).reshape(len(i), CHUNKS, LANES).sum(axis=2, dtype=np.int64)
     first = np.argmax(same >= LANES - errors, axis=1)
     turn = (first == left["chunk"]) & ((left["choice"] == 0) | (same[np.arange(len(i)), first] < LANES))
-    return i[turn], j[turn]
+    i, j = i[turn], j[turn]
+    x, y = left["bits"][i], other["bits"][j]
+    most = np.minimum(left["n"][i] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), other["n"][j] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    fits = (100 + share) * most >= share * (left["n"][i] + other["n"][j])
+    return i[fits], j[fits]
 
 
-def open_pairs(members: DataFrame, found: DataFrame, signed: DataFrame, share: int, errors: int) -> DataFrame:
-    """(a, b): pairs of different components in one bucket, where within the distance.
+def open_pairs(members: DataFrame, found: DataFrame, profiles: DataFrame, share: int, errors: int) -> DataFrame:
+    """(a, b): pairs of different components in one bucket, where within the distance and the bitmaps' bound.
 
     A bucket's members are dealt in blocks; each block meets itself and the blocks before it.
     """
     named = members.select("key", "chunk", "choice", "cid").join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     still = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    still = named.join(still.select("key", F.ceil(F.col("n") / MEMBERS_PER_BLOCK).cast("int").alias("blocks")), "key").join(signed, "cid")
+    still = named.join(still.select("key", F.ceil(F.col("n") / MEMBERS_PER_BLOCK).cast("int").alias("blocks")), "key").join(profiles, "cid")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     places = F.transform(F.sequence(F.lit(0), own), lambda block: F.struct(block.alias("block"), (block < own).cast("int").alias("role")))
-    dealt = still.select("key", "chunk", "choice", "cid", "component", F.col("n_shingles").alias("n"), *SIG, F.explode(places).alias("_p")).select("*", "_p.*").drop("_p")
+    dealt = still.select("key", "chunk", "choice", "cid", "component", F.col("n_shingles").alias("n"), "bits", *SIG, F.explode(places).alias("_p")).select("*", "_p.*").drop("_p")
     dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "role")
 
     def compare(batches):
@@ -327,11 +331,12 @@ def open_pairs(members: DataFrame, found: DataFrame, signed: DataFrame, share: i
         for batch in batches:
             got = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "chunk", "choice", "cid", "component", "n", "block", "role")}
             symbols = symbols_of(np.column_stack([batch.column(s).to_numpy(zero_copy_only=False) for s in SIG]))
+            bits = batch.column("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(symbols), -1)
             edges = np.nonzero((np.diff(got["key"]) != 0) | (np.diff(got["block"]) != 0) | (np.diff(got["role"]) != 0))[0] + 1
             for lo, hi in zip([0, *edges], [*edges, len(symbols)], strict=True):
                 if lo == hi:
                     continue
-                rows = {c: got[c][lo:hi] for c in ("cid", "component", "n")} | {"symbols": symbols[lo:hi], "chunk": got["chunk"][lo], "choice": got["choice"][lo]}
+                rows = {c: got[c][lo:hi] for c in ("cid", "component", "n")} | {"symbols": symbols[lo:hi], "bits": bits[lo:hi], "chunk": got["chunk"][lo], "choice": got["choice"][lo]}
                 if at != (got["key"][lo], got["block"][lo]):
                     if held and not whole:
                         yield closed()
@@ -366,18 +371,22 @@ def near_duplicates(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
         classes = work.cut(one.withColumn("cid", F.monotonically_increasing_id()))
         signed = classes.select("cid", "n_shingles", *SIG)
         keys = signature_keys(signed, errors)
-        buckets = keys.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi")
+        buckets = keys.groupBy("key").agg(F.min("cid").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1")
         members = work.cut(keys.join(buckets, "key"))
+        meets = members.groupBy("cid").agg(F.sum("n").alias("meets"))
+        hubs = members.join(meets, "cid").groupBy("key").agg(F.max_by("cid", "meets").alias("hi"))
+        members = work.cut(members.drop("n").join(hubs, "key"))
 
         texts = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
         wanted = classes.select("cid", F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).join(members.select("cid").distinct(), "cid", "left_semi")
         texts = texts.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id")))
         sets = work.cut(set_table(texts.select("cid", "text").dropDuplicates(["cid"])))
 
-        close = work.cut(hub_pairs(members, signed, share, errors))
+        profiles = work.cut(signed.join(sets.select("cid", "bits"), "cid"))
+        close = work.cut(hub_pairs(members, profiles, share, errors))
         links = confirmed(close, sets, share, work)
         found = components(links, work)
-        rest = open_pairs(members, found, signed, share, errors)
+        rest = open_pairs(members, found, profiles, share, errors)
         tried = close.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("_p")).select("_p.*")
         more = confirmed(rest.join(tried, ["a", "b"], "left_anti"), sets, share, work)
         if not more.isEmpty():
