@@ -20,9 +20,10 @@ batches of about ``BATCH_TOKENS`` word numbers.  Each batch sends the distinct
 n-grams that it holds, as sorted 64-bit hashes with their counts, to the parts of
 the hash range (as many as the corpus needs); each part sums what it gets from all
 batches, and sends each batch the totals of its n-grams in the order that they
-came in.  An n-gram that every text holds thus costs one entry a batch.  Nothing
-of the corpus but four sums reaches the driver.  10^8 n-grams share a hash with
-probability 3e-4.
+came in.  An n-gram that every text holds thus costs one entry a batch.  Hashes
+travel as compressed differences, and totals without the batch's own counts, so
+most are zero.  Nothing of the corpus but four sums reaches the driver.  Of 10^8
+n-grams two share a hash of 60 bits with probability 4e-3.
 
 Edge cases: null texts and texts without words have no tokens, and null scores.
 Label rows with null ids or null values mark no target.  Repeated labels count
@@ -38,13 +39,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from larder.llm.common import Scratch, bound_batches, cut, mixed, run_hashes, small_side
 
 BIGRAM_SHARE, CONTEXT_PULL, UNIGRAM_FLOOR = 0.6, 5.0, 0.5
-BATCH_TOKENS, RUN_CHARS = 1_000_000, 1_000_000
+BATCH_TOKENS, RUN_CHARS = 500_000, 1_000_000
+#: Bits of the hashes of n-grams; the first ones tell the part.
+HASH_BITS = 60
 #: Part sizes follow from this many tokens for each part of the hash range.
 TOKENS_PER_PART = 1_500_000
 OUTS = ["n_tokens", "target_loss", "background_loss", "score"]
@@ -73,12 +77,23 @@ def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Eight planes of bytes of int64 values; planes of zeros cost next to nothing once compressed."""
-    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Compressed planes of bytes of 64-bit integers."""
+    planes = np.ascontiguousarray(x.astype("<i8", copy=False).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).reshape(-1).view("<i8")
+def unpacked(raw) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view("<i8")
+
+
+def packed_hashes(x: np.ndarray) -> bytes:
+    """Sorted hashes by their differences."""
+    return packed(np.diff(x.view(np.int64), prepend=0))
+
+
+def unpacked_hashes(raw) -> np.ndarray:
+    return np.cumsum(unpacked(raw)).view(np.uint64)
 
 
 class Grams:
@@ -92,7 +107,7 @@ class Grams:
         self.pairs, self.pair = np.unique(self.before * (self.n_words + 1) + ids, return_inverse=True)
         context = mixed(np.append(words, _START) ^ _U(0xA24BAED4963EE407))
         prev, word = np.divmod(self.pairs, self.n_words + 1)
-        hashes = np.concatenate([mixed(words), context, mixed(context[prev] * _U(0x9FB21C651E98DF25) + words[word])])
+        hashes = np.concatenate([mixed(words), context, mixed(context[prev] * _U(0x9FB21C651E98DF25) + words[word])]) >> _U(64 - HASH_BITS)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
 
@@ -182,12 +197,12 @@ def requests(encoded: DataFrame, bits: int) -> DataFrame:
                 n_all = grams.counts()
                 target = docs.field("_target").to_numpy(zero_copy_only=False).astype(float)
                 n_target = grams.counts(target[grams.text]) if target.any() else np.zeros_like(n_all)
-                part = (grams.hashes >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams.hashes), np.int64)
+                part = (grams.hashes >> _U(HASH_BITS - bits)).astype(np.int64)
                 edges = [0, *(np.nonzero(np.diff(part))[0] + 1), len(part)]
                 spans = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([part[a] for a, _ in spans], pa.int32()), pa.array([row["batch"].as_py()] * len(spans), pa.int64()),
-                    *(pa.array([make(x[a:b]) for a, b in spans], pa.binary()) for make, x in ((np.ndarray.tobytes, grams.hashes), (packed, n_all), (packed, n_target))),
+                    *(pa.array([make(x[a:b]) for a, b in spans], pa.binary()) for make, x in ((packed_hashes, grams.hashes), (packed, n_all), (packed, n_target))),
                 ], names=["p", "batch", "grams", "n_all", "n_target"])
 
     return encoded.select("batch", "words", "ids", "docs").mapInArrow(ask, "p int, batch long, grams binary, n_all binary, n_target binary")
@@ -211,10 +226,11 @@ def _parts(asked: DataFrame, work):
     return asked.repartition("p").sortWithinPartitions("p", "batch").mapInArrow(run, "p int, batch long, grams binary, n_all binary, n_target binary")
 
 
-def _summed(held: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct hashes of a part, each entry's place among them, and their totals."""
-    grams, place = np.unique(np.concatenate([np.frombuffer(r["grams"], np.uint64) for r in held]), return_inverse=True)
-    return grams, place, [np.bincount(place, np.concatenate([unpacked(r[c]) for r in held]), len(grams)).astype(np.int64) for c in ("n_all", "n_target")]
+def _summed(held: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct hashes of a part, each entry's place among them, the entries' counts and the hashes' totals."""
+    grams, place = np.unique(np.concatenate([unpacked_hashes(r["grams"]) for r in held]), return_inverse=True)
+    own = [np.concatenate([unpacked(r[c]) for r in held]) for c in ("n_all", "n_target")]
+    return grams, place, own, [np.bincount(place, x, len(grams)).astype(np.int64) for x in own]
 
 
 def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -223,12 +239,12 @@ def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def corpus_totals(asked: DataFrame) -> DataFrame:
-    """The requests with the totals over all of them, without the hashes."""
+    """The requests with what all others count, without the hashes."""
 
     def answer(held):
-        _, place, totals = _summed(held)
-        ends = np.cumsum([len(r["grams"]) // 8 for r in held])
-        return _batch_of([(r["p"], r["batch"], None, *(packed(t[place[b - len(r["grams"]) // 8 : b]]) for t in totals)) for r, b in zip(held, ends, strict=True)])
+        _, place, own, totals = _summed(held)
+        ends = np.cumsum([0] + [len(unpacked(r["n_all"])) for r in held])
+        return _batch_of([(r["p"], r["batch"], None, *(packed(t[place[a:b]] - x[a:b]) for t, x in zip(totals, own, strict=True))) for r, a, b in zip(held, ends, ends[1:], strict=False)])
 
     return _parts(asked, answer)
 
@@ -237,8 +253,8 @@ def part_tables(asked: DataFrame) -> DataFrame:
     """One row for each part: its n-grams in order and their totals (batch is null)."""
 
     def table(held):
-        grams, _, totals = _summed(held)
-        return _batch_of([(held[0]["p"], None, grams.tobytes(), *map(packed, totals))])
+        grams, _, _, totals = _summed(held)
+        return _batch_of([(held[0]["p"], None, packed_hashes(grams), *map(packed, totals))])
 
     return _parts(asked, table)
 
@@ -248,12 +264,12 @@ def table_totals(asked: DataFrame, tables: DataFrame) -> DataFrame:
 
     def answer(held):
         known = next((r for r in held if r["batch"] is None), None)
-        grams = np.frombuffer(known["grams"], np.uint64) if known else np.empty(0, np.uint64)
+        grams = unpacked_hashes(known["grams"]) if known else np.empty(0, np.uint64)
         totals = [np.append(unpacked(known[c]) if known else [], 0).astype(np.int64) for c in ("n_all", "n_target")]
         rows = []
         for r in held:
             if r["batch"] is not None:
-                own = np.frombuffer(r["grams"], np.uint64)
+                own = unpacked_hashes(r["grams"])
                 at = np.searchsorted(grams, own)
                 at[np.append(grams, _U(0))[at] != own] = len(grams)
                 rows.append((r["p"], r["batch"], None, *(packed(t[at]) for t in totals)))
@@ -310,9 +326,12 @@ def losses(encoded: DataFrame, totals: DataFrame, sizes: Sizes, kept: list[str],
         grams, docs = _grams_of(row)
         lengths = docs.field("_n").to_numpy(zero_copy_only=False)
         length = lengths[grams.text]
-        spread = {c: grams.spread(np.concatenate([np.empty(0, np.int64), *(unpacked(x[c]) for x in parts)])) for c in ("n_all", "n_target")}
-        own = grams.own() if counted else None
         target = docs.field("_target").to_numpy(zero_copy_only=False).astype(float)[grams.text]
+        spread = {}
+        for c, weight in (("n_all", None), ("n_target", target)):
+            others = np.concatenate([np.empty(0, np.int64), *(unpacked(x[c]) for x in parts)])
+            spread[c] = grams.spread(others + grams.counts(weight) if counted else others)
+        own = grams.own() if counted else None
         back = token_losses(grams, spread["n_all"], n, sizes.n_words, scale, own, length)
         if sizes.n_target:
             own = own and [x * target for x in own]
