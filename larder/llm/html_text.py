@@ -10,15 +10,17 @@ Branches of low importance are taken out of each page.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
 and styles that say what they are, by tag, role, class or id, go in any case.
-Where a page marks its article (or main part), only that is read.  A name drops
-its branch by whole class tokens, not by parts of them after no-, has- or with-;
-a branch that holds the only article or main part of the page stays, and so do
-all named branches if nothing else on the page has text.
+Where a page marks its main part, or an article with at least half of its text,
+only that is read.  A class or id is a name as a whole token (sidebar), or if it
+holds nothing but names and words of place (site-footer; not related-work).  A
+branch that holds the only article or main part of the page stays, and so do all
+named branches if nothing else on the page has text.
 
 The tree is a table of (host, path) rows: counts are partial sums in Spark, so
 a host with a third of all pages is spread over all tasks.  Copies of one page
 count once.  What comes back to the pages is one row for each host with its
-unimportant paths; it is broadcast if counted small, else joined by shuffle.
+unimportant paths, which are few, as a path must recur on many pages; Spark
+broadcasts that table if its files are small, and joins by shuffle else.
 
 Edge cases: null or empty html gives empty text.  Unclosed, misnested and
 truncated markup is read as far as it goes.  Hosts with fewer than ``MIN_PAGES``
@@ -28,14 +30,16 @@ page keeps it.  Repeated rows give repeated results.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from larder.llm.common import bound_batches, cut, small_side
+from larder.llm.common import bound_batches, cut
 from larder.llm.url_filter import url_host
 
 MIN_PAGES, LEAST_IMPORTANCE, G = 6, 0.25, 0.9
@@ -50,27 +54,35 @@ NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadc
 CLOSES_P = BLOCK - frozenset("html head body option legend caption tbody thead tfoot tr td th li dt dd".split())
 ONE_OF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?])[^>]*>?|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<closed>>)?)", re.S)
+NAME = re.compile(r"(/)?([a-zA-Z][^\s/>]*)")
+SIGN = re.compile(r"[>\"']")
 ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 READ = frozenset("class id role hidden aria-hidden".split())
 NAME_PART = re.compile(r"[a-z0-9]+")
-SAYS_OTHERWISE = frozenset("no not non without has with".split())
+#: Words that only say where or what kind of box it is, so that site-footer is a footer, but related-work, no-sidebar and has-menu are no names.
+PLACES = frozenset("area bar block bottom box btn button cell col column container content div foot global group head holder inner item items left link links list main mobile outer page panel primary right row secondary section site slot standard sticky sub tertiary top unit widget wrap wrapper zone".split())
+#: Blocks around a text for whose contents it counts.
+EVIDENCE_LEVELS = 64
 KEPT, NAMED, BARRED = 0, 1, 2  # what an element's own tag and attributes say
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "scope", "block", "children", "verdict", "number")
+    __slots__ = ("tag", "path", "above", "holder", "depth", "low", "dropped", "barred", "scope", "block", "children", "verdict", "number")
 
-    def __init__(self, tag, path, dropped, scope, block, verdict=KEPT, number=0):
-        self.tag, self.path, self.dropped, self.scope, self.block, self.children, self.verdict, self.number = tag, path, dropped, scope, block, [], verdict, number
+    def __init__(self, tag, path, above, low, dropped, barred, scope, block, verdict=KEPT, number=0):
+        self.tag, self.path, self.low, self.dropped, self.barred, self.scope, self.block, self.verdict, self.number = tag, path, low, dropped, barred, scope, block, verdict, number
+        self.holder = self if block or above is None else above.holder  # the nearest block
+        self.above = above.holder if above is not None else None  # the block around it
+        self.children = []
 
 
 def _names(value: str) -> set[str]:
-    """Whole tokens of a class or id, and the parts of those that do not speak of another element's presence or absence."""
+    """Names that a class or id consists of: whole tokens, and parts of tokens that hold nothing but names and PLACES."""
     found = set()
     for token in value.lower().split():
         parts = NAME_PART.findall(token)
-        found |= {token} if SAYS_OTHERWISE.intersection(parts) else {token, *parts}
+        if token in NAMES or (parts and all(p in NAMES or p in PLACES or p.isdigit() for p in parts)):
+            found.update(parts)
     return found
 
 
@@ -85,10 +97,21 @@ def _verdict(tag: str, attrs: dict[str, str], inside: bool) -> int:
     return NAMED if not NAMES.isdisjoint(names) or ("header" in names and not inside) else KEPT
 
 
+def path_of(above: int, label: str) -> int:
+    """The number of an element path: a 63-bit hash of the path above it and the element's label."""
+    return int.from_bytes(hashlib.blake2b(b"%d " % above + label.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") >> 1
+
+
 class Page:
-    """The text blocks of one page with their element paths, and the presentations of its elements."""
+    """The text blocks of one page with their elements, and the presentations of its elements.
+
+    ``unimportant``: paths whose branches are marked as low.  Each element is
+    opened and closed once and holds its own path only, so the work is linear in
+    the page's length, however deep its elements nest.
+    """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, unimportant: frozenset = frozenset()):
+        self.unimportant = unimportant
         self.spared: frozenset[int] | None = frozenset()  # elements that no name drops, None for all
         self._parse(source)
         narrow = True
@@ -99,15 +122,19 @@ class Page:
         if not self.blocks and self.named:
             self.spared = None
             self._parse(source)
-        if narrow and any(scope for _, _, scope in self.blocks):
-            self.blocks = [b for b in self.blocks if b[2]]
+        if narrow:
+            marked = sum(len(text) for node, text in self.blocks if node.scope)
+            if marked and (self.main or 2 * marked >= sum(len(text) for _, text in self.blocks)):
+                self.blocks = [b for b in self.blocks if b[0].scope]
 
     def _parse(self, source: str) -> None:
-        self.blocks: list[tuple[tuple[int, ...], str, bool]] = []
+        self.blocks: list[tuple[Node, str]] = []
         self.styles: list[tuple[int, int]] = []
         self.text: list[str] = []
-        self.stack = [Node("", (), False, False, True)]
-        self.opened, self.marked, self.named, self.holders = 0, False, False, set()
+        self.stack = [Node("", 0, None, False, False, False, False, True)]
+        self.open_tags: Counter = Counter()
+        self.unpaired: set[str] = set()  # quotes that do not occur any more
+        self.opened, self.marked, self.main, self.named, self.holders = 0, False, False, False, set()
         self._read(source)
         while len(self.stack) > 1:
             self._pop()
@@ -118,16 +145,16 @@ class Page:
             value = " ".join(html_lib.unescape("".join(self.text)).split())
             self.text = []
             if value:
-                top = next(n for n in reversed(self.stack) if n.block)
-                self.blocks.append((top.path, value, top.scope))
+                self.blocks.append((self.stack[-1].holder, value))
 
     def _pop(self) -> None:
         node = self.stack[-1]
         if node.block:
             self._flush()
         self.stack.pop()
-        if node.block and not node.dropped and node.path:
-            self.styles.append((node.path[-1], zlib.crc32(" ".join(node.children).encode())))
+        self.open_tags[node.tag] -= 1
+        if node.block and not node.dropped:
+            self.styles.append((node.path, zlib.crc32(" ".join(node.children).encode("utf-8", "surrogatepass"))))
 
     def _close_to(self, depth: int) -> None:
         while len(self.stack) > depth:
@@ -135,6 +162,8 @@ class Page:
 
     def _find(self, tags, stops) -> int:
         """Depth of the nearest open element of ``tags`` not behind one of ``stops``; 0 if there is none."""
+        if not any(self.open_tags[t] for t in tags):
+            return 0
         for depth in range(len(self.stack) - 1, 0, -1):
             if self.stack[depth].tag in tags:
                 return depth
@@ -153,21 +182,42 @@ class Page:
         if block:
             self._flush()
         label = f"{tag}.{attrs.get('class', '')}#{re.sub(r'[0-9]+', '0', attrs.get('id', ''))}" if attrs else tag
-        holder = next(n for n in reversed(self.stack) if n.block)
+        holder = above.holder
         holder.children.append(label)
-        path = (*holder.path, zlib.crc32(label.encode(), holder.path[-1] if holder.path else 0)) if block else holder.path
+        path = path_of(holder.path, label) if block else holder.path
         self.opened += 1
         verdict = _verdict(tag, attrs, above.scope)
         if verdict == NAMED:
             self.named = True
             if self.spared is None or self.opened in self.spared:
                 verdict = KEPT
-        self.stack.append(Node(tag, path, above.dropped or verdict != KEPT, above.scope or tag in ("article", "main"), block, verdict, self.opened))
+        low = holder.low or (block and path in self.unimportant)
+        node = Node(tag, path, above, low, above.dropped or verdict != KEPT, above.barred or verdict == BARRED, above.scope or tag in ("article", "main"), block, verdict, self.opened)
+        self.stack.append(node)
+        self.open_tags[tag] += 1
         if tag in ("article", "main"):
-            if not self.stack[-1].dropped:
-                self.marked = True
-            elif all(n.verdict != BARRED for n in self.stack):
-                self.holders.update(n.number for n in self.stack if n.verdict == NAMED)
+            if not node.dropped:
+                self.marked, self.main = True, self.main or tag == "main"
+            elif not node.barred:
+                for n in reversed(self.stack):
+                    if n.verdict == NAMED:
+                        if n.number in self.holders:
+                            break
+                        self.holders.add(n.number)
+
+    def _tag_end(self, source: str, at: int) -> tuple[int, int, bool]:
+        """(end of the attributes, start of what follows, whether the tag is closed) of a tag whose name ends at ``at``."""
+        first, n = at, len(source)
+        while m := SIGN.search(source, at):
+            if m[0] == ">":
+                return m.start(), m.end(), True
+            end = -1 if m[0] in self.unpaired else source.find(m[0], m.end())
+            if end < 0:  # the page ends in a quoted value: the tag ends at its next sign
+                self.unpaired.add(m[0])
+                end = source.find(">", first)
+                return m.start(), (n if end < 0 else end + 1), False
+            at = end + 1
+        return n, n, False
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -179,27 +229,29 @@ class Page:
                 self.text.append(source[at:start])
             if start >= n:
                 break
-            m = TAG.match(source, start)
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                at = n if end < 0 else end + 3
+                continue
+            if source[start + 1 : start + 2] in ("!", "?"):
+                end = source.find(">", start)
+                at = n if end < 0 else end + 1
+                continue
+            m = NAME.match(source, start + 1)
             if m is None:
                 if not self.stack[-1].dropped:
                     self.text.append("<")
                 at = start + 1
                 continue
-            at = m.end()
-            if m["name"] is None:
-                continue
-            if m["closed"] is None:  # the page ends, or a quote is never closed
-                end = source.find(">", start)
-                at = n if end < 0 else end + 1
-            tag = m["name"].lower()
-            if m["end"]:
+            stop, at, _ = self._tag_end(source, m.end())
+            raw_attrs, tag = source[m.end() : stop], m[2].lower()
+            if m[1]:
                 if depth := self._find((tag,), ("td", "th", "table", "article", "body") if tag not in ("td", "th", "tr", "table", "article", "body", "html", "main") and tag in BLOCK else ()):
                     self._close_to(depth)
                 elif tag == "p":
                     self._flush()
             elif tag in VOID:
-                holder = next(x for x in reversed(self.stack) if x.block)
-                holder.children.append(tag)
+                self.stack[-1].holder.children.append(tag)
                 if tag == "hr":
                     self._flush()
                 elif tag == "br" and not self.stack[-1].dropped:
@@ -209,21 +261,24 @@ class Page:
                 at = end.end() if end else n
             elif tag == "plaintext":
                 at = n
-            elif not (m["attrs"] or "").endswith("/") or tag in BLOCK:
-                self._open(tag, m["attrs"])
+            elif not raw_attrs.endswith("/") or tag in BLOCK:
+                self._open(tag, raw_attrs)
 
 
 def main_text(source: str | None, unimportant: frozenset = frozenset()) -> str:
     """Text blocks of the page joined by newlines, without the branches given."""
     if not source:
         return ""
-    blocks = Page(source).blocks
-    kept = [text for path, text, _ in blocks if not unimportant.intersection(path)]
-    return "\n".join(kept or [text for _, text, _ in blocks])
+    blocks = Page(source, unimportant).blocks
+    kept = [text for node, text in blocks if not node.low]
+    return "\n".join(kept or [text for _, text in blocks])
 
 
 def tree_evidence(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, value, page): what each page shows below each of its paths; kind 0 presentation, 1 content."""
+    """(host, path, kind, value, page): what each page shows below each of its paths; kind 0 presentation, 1 content.
+
+    A text tells of the EVIDENCE_LEVELS blocks around it.
+    """
 
     def gather(batches):
         for batch in batches:
@@ -233,8 +288,15 @@ def tree_evidence(pages: DataFrame) -> DataFrame:
                 if not value:
                     continue
                 page = Page(value)
-                own = zlib.crc32("\n".join(t for _, t, _ in page.blocks).encode("utf-8", "surrogatepass"))
-                rows = {(p, 0, v) for p, v in page.styles} | {(p, 1, zlib.crc32(t.encode("utf-8", "surrogatepass"))) for path, t, _ in page.blocks for p in path}
+                own = zlib.crc32("\n".join(t for _, t in page.blocks).encode("utf-8", "surrogatepass"))
+                rows = {(p, 0, v) for p, v in page.styles}
+                for node, text in page.blocks:
+                    v = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+                    for _ in range(EVIDENCE_LEVELS):
+                        if node.above is None:
+                            break
+                        rows.add((node.path, 1, v))
+                        node = node.above
                 for p, kind, v in rows:
                     out["host"].append(host.as_py())
                     out["path"].append(p)
@@ -268,18 +330,18 @@ def path_importance(evidence: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", keep_html: bool = False) -> DataFrame:
     """``pages`` with text and n_chars (columns of these names are replaced)."""
     bound_batches(pages.sparkSession)
-    frame = pages.drop("text", "n_chars", "host", "unimportant")
-    hosted = frame.withColumn("host", url_host(F.col(url_col)))
-    evidence = tree_evidence(hosted.select("host", F.col(html_col).alias("html")))
+    frame = pages.drop("text", "n_chars", "_host", "_unimportant")
+    evidence = tree_evidence(frame.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")))
     low = path_importance(evidence).where(F.col("importance") < LEAST_IMPORTANCE)
-    of_host = cut(low.groupBy("host").agg(F.collect_set("path").alias("unimportant")))
-    rows = hosted.join(small_side(of_host), "host", "left").drop("host")
+    of_host = cut(low.groupBy(F.col("host").alias("_host")).agg(F.collect_set("path").alias("_unimportant")))
+    # Spark broadcasts the table if its files are small, and shuffles else
+    rows = frame.withColumn("_host", url_host(F.col(url_col))).join(of_host, "_host", "left").drop("_host")
     kept = [c for c in frame.columns if keep_html or c != html_col]
     schema = T.StructType([*(frame.schema[c] for c in kept), *T.StructType.fromDDL("text string, n_chars long")])
 
     def read(batches):
         for batch in batches:
-            texts = [main_text(source.as_py(), frozenset(paths.as_py() or ())) for source, paths in zip(batch.column(html_col), batch.column("unimportant"), strict=True)]
+            texts = [main_text(source.as_py(), frozenset(paths.as_py() or ())) for source, paths in zip(batch.column(html_col), batch.column("_unimportant"), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*kept, "text", "n_chars"])
 
     return rows.mapInArrow(read, schema)

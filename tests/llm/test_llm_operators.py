@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -465,6 +466,62 @@ def test_no_article_is_lost(attrs):
         assert html_text.main_text(f"<body><p>first</p><div {attrs}><p>second</p></div></body>") == "first\nsecond"
 
 
+@pytest.mark.parametrize("attrs", ['id="related-work"', 'class="post no-comments"', 'class="content has-sidebar"', 'class="share-price"', 'class="notice-period-law"'])
+def test_parts_of_names_drop_nothing(attrs):
+    assert html_text.main_text(f"<body><p>first</p><section {attrs}><p>second</p></section><footer>f</footer></body>") == "first\nsecond"
+
+
+def test_a_teaser_is_not_the_article():
+    page = "<body><div class=story><p>" + "the long story goes on " * 20 + "</p></div><div><article><h2>read this too</h2></article></div></body>"
+    assert html_text.main_text(page).startswith("the long story") and html_text.main_text(page).endswith("read this too")
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    for page in ("<div>" * 200_000 + "deep", "<b>" * 200_000 + "deep" + "</i>" * 200_000, "<a href=\"x>" * 100_000 + "deep", "<p>x<span>" * 50_000, "<div class=ad>" * 20_000 + "<article>" * 20_000 + "deep"):
+        start = time.time()
+        html_text.main_text(page)
+        assert time.time() - start < 12
+    assert html_text.main_text("<div>" * 200_000 + "deep") == "deep"
+
+
+def brute_importance(pages):
+    """Importance of the paths of one host's pages, given as lists of (path, styles, texts) trees."""
+    seen = defaultdict(lambda: (Counter(), Counter()))
+    for page in {p: None for p in pages}:
+        parsed = html_text.Page(page)
+        texts = defaultdict(set)
+        for node, text in parsed.blocks:
+            while node.above is not None:
+                texts[node.path].add(text)
+                node = node.above
+        for path, style in set(parsed.styles):
+            seen[path][0][style] += 1
+        for path, found in texts.items():
+            seen[path][1].update(found)
+    out = {}
+    for path, (styles, texts) in seen.items():
+        m = sum(styles.values())
+        if m < html_text.MIN_PAGES:
+            continue
+        entropy = -sum(n / m * np.log(n / m) for n in styles.values()) / np.log(m)
+        t = sum(texts.values())
+        content = 1 - (sum(n * np.log(n) for n in texts.values()) / t / np.log(m) if t else 0)
+        g = html_text.G ** len(styles)
+        out[path] = (1 - g) * entropy + g * max(content, 0)
+    return out
+
+
+def test_importance_equals_plain_entropy(spark):
+    rng = np.random.default_rng(5)
+    html_of = lambda i: f"<body><div class=menu2><ul><li>home<li>news{rng.integers(2)}</ul></div><div class=s><p>own {i}</p>{'<h2>more</h2>' * int(rng.integers(3))}</div></body>"
+    pages = [html_of(i) for i in range(30)]
+    pages += pages[:3]
+    table = spark.createDataFrame([("h", p) for p in pages], "host string, html string").repartition(4)
+    got = {r.path: r.importance for r in html_text.path_importance(html_text.tree_evidence(table)).collect()}
+    want = brute_importance(pages)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
 def test_named_branches_still_go():
     for attrs in ("hidden", "HIDDEN=''", "class='box ad'", "id=main-nav", 'class="site-footer"', "role=navigation"):
         assert html_text.main_text(f"<body><p>story</p><div {attrs}>menu</div></body>") == "story"
@@ -479,7 +536,8 @@ def test_site_tree_removes_what_recurs(spark):
     rows = [(i, f"http://h/{i}", f"<body>{same}<div class=story><p>story {i} with its own words {i * 7}</p></div></body>") for i in range(12)]
     rows += [(50, None, None), (51, "http://h/x", ""), (52, "http://alone/x", f"<body>{same}</body>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in html_text.extract(pages.withColumn("text", F.lit(1))).collect()}
+    got = {r.page_id: r for r in html_text.extract(pages.withColumn("text", F.lit(1)).withColumn("host", F.lit("own"))).collect()}
+    assert got[3].host == "own"
     assert all(got[i].text == f"story {i} with its own words {i * 7}" for i in range(12))
     assert got[50].text == "" and got[51].n_chars == 0 and got[52].text == "Read our other offers every day"
     assert html_text.extract(pages.limit(0)).count() == 0
