@@ -12,13 +12,15 @@ of candidates the best ``SHORTLIST`` are scored exactly in double precision on
 the original vectors, and the best ``k`` of all blocks are merged.
 
 Codebooks are fitted in one task on a hash sample of at most ``SAMPLE`` vectors
-(a documented bound); every vector is encoded.  Queries come in blocks of at
-most ``QUERY_BLOCK``, which bounds what travels to the tasks; each block meets
-all candidates where they are stored, and only each partition's best ``k`` per
-query are shuffled.
+(a documented bound); every vector is encoded.  The index is dealt in groups of
+about ``GROUP`` rows by hash, and the queries are packed into rows of about
+``QUERY_BLOCK`` queries, which meet every group.  The plan is the same for any
+number of queries, no query reaches the driver, and each group sends its best
+``k`` a query.
 
 Edge cases: vectors that are null, zero, of another length than most, or that
-hold null or non-finite components take no part, nor do rows without an id.  Of
+hold null or non-finite components take no part, nor do rows without an id.
+Equal scores rank by the smaller id.  Columns other than id and vector are ignored, whatever their names.  Of
 equal vectors in a block only the k + 1 with the smallest ids can be reported,
 so a vector that a third of the rows share costs no more than that.  Repeated
 ids count once, with their best vector.  An empty table gives no rows.
@@ -26,8 +28,6 @@ ids count once, with their best vector.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -36,7 +36,9 @@ from larder.llm.common import cut
 
 BOOKS, WORDS, BEAM = 8, 256, 8
 SAMPLE, SHORTLIST = 8192, 200
-QUERY_BLOCK, BLOCK = 2048, 4096
+QUERY_BLOCK, BLOCK = 1024, 4096
+#: Index rows that one task holds while the query blocks stream past, and groups for tables that would fill few of these.
+GROUP, LEAST_GROUPS = 131_072, 64
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -156,77 +158,117 @@ def _without_surplus(x: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return np.sort(order[np.arange(len(x)) - first < most])
 
 
-def search_block(index: DataFrame, books: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, shortlist: int = SHORTLIST) -> DataFrame:
-    """Each index partition's best k for each query of one block: (query_id, vec_id, score)."""
+def _index_block(held: list[pa.RecordBatch], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, ids, codes and norms of some rows of the index, without surplus copies."""
+    x = np.concatenate([_matrix(b.column("v")) for b in held])
+    ids = np.concatenate([b.column("vec_id").to_numpy() for b in held])
+    codes = np.concatenate([np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(b), -1) for b in held])
+    norm = np.concatenate([b.column("norm").to_numpy() for b in held])
+    keep = _without_surplus(x, ids, k + 1)
+    return x[keep], ids[keep], codes[keep], norm[keep]
+
+
+def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
+    """(block, ids, matrix): queries (vec_id, v) in about equal blocks by hash, each in one row."""
+
+    def pack(batches):
+        at, held = None, []
+
+        def packed():
+            x = np.concatenate([_matrix(b.column("v")) for b in held])
+            ids = np.concatenate([b.column("vec_id").to_numpy() for b in held])
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["block", "ids", "matrix"])
+
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            edges = np.nonzero(np.diff(block))[0] + 1
+            for lo, hi in zip([0, *edges], [*edges, len(block)], strict=True):
+                if hi > lo:
+                    if held and block[lo] != at:
+                        yield packed()
+                        held = []
+                    at = int(block[lo])
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield packed()
+
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(pack, "block int, ids binary, matrix binary")
+
+
+def _best_of_block(block, books: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, table: np.ndarray, top: tuple, k: int, shortlist: int) -> None:
+    """Merges the block's best k for each query into ``top`` (scores, ids)."""
+    x, ids, codes, norm = block
+    approx = np.zeros((len(queries), len(ids)), np.float32)
+    for m in range(len(table)):
+        approx += table[m][:, codes[:, m]]
+    approx *= norm.astype(np.float32)
+    approx[query_ids[:, None] == ids[None, :]] = -np.inf
+    width = min(shortlist, len(ids))
+    near = np.argpartition(-approx, width - 1, axis=1)[:, :width]
+    for at in range(0, len(queries), 64):
+        some = slice(at, at + 64)
+        exact = np.einsum("qd,qrd->qr", queries[some], x[near[some]])
+        found = ids[near[some]]
+        own = found == query_ids[some][:, None]
+        exact, found = np.where(own, -np.inf, exact), np.where(own, -1, found)
+        top[0][some], top[1][some] = _best(np.hstack([top[0][some], exact]), np.hstack([top[1][some], found]), k)
+
+
+def search(index: DataFrame, books: np.ndarray, asked: DataFrame, groups: int, k: int, shortlist: int = SHORTLIST) -> DataFrame:
+    """(query_id, vec_id, score): each index group's best k for each query of the blocks ``asked``.
+
+    A group's rows come first and are held in blocks; query blocks stream past.
+    """
+    nothing = lambda *columns: [F.lit(None).cast(t).alias(c) for c, t in columns]
+    rows = index.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("g"), F.lit(-1).alias("block"), "vec_id", "v", "codes", "norm", *nothing(("ids", "binary"), ("matrix", "binary")))
+    copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "block", *nothing(("vec_id", "long"), ("v", "array<double>"), ("codes", "binary"), ("norm", "double")), "ids", "matrix")
+    dealt = rows.unionByName(copies).repartition("g").sortWithinPartitions("g", "block")
 
     def look(batches):
-        table = np.einsum("qd,mwd->mqw", queries, books.astype(float), optimize=True).astype(np.float32)
-        top = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1, np.int64)
-        for x, ids, codes, norm in _blocks(batches, k):
-            approx = np.zeros((len(queries), len(ids)), np.float32)
-            for m in range(len(table)):
-                approx += table[m][:, codes[:, m]]
-            approx *= norm.astype(np.float32)
-            approx[query_ids[:, None] == ids[None, :]] = -np.inf
-            width = min(shortlist, len(ids))
-            near = np.argpartition(-approx, width - 1, axis=1)[:, :width]
-            for at in range(0, len(queries), 64):
-                some = slice(at, at + 64)
-                exact = np.einsum("qd,qrd->qr", queries[some], x[near[some]])
-                found = ids[near[some]]
-                own = found == query_ids[some][:, None]
-                exact, found = np.where(own, -np.inf, exact), np.where(own, -1, found)
-                top[0][some], top[1][some] = _best(np.hstack([top[0][some], exact]), np.hstack([top[1][some], found]), k)
-        use = top[1] >= 0
-        use &= np.isfinite(top[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, k)[use.ravel()]), pa.array(top[1][use]), pa.array(top[0][use])], names=["query_id", "vec_id", "score"])
-
-    return index.mapInArrow(look, "query_id long, vec_id long, score double")
-
-
-def _blocks(batches, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    held, size = [], 0
-
-    def joined():
-        x = np.concatenate([_matrix(b.column("v")) for b in held])
-        ids = np.concatenate([b.column("vec_id").to_numpy() for b in held])
-        codes = np.concatenate([np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(b), -1) for b in held])
-        norm = np.concatenate([b.column("norm").to_numpy() for b in held])
-        keep = _without_surplus(x, ids, k + 1)
-        return x[keep], ids[keep], codes[keep], norm[keep]
-
-    for batch in batches:
-        for at in range(0, len(batch), BLOCK):
-            held.append(batch.slice(at, BLOCK))
-            size += len(held[-1])
-            if size >= BLOCK:
-                yield joined()
-                held, size = [], 0
-    if size:
-        yield joined()
-
-
-def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
+        at, pending, held = None, [], []
+        for batch in batches:
+            g, block = batch.column("g").to_numpy(), batch.column("block").to_numpy()
+            edges = np.nonzero((np.diff(g) != 0) | (np.diff(block) != 0))[0] + 1
+            for lo, hi in zip([0, *edges], [*edges, len(g)], strict=True):
+                if lo == hi:
+                    continue
+                if g[lo] != at:
+                    at, pending, held = g[lo], [], []
+                if block[lo] < 0:
+                    for start in range(lo, hi, BLOCK):
+                        pending.append(batch.slice(start, min(BLOCK, hi - start)))
+                        if sum(map(len, pending)) >= BLOCK:
+                            held.append(_index_block(pending, k))
+                            pending = []
+                    continue
+                if pending:
+                    held.append(_index_block(pending, k))
+                    pending = []
+                for i in range(lo, hi):
+                    query_ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
+                    queries = np.frombuffer(batch.column("matrix")[i].as_py()).reshape(len(query_ids), -1)
+                    table = np.einsum("qd,mwd->mqw", queries, books.astype(float), optimize=True).astype(np.float32)
+                    top = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1, np.int64)
+                    for part in held:
+                        _best_of_block(part, books, query_ids, queries, table, top, k, shortlist)
+                    use = (top[1] >= 0) & np.isfinite(top[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, k)[use.ravel()]), pa.array(top[1][use]), pa.array(top[0][use])], names=["query_id", "vec_id", "score"])
+
+    return dealt.mapInArrow(look, "query_id long, vec_id long, score double")
+
+
+def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, shortlist: int = SHORTLIST) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each row for which ``is_query`` holds."""
     spark = vectors.sparkSession
     index, books = build_index(vectors, id_col, vector_col)
-    empty = spark.createDataFrame([], "query_id long, vec_id long, score double")
     if books is None:
-        found = empty
-    else:
-        queries = index.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-        n = queries.count()
-        blocks = -(-n // QUERY_BLOCK) * 5 // 4 + 1 if n > QUERY_BLOCK else 1
-        parts = []
-        for b in range(blocks):
-            part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow()
-            if len(part):
-                v = np.array(part.column("v").to_pylist(), float)
-                parts.append(search_block(index, books, part.column("vec_id").to_numpy(), v, k))
-        found = empty
-        for part in parts:
-            found = found.unionByName(part)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    queries = index.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    n, n_queries = index.count(), queries.count()
+    asked = query_blocks(queries, max(1, -(-n_queries // QUERY_BLOCK)))
+    groups = max(-(-n // GROUP), min(LEAST_GROUPS, -(-n // BLOCK)))
+    found = search(index, books, asked, groups, k, shortlist).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
