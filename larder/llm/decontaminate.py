@@ -10,10 +10,11 @@ three tables:
 * windows: the words of each window, compared directly to confirm an occurrence.
 
 Documents stream past the tables in Arrow batches and are never shuffled.  The
-tables travel with the task, which Spark broadcasts.  Items are dealt by hash into slices of at most
-``SLICE_CHARS`` characters of normalised benchmark text, and documents pass one
-slice after another, so a larger benchmark makes more passes, not a larger
-broadcast.
+tables travel with the task, which Spark broadcasts.  Items are dealt by hash into
+slices of about ``SLICE_CHARS`` characters of benchmark text, and documents pass
+one slice after another; each pass is written to the shared folder before the
+next slice's tables are made.  So a larger benchmark makes more passes, not a
+larger driver, broadcast or plan.
 
 Edge cases: null or wordless documents have no words, no hit, and are not
 contaminated.  Null or wordless items have no windows.  Items with equal text
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from larder.llm.common import bound_batches
+from larder.llm.common import bound_batches, cut
 
 WINDOW = 13
 SLICE_CHARS = 16_000_000
@@ -93,13 +94,14 @@ def build_tables(items: list[tuple[str | None, str | None]], window: int = WINDO
     return [PatternSet(n, windows) for n, windows in sorted(by_length.items())]
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str, slice_chars: int) -> Iterator[list[tuple]]:
+def _slices(benchmark: DataFrame, id_col: str, text_col: str, slice_chars: int) -> Iterator[tuple[int, bool, list[tuple]]]:
+    """(number, whether more follow, items) of each slice."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
     total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // slice_chars) if total > slice_chars else 1)
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
-        yield [(r.i, r.t) for r in part.collect()]
+        yield k, k < n - 1, [(r.i, r.t) for r in part.collect()]
 
 
 def _passes(frame: DataFrame, tables, first: bool, share: int | None, text_col: str, keep_text: bool) -> DataFrame:
@@ -156,10 +158,10 @@ def mark_contamination(documents: DataFrame, benchmark: DataFrame, *, text_col:
     """``documents`` with hits, item ids and spans; contaminated: share * n_hit >= n_words and any hit."""
     bound_batches(documents.sparkSession)
     frame = documents.drop(*ARROW_OUT.names, "_n", "_spans", "_items")
-    slices = list(_slices(benchmark, item_id_col, item_text_col, slice_chars))
-    for k, items in enumerate(slices):
-        more = k < len(slices) - 1
+    for k, more, items in _slices(benchmark, item_id_col, item_text_col, slice_chars):
         frame = _passes(frame, build_tables(items, window), k == 0, None if more else share, text_col, keep_text or more)
+        if more:
+            frame = cut(frame)
     return frame
 
 
