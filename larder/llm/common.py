@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BROADCAST_ROWS = 200_000
@@ -86,6 +88,18 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8388608")
 
 
+def text_runs(texts: pa.Array, chars: int) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(start, stop, texts) for runs of about so many characters; a longer text is a run of its own."""
+    start = 0
+    while start < len(texts):
+        run, size = [], 0
+        while start + len(run) < len(texts) and size < chars:
+            run.append(texts[start + len(run)].as_py())
+            size += len(run[-1] or "")
+        yield start, start + len(run), run
+        start += len(run)
+
+
 _U = np.uint64
 _POWERS: list[np.ndarray] = []
 
@@ -118,3 +132,15 @@ def run_hashes(units: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     np.cumsum((units.astype(np.uint64) + _U(1)) * power[:n], out=sums[1:])
     length = (stops - starts).astype(np.uint64)
     return mixed((sums[stops] - sums[starts]) * inverse[starts] + mixed(length + _U(0x9E3779B97F4A7C15)))
+
+
+def runs_of(texts: list[str | None], member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of lower-cased code points that ``member`` (by code point) holds: the points of all texts, starts, stops, and runs of each text."""
+    points = [np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    first = np.cumsum([0] + [len(p) + 1 for p in points])
+    units = np.zeros(first[-1], np.uint32)  # texts end with a zero, which no run holds
+    for p, at in zip(points, first, strict=False):
+        units[at : at + len(p)] = p
+    edge = np.diff(np.concatenate(([False], member[units], [False])).astype(np.int8))
+    starts, stops = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    return units, starts, stops, np.diff(np.searchsorted(starts, first))

@@ -43,7 +43,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from larder.llm.common import Scratch, bound_batches, cut, mixed, run_hashes, small_side
+from larder.llm.common import Scratch, bound_batches, cut, mixed, run_hashes, runs_of, small_side
 
 BIGRAM_SHARE, CONTEXT_PULL, UNIGRAM_FLOOR = 0.6, 5.0, 0.5
 BATCH_TOKENS, RUN_CHARS = 500_000, 1_000_000
@@ -66,14 +66,8 @@ def alnum_table() -> np.ndarray:
 
 def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of ``texts`` in order, and each text's number of words."""
-    points = [np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    first = np.cumsum([0] + [len(p) + 1 for p in points])
-    units = np.zeros(first[-1], np.uint32)  # texts end with a zero, which is no part of a word
-    for p, at in zip(points, first, strict=False):
-        units[at : at + len(p)] = p
-    edge = np.diff(np.concatenate(([False], alnum_table()[units], [False])).astype(np.int8))
-    starts, stops = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-    return run_hashes(units, starts, stops), np.diff(np.searchsorted(starts, first))
+    units, starts, stops, lengths = runs_of(texts, alnum_table())
+    return run_hashes(units, starts, stops), lengths
 
 
 def packed(x: np.ndarray) -> bytes:

@@ -7,7 +7,7 @@ earlier outputs as good as it will meet on new texts.  The decision threshold of
 the last category is set on its own out-of-fold predictions.
 
 Features are the distinct lower-case words of a text and their first 4, 5 and 6
-letters, as present or absent.  Kept are those in at least ``MIN_SHARE`` and at
+letters, as present or absent, named by 64-bit hashes.  Kept are those in at least ``MIN_SHARE`` and at
 most ``MAX_SHARE`` of the training texts; each model uses those of them that
 differ between its classes (chi-square above ``LEAST_CHI`` on its own rows).
 
@@ -17,21 +17,20 @@ the sample's feature numbers only.  Scoring is one Arrow pass over whole texts.
 
 Edge cases: null texts and texts without a word are never toxic, with the
 probabilities of an empty text.  Label rows with a null in any category teach
-nothing; repeated labels of one document count once, as the larger.  A category
+nothing; repeated labels of one document count once, as the larger.  Repeated
+document rows teach as often as they occur and are judged alike; a probability
+equal to the threshold is toxic.  A category
 with one value only predicts its share.  Without labels nothing is toxic.
 Extra columns are kept, those named as an output column are replaced.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from larder.llm.common import bound_batches, cut
+from larder.llm.common import Scratch, bound_batches, mixed, run_hashes, runs_of, text_runs
 
 MAX_ROWS = 8000
 FOLDS = 3
@@ -39,17 +38,38 @@ MIN_SHARE, MAX_SHARE, MIN_TEXTS = 0.002, 0.3, 4
 LEAST_CHI = 12.0
 SLACK = 0.005
 ROUNDS, RATE, PULL = 300, 0.15, 3e-5
-WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
+RUN_CHARS = 1_000_000
+_LETTER: list[np.ndarray] = []
+
+
+def letter_table() -> np.ndarray:
+    """Which code points are letters, for words."""
+    if not _LETTER:
+        _LETTER.append(np.array([chr(c).isalnum() and not chr(c).isdecimal() for c in range(0x110000)]))
+    return _LETTER[0]
+
 
+def features_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, feature hash) of all words of ``texts`` and of their beginnings, with repeats."""
+    units, starts, stops, n = runs_of(texts, letter_table())
+    text = np.repeat(np.arange(len(texts)), n)
+    rows, found = [text], [run_hashes(units, starts, stops)]
+    for size in PREFIXES:
+        long = stops - starts >= size
+        rows.append(text[long])
+        found.append(mixed(run_hashes(units, starts[long], starts[long] + size) + np.uint64(size)))
+    return np.concatenate(rows), np.concatenate(found)
 
-def features_of(text: str | None) -> set[str]:
-    """Distinct words, and word beginnings marked by a leading hyphen."""
-    words = set(WORD.findall(text.lower())) if text else set()
-    found = set(words)
-    for n in PREFIXES:
-        found.update(["-" + w[:n] for w in words if len(w) >= n])
-    return found
+
+def numbered(texts: list[str | None], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, place in the sorted ``vocabulary``) of the distinct known features of each text, in order."""
+    text, found = features_of(texts)
+    if not len(vocabulary):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, found), len(vocabulary) - 1)
+    known = vocabulary[at] == found
+    return np.divmod(np.unique(text[known] * len(vocabulary) + at[known]), len(vocabulary))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -131,10 +151,10 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 class Chain:
-    """Fitted chain: vocabulary, one weight vector a category, and the last one's threshold."""
+    """Fitted chain: vocabulary (sorted hashes), one weight vector a category, and the last one's threshold."""
 
-    def __init__(self, categories: list[str], vocabulary: list[str], lists: list[np.ndarray], labels: np.ndarray, folds: np.ndarray):
-        self.categories, self.index = categories, {f: k for k, f in enumerate(vocabulary)}
+    def __init__(self, categories: list[str], vocabulary: np.ndarray, lists: list[np.ndarray], labels: np.ndarray, folds: np.ndarray):
+        self.categories, self.vocabulary = categories, vocabulary
         self.weights, earlier = [], np.zeros((len(lists), 0))
         p = np.zeros(len(lists))
         for k in range(len(categories)):
@@ -147,57 +167,61 @@ class Chain:
             p = _sigmoid(logits)
             earlier = np.column_stack([earlier, np.clip(logits, -6, 6)])
         self.threshold = best_threshold(p, labels[:, -1]) if len(lists) else 1.1
-        self.keys = self.index.keys()
 
-    def predict(self, text: str | None) -> tuple[list[float], bool]:
-        """Probabilities of the categories in chain order, and the decision on the last."""
-        found = features_of(text)
-        at = np.fromiter((self.index[f] for f in found & self.keys), np.int64)
-        p, earlier = [], []
-        for w in self.weights:
-            logit = float(w[at].sum() + w[-1] + sum(e * x for e, x in zip(earlier, w[len(self.index) :], strict=False)))
-            earlier.append(min(6.0, max(-6.0, logit)))
-            p.append(float(_sigmoid(np.float64(logit))))
-        return p, bool(found) and p[-1] >= self.threshold
+    def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, categories) probabilities in chain order, and the decision on the last."""
+        row, at = numbered(texts, self.vocabulary)
+        x = Sparse([], len(self.vocabulary), np.zeros((len(texts), 0)))
+        x.n, x.row, x.col = len(texts), row, at
+        p = np.zeros((len(texts), len(self.weights)))
+        for k, w in enumerate(self.weights):
+            logits = x.logits(w)
+            p[:, k] = _sigmoid(logits)
+            x.dense = np.column_stack([x.dense, np.clip(logits, -6, 6)])
+        wordless = runs_of(texts, letter_table())[3] == 0
+        return p, ~wordless & (p[:, -1] >= self.threshold)
 
 
 def _sample(documents: DataFrame, labels: DataFrame, categories: list[str], id_col: str, text_col: str, max_rows: int) -> DataFrame:
-    """(id, text, categories): labelled documents drawn by hash, cut in the shared folder."""
+    """(id, text, categories): labelled documents drawn by hash."""
     known = labels.where(F.col(id_col).isNotNull()).dropna(subset=categories).groupBy(id_col).agg(*(F.max(c).alias(c) for c in categories))
     drawn = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     rows = documents.select(id_col, text_col).join(F.broadcast(drawn), id_col)  # bounded by max_rows
-    return cut(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *categories))
+    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *categories)
 
 
-def _vocabulary(sample: DataFrame, n: int) -> list[str]:
+def _vocabulary(sample: DataFrame, n: int) -> np.ndarray:
     def count(batches):
-        seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text"):
-                seen.update(features_of(text.as_py()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
+            for _, _, texts in text_runs(batch.column("text"), RUN_CHARS):
+                text, found = features_of(texts)
+                value, place = np.unique(found, return_inverse=True)
+                of_text = np.unique(text * max(len(value), 1) + place) % max(len(value), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.bincount(of_text, minlength=len(value)))], names=["feature", "n"])
 
-    counted = sample.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = sample.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     kept = counted.where(F.col("n").between(max(MIN_TEXTS, int(MIN_SHARE * n)), max(MIN_TEXTS + 2, int(MAX_SHARE * n))))
-    return sorted(r.feature for r in kept.select("feature").collect())
+    return np.sort(kept.select("feature").toArrow().column("feature").to_numpy().view(np.uint64))
 
 
 def fit(documents: DataFrame, labels: DataFrame, categories: list[str], *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Chain:
     """A chain over ``categories`` (0/1 columns of ``labels``, in chain order)."""
     bound_batches(documents.sparkSession)
-    sample = _sample(documents, labels, categories, id_col, text_col, max_rows)
-    n = sample.count()
-    vocabulary = _vocabulary(sample, n)
-    index = {f: k for k, f in enumerate(vocabulary)}
-
-    def numbers(batches):
-        for batch in batches:
-            lists = [np.fromiter(sorted(index[f] for f in features_of(t.as_py()) & index.keys()), np.int32) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lists, pa.list_(pa.int32())), *(batch.column(c) for c in categories)], names=["id", "at", *categories])
-
-    schema = T.StructType([sample.schema["id"], *T.StructType.fromDDL("at array<int>"), *(sample.schema[c] for c in categories)])
-    rows = sample.mapInArrow(numbers, schema).withColumn("fold", F.pmod(F.hash("id"), F.lit(FOLDS))).orderBy("id").toArrow()
-    lists = [np.asarray(x, np.int64) for x in rows.column("at").to_pylist()]
+    with Scratch(documents.sparkSession) as work:
+        sample = work.cut(_sample(documents, labels, categories, id_col, text_col, max_rows))
+        vocabulary = _vocabulary(sample, sample.count())
+
+        def numbers(batches):
+            for batch in batches:
+                for start, stop, texts in text_runs(batch.column("text"), RUN_CHARS):
+                    row, at = numbered(texts, vocabulary)
+                    ends = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+                    part = batch.slice(start, stop - start)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32))), *(part.column(c) for c in categories)], names=["id", "at", *categories])
+
+        schema = T.StructType([sample.schema["id"], *T.StructType.fromDDL("at array<int>"), *(sample.schema[c] for c in categories)])
+        rows = sample.mapInArrow(numbers, schema).withColumn("fold", F.pmod(F.hash("id"), F.lit(FOLDS))).orderBy("id", *categories).toArrow()
+    lists = [x.values.to_numpy().astype(np.int64) for x in rows.column("at")]
     truth = np.column_stack([rows.column(c).to_numpy() for c in categories]).astype(float) if len(lists) else np.zeros((0, len(categories)))
     return Chain(categories, vocabulary, lists, truth, rows.column("fold").to_numpy())
 
@@ -212,9 +236,10 @@ def classify(documents: DataFrame, chain: Chain, *, text_col: str = "text", keep
 
     def judge(batches):
         for batch in batches:
-            got = [chain.predict(t.as_py()) for t in batch.column(text_col)]
-            made = [pa.array([p[k] for p, _ in got], pa.float64()) for k in range(len(outs) - 1)] + [pa.array([d for _, d in got], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, *outs])
+            for start, stop, texts in text_runs(batch.column(text_col), RUN_CHARS):
+                p, decided = chain.predict(texts)
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(np.ascontiguousarray(x)) for x in p.T), pa.array(decided)], names=[*kept, *outs])
 
     return frame.mapInArrow(judge, schema)
 
