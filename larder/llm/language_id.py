@@ -2,48 +2,58 @@
 
 For each language a character model of order ``ORDER`` is trained on labelled
 texts.  Texts are lower-cased, every run of characters that are not letters
-becomes one space, and letters outside the ``LETTERS`` most frequent ones share
-one symbol.  A model holds, for each order, the sorted 64-bit hashes of its
-n-grams and of its contexts with their log probabilities and back-off weights;
-lookups are binary searches.  A text gets the language with the lowest mean
-cross-entropy per character.
-
-Rejection is calibrated on the training texts: a text is rejected if it has no
-letter or if its cross-entropy lies above what ``REJECT_SHARE`` of the training
-texts of that language reach, by more than a margin that shrinks with the
-text's length.  The score is the probability that the decision is right, a
-logistic function of the gap to the runner-up fitted on training texts.
-
-Counting n-grams and scoring run in Arrow batches.  The training texts are a
-hash sample of at most about ``max_texts`` for each language (a documented
-bound); n-gram counts are summed by Spark.  The models are bounded by
-alphabet ** order and not by the input, and travel with the task.
+becomes one space, and every letter is a symbol if it is among the ``LETTERS``
+most frequent ones of some language, so each script has its own; other letters
+share one symbol.  A model holds, for each order, the sorted 64-bit hashes of
+its n-grams and of its contexts with their log probabilities and back-off
+weights; lookups are binary searches.  A text gets the language with the lowest
+mean cross-entropy per character.
+
+Rejection is calibrated on labelled texts that the models have not seen, whole
+and scored in one Spark pass: a text is rejected if it has no letter or if its
+cross-entropy lies more than ``REJECT_SLACK`` above what ``REJECT_SHARE`` of its
+language's calibration texts (of ``LONG`` symbols or more) reach, and by more
+than a margin that shrinks with the text's length.  A language without such
+texts takes the highest limit of the others.  The score is the probability that
+the decision is right, a logistic function of the gap to the runner-up fitted on
+the calibration texts.
+
+Counting n-grams and scoring run in Arrow batches.  The labelled texts used are
+hash samples of at most about ``max_texts`` for training and as many for
+calibration of each language (a documented bound; of fewer texts a fifth
+calibrates).  N-gram counts are summed by Spark.  The models are bounded by the
+sample and not by the input, and travel with the task.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and
 are rejected.  Null labels teach nothing.  With no labelled text at all every
-text is ``und``.  Repeated rows are scored alike.
+text is ``und``.  Languages that fit equally well are decided for the first by
+name.  Repeated rows are scored alike.  Extra columns are kept, those named as
+an output column are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from larder.llm.common import bound_batches
+from larder.llm.common import Scratch, bound_batches, text_runs
 
 ORDER = 4
-LETTERS = 62  #: with the space and the shared symbol 64 codes of 6 bits
-BITS = 6
+LETTERS = 1000  #: of each language
+BITS = 12  #: of a symbol; four make an n-gram's code
+MAX_SYMBOLS = (1 << BITS) - 2
 MAX_TEXTS = 6000
-CALIBRATION_TEXTS, CALIBRATION_CHARS = 250, 6_000
-REJECT_SHARE, REJECT_MARGIN = 0.999, 6.0
+REJECT_SHARE, REJECT_SLACK, REJECT_MARGIN, LONG = 0.999, 0.8, 6.0, 200
 BATCH_CHARS = 250_000
+#: N-grams whose losses a worker remembers.
+REMEMBERED = 1_000_000
 _U = np.uint64
 
 
 def _hashed(order: int, codes: np.ndarray) -> np.ndarray:
-    x = codes.astype(np.uint64) * _U(8) + _U(order)
+    x = codes * _U(8) + _U(order)
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
@@ -65,7 +75,7 @@ def letter_table() -> np.ndarray:
 
 def symbol_table(letters: list[int]) -> np.ndarray:
     """Code point to symbol: 0 for what is no letter, 1 for rare letters, then the alphabet."""
-    table = letter_table().astype(np.uint8)
+    table = letter_table().astype(np.uint16)
     for k, c in enumerate(letters):
         table[c] = k + 2
     return table
@@ -76,7 +86,7 @@ def symbols_of(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray,
     points = [code_points(t) if t else np.empty(0, np.uint32) for t in texts]
     sizes = np.array([len(p) + 1 for p in points])
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    flat = np.zeros(starts[-1], np.uint8)
+    flat = np.zeros(starts[-1], np.uint16)
     for p, s in zip(points, starts, strict=False):
         flat[s + 1 : s + 1 + len(p)] = table[p]
     keep = np.ones(len(flat), bool)
@@ -88,20 +98,25 @@ def symbols_of(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray,
 
 def grams_of(symbols: np.ndarray, order: int = ORDER) -> np.ndarray:
     """The code of the n-gram that ends at each symbol; what would reach before the first text is space."""
-    code = np.zeros(len(symbols), np.uint32)
+    code = np.zeros(len(symbols), np.uint64)
     for back in range(order - 1, -1, -1):
-        code <<= np.uint32(BITS)
+        code <<= _U(BITS)
         code[back:] |= symbols[: len(symbols) - back] if back else symbols
     return code
 
 
+def _last(codes: np.ndarray, k: int) -> np.ndarray:
+    """The codes of the last k symbols."""
+    return codes & _U((1 << (BITS * k)) - 1)
+
+
 def text_grams(symbols: np.ndarray, starts: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the n-grams of each text, none of them reaching into the text before; and where each text starts."""
     code = grams_of(symbols, order)
     for k in range(order - 1):  # near a start only what belongs to the text counts
         at = starts[:-1] + k
         at = at[at < starts[1:]]
-        code[at] &= np.uint32((1 << (BITS * (k + 1))) - 1)
+        code[at] = _last(code[at], k + 1)
     keep = np.ones(len(code), bool)
     keep[starts[:-1]] = False  # the leading space is given
     kept = np.concatenate(([0], np.cumsum(keep)))
@@ -115,21 +130,19 @@ class CharModel:
         self.order = order
         level: list[tuple[np.ndarray, np.ndarray]] = [(codes, counts.astype(float))]
         for k in range(order - 1, 0, -1):  # lower orders count the distinct symbols before
-            shorter, n = np.unique(level[0][0] & np.uint32((1 << (BITS * k)) - 1), return_counts=True)
+            shorter, n = np.unique(_last(level[0][0], k), return_counts=True)
             level.insert(0, (shorter, n.astype(float)))
         self.grams, self.contexts = [], []
-        below = np.full(1 << BITS, 1.0 / (1 << BITS))
         for k, (gram, n) in enumerate(level, 1):
             ones, twos = (n == 1).sum(), (n == 2).sum()
             discount = min(0.95, max(0.05, ones / (ones + 2 * twos) if ones else 0.5))
-            context, place = np.unique(gram >> np.uint32(BITS), return_inverse=True)
+            context, place = np.unique(gram >> _U(BITS), return_inverse=True)
             total = np.bincount(place, n)
             weight = discount * np.bincount(place) / total
-            lower = below[gram] if k == 1 else np.exp(self._log(k - 1, gram & np.uint32((1 << (BITS * (k - 1))) - 1)))
+            lower = np.exp(self._log(k - 1, _last(gram, k - 1)))
             logp = np.log(np.maximum(n - discount, 1e-9) / total[place] + weight[place] * lower)
             self.grams.append(self._sorted(k, gram, logp))
             self.contexts.append(self._sorted(k, context, np.log(weight)))
-        self.unseen = np.log(1.0 / (1 << BITS))
 
     @staticmethod
     def _sorted(order: int, codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +163,8 @@ class CharModel:
         out = value.astype(float)
         if not seen.all():
             miss = codes[~seen]
-            known, weight = self._find(self.contexts[k - 1], _hashed(k, miss >> np.uint32(BITS)))
-            out[~seen] = np.where(known, weight, 0) + self._log(k - 1, miss & np.uint32((1 << (BITS * (k - 1))) - 1))
+            known, weight = self._find(self.contexts[k - 1], _hashed(k, miss >> _U(BITS)))
+            out[~seen] = np.where(known, weight, 0) + self._log(k - 1, _last(miss, k - 1))
         return out
 
     def losses(self, codes: np.ndarray) -> np.ndarray:
@@ -159,26 +172,32 @@ class CharModel:
 
 
 class Scorer:
-    """Mean losses of texts under all models; n-grams met before are remembered in an array by code."""
+    """Mean losses of texts under all models; the losses of n-grams met before are remembered, up to REMEMBERED."""
 
     def __init__(self, letters: list[int], models: list[CharModel]):
         self.table, self.models = symbol_table(letters), models
-        self.row = np.full(1 << (BITS * ORDER), -1, np.int32)
-        self.held = np.empty((0, len(models)), np.float32)
-        self.used = 0
-
-    def _rows(self, codes: np.ndarray) -> np.ndarray:
-        rows = self.row[codes]
-        if (rows < 0).any():
-            new = np.unique(codes[rows < 0])
-            if self.used + len(new) > len(self.held):
-                self.held = np.concatenate([self.held, np.empty((max(len(new), len(self.held), 1 << 15), len(self.models)), np.float32)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.held = np.empty(0, np.uint64), np.empty((0, len(self.models)), np.float32)
+
+    def _losses(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct n-grams, models) losses, and the place of each of ``codes`` among them."""
+        place, distinct = pd.factorize(codes)
+        at = np.searchsorted(self.codes, distinct)
+        known = self.codes[np.minimum(at, max(len(self.codes) - 1, 0))] == distinct if len(self.codes) else np.zeros(len(distinct), bool)
+        out = np.empty((len(distinct), len(self.models)), np.float32)
+        out[known] = self.held[at[known]]
+        if not known.all():
+            new = distinct[~known]
             for k, model in enumerate(self.models):
-                self.held[self.used : self.used + len(new), k] = model.losses(new)
-            self.row[new] = np.arange(self.used, self.used + len(new))
-            self.used += len(new)
-            rows = self.row[codes]
-        return rows
+                out[~known, k] = model.losses(new)
+            if len(self.codes) + len(new) > REMEMBERED:
+                self._forget()
+            codes = np.concatenate([self.codes, new])
+            by = np.argsort(codes, kind="stable")
+            self.codes, self.held = codes[by], np.concatenate([self.held, out[~known]])[by]
+        return out, place
 
     def mean_losses(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, models) mean loss per character, and the number of characters; 0 where a text has no letter."""
@@ -189,39 +208,48 @@ class Scorer:
         means = np.zeros((len(texts), len(self.models)))
         full = np.nonzero(n)[0]
         if len(full):
-            rows = self._rows(codes)
+            losses, place = self._losses(codes)
             for k in range(len(self.models)):
-                sums = np.concatenate(([0.0], np.cumsum(self.held[:, k][rows], dtype=float)))
+                sums = np.concatenate(([0.0], np.cumsum(losses[:, k][place], dtype=float)))
                 means[full, k] = (sums[starts[full + 1]] - sums[starts[full]]) / n[full]
         return means, n
 
 
-def training_rows(documents: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, max_texts: int) -> DataFrame:
-    """(lang, text, draw): at most about ``max_texts`` rows of each language, drawn by hash."""
-    rows = documents.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, F.lit("draw")), F.lit(1 << 30)).alias("draw"))
+def labelled_rows(documents: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, max_texts: int) -> DataFrame:
+    """(lang, text, trains): at most about ``max_texts`` rows of each language that train, and as many that calibrate, drawn by hash."""
+    rows = documents.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(id_col, F.lit("draw")), F.lit(1 << 30)) / (1 << 30)).alias("draw"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
+    train, until = F.lit(0.0), F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_texts / n))).otherwise(share)
-    return rows.where(F.col("draw") < share * (1 << 30))
+        share = min(max_texts / n, 0.8) if n >= 5 else 1.0
+        train = F.when(F.col("lang") == lang, F.lit(share)).otherwise(train)
+        until = F.when(F.col("lang") == lang, F.lit(share + max_texts / n)).otherwise(until)
+    return rows.where(F.col("draw") < until).select("lang", "text", (F.col("draw") < train).alias("trains"))
 
 
 def _counted_letters(rows: DataFrame) -> list[int]:
+    """The letters that are among the LETTERS most frequent ones of a language, frequent ones first; at most MAX_SYMBOLS."""
+
     def count(batches):
-        total = np.zeros(0x110000, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                n = np.bincount(code_points(text.as_py()))
-                total[: len(n)] += n
-        found = np.nonzero(total * letter_table())[0]
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total[found])], names=["letter", "n"])
+            langs = batch.column("lang").to_pylist()
+            for lang in sorted(set(langs)):
+                total = np.zeros(0x110000, np.int64)
+                for text, of in zip(batch.column("text"), langs, strict=True):
+                    if of == lang:
+                        n = np.bincount(code_points(text.as_py()))
+                        total[: len(n)] += n
+                found = np.nonzero(total * letter_table())[0]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(total[found])], names=["lang", "letter", "n"])
 
-    counted = rows.select("text").mapInArrow(count, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    return [r.letter for r in counted.orderBy(F.desc("n"), "letter").limit(LETTERS).collect()]
+    counted = rows.select("lang", "text").mapInArrow(count, "lang string, letter long, n long").groupBy("lang", "letter").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "letter"))
+    kept = counted.withColumn("place", place).where(F.col("place") <= LETTERS).groupBy("letter").agg(F.sum("n").alias("n"))
+    return [r.letter for r in kept.orderBy(F.desc("n"), "letter").limit(MAX_SYMBOLS).collect()]
 
 
 def _counted_grams(rows: DataFrame, letters: list[int]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For each language the codes of its n-grams and their counts (at most alphabet ** order)."""
+    """For each language the codes of its n-grams and their counts (bounded by the sample)."""
 
     def count(batches):
         table = symbol_table(letters)
@@ -235,9 +263,12 @@ def _counted_grams(rows: DataFrame, letters: list[int]) -> dict[str, tuple[np.nd
 
     counted = rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counted.toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
-    langs = np.array(got.column("lang").to_pylist(), dtype=object)
-    gram, n = got.column("gram").to_numpy().astype(np.uint32), got.column("n").to_numpy()
-    return {lang: (gram[langs == lang], n[langs == lang]) for lang in sorted(set(langs))}
+    gram, n = got.column("gram").to_numpy().astype(np.uint64), got.column("n").to_numpy()
+    langs = got.column("lang").combine_chunks().dictionary_encode()
+    code, out = langs.indices.to_numpy(), {}
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        out[lang] = gram[code == k], n[code == k]
+    return out
 
 
 def _decisions(means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,42 +283,44 @@ def _decisions(means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Identifier:
     """Fitted models with their calibration; :meth:`predict` judges a list of texts."""
 
-    def __init__(self, letters, langs, models, sample: list[tuple[str, str]]):
+    def __init__(self, letters: list[int], langs: list[str], models: list[CharModel]):
         self.letters, self.langs, self.models = letters, langs, models
         self.limits = np.full(len(langs), np.inf)
         self.slope, self.shift = 8.0, 0.0
         self._scorer = None
-        if not sample:
-            return
-        means, n = self.scorer().mean_losses([t for _, t in sample])
-        truth = np.array([langs.index(x) for x, _ in sample])
-        best, lead = _decisions(means)
-        for k in range(len(langs)):
-            own = means[(truth == k) & (best == k) & (n >= 200), k]
+
+    def calibrate(self, truth: np.ndarray, best: np.ndarray, lead: np.ndarray, loss: np.ndarray, n: np.ndarray) -> None:
+        """Limits and score curve from texts of known languages: their decisions, leads, losses and lengths."""
+        for k in range(len(self.langs)):
+            own = loss[(truth == k) & (best == k) & (n >= LONG)]
             if len(own):
-                self.limits[k] = np.quantile(own, REJECT_SHARE) + 0.8
-        right, w, b = (best == truth)[n > 0].astype(float), 8.0, 0.0
-        x = lead[n > 0]
-        for _ in range(200):  # logistic fit of "right" on the lead, with a weak pull to the start
+                self.limits[k] = np.quantile(own, REJECT_SHARE) + REJECT_SLACK
+        if np.isfinite(self.limits).any():
+            self.limits[np.isinf(self.limits)] = self.limits[np.isfinite(self.limits)].max()
+        right, w, b, x = (best == truth).astype(float), 8.0, 0.0, lead
+        for _ in range(200 if len(x) else 0):  # logistic fit of "right" on the lead, with a weak pull to the start
             p = 1 / (1 + np.exp(-np.clip(w * x + b, -40, 40)))
             w -= 2.0 * (((p - right) * x).mean() + 1e-3 * (w - 8))
             b -= 2.0 * ((p - right).mean() + 1e-3 * b)
         self.slope, self.shift = max(w, 0.1), b
-        self._scorer = None
 
     def scorer(self) -> Scorer:
         if self._scorer is None:
             self._scorer = Scorer(self.letters, self.models)
         return self._scorer
 
+    def decide(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """Best language, its lead, its loss and the number of symbols (0: no letter) of each text."""
+        means, n = self.scorer().mean_losses(texts)
+        best, lead = _decisions(means)
+        return best, lead, means[np.arange(len(texts)), best], n
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        means, n = self.scorer().mean_losses(texts)
-        best, lead = _decisions(means)
+        best, lead, loss, n = self.decide(texts)
         score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(self.slope * lead + self.shift, -40, 40))), 0.0)
-        loss = means[np.arange(len(texts)), best]
         rejected = (n == 0) | (loss > self.limits[best] + REJECT_MARGIN / np.sqrt(np.maximum(n, 1)))
         return [self.langs[k] if m else "und" for k, m in zip(best, n, strict=True)], score, rejected
 
@@ -295,12 +328,27 @@ class Identifier:
 def fit(documents: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_texts: int = MAX_TEXTS) -> Identifier:
     """Models of every language among the rows for which ``learn`` holds."""
     bound_batches(documents.sparkSession)
-    rows = training_rows(documents, id_col, text_col, lang_col, learn, max_texts)
-    letters = _counted_letters(rows)
-    counted = _counted_grams(rows, letters)
-    langs = sorted(counted)
-    sample = [(r.lang, r.text) for lang in langs for r in rows.where(F.col("lang") == lang).select("lang", F.substring("text", 1, CALIBRATION_CHARS).alias("text"), "draw").orderBy("draw", "text").limit(CALIBRATION_TEXTS).select("lang", "text").collect()]
-    return Identifier(letters, langs, [CharModel(*counted[x]) for x in langs], sample)
+    with Scratch(documents.sparkSession) as work:
+        rows = work.cut(labelled_rows(documents, id_col, text_col, lang_col, learn, max_texts))
+        train = rows.where("trains")
+        letters = _counted_letters(train)
+        counted = _counted_grams(train, letters)
+        langs = sorted(counted)
+        model = Identifier(letters, langs, [CharModel(*counted[x]) for x in langs])
+
+        def decide(batches):
+            place = {x: k for k, x in enumerate(langs)}
+            for batch in batches:
+                for start, stop, texts in text_runs(batch.column("text"), BATCH_CHARS):
+                    best, lead, loss, n = model.decide(texts)
+                    truth = np.array([place.get(x.as_py(), -1) for x in batch.column("lang").slice(start, stop - start)])
+                    use = n > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (truth, best, lead, loss, n)], names=["truth", "best", "lead", "loss", "n"])
+
+        if langs:
+            got = rows.where("not trains").select("lang", "text").mapInArrow(decide, "truth long, best long, lead double, loss double, n long").toArrow()
+            model.calibrate(*(got.column(c).to_numpy() for c in ("truth", "best", "lead", "loss", "n")))
+    return model
 
 
 def identify(documents: DataFrame, model: Identifier, *, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -313,26 +361,10 @@ def identify(documents: DataFrame, model: Identifier, *, text_col: str = "text",
 
     def judge(batches):
         for batch in batches:
-            lang, score, rejected, part, size = [], [], [], [], 0
-            texts = batch.column(text_col)
-
-            def flush(part=part):
-                if part:
-                    a, b, c = model.predict(part)
-                    lang.extend(a)
-                    score.append(b)
-                    rejected.append(c)
-                    part.clear()
-
-            for t in texts:
-                part.append(t.as_py())
-                size += len(part[-1] or "")
-                if size > BATCH_CHARS:
-                    flush()
-                    size = 0
-            flush()
-            made = [pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64()), pa.array(np.concatenate(rejected) if rejected else [], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "lang_pred", "score", "rejected"])
+            for start, stop, texts in text_runs(batch.column(text_col), BATCH_CHARS):
+                lang, score, rejected = model.predict(texts)
+                part = batch.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*kept, "lang_pred", "score", "rejected"])
 
     return frame.mapInArrow(judge, schema)
 
