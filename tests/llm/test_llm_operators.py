@@ -276,7 +276,7 @@ def test_warc_round_trip(spark, tmp_path):
 # nearest neighbours
 
 
-def test_nearest(spark):
+def test_nearest(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(900, 16))
     x[200:500] = x[200]  # one vector that a third of the rows share
@@ -293,6 +293,16 @@ def test_nearest(spark):
         hits += len(set(want) & set(g.vec_id))
         assert g["rank"].tolist() == list(range(1, 21)) and np.allclose(g.score, s[g.vec_id])
     assert hits / (45 * 20) >= 0.9
+    again = ann.nearest(table, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id").collect()
+    monkeypatch.setattr(ann, "BLOCK", 256)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(ann, "GROUP", 200)
+    split = ann.nearest(table, F.col("vec_id") % 20 == 0, shortlist=256).toPandas()
+    assert len(split) == len(again)
+    for q, g in split.groupby("query_id"):  # shortlists as large as blocks make the search exact
+        s = np.einsum("d,nd->n", x[q], x)
+        s[q] = -np.inf
+        assert g.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(900), -s))[:20].tolist()
     few = ann.nearest(table.limit(4), F.col("vec_id") == 0).collect()
     assert [r.vec_id for r in few] and len(few) == 3
     assert ann.nearest(table.limit(0), F.col("vec_id") == 0).count() == 0
@@ -333,12 +343,76 @@ def test_held_out_is_crc32(spark):
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
 
 
-def test_kneser_ney_sums_to_one():
-    codes, counts = np.unique(np.random.default_rng(0).integers(0, 1 << 24, 3000).astype(np.uint32), return_counts=True)
+def plain_kneser_ney(texts, order=4):
+    """log P(symbol | up to three before) by counters of tuples; what reaches before a text is space (0)."""
+    levels = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        t = [0] * (order) + t
+        for i in range(order, len(t)):
+            levels[order][tuple(t[i - order + 1 : i + 1])] += 1
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    discounts = [0.0]
+    for k in range(1, order + 1):
+        ones, twos = (sum(1 for n in levels[k].values() if n == x) for x in (1, 2))
+        discounts.append(min(0.95, max(0.05, ones / (ones + 2 * twos) if ones else 0.5)))
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (1 << language_id.BITS)
+        same = {g: n for g, n in levels[k].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return p(gram[1:])
+        total = sum(same.values())
+        return max(same.get(gram, 0) - discounts[k], 0) / total + discounts[k] * len(same) / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_equals_plain_counters():
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(2, 9, 40).tolist() for _ in range(12)]
+    flat = np.concatenate([[0, *t] for t in texts]).astype(np.uint16)
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    codes, counts = np.unique(language_id.text_grams(flat, starts)[0], return_counts=True)
     model = language_id.CharModel(codes, counts)
-    for context in (int(codes[0]) >> 6, 12345):
-        p = np.exp(model._log(4, (np.uint32(context) << np.uint32(6)) | np.arange(64, dtype=np.uint32)))
-        assert abs(p.sum() - 1) < 1e-3
+    p = plain_kneser_ney(texts)
+    for gram in [*rng.integers(0, 12, (60, 4)).tolist(), texts[0][:4], texts[3][5:9], [0, 0, 0, 3], [0, 2, 3, 4]]:
+        code = sum(x << (language_id.BITS * k) for k, x in enumerate(reversed(gram)))
+        assert abs(model.losses(np.array([code], np.uint64))[0] + np.log(p(tuple(gram)))) < 1e-5
+    for context in (int(codes[0]) >> language_id.BITS, 12345):
+        every = (np.uint64(context) << np.uint64(language_id.BITS)) | np.arange(1 << language_id.BITS, dtype=np.uint64)
+        assert abs(np.exp(-model.losses(every)).sum() - 1) < 1e-3
+
+
+def test_remembered_losses_change_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdefg "), 300)) for _ in range(20)] + [None, "", "x"]
+    letters = [ord(c) for c in "abcdefg"]
+    codes, counts = np.unique(language_id.text_grams(*language_id.symbols_of(texts[:10], language_id.symbol_table(letters)))[0], return_counts=True)
+    models = [language_id.CharModel(codes, counts), language_id.CharModel(codes[::2], counts[::2])]
+    whole = language_id.Scorer(letters, models).mean_losses(texts)
+    monkeypatch.setattr(language_id, "REMEMBERED", 50)
+    small = language_id.Scorer(letters, models)
+    parts = [small.mean_losses([t]) for t in texts]
+    assert np.allclose(whole[0], np.concatenate([p[0] for p in parts])) and (whole[1] == np.concatenate([p[1] for p in parts])).all()
+
+
+def test_scripts_keep_their_letters(spark):
+    rng = np.random.default_rng(3)
+    scripts = {"ru": "абвгдежзийклмнопрстуфхцчшщ", "el": "αβγδεζηθικλμνξοπρστυφχψω", "en": "abcdefghijklmnopqrstuvwxyz", "uk": "абвгґдеєжзиіїйклмнопрстуфхцчшщ"}
+    rows = []
+    for i in range(160):
+        lang = list(scripts)[i % 4]
+        letters = list(scripts[lang])
+        share = np.arange(1, len(letters) + 1) ** (1.5 if lang == "uk" else -1.0)
+        rows.append((i, " ".join("".join(rng.choice(letters, 6, p=share / share.sum())) for _ in range(40)), lang, "s", 1))
+    table = spark.createDataFrame(rows, DOCS)
+    model = language_id.fit(table, learn=F.col("doc_id") < 120)
+    assert {ord(c) for text in scripts.values() for c in text[:5]} <= set(model.letters)
+    got = language_id.identify(table.where("doc_id >= 120"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) == 40
 
 
 # toxicity
@@ -368,6 +442,40 @@ def test_toxicity(spark):
     assert toxicity.classify(table.limit(0), chain).count() == 0
 
 
+def brute_features(text):
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    return words | {"-" + w[:n] for w in words for n in toxicity.PREFIXES if len(w) >= n}
+
+
+def test_toxicity_equals_a_plain_chain(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{chr(97 + rng.integers(26))}" + "tail" * int(rng.integers(0, 3)) for _ in range(12)) + (" Vile1thing" if i % 4 == 0 else "") for i in range(120)]
+    texts += [None, "", "123 _ !", "ÀÉ vile_thing x²"]
+    table = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 4 == 0)) for i in range(120)], "doc_id long, low int, toxic int")
+    chain = toxicity.fit(table, labels, ["low", "toxic"])
+    counts = Counter(f for t in texts[:120] for f in brute_features(t))
+    kept = {f for f, n in counts.items() if 4 <= n <= max(6, int(0.3 * 120))}
+    assert len(chain.vocabulary) == len(kept)
+    number = {f: int(h) for f in kept for h in [toxicity.features_of([f.lstrip("-")])[1][0]] if not f.startswith("-")}
+    place = {f: int(np.searchsorted(chain.vocabulary, np.uint64(h))) for f, h in number.items()}
+    prefixes = {}
+    for f in kept:
+        if f.startswith("-"):
+            row, found = toxicity.features_of([f[1:]])
+            prefixes[f] = int(np.searchsorted(chain.vocabulary, found[1 + [n for n in toxicity.PREFIXES].index(len(f) - 1)]))
+    place |= prefixes
+    assert len(set(place.values())) == len(kept)
+    p, decided = chain.predict(texts)
+    for i, t in enumerate(texts):
+        at, earlier = [place[f] for f in brute_features(t) & kept], []
+        for k, w in enumerate(chain.weights):
+            logit = w[at].sum() + w[-1] + sum(e * x for e, x in zip(earlier, w[len(kept) : -1]))
+            assert abs(p[i, k] - 1 / (1 + np.exp(-logit))) < 1e-9
+            earlier.append(np.clip(logit, -6, 6))
+        assert decided[i] == (bool(brute_features(t)) and p[i, -1] >= chain.threshold)
+
+
 # language-model scores
 
 
