@@ -47,7 +47,7 @@ def micro_unit(key: Column) -> Column:
 
 def number_text(value: Column) -> Column:
     """Whole numbers without decimals, others with one."""
-    return F.when(value % 1 == 0, value.cast("long").cast("string")).otherwise(F.format_string("%.1f", value))
+    return F.when(value % 1 == 0, value.cast("long").cast("string")).when(value.isNotNull(), F.format_string("%.1f", value))
 
 
 def time_and_difficulty(steps: Column, linked: Column) -> tuple[Column, Column]:

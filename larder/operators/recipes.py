@@ -26,10 +26,15 @@ def recipe_totals(recipes: DataFrame, linked: DataFrame) -> DataFrame:
     return rows.select("id", *((F.coalesce(F.col(m), F.lit(0.0)) / serves).alias(m) for m in MACROS), score.alias("health_score"))
 
 
+def last_swaps(swaps: DataFrame) -> DataFrame:
+    """food_id, swap_id: of several choices for one food the later (column seq, if there is one)."""
+    order = "seq" if "seq" in swaps.columns else "swap_id"
+    return swaps.groupBy("food_id").agg(F.max_by("swap_id", order).alias("swap_id"))
+
+
 def recipe_totals_with_swaps(recipes: DataFrame, ingredients: DataFrame, foods: DataFrame, swaps: DataFrame) -> DataFrame:
     """As :func:`recipe_totals` with each food replaced by its swap (food_id, swap_id)."""
-    chosen = swaps.select("food_id", "swap_id").dropDuplicates(["food_id"])
-    swapped = ingredients.join(chosen, "food_id", "left").withColumn("food_id", F.coalesce("swap_id", "food_id")).drop("swap_id")
+    swapped = ingredients.join(last_swaps(swaps), "food_id", "left").withColumn("food_id", F.coalesce("swap_id", "food_id")).drop("swap_id")
     return recipe_totals(recipes, linked_ingredients(swapped, foods))
 
 
@@ -69,7 +74,7 @@ def shopping_list(recipes: DataFrame, ingredients: DataFrame, servings: int, swa
     """Items of a list for ``servings`` of each recipe, foods swapped if swaps are given."""
     rows = ingredients.join(recipes.select(F.col("id").alias("recipe_id"), F.col("name").alias("recipe_name"), "serves"), "recipe_id")
     if swaps is not None:
-        rows = rows.join(swaps.select("food_id", "swap_id").dropDuplicates(["food_id"]), "food_id", "left").withColumn("food_id", F.coalesce("swap_id", "food_id"))
+        rows = rows.join(last_swaps(swaps), "food_id", "left").withColumn("food_id", F.coalesce("swap_id", "food_id"))
     scale = F.lit(float(servings)) / F.coalesce(F.nullif(F.col("serves"), F.lit(0)), F.lit(1))
     quantity = F.when(F.col("grams") > 0, F.col("grams") * scale)
     return rows.select("recipe_id", "sort_order", "food_id", "raw_text", "recipe_name", F.lit(1.0).alias("confidence"), F.lit("recipe").alias("source"), quantity.alias("quantity"), F.when(quantity.isNotNull(), "g").alias("unit"))

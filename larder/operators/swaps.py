@@ -144,20 +144,22 @@ def _scored(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("s.id").alias("food_id"), F.col("c.id").alias("swap_id"), F.col("c.row_ord").alias("ord"), F.col("c.swiss_category").alias("swap_category"), (swap_score("s", "c") * (quality + 0.5)).alias("score"))
 
 
-def top_swaps(foods: DataFrame, k: int = 3, diets: list[str] | None = None) -> DataFrame:
-    """food_id, swap_id, score, rank: the k best swaps of each food, ties to the earlier candidate.
+def top_swaps(foods: DataFrame, k: int = 3, diets: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """food_id, swap_id, score, rank: the k best swaps of each food (of ``sources`` only, column food_id), ties to the earlier candidate.
 
     A candidate shares the food's category, or its group; in strict groups also
     its branch.  Both ways are equi joins, and a pair of one category comes by
     the first only.
     """
     featured = food_features(foods)
-    sources = featured.where("health_score < 80")
+    wanted = featured.where("health_score < 80")
+    if sources is not None:
+        wanted = wanted.join(sources.select(F.col("food_id").alias("id")).distinct(), "id", "left_semi")
     candidates = featured.where(~F.col("restricted") & diet_allows(F.col("category"), diets or []))
     better = (F.col("c.health_score") >= F.col("s.health_score") + 10) & (F.col("c.id") != F.col("s.id"))
     strict = F.col("s.eq_group").isin(W.STRICT_GROUPS)
     branch = ~strict | ((F.col("s.branch") == F.col("c.branch")) & (F.col("s.branch") != ""))
-    s, c = sources.alias("s"), candidates.alias("c")
+    s, c = wanted.alias("s"), candidates.alias("c")
     liquid = F.col("c.liquid") == F.col("s.liquid")
     one = _scored(s.join(c, (F.col("c.swiss_category") == F.col("s.swiss_category")) & liquid & better))
     two = _scored(s.join(c, (F.col("c.eq_group") == F.col("s.eq_group")) & liquid & (F.col("c.swiss_category") != F.col("s.swiss_category")) & better & branch))

@@ -7,8 +7,12 @@ the driver tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from larder.functions.words import MICRO_TARGETS
+
 #: word, German name, category, swiss category
 FOODS = [
     ("whole milk 3.5%", "Vollmilch 3,5 % Fett", "Dairy", "Milk and dairy products/Milk"),
@@ -124,15 +128,23 @@ SELECT id AS line_id,
 FROM ({CATALOG})
 """
 
+#: Micronutrients one row each: absent for a ninth of the foods, zero for some.
+MICROS = f"""
+SELECT id, CASE k {' '.join(f"WHEN {k} THEN '{name}'" for k, (name, _, _) in enumerate(MICRO_TARGETS))} END AS nutrient,
+       CASE WHEN (p_partkey + k) % 9 = 0 THEN NULL WHEN (p_partkey * 3 + k) % 11 = 0 THEN 0 ELSE CAST((p_partkey * (2 * k + 3)) % 500 AS DOUBLE) / 10 END AS amount
+FROM (SELECT CAST(p_partkey AS STRING) AS id, p_partkey, <numbers to {len(MICRO_TARGETS) - 1}> AS k FROM {{part}})
+"""
+_NUMBERS = re.compile(r"<numbers to (\d+)>")
+
 _TABLES = ("supplier", "part", "orders", "lineitem", "events", "customer", "documents", "benchmark", "labels", "conversations", "pages", "embeddings")
 
 
 def duck(sql: str) -> str:
     """The adapter as a subquery over DuckDB's views."""
-    return "(" + sql.format(**{t: t for t in _TABLES}) + ")"
+    return "(" + _NUMBERS.sub(r"unnest(range(\1 + 1))", sql).format(**{t: t for t in _TABLES}) + ")"
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The adapter as a DataFrame over the tables in ``sf_dir``."""
     used = [t for t in _TABLES if "{" + t + "}" in sql]
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(_NUMBERS.sub(r"explode(sequence(0, \1))", sql), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})

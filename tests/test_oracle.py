@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from larder.plans import catalog_queries
+from larder.plans import screen_queries as catalog_queries
 
 SF = "/root/testdata/sf0.001"
 
