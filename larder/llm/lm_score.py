@@ -46,11 +46,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from larder.llm.common import Scratch, bound_batches, cut, mixed, run_hashes, runs_of, small_side
 
 BIGRAM_SHARE, CONTEXT_PULL, UNIGRAM_FLOOR = 0.6, 5.0, 0.5
-BATCH_TOKENS, RUN_CHARS = 500_000, 1_000_000
+BATCH_TOKENS, RUN_CHARS = 800_000, 1_000_000
 #: Bits of the hashes of n-grams; the first ones tell the part.
 HASH_BITS = 60
 #: Part sizes follow from this many tokens for each part of the hash range.
 TOKENS_PER_PART = 1_500_000
+#: Of each n-gram its number, and the number of words that follow it (0 for pairs), in all texts and in the target's.
+COUNTS = ["n_all", "after_all", "n_target", "after_target"]
+PART_DDL = "p int, batch long, grams binary, " + ", ".join(f"{c} binary" for c in COUNTS)
 OUTS = ["n_tokens", "target_loss", "background_loss", "score"]
 _U = np.uint64
 _START = _U(0x5DEECE66D)
@@ -91,7 +94,7 @@ def unpacked_hashes(raw) -> np.ndarray:
 
 
 class Grams:
-    """The distinct n-grams of one batch: words, contexts and pairs, by number and by hash."""
+    """The distinct n-grams of one batch by number and by hash: its words with the start symbol, and its pairs."""
 
     def __init__(self, words: np.ndarray, ids: np.ndarray, lengths: np.ndarray):
         self.n_words, self.ids = len(words), ids
@@ -99,27 +102,28 @@ class Grams:
         self.before = np.concatenate(([self.n_words], ids[:-1]))[: len(ids)]
         self.before[(np.cumsum(lengths) - lengths)[lengths > 0]] = self.n_words
         self.pairs, self.pair = np.unique(self.before * (self.n_words + 1) + ids, return_inverse=True)
-        context = mixed(np.append(words, _START) ^ _U(0xA24BAED4963EE407))
+        symbols = np.append(words, _START)
         prev, word = np.divmod(self.pairs, self.n_words + 1)
-        hashes = np.concatenate([mixed(words), context, mixed(context[prev] * _U(0x9FB21C651E98DF25) + words[word])]) >> _U(64 - HASH_BITS)
+        hashes = np.concatenate([mixed(symbols), mixed(mixed(symbols[prev] ^ _U(0xA24BAED4963EE407)) * _U(0x9FB21C651E98DF25) + symbols[word])]) >> _U(64 - HASH_BITS)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
 
-    def counts(self, weight: np.ndarray | None = None) -> np.ndarray:
-        """How often the batch has each n-gram, in the order of the hashes."""
-        sums = [np.bincount(x, weight, n) for x, n in ((self.ids, self.n_words), (self.before, self.n_words + 1), (self.pair, len(self.pairs)))]
-        return np.concatenate(sums).astype(np.int64)[self.order]
+    def counts(self, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """How often the batch has each n-gram, and how often a word follows it, in the order of the hashes."""
+        n = [np.bincount(self.ids, weight, self.n_words + 1), np.bincount(self.pair, weight, len(self.pairs))]
+        after = [np.bincount(self.before, weight, self.n_words + 1), np.zeros(len(self.pairs))]
+        return tuple(np.concatenate(x).astype(np.int64)[self.order] for x in (n, after))
 
-    def spread(self, totals: np.ndarray) -> list[np.ndarray]:
-        """Totals in the order of the hashes, as one for each token: of its word, its context and its pair."""
-        by_number = np.empty(len(totals), totals.dtype)
-        by_number[self.order] = totals
-        return [by_number[: self.n_words][self.ids], by_number[self.n_words : 2 * self.n_words + 1][self.before], by_number[2 * self.n_words + 1 :][self.pair]]
+    def spread(self, n: np.ndarray, after: np.ndarray) -> list[np.ndarray]:
+        """Totals in the order of the hashes, as one for each token: of its word, of words after its context, and of its pair."""
+        by_number = np.empty((2, len(n)), np.int64)
+        by_number[0, self.order], by_number[1, self.order] = n, after
+        return [by_number[0][self.ids], by_number[1][self.before], by_number[0, self.n_words + 1 :][self.pair]]
 
     def own(self) -> list[np.ndarray]:
         """For each token, how often its own text has its word, its context and its pair."""
         out = []
-        for x, n in ((self.ids, self.n_words), (self.before, self.n_words + 1), (self.pair, max(len(self.pairs), 1))):
+        for x, n in ((self.ids, self.n_words + 1), (self.before, self.n_words + 1), (self.pair, max(len(self.pairs), 1))):
             place, times = np.unique(self.text * n + x, return_inverse=True, return_counts=True)[1:]
             out.append(times[place])
         return out
@@ -182,24 +186,23 @@ def _rows(batch: pa.RecordBatch):
 
 
 def requests(encoded: DataFrame, bits: int) -> DataFrame:
-    """(p, batch, grams, n_all, n_target): the n-grams of each batch by part of the hash range."""
+    """(p, batch, grams and COUNTS): the n-grams of each batch by part of the hash range."""
 
     def ask(batches):
         for batch in batches:
             for row in _rows(batch):
                 grams, docs = _grams_of(row)
-                n_all = grams.counts()
                 target = docs.field("_target").to_numpy(zero_copy_only=False).astype(float)
-                n_target = grams.counts(target[grams.text]) if target.any() else np.zeros_like(n_all)
+                counts = (*grams.counts(), *grams.counts(target[grams.text]))
                 part = (grams.hashes >> _U(HASH_BITS - bits)).astype(np.int64)
                 edges = [0, *(np.nonzero(np.diff(part))[0] + 1), len(part)]
                 spans = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([part[a] for a, _ in spans], pa.int32()), pa.array([row["batch"].as_py()] * len(spans), pa.int64()),
-                    *(pa.array([make(x[a:b]) for a, b in spans], pa.binary()) for make, x in ((packed_hashes, grams.hashes), (packed, n_all), (packed, n_target))),
-                ], names=["p", "batch", "grams", "n_all", "n_target"])
+                    *(pa.array([make(x[a:b]) for a, b in spans], pa.binary()) for make, x in ((packed_hashes, grams.hashes), *((packed, c) for c in counts))),
+                ], names=["p", "batch", "grams", *COUNTS])
 
-    return encoded.select("batch", "words", "ids", "docs").mapInArrow(ask, "p int, batch long, grams binary, n_all binary, n_target binary")
+    return encoded.select("batch", "words", "ids", "docs").mapInArrow(ask, PART_DDL)
 
 
 def _parts(asked: DataFrame, work):
@@ -217,19 +220,19 @@ def _parts(asked: DataFrame, work):
         if held:
             yield work(held)
 
-    return asked.repartition("p").sortWithinPartitions("p", "batch").mapInArrow(run, "p int, batch long, grams binary, n_all binary, n_target binary")
+    return asked.repartition("p").sortWithinPartitions("p", "batch").mapInArrow(run, PART_DDL)
 
 
 def _summed(held: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Distinct hashes of a part, each entry's place among them, the entries' counts and the hashes' totals."""
     grams, place = np.unique(np.concatenate([unpacked_hashes(r["grams"]) for r in held]), return_inverse=True)
-    own = [np.concatenate([unpacked(r[c]) for r in held]) for c in ("n_all", "n_target")]
+    own = [np.concatenate([unpacked(r[c]) for r in held]) for c in COUNTS]
     return grams, place, own, [np.bincount(place, x, len(grams)).astype(np.int64) for x in own]
 
 
 def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["p", "batch", "grams", "n_all", "n_target"])
+    types = [pa.int32(), pa.int64()] + [pa.binary()] * (1 + len(COUNTS))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["p", "batch", "grams", *COUNTS])
 
 
 def corpus_totals(asked: DataFrame) -> DataFrame:
@@ -259,7 +262,7 @@ def table_totals(asked: DataFrame, tables: DataFrame) -> DataFrame:
     def answer(held):
         known = next((r for r in held if r["batch"] is None), None)
         grams = unpacked_hashes(known["grams"]) if known else np.empty(0, np.uint64)
-        totals = [np.append(unpacked(known[c]) if known else [], 0).astype(np.int64) for c in ("n_all", "n_target")]
+        totals = [np.append(unpacked(known[c]) if known else [], 0).astype(np.int64) for c in COUNTS]
         rows = []
         for r in held:
             if r["batch"] is not None:
@@ -267,7 +270,7 @@ def table_totals(asked: DataFrame, tables: DataFrame) -> DataFrame:
                 at = np.searchsorted(grams, own)
                 at[np.append(grams, _U(0))[at] != own] = len(grams)
                 rows.append((r["p"], r["batch"], None, *(packed(t[at]) for t in totals)))
-        return _batch_of(rows) if rows else _batch_of([(0, 0, None, None, None)]).slice(0, 0)
+        return _batch_of(rows) if rows else _batch_of([(0, 0, None, *[None] * len(COUNTS))]).slice(0, 0)
 
     return _parts(asked.unionByName(tables), answer)
 
@@ -310,8 +313,8 @@ def losses(encoded: DataFrame, totals: DataFrame, sizes: Sizes, kept: list[str],
     docs_type = encoded.schema["docs"].dataType
     schema = T.StructType([*(docs_type.elementType[c] for c in kept), *T.StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double")])
     nothing = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
-    replies = totals.select("batch", "p", "n_all", "n_target", *nothing("words", "ids"), F.lit(None).cast(docs_type).alias("docs"))
-    bodies = encoded.select("batch", F.lit(1 << 30).alias("p"), *nothing("n_all", "n_target"), "words", "ids", "docs")
+    replies = totals.select("batch", "p", *COUNTS, *nothing("words", "ids"), F.lit(None).cast(docs_type).alias("docs"))
+    bodies = encoded.select("batch", F.lit(1 << 30).alias("p"), *nothing(*COUNTS), "words", "ids", "docs")
     dealt = replies.unionByName(bodies).repartition("batch").sortWithinPartitions("batch", "p")
     n = float(sizes.n_target or sizes.n_all)
     scale = n / max(sizes.n_all, 1)  # the background matched to the target's size
@@ -322,14 +325,16 @@ def losses(encoded: DataFrame, totals: DataFrame, sizes: Sizes, kept: list[str],
         length = lengths[grams.text]
         target = docs.field("_target").to_numpy(zero_copy_only=False).astype(float)[grams.text]
         spread = {}
-        for c, weight in (("n_all", None), ("n_target", target)):
-            others = np.concatenate([np.empty(0, np.int64), *(unpacked(x[c]) for x in parts)])
-            spread[c] = grams.spread(others + grams.counts(weight) if counted else others)
+        for c, weight in (("all", None), ("target", target)):
+            totals = [np.concatenate([np.empty(0, np.int64), *(unpacked(x[f"{kind}_{c}"]) for x in parts)]) for kind in ("n", "after")]
+            if counted:
+                totals = [x + mine for x, mine in zip(totals, grams.counts(weight), strict=True)]
+            spread[c] = grams.spread(*totals)
         own = grams.own() if counted else None
-        back = token_losses(grams, spread["n_all"], n, sizes.n_words, scale, own, length)
+        back = token_losses(grams, spread["all"], n, sizes.n_words, scale, own, length)
         if sizes.n_target:
             own = own and [x * target for x in own]
-            front = token_losses(grams, spread["n_target"], n, sizes.n_words, 1.0, own, length * target)
+            front = token_losses(grams, spread["target"], n, sizes.n_words, 1.0, own, length * target)
         else:
             front = back
         full, starts = lengths > 0, (np.cumsum(lengths) - lengths)
@@ -348,7 +353,7 @@ def losses(encoded: DataFrame, totals: DataFrame, sizes: Sizes, kept: list[str],
                     yield judged(row, parts)
                     parts = []
                 else:
-                    parts.append({c: row[c].as_py() for c in ("n_all", "n_target")})
+                    parts.append({c: row[c].as_py() for c in COUNTS})
 
     return dealt.mapInArrow(judge, schema)
 
