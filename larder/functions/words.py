@@ -97,3 +97,20 @@ SITES = {"bbc.co.uk": "BBC Good Food", "bbcgoodfood.com": "BBC Good Food", "allr
 
 # Category icons, in order.
 ICONS = [("restaurant-outline", ["meat", "sausage", "poultry"]), ("fish-outline", ["fish", "seafood"]), ("egg-outline", ["dairy", "egg", "milk", "cheese"]), ("leaf-outline", ["fruit", "vegetable"]), ("water-outline", ["drink", "beverage", "water"]), ("ice-cream-outline", ["sweet", "pastry", "sugar"]), ("nutrition-outline", ["cereal", "grain", "bread", "pantry"])]
+
+# Patterns of lines that name no product: what they are matched with, the pattern, and whether a price saves the line.
+PRICE = r"\d[.,]\d{2}"
+POSTCODE = r"^\d{4,5}(?![A-Za-z0-9_])"
+LINE_RULES = [
+    ("folded", r"[a-z]+strasse(\s+\d+)?$", False),
+    ("line", r"^swap: |^scanned: |b swap:", False),
+    ("line", r"^-?\d+([.,]\d+)?\s*(kgx|kg|g|x)?$", False),
+    ("line", r"^\d+\s*x\s*-?\d+[.,]\d{2}", False),
+    ("line", r"(?<![A-Za-z0-9_])eur\s*/\s*kg(?![A-Za-z0-9_])", False),
+    ("line", r"^\d+[.,]\d+\s*(kg|g)(?![A-Za-z0-9_])", False),
+    ("line", r"^-?\d+[.,]\d{2}\s*[a-c]?$", False),
+    ("line", r"www|http|\.de(?![A-Za-z0-9_])|\.com(?![A-Za-z0-9_])|online", False),
+    ("line", r"[a-zäöü]+stra(ß|ss)e$", False),
+    ("line", r"^\d+\s*stk\.?\s*x?$", False),
+    ("line", r"-.*-.*-", True),
+]

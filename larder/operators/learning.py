@@ -31,10 +31,20 @@ def accuracy_by(rows: DataFrame, key: str, expected: str, actual: str) -> DataFr
     return grouped.select(F.when(F.col("g") == 1, "all").otherwise(F.coalesce(F.col(key), F.lit("none"))).alias(key), "n", "n_correct", (F.col("n_correct") / F.col("n")).alias("accuracy"))
 
 
-def stratified_folds(rows: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Rows with a fold number; each label is dealt evenly in a seeded order."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return rows.withColumn("fold", (place - 1) % k)
+def stratified_folds(rows: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, buckets: int = 256) -> DataFrame:
+    """Rows with a fold number; each label is dealt evenly in a seeded order.
+
+    Rows are numbered inside (label, bucket of the order) and the buckets before
+    are added, so a label with most rows is spread over the tasks.
+    """
+    mixed = F.xxhash64(F.col(key), F.lit(seed))
+    placed = rows.withColumn("_bucket", F.shiftrightunsigned(mixed, 56).cast("int") % buckets)
+    sizes = placed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(label, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    inside = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy(mixed, key)) - 1
+    numbered = placed.withColumn("_inside", inside).join(offsets, [label, "_bucket"])
+    return numbered.withColumn("fold", (F.col("_inside") + F.col("_skip")) % k).drop("_bucket", "_inside", "_skip")
 
 
 def train_ranker(rows: DataFrame, features: list[str], label: str = "is_good", penalty: float = 0.01):

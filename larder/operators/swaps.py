@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from larder.functions import text as X, words as W
 
 
+LEVELS = 2
+
+
 def is_liquid(name: Column) -> Column:
     return X.any_of(F.lower(name), W.LIQUID)
 
@@ -86,12 +89,29 @@ def food_features(foods: DataFrame) -> DataFrame:
         "unsweet": X.any_of(F.lower(name), W.UNSWEETENED),
         "bins": X.buckets(name),
     })
-    return made.withColumn("bin_norm", F.sqrt(X.bucket_dot(F.col("bins"), F.col("bins")).cast("double")))
+    # for pairs: bit sets of the buckets with at least 1, 2, ... words, and the words by hash
+    levels = {f"level{p}": F.expr(f"aggregate(array_distinct(bins), 0L, (held, b) -> held | if(size(filter(bins, x -> x = b)) >= {p}, shiftleft(1L, cast(b as int)), 0L))") for p in range(1, LEVELS + 2)}
+    ids = {f"{c}_ids": F.transform(c, lambda w: F.xxhash64(w)) for c in ("words", "smart_tokens")}
+    single = {f"{c}_single": F.size(F.array_distinct(c)) == F.size(c) for c in ("words", "smart_tokens")}
+    return made.withColumns(levels | ids | single).withColumn("bin_norm", F.sqrt(X.bucket_dot(F.col("bins"), F.col("bins")).cast("double")))
+
+
+def bin_dot(a: str, b: str) -> Column:
+    """Product of two foods' bucket vectors: sums of common bits, as long as no bucket has more than LEVELS words."""
+    both = [F.bit_count(F.col(f"{a}.level{p}").bitwiseAND(F.col(f"{b}.level{q}"))) for p in range(1, LEVELS + 1) for q in range(1, LEVELS + 1)]
+    over = (F.col(f"{a}.level{LEVELS + 1}") != 0) | (F.col(f"{b}.level{LEVELS + 1}") != 0)
+    return F.when(over, X.bucket_dot(F.col(f"{a}.bins"), F.col(f"{b}.bins")).cast("long")).otherwise(sum(both, F.lit(0)).cast("long"))
+
+
+def n_shared(of: str, among: str, words: str) -> Column:
+    """How many of one food's words the other has; words that stand twice count twice."""
+    counted = F.size(F.filter(F.col(f"{of}.{words}"), lambda w: F.array_contains(F.col(f"{among}.{words}"), w)))
+    return F.when(F.col(f"{of}.{words}_single"), F.size(F.array_intersect(F.col(f"{of}.{words}_ids"), F.col(f"{among}.{words}_ids")))).otherwise(counted)
 
 
 def cosine(a: str, b: str) -> Column:
     """Cosine of two foods' hashed name vectors; 0 if either is empty."""
-    dot = X.bucket_dot(F.col(f"{a}.bins"), F.col(f"{b}.bins"))
+    dot = bin_dot(a, b)
     return F.coalesce(F.try_divide(dot.cast("double"), F.col(f"{a}.bin_norm") * F.col(f"{b}.bin_norm")), F.lit(0.0))
 
 
@@ -101,7 +121,7 @@ def swap_score(s: str, c: str) -> Column:
     less, more = (lambda x: S(x) - C(x)), (lambda x: C(x) - S(x))
     gain, group = more("health_score"), S("eq_group")
     health = F.when(gain > 0, F.sqrt(gain.cast("double")) * 5 + F.when(gain.between(10, 40), 40).otherwise(0)).otherwise(0.0)
-    shared = F.size(F.filter(S("words"), lambda w: F.array_contains(C("words"), w)))
+    shared = n_shared(s, c, "words")
     sugar = less("sugars_g")
     macros = (
         F.when(group == "OILS_FATS", less("saturated_fat_g") * 15)
@@ -178,18 +198,23 @@ def personalised_swaps(foods: DataFrame, prefs: DataFrame, k: int = 3, diets: li
     return pool.withColumn("place", place).where(F.col("place") <= k).select("food_id", "swap_id", "score", F.col("place").alias("rank"))
 
 
-def recipe_swaps(foods: DataFrame, diets: list[str] | None = None) -> DataFrame:
-    """food_id, swap_id, score: the best swap of each ingredient within its culinary role."""
+def recipe_pairs(foods: DataFrame, diets: list[str] | None = None) -> DataFrame:
+    """Pairs of an ingredient ``s`` and a healthier candidate ``c`` of its culinary role."""
     featured = food_features(foods).where(~F.col("role").isin(W.COARSE_ROLES))
     s = featured.where("health_score < 75").alias("s")
     c = featured.where(diet_allows(F.col("category"), diets or [])).alias("c")
     on = [F.col(f"s.{x}") == F.col(f"c.{x}") for x in ("role", "liquid", "raw")]
-    pairs = s.join(c, on[0] & on[1] & on[2] & (F.col("c.health_score") >= F.col("s.health_score") + 10) & (F.col("s.id") != F.col("c.id")))
+    return s.join(c, on[0] & on[1] & on[2] & (F.col("c.health_score") >= F.col("s.health_score") + 10) & (F.col("s.id") != F.col("c.id")))
+
+
+def recipe_swaps(foods: DataFrame, diets: list[str] | None = None) -> DataFrame:
+    """food_id, swap_id, score: the best swap of each ingredient within its culinary role."""
+    pairs = recipe_pairs(foods, diets)
     features = pair_features("s", "c", None) | {"liquid_mismatch": F.lit(0.0), "raw_ingredient_mismatch": F.lit(0.0)}
     score = swap_score("s", "c") * (swap_quality(features) + 0.5) * (0.7 + 0.6 * cosine("s", "c"))
     scored = pairs.select(F.col("s.id").alias("food_id"), F.col("c.id").alias("swap_id"), F.col("c.row_ord").alias("ord"), score.alias("score"))
-    place = F.row_number().over(Window.partitionBy("food_id").orderBy(F.desc("score"), "ord"))
-    return scored.withColumn("rank", place).where("rank = 1").select("food_id", "swap_id", "score")
+    best = scored.groupBy("food_id").agg(F.max_by(F.struct("swap_id", "score"), F.struct("score", -F.col("ord"))).alias("b"))
+    return best.select("food_id", "b.swap_id", "b.score")
 
 
 def smart_swaps(foods: DataFrame, diets: list[str] | None = None) -> DataFrame:
@@ -205,7 +230,7 @@ def smart_swaps(foods: DataFrame, diets: list[str] | None = None) -> DataFrame:
     pairs = s.join(c, (S("smart_liquid") == C("smart_liquid")) & (gain > 5) & (S("id") != C("id")) & decaf)
     top = lambda x: F.get(F.split(x, "/"), F.lit(0))
     fit = F.when(S("swiss_category") == C("swiss_category"), 120).when(S("category") == C("category"), 40 + F.when((top(S("swiss_category")) == top(C("swiss_category"))) & (top(S("swiss_category")) != ""), 45).otherwise(0)).otherwise(-150)
-    shared = F.size(F.filter(C("smart_tokens"), lambda t: F.array_contains(S("smart_tokens"), t)))
+    shared = n_shared("c", "s", "smart_tokens")
     dream = F.when((shared > 0) & X.any_of(S("low_name"), W.SMART_SWEETENED) & X.any_of(C("low_name"), W.SMART_UNSWEETENED), 150).otherwise(0)
     less = lambda x, w: F.when(C(x) < S(x), (S(x) - C(x)) * w).otherwise(0.0)
     more = lambda x, w: F.when(C(x) > S(x), (C(x) - S(x)) * w).otherwise(0.0)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from larder.functions import nutrition as N, text as X, words as W
 from larder.operators import feedback, history, learning, matching, recipes, search, swaps
 from larder.plans import testdata as D
+from larder.sources import tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -224,21 +225,25 @@ def token_overlap(spark, d):
     return f.select("id", F.array_join("words", " ").alias("words"), F.array_join("smart_tokens", " ").alias("smart_tokens"), F.array_join(F.transform(F.array_sort("bins"), lambda x: x.cast("string")), " ").alias("bins"))
 
 
-@_query(f"WITH f AS ({_FEATURED}) SELECT s.id AS a, c.id AS b, round({_COSINE}, 6) AS cosine FROM f s JOIN f c ON s.role = c.role AND s.row_ord < c.row_ord AND c.row_ord <= s.row_ord + 200")
+@_query(f"WITH f AS ({_FEATURED}), p AS (SELECT s.id, {_COSINE} AS cosine FROM f s JOIN f c ON s.role = c.role AND s.liquid = c.liquid AND s.raw = c.raw AND c.health_score >= s.health_score + 10 AND s.id <> c.id WHERE s.health_score < 75 AND s.role NOT IN {_quoted(W.COARSE_ROLES)}) SELECT id, count(*) AS n_candidates, round(max(cosine), 6) AS best, round(avg(cosine), 6) AS mean FROM p GROUP BY id")
 def hashed_cosine(spark, d):
-    f = swaps.food_features(_foods(spark, d)).select("id", "row_ord", "role", "bins", "bin_norm")
-    pairs = f.alias("s").join(f.alias("c"), (F.col("s.role") == F.col("c.role")) & (F.col("s.row_ord") < F.col("c.row_ord")) & (F.col("c.row_ord") <= F.col("s.row_ord") + 200))
-    return pairs.select(F.col("s.id").alias("a"), F.col("c.id").alias("b"), _r(swaps.cosine("s", "c"), 6).alias("cosine"))
+    """Each ingredient's cosines with the candidates that the recipe ranker weighs."""
+    pairs = swaps.recipe_pairs(_foods(spark, d)).select(F.col("s.id").alias("id"), swaps.cosine("s", "c").alias("cosine"))
+    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n_candidates"), _r(F.max("cosine"), 6).alias("best"), _r(F.avg("cosine"), 6).alias("mean"))
 
 
-@_query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 5) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@_query("""
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+c AS (SELECT label, list(m ORDER BY i) AS centre FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(e) AS x, unnest(range(len(e))) AS i FROM v) GROUP BY label, i) GROUP BY label)
+SELECT v.vec_id, v.label, round(coalesce(list_dot_product(v.e, c.centre) / nullif(sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(c.centre, c.centre)), 0), 0), 5) AS cosine FROM v JOIN c ON c.label = v.label""")
 def dense_cosine(spark, d):
-    e = _table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    """The cosine of each vector with the mean vector of its label."""
+    e = _table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    e = e.withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
-    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("v").alias("w"), F.col("n").alias("m"))
-    pair = e.join(nxt, "vec_id")
-    return pair.select(F.col("vec_id").alias("a"), "b", _r(F.coalesce(F.try_divide(dot(F.col("v"), F.col("w")), F.col("n") * F.col("m")), F.lit(0.0)), 5).alias("cosine"))
+    v, c = F.col("v"), F.col("centre")
+    return e.join(centres, "label").select("vec_id", "label", _r(F.coalesce(F.try_divide(dot(v, c), F.sqrt(dot(v, v)) * F.sqrt(dot(c, c))), F.lit(0.0)), 5).alias("cosine"))
 
 
 @_query(f"SELECT id, category, swiss_category FROM {FOODS} WHERE NOT regexp_matches(category, 'Meat|Fish|Dairy') AND NOT contains(lower(swiss_category), 'egg') AND coalesce(carbs_g, 0) <= 20")
@@ -417,11 +422,12 @@ def profile_targets(spark, d):
 _MICRO_VALUES = D.values([(n, f, m) for n, f, m in W.MICRO_TARGETS], "nutrient, female, male")
 
 
-@_query(f"SELECT f.id, t.nutrient, CAST(coalesce(least(100, floor(f.amount / t.female * 100 + 0.5)), 0) AS INT) AS percent FROM (SELECT id, 'calcium_mg' AS nutrient, calcium_mg AS amount FROM {FOODS} UNION ALL SELECT id, 'iron_mg', iron_mg FROM {FOODS}) f JOIN {_MICRO_VALUES.replace(' AS v(', ' AS t(')} ON t.nutrient = f.nutrient")
+@_query(f"SELECT f.id, f.nutrient, CAST(coalesce(least(100, floor(f.amount / t.female * 100 + 0.5)), 0) AS INT) AS percent, CAST(coalesce(least(100, floor(f.amount / t.male * 100 + 0.5)), 0) AS INT) AS percent_male FROM {D.duck(D.MICROS)} f LEFT JOIN {_MICRO_VALUES.replace(' AS v(', ' AS t(')} ON t.nutrient = f.nutrient")
 def percent_of_target(spark, d):
-    f = _foods(spark, d).select("id", F.explode(F.array(F.struct(F.lit("calcium_mg").alias("nutrient"), F.col("calcium_mg").alias("amount")), F.struct(F.lit("iron_mg").alias("nutrient"), F.col("iron_mg").alias("amount")))).alias("x")).select("id", "x.*")
+    """The share of a day's target that 100 g hold, for all micronutrients and both sexes."""
     targets = spark.sql(f"SELECT * FROM {_MICRO_VALUES}")
-    return f.join(F.broadcast(targets), "nutrient").select("id", "nutrient", N.percent_of_target(F.col("amount"), F.col("female")).alias("percent"))
+    share = lambda sex: N.percent_of_target(F.col("amount"), F.col(sex))
+    return D.frame(spark, d, D.MICROS).join(F.broadcast(targets), "nutrient", "left").select("id", "nutrient", share("female").alias("percent"), share("male").alias("percent_male"))
 
 
 _SITES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.SITES.items())
@@ -434,8 +440,9 @@ def site_name(spark, d):
 
 @_query("SELECT conv_id, turn, CAST(i AS INT) AS line_no, lines[i + 1] AS line FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS lines, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM conversations) WHERE lines[i + 1] <> ''")
 def ocr_flatten(spark, d):
-    rows = _table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return rows.where("line <> ''")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.struct(x.alias("text")))
+    nested = _table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), F.array(F.struct(lines.alias("lines"))).alias("blocks"))
+    return tables.flatten_ocr(nested).where("raw_text <> ''").select("doc_id.conv_id", "doc_id.turn", "line_no", F.col("raw_text").alias("line"))
 
 
 @_query(f"SELECT CAST(seq AS BIGINT) AS seq, CASE WHEN food_id IS NULL OR confidence < 0.45 THEN 'not_found' WHEN confidence > 0.72 THEN 'confident' ELSE 'potential' END AS bucket FROM {ITEMS}")
@@ -457,9 +464,7 @@ def _doc_lines(spark, d):
 
 
 def _fold_sql(x: str) -> str:
-    for a, b in zip(X.ACCENTS, X.PLAIN, strict=True):
-        x = f"replace({x}, '{a}', '{b}')"
-    return x
+    return f"regexp_replace(translate({x}, '{X.ACCENTS}', '{X.PLAIN}'), '{X.MARKS}', '', 'g')"
 
 
 _UMLAUTS = "replace(replace(replace(replace(lower(line), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')"
@@ -596,12 +601,11 @@ def standardize(spark, d):
     return z.select("id", _r("kcal").alias("kcal"), _r("fat_g").alias("fat_g"))
 
 
-_RANK_FEATURES = ["delta_kcal", "delta_sugar_g", "delta_fat_g"]
-
-
 @_query()
 def ranker_cv(spark, d):
-    """Five-fold accuracy of the ranker on labelled pairs of the catalog."""
-    f = _foods(spark, d).where("kcal is not null")
-    rows = f.select("id", (F.col("kcal") - 300).alias("delta_kcal"), (F.col("sugars_g") - 20).alias("delta_sugar_g"), (F.col("fat_g") - 25).alias("delta_fat_g"), (F.col("health_score") + F.col("sugars_g") < 60).cast("int").alias("is_good"))
-    return learning.cross_validate(rows, _RANK_FEATURES, "id").withColumn("accuracy", _r("accuracy", 4))
+    """Five-fold accuracy of the ranker, with all of its features, on pairs of each food with the next one in the catalog."""
+    f = swaps.food_features(_foods(spark, d))
+    pairs = f.alias("s").join(f.withColumn("before", F.col("row_ord") - 1).alias("c"), F.col("s.row_ord") == F.col("before"))
+    features = swaps.pair_features("s", "c", swaps.cosine("s", "c"))
+    rows = pairs.select(F.col("s.id").alias("id"), *(v.alias(k) for k, v in features.items()), ((F.col("c.health_score") - F.col("c.sugars_g")) > (F.col("s.health_score") - F.col("s.sugars_g"))).cast("int").alias("is_good"))
+    return learning.cross_validate(rows, list(features), "id").withColumn("accuracy", _r("accuracy", 4))
