@@ -9,6 +9,7 @@ Defined results: documents without a letter are rejected by the first stage, and
 null texts with them.  In the near-duplicate stage rows are told apart by id and
 text: a group keeps the row that names it, a group of rows without ids keeps
 one, and repeated rows leave one.  Empty tables pass through every stage.
+Extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,17 +20,24 @@ from larder.llm import decontaminate, language_id, near_dedup, packing, toxicity
 from larder.llm.common import cut, scratch_dir
 
 
+def _without(docs: DataFrame, judge, judgement: list[str], gone: str) -> DataFrame:
+    """``docs`` without the rows for which the column ``gone`` of ``judge(docs)`` holds; own columns with the judgement's names stay."""
+    own = {c: f"_own_{c}" for c in docs.columns if c in judgement}
+    kept = judge(docs.withColumnsRenamed(own)).where(~F.col(gone))
+    return kept.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language models reject."""
     model = language_id.fit(docs, learn=~language_id.held_out())
-    return language_id.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    return _without(docs, lambda rows: language_id.identify(rows, model), ["lang_pred", "score", "rejected"], "rejected")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier chain calls toxic."""
     labels = toxicity.label_categories(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     chain = toxicity.fit(docs, labels, toxicity.CATEGORIES)
-    return toxicity.classify(docs, chain).where(~F.col("toxic")).select(*docs.columns)
+    return _without(docs, lambda rows: toxicity.classify(rows, chain), [*toxicity.CATEGORIES, *(f"p_{c}" for c in toxicity.CATEGORIES)], "toxic")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +59,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with benchmark passages."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.mark_contamination(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
+    return _without(docs, lambda rows: decontaminate.mark_contamination(rows, benchmark), decontaminate.ARROW_OUT.names, "contaminated")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

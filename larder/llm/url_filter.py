@@ -18,7 +18,9 @@ Plan, all of it DataFrame expressions:
 
 Edge cases: a null url, or one without ``://``, has an empty host and an empty
 path; no rule fits it.  Rules that are null or have no host are ignored.
-Repeated urls and page ids stay as they are, one row out for each row in.  An
+Repeated urls and page ids stay as they are, one row out for each row in.  Urls
+may be of any length; extra columns are kept, those named as an output column
+are replaced.  An
 empty rule table allows everything; an empty url table gives no rows.
 """
 

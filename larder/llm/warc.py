@@ -2,7 +2,7 @@
 
 Writing: the response of equal payloads (at least ``MIN_REVISIT_BYTES``) is the
 one with the smallest id, the others become revisit records without a payload.
-A Zstandard dictionary is trained on a bounded hash sample of records.  Each
+A Zstandard dictionary is trained on a bounded hash sample of whole records.  Each
 archive starts with the dictionary in a skippable frame, as the WARC-zstd
 convention has it, and every record is a Zstandard frame of its own, so records
 can be read one by one from their offsets.
@@ -21,8 +21,9 @@ more than once come back to the rows.
 Edge cases: a null html is an empty payload, a null url an empty target.
 Payloads below the limit are always responses.  Rows with a null id are written
 like others; they refer only to ids, and where all copies lack an id, all are
-responses.  Repeated rows with one id: the first written is the response, the
-others revisit it.  An empty table writes no record.
+responses.  Repeated rows with one id: one of the smallest url is the response,
+the others revisit it.  A payload of any length is one record.  Extra columns are
+ignored, whatever their names.  An empty table writes no record.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from larder.llm.common import bound_batches, cut, scratch_dir, small_side
 
 MIN_REVISIT_BYTES = 100
-DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_CHARS = 65_536, 1_500, 8_192
+DICTIONARY_BYTES, SAMPLE_BYTES, LARGEST_SAMPLE = 65_536, 8_000_000, 262_144
 DICTIONARY_MAGIC, EMPTY_MAGIC = 0x184D2A5D, 0x184D2A50
 #: An empty skippable frame; all its bytes are ASCII, so it can be a line separator.
 SEPARATOR = struct.pack("<II", EMPTY_MAGIC, 0).decode("ascii")
@@ -93,10 +94,15 @@ def records_of(archive: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 def train_dictionary(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> bytes:
-    """A dictionary from about SAMPLE_RECORDS records drawn by hash (twice as many at most); empty if there are too few."""
-    rows = pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.substring(html_col, 1, SAMPLE_CHARS).alias("h"))
-    n = max(1, rows.count())
-    drawn = rows.where(F.pmod(F.xxhash64("i", "u"), F.lit(n)) < SAMPLE_RECORDS).limit(2 * SAMPLE_RECORDS).collect()
+    """A dictionary from whole records drawn by hash, about SAMPLE_BYTES in all; empty if there are too few.
+
+    Records above LARGEST_SAMPLE bytes are not drawn; they are compressed like all others.
+    """
+    size = F.octet_length(html_col)
+    rows = pages.where(size <= LARGEST_SAMPLE).select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("h"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("h")), F.lit(0))).first()[0]
+    share = min(1.0, SAMPLE_BYTES / max(total, 1))
+    drawn = rows.where(F.pmod(F.xxhash64("i", "u"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()
     samples = []
     for r in drawn:
         payload = r.h.encode("utf-8", "surrogatepass")
@@ -116,15 +122,17 @@ def mark_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     groups = rows.where(F.col("n") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("page_id").alias("first"))
     groups = groups.where("copies > 1 and first is not null").select("digest", "first")
     rows = rows.join(small_side(cut(groups)), "digest", "left")
-    twins = rows.where(F.col("page_id") == F.col("first")).groupBy("digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", F.lit(True).alias("twin"))
+    link = F.coalesce("url", F.lit(""))
+    twins = rows.where(F.col("page_id") == F.col("first")).groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.min(link).alias("least_url")).where("c > 1").select("digest", "least_url")
     rows = rows.join(small_side(cut(twins)), "digest", "left")
-    # several rows may have the first id: one of them stays the response
-    own = F.coalesce((F.col("page_id") == F.col("first")) & F.col("twin").isNotNull(), F.lit(False))
+    # several rows may have the first id: one of them stays the response; equal ones are counted, not sorted
+    own = F.coalesce((F.col("page_id") == F.col("first")) & F.col("least_url").isNotNull(), F.lit(False))
     plain = rows.where(~own).withColumn("turn", F.lit(1))
-    doubled = rows.where(own).withColumn("turn", F.row_number().over(Window.partitionBy("digest").orderBy("url")))
-    rows = plain.unionByName(doubled)
+    equal = rows.where(own).groupBy("page_id", "url", "digest", "first", "least_url").agg(F.first("html").alias("html"), F.count(F.lit(1)).alias("times"))
+    equal = equal.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).withColumn("turn", F.when(link == F.col("least_url"), F.col("turn")).otherwise(2))
     response = F.col("first").isNull() | ((F.col("page_id") == F.col("first")) & (F.col("turn") == 1))
-    return rows.select("page_id", "url", "html", "digest", F.when(~F.coalesce(response, F.lit(False)), F.col("first")).alias("refers_to"))
+    out = [*(F.col(c) for c in ("page_id", "url", "html", "digest")), F.when(~F.coalesce(response, F.lit(False)), F.col("first")).alias("refers_to")]
+    return plain.select(*out).unionByName(equal.select(*out))
 
 
 def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archives: int | None = None) -> str:

@@ -238,6 +238,8 @@ def test_url_filter(spark):
     assert got[10][2:] == ("net/", "block") and got[11][2:] == (None, "allow")
     assert url_filter.judge_urls(pages, rules.limit(0)).where("verdict = 'allow' and rule is null").count() == 13
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+    long = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "net/" + "x/" * 50_000)], "page_id long, url string")
+    assert url_filter.judge_urls(long, rules).first().rule == "net/"
     wild = spark.createDataFrame([(1, "http://x.org/abcz/")], "page_id long, url string")
     assert url_filter.judge_urls(wild, rules).first().rule == "x.org/a*z"
 
@@ -247,7 +249,7 @@ def test_url_filter(spark):
 
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>" + "x" * 300
-    rows = [(5, "u5", long), (3, "u3\nbroken", long), (9, None, long), (1, "a", "short"), (2, "b", "short"), (4, "c", None), (None, "d", long), (7, "e", "é" * 90), (7, "f", "é" * 90), *((100 + i, f"v{i}", f"<html>{i} " + "body " * 40) for i in range(40))]
+    rows = [(5, "u5", long), (3, "u3\nbroken", long), (9, None, long), (1, "a", "short"), (2, "b", "short"), (4, "c", None), (None, "d", long), (7, "e", "é" * 90), (7, "f", "é" * 90), (7, "e", "é" * 90), *((100 + i, f"v{i}", f"<html>{i} " + "body " * 40) for i in range(40))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     path = warc.write_archives(pages, str(tmp_path / "w"), archives=3)
     got = warc.read_archives(spark, path).collect()
@@ -259,7 +261,11 @@ def test_warc_round_trip(spark, tmp_path):
     assert [(by[i][0].record_type, by[i][0].refers_to) for i in (5, 9, None)] == [("revisit", 3)] * 3
     assert by[5][0].payload_bytes == len(long) and by[5][0].payload_digest == hashlib.sha256(long.encode()).hexdigest()
     assert {by[i][0].record_type for i in (1, 2, 4)} == {"response"} and by[4][0].payload_bytes == 0
-    assert sorted((r.record_type, r.refers_to) for r in by[7]) == [("response", None), ("revisit", 7)]
+    assert sorted((r.record_type, r.refers_to) for r in by[7]) == [("response", None), ("revisit", 7), ("revisit", 7)]
+    assert sorted(r.url for r in by[7] if r.record_type == "response") == ["e"]
+    huge = spark.createDataFrame([(i, "u", str(i) * 3_000_000) for i in (1, 2)], "page_id long, url string, html string").withColumn("digest", F.lit("own"))
+    back = warc.read_archives(spark, warc.write_archives(huge, str(tmp_path / "h"))).orderBy("page_id").collect()
+    assert [(r.payload_bytes, r.payload_digest) for r in back] == [(3_000_000, hashlib.sha256(str(i).encode() * 3_000_000).hexdigest()) for i in (1, 2)]
     import zstandard
 
     file = next(iter({r.file for r in got})).removeprefix("file:")
