@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,14 +124,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def run_hashes(units: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of runs of bytes or code points: polynomial over the units, then mixed."""
+def run_hasher(units: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from (starts, stops) to 64-bit hashes of runs of ``units`` (bytes or code points): polynomial, then mixed."""
     n = len(units)
     power, inverse = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((units.astype(np.uint64) + _U(1)) * power[:n], out=sums[1:])
-    length = (stops - starts).astype(np.uint64)
-    return mixed((sums[stops] - sums[starts]) * inverse[starts] + mixed(length + _U(0x9E3779B97F4A7C15)))
+
+    def hashes(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        length = (stops - starts).astype(np.uint64)
+        return mixed((sums[stops] - sums[starts]) * inverse[starts] + mixed(length + _U(0x9E3779B97F4A7C15)))
+
+    return hashes
+
+
+def run_hashes(units: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    return run_hasher(units)(starts, stops)
 
 
 def runs_of(texts: list[str | None], member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

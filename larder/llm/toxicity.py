@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from larder.llm.common import Scratch, bound_batches, mixed, run_hashes, runs_of, text_runs
+from larder.llm.common import Scratch, bound_batches, mixed, run_hasher, runs_of, text_runs
 
 MAX_ROWS = 8000
 FOLDS = 3
@@ -54,22 +54,24 @@ def features_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature hash) of all words of ``texts`` and of their beginnings, with repeats."""
     units, starts, stops, n = runs_of(texts, letter_table())
     text = np.repeat(np.arange(len(texts)), n)
-    rows, found = [text], [run_hashes(units, starts, stops)]
+    hashes = run_hasher(units)
+    rows, found = [text], [hashes(starts, stops)]
     for size in PREFIXES:
         long = stops - starts >= size
         rows.append(text[long])
-        found.append(mixed(run_hashes(units, starts[long], starts[long] + size) + np.uint64(size)))
+        found.append(mixed(hashes(starts[long], starts[long] + size) + np.uint64(size)))
     return np.concatenate(rows), np.concatenate(found)
 
 
-def numbered(texts: list[str | None], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, place in the sorted ``vocabulary``) of the distinct known features of each text, in order."""
+def numbered(texts: list[str | None], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, place in the sorted ``vocabulary``) of the distinct known features of each text, in order; and which texts have words."""
     text, found = features_of(texts)
+    worded = np.bincount(text, minlength=len(texts)) > 0
     if not len(vocabulary):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), worded
     at = np.minimum(np.searchsorted(vocabulary, found), len(vocabulary) - 1)
     known = vocabulary[at] == found
-    return np.divmod(np.unique(text[known] * len(vocabulary) + at[known]), len(vocabulary))
+    return *np.divmod(np.unique(text[known] * len(vocabulary) + at[known]), len(vocabulary)), worded
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -170,7 +172,7 @@ class Chain:
 
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, categories) probabilities in chain order, and the decision on the last."""
-        row, at = numbered(texts, self.vocabulary)
+        row, at, worded = numbered(texts, self.vocabulary)
         x = Sparse([], len(self.vocabulary), np.zeros((len(texts), 0)))
         x.n, x.row, x.col = len(texts), row, at
         p = np.zeros((len(texts), len(self.weights)))
@@ -178,8 +180,7 @@ class Chain:
             logits = x.logits(w)
             p[:, k] = _sigmoid(logits)
             x.dense = np.column_stack([x.dense, np.clip(logits, -6, 6)])
-        wordless = runs_of(texts, letter_table())[3] == 0
-        return p, ~wordless & (p[:, -1] >= self.threshold)
+        return p, worded & (p[:, -1] >= self.threshold)
 
 
 def _sample(documents: DataFrame, labels: DataFrame, categories: list[str], id_col: str, text_col: str, max_rows: int) -> DataFrame:
@@ -214,7 +215,7 @@ def fit(documents: DataFrame, labels: DataFrame, categories: list[str], *, id_co
         def numbers(batches):
             for batch in batches:
                 for start, stop, texts in text_runs(batch.column("text"), RUN_CHARS):
-                    row, at = numbered(texts, vocabulary)
+                    row, at, _ = numbered(texts, vocabulary)
                     ends = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
                     part = batch.slice(start, stop - start)
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32))), *(part.column(c) for c in categories)], names=["id", "at", *categories])
