@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import nutrition as N, words as W
 from larder.operators import history, matching, recipes, screens as S, search, swaps
 from larder.plans import testdata as D
-from larder.plans.catalog_queries import _BRANDS, _COSINE, _FEATURED, _KCAL, _LINKED, _MICRO_VALUES, _PAIR_SQL, FOODS, INGREDIENTS, ITEMS, LINES, PROFILES, RECIPES, _foods, _query, _r, _recipe_parts, _table, _totals_sql, oracle_sql, queries
+from larder.plans.catalog_queries import _BRANDS, _FEATURED, _KCAL, _LINKED, _MICRO_VALUES, _PAIR_SQL, FOODS, INGREDIENTS, ITEMS, LINES, PROFILES, RECIPES, _foods, _query, _r, _recipe_parts, _table, _totals_sql, oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
 MICROS = D.duck(D.MICROS)
