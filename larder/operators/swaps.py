@@ -7,12 +7,15 @@ filtered before the join.  Per-food features are computed once, before pairing.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder.functions import text as X, words as W
+from larder.sources.scratch import cut
 
 
-LEVELS = 2
+LEVELS, SHORT = 2, 8
 
 
 def is_liquid(name: Column) -> Column:
@@ -92,36 +95,56 @@ def food_features(foods: DataFrame) -> DataFrame:
     # for pairs: bit sets of the buckets with at least 1, 2, ... words, and the words by hash
     levels = {f"level{p}": F.expr(f"aggregate(array_distinct(bins), 0L, (held, b) -> held | if(size(filter(bins, x -> x = b)) >= {p}, shiftleft(1L, cast(b as int)), 0L))") for p in range(1, LEVELS + 2)}
     ids = {f"{c}_ids": F.transform(c, lambda w: F.xxhash64(w)) for c in ("words", "smart_tokens")}
-    single = {f"{c}_single": F.size(F.array_distinct(c)) == F.size(c) for c in ("words", "smart_tokens")}
-    return made.withColumns(levels | ids | single).withColumn("bin_norm", F.sqrt(X.bucket_dot(F.col("bins"), F.col("bins")).cast("double")))
+    return made.withColumns(levels | ids).withColumn("bin_norm", F.sqrt(X.bucket_dot(F.col("bins"), F.col("bins")).cast("double")))
+
+
+@dataclass(frozen=True)
+class Shape:
+    """The longest names of a feature table: they decide how pairs are compared, not what comes out.
+
+    Names of up to SHORT words and buckets of up to LEVELS words are compared by
+    integers, which compiles and keeps texts out of the joined rows.
+    """
+
+    words: int = SHORT + 1
+    smart_tokens: int = SHORT + 1
+    deep: bool = True
+
+
+def shape_of(featured: DataFrame) -> Shape:
+    top = lambda c: F.coalesce(F.max(F.size(c)), F.lit(0))
+    return Shape(*featured.agg(top("words"), top("smart_tokens"), F.coalesce(F.bool_or(F.col(f"level{LEVELS + 1}") != 0), F.lit(False))).first())
 
 
-def bin_dot(a: str, b: str) -> Column:
-    """Product of two foods' bucket vectors: sums of common bits, as long as no bucket has more than LEVELS words."""
-    both = [F.bit_count(F.col(f"{a}.level{p}").bitwiseAND(F.col(f"{b}.level{q}"))) for p in range(1, LEVELS + 1) for q in range(1, LEVELS + 1)]
-    over = (F.col(f"{a}.level{LEVELS + 1}") != 0) | (F.col(f"{b}.level{LEVELS + 1}") != 0)
-    return F.when(over, X.bucket_dot(F.col(f"{a}.bins"), F.col(f"{b}.bins")).cast("long")).otherwise(sum(both, F.lit(0)).cast("long"))
+def bin_dot(a: str, b: str, shape: Shape = Shape()) -> Column:
+    """Product of two foods' bucket vectors, as sums of common bits if no bucket has more than LEVELS words."""
+    if shape.deep:
+        return X.bucket_dot(F.col(f"{a}.bins"), F.col(f"{b}.bins")).cast("long")
+    return sum((F.bit_count(F.col(f"{a}.level{p}").bitwiseAND(F.col(f"{b}.level{q}"))) for p in range(1, LEVELS + 1) for q in range(1, LEVELS + 1)), F.lit(0)).cast("long")
 
 
-def n_shared(of: str, among: str, words: str) -> Column:
+def n_shared(of: str, among: str, words: str, shape: Shape = Shape()) -> Column:
     """How many of one food's words the other has; words that stand twice count twice."""
-    counted = F.size(F.filter(F.col(f"{of}.{words}"), lambda w: F.array_contains(F.col(f"{among}.{words}"), w)))
-    return F.when(F.col(f"{of}.{words}_single"), F.size(F.array_intersect(F.col(f"{of}.{words}_ids"), F.col(f"{among}.{words}_ids")))).otherwise(counted)
+    longest = getattr(shape, words)
+    if longest > SHORT:
+        return F.size(F.filter(F.col(f"{of}.{words}"), lambda w: F.array_contains(F.col(f"{among}.{words}"), w)))
+    ids, others = F.col(f"{of}.{words}_ids"), F.col(f"{among}.{words}_ids")
+    has = lambda i: F.when(F.size(ids) > i, F.array_contains(others, F.get(ids, F.lit(i))).cast("int")).otherwise(0)
+    return sum((has(i) for i in range(longest)), F.lit(0))
 
 
-def cosine(a: str, b: str) -> Column:
+def cosine(a: str, b: str, shape: Shape = Shape()) -> Column:
     """Cosine of two foods' hashed name vectors; 0 if either is empty."""
-    dot = bin_dot(a, b)
-    return F.coalesce(F.try_divide(dot.cast("double"), F.col(f"{a}.bin_norm") * F.col(f"{b}.bin_norm")), F.lit(0.0))
+    return F.coalesce(F.try_divide(bin_dot(a, b, shape).cast("double"), F.col(f"{a}.bin_norm") * F.col(f"{b}.bin_norm")), F.lit(0.0))
 
 
-def swap_score(s: str, c: str) -> Column:
+def swap_score(s: str, c: str, shape: Shape = Shape()) -> Column:
     """The hand-tuned score of candidate ``c`` for source ``s``."""
     S, C = (lambda x: F.col(f"{s}.{x}")), (lambda x: F.col(f"{c}.{x}"))
     less, more = (lambda x: S(x) - C(x)), (lambda x: C(x) - S(x))
     gain, group = more("health_score"), S("eq_group")
     health = F.when(gain > 0, F.sqrt(gain.cast("double")) * 5 + F.when(gain.between(10, 40), 40).otherwise(0)).otherwise(0.0)
-    shared = n_shared(s, c, "words")
+    shared = n_shared(s, c, "words", shape)
     sugar = less("sugars_g")
     macros = (
         F.when(group == "OILS_FATS", less("saturated_fat_g") * 15)
@@ -159,9 +182,9 @@ def swap_quality(features: dict[str, Column | None]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    quality = swap_quality(pair_features("s", "c", cosine("s", "c")))
-    return pairs.select(F.col("s.id").alias("food_id"), F.col("c.id").alias("swap_id"), F.col("c.row_ord").alias("ord"), F.col("c.swiss_category").alias("swap_category"), (swap_score("s", "c") * (quality + 0.5)).alias("score"))
+def _scored(pairs: DataFrame, shape: Shape) -> DataFrame:
+    quality = swap_quality(pair_features("s", "c", cosine("s", "c", shape)))
+    return pairs.select(F.col("s.id").alias("food_id"), F.col("c.id").alias("swap_id"), F.col("c.row_ord").alias("ord"), F.col("c.swiss_category").alias("swap_category"), (swap_score("s", "c", shape) * (quality + 0.5)).alias("score"))
 
 
 def top_swaps(foods: DataFrame, k: int = 3, diets: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
@@ -171,7 +194,8 @@ def top_swaps(foods: DataFrame, k: int = 3, diets: list[str] | None = None, sour
     its branch.  Both ways are equi joins, and a pair of one category comes by
     the first only.
     """
-    featured = food_features(foods)
+    featured = cut(food_features(foods))  # used five times below
+    shape = shape_of(featured)
     wanted = featured.where("health_score < 80")
     if sources is not None:
         wanted = wanted.join(sources.select(F.col("food_id").alias("id")).distinct(), "id", "left_semi")
@@ -181,8 +205,8 @@ def top_swaps(foods: DataFrame, k: int = 3, diets: list[str] | None = None, sour
     branch = ~strict | ((F.col("s.branch") == F.col("c.branch")) & (F.col("s.branch") != ""))
     s, c = wanted.alias("s"), candidates.alias("c")
     liquid = F.col("c.liquid") == F.col("s.liquid")
-    one = _scored(s.join(c, (F.col("c.swiss_category") == F.col("s.swiss_category")) & liquid & better))
-    two = _scored(s.join(c, (F.col("c.eq_group") == F.col("s.eq_group")) & liquid & (F.col("c.swiss_category") != F.col("s.swiss_category")) & better & branch))
+    one = _scored(s.join(c, (F.col("c.swiss_category") == F.col("s.swiss_category")) & liquid & better), shape)
+    two = _scored(s.join(c, (F.col("c.eq_group") == F.col("s.eq_group")) & liquid & (F.col("c.swiss_category") != F.col("s.swiss_category")) & better & branch), shape)
     place = F.row_number().over(Window.partitionBy("food_id").orderBy(F.desc("score"), "ord"))
     return one.unionByName(two).withColumn("rank", place).where(F.col("rank") <= k)
 
@@ -198,20 +222,20 @@ def personalised_swaps(foods: DataFrame, prefs: DataFrame, k: int = 3, diets: li
     return pool.withColumn("place", place).where(F.col("place") <= k).select("food_id", "swap_id", "score", F.col("place").alias("rank"))
 
 
-def recipe_pairs(foods: DataFrame, diets: list[str] | None = None) -> DataFrame:
-    """Pairs of an ingredient ``s`` and a healthier candidate ``c`` of its culinary role."""
-    featured = food_features(foods).where(~F.col("role").isin(W.COARSE_ROLES))
+def recipe_pairs(foods: DataFrame, diets: list[str] | None = None) -> tuple[DataFrame, Shape]:
+    """Pairs of an ingredient ``s`` and a healthier candidate ``c`` of its culinary role, and the features' shape."""
+    featured = cut(food_features(foods).where(~F.col("role").isin(W.COARSE_ROLES)))
     s = featured.where("health_score < 75").alias("s")
     c = featured.where(diet_allows(F.col("category"), diets or [])).alias("c")
     on = [F.col(f"s.{x}") == F.col(f"c.{x}") for x in ("role", "liquid", "raw")]
-    return s.join(c, on[0] & on[1] & on[2] & (F.col("c.health_score") >= F.col("s.health_score") + 10) & (F.col("s.id") != F.col("c.id")))
+    return s.join(c, on[0] & on[1] & on[2] & (F.col("c.health_score") >= F.col("s.health_score") + 10) & (F.col("s.id") != F.col("c.id"))), shape_of(featured)
 
 
 def recipe_swaps(foods: DataFrame, diets: list[str] | None = None) -> DataFrame:
     """food_id, swap_id, score: the best swap of each ingredient within its culinary role."""
-    pairs = recipe_pairs(foods, diets)
+    pairs, shape = recipe_pairs(foods, diets)
     features = pair_features("s", "c", None) | {"liquid_mismatch": F.lit(0.0), "raw_ingredient_mismatch": F.lit(0.0)}
-    score = swap_score("s", "c") * (swap_quality(features) + 0.5) * (0.7 + 0.6 * cosine("s", "c"))
+    score = swap_score("s", "c", shape) * (swap_quality(features) + 0.5) * (0.7 + 0.6 * cosine("s", "c", shape))
     scored = pairs.select(F.col("s.id").alias("food_id"), F.col("c.id").alias("swap_id"), F.col("c.row_ord").alias("ord"), score.alias("score"))
     best = scored.groupBy("food_id").agg(F.max_by(F.struct("swap_id", "score"), F.struct("score", -F.col("ord"))).alias("b"))
     return best.select("food_id", "b.swap_id", "b.score")
@@ -220,8 +244,8 @@ def recipe_swaps(foods: DataFrame, diets: list[str] | None = None) -> DataFrame:
 def smart_swaps(foods: DataFrame, diets: list[str] | None = None) -> DataFrame:
     """food_id, swap_id, score: the third ranker's best candidate, if it scores above -50."""
     diets = diets or []
-    f = food_features(foods).withColumn("low_name", F.lower("name"))
-    s = f.alias("s")
+    f = cut(food_features(foods).withColumn("low_name", F.lower("name")))
+    shape, s = shape_of(f), f.alias("s")
     banned = X.any_of(F.concat_ws("\n", "low_name", F.lower("category")), W.SMART_RESTRICTED + ["energy drink"])
     c = f.where((F.col("health_score") >= 65) & ~banned).alias("c")
     S, C = (lambda x: F.col(f"s.{x}")), (lambda x: F.col(f"c.{x}"))
@@ -230,7 +254,7 @@ def smart_swaps(foods: DataFrame, diets: list[str] | None = None) -> DataFrame:
     pairs = s.join(c, (S("smart_liquid") == C("smart_liquid")) & (gain > 5) & (S("id") != C("id")) & decaf)
     top = lambda x: F.get(F.split(x, "/"), F.lit(0))
     fit = F.when(S("swiss_category") == C("swiss_category"), 120).when(S("category") == C("category"), 40 + F.when((top(S("swiss_category")) == top(C("swiss_category"))) & (top(S("swiss_category")) != ""), 45).otherwise(0)).otherwise(-150)
-    shared = n_shared("c", "s", "smart_tokens")
+    shared = n_shared("c", "s", "smart_tokens", shape)
     dream = F.when((shared > 0) & X.any_of(S("low_name"), W.SMART_SWEETENED) & X.any_of(C("low_name"), W.SMART_UNSWEETENED), 150).otherwise(0)
     less = lambda x, w: F.when(C(x) < S(x), (S(x) - C(x)) * w).otherwise(0.0)
     more = lambda x, w: F.when(C(x) > S(x), (C(x) - S(x)) * w).otherwise(0.0)

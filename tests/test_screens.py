@@ -48,14 +48,18 @@ def test_the_later_swap_wins(spark):
 
 
 def test_pair_features_equal_the_plain_counts(spark):
-    words = [["ab", "cd", "ab"], ["ab"], [], ["cd", "xy", "ab"], ["q"] * 5]
+    words = [["ab", "cd", "ab"], ["ab"], [], ["cd", "xy", "ab"], ["q"] * 5, ["ab", "q"] * 6]
     rows = [(i, w, [len(x) % 4 for x in w]) for i, w in enumerate(words)]
     f = spark.createDataFrame(rows, "id int, words array<string>, bins array<int>")
     levels = {f"level{p}": F.expr(f"aggregate(array_distinct(bins), 0L, (held, b) -> held | if(size(filter(bins, x -> x = b)) >= {p}, shiftleft(1L, cast(b as int)), 0L))") for p in range(1, swaps.LEVELS + 2)}
-    f = f.withColumns(levels | {"words_ids": F.transform("words", lambda w: F.xxhash64(w)), "words_single": F.size(F.array_distinct("words")) == F.size("words")})
+    f = f.withColumns(levels | {"words_ids": F.transform("words", lambda w: F.xxhash64(w))})
     pairs = f.alias("s").crossJoin(f.alias("c")).select(F.col("s.words").alias("a"), F.col("c.words").alias("b"), swaps.n_shared("s", "c", "words").alias("n"), swaps.bin_dot("s", "c").alias("dot"))
-    for r in pairs.collect():
+    few = f.where("size(words) <= 3")
+    short = few.alias("s").crossJoin(few.alias("c")).select(F.col("s.words").alias("a"), F.col("c.words").alias("b"), swaps.n_shared("s", "c", "words", swaps.Shape(3, 0, False)).alias("n"), swaps.bin_dot("s", "c", swaps.Shape(3, 0, False)).alias("dot"))
+    assert short.count() == 16
+    for r in pairs.collect() + short.collect():
         assert r.n == sum(w in r.b for w in r.a)
+    for r in pairs.collect() + short.where((F.size("a") <= swaps.LEVELS) & (F.size("b") <= swaps.LEVELS)).collect():
         assert r.dot == sum(len(x) % 4 == len(y) % 4 for x in r.a for y in r.b)
 
 
