@@ -26,6 +26,8 @@ COLUMNS = {
     "op8_lm_score": ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
     "op9_html_text": ["page_id", "url", "text", "n_chars"],
     "op10_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op12_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op13_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
 }
 
 
@@ -34,7 +36,7 @@ def test_contract_columns(spark, name):
     got = registry.queries()[name](spark, SF)
     assert got.columns[: len(COLUMNS[name])] == COLUMNS[name]
     rows = got.count()
-    if name in ("op4_toxicity", "op6_language_id", "op7_near_dedup", "op8_lm_score", "op10_decontaminate"):
+    if name in ("op4_toxicity", "op6_language_id", "op7_near_dedup", "op8_lm_score", "op10_decontaminate", "op12_fill_in_middle", "op13_quality_rules"):
         assert rows == spark.read.parquet(f"{SF}/documents.parquet").count()
     elif name in ("op2_url_filter", "op3_warc", "op9_html_text"):
         assert rows == spark.read.parquet(f"{SF}/pages.parquet").count()
@@ -45,12 +47,11 @@ def test_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels"):
         c.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
-    want = c.sql(registry.oracle_sql()[name]).df()
-    got = registry.queries()[name](spark, SF).toPandas()[list(want.columns)]
-    plain = lambda frame: sorted(map(str, frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)))
-    assert plain(got) == plain(want)
+    want = c.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, SF).select(want.columns).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want.fetchall()))
 
 
 def contaminated(texts, items):
