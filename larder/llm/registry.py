@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import ann, decontaminate, fill_in_middle, html_text, language_id, lm_score, near_dedup, packing, quality_rules, toxicity, url_filter, warc
+from larder.llm import ann, decontaminate, fill_in_middle, hard_negatives, html_text, language_id, lm_score, near_dedup, packing, quality_rules, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": lm_score.op8_lm_score,
         "op9_html_text": html_text.op9_html_text,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
         "op13_quality_rules": quality_rules.op13_quality_rules,
     }
@@ -31,6 +32,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filter": url_filter.OP2_SQL,
         "op3_warc": warc.OP3_SQL,
         "op10_decontaminate": decontaminate.OP10_SQL,
+        "op11_hard_negatives": hard_negatives.OP11_SQL,
         "op12_fill_in_middle": fill_in_middle.OP12_SQL,
         "op13_quality_rules": quality_rules.OP13_SQL,
     }

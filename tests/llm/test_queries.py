@@ -26,6 +26,7 @@ COLUMNS = {
     "op8_lm_score": ["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
     "op9_html_text": ["page_id", "url", "text", "n_chars"],
     "op10_decontaminate": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op11_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
     "op12_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
     "op13_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
 }
@@ -47,7 +48,7 @@ def test_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         c.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = c.sql(registry.oracle_sql()[name])
     got = registry.queries()[name](spark, SF).select(want.columns).collect()
