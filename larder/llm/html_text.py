@@ -12,9 +12,12 @@ Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
 and styles that say what they are, by tag, role, class or id, go in any case.
 Where a page marks its main part, or an article with at least half of its text,
 only that is read.  A class or id is a name as a whole token (sidebar), or if it
-holds nothing but names and words of place (site-footer; not related-work).  A
-branch that holds the only article or main part of the page stays, and so do all
-named branches if nothing else on the page has text.
+holds nothing but names and words of place, in words joined by signs or by
+capitals (site-footer, mainNav; not related-work).  A name of headers counts
+outside of articles only.  A branch that holds the only article or main part of
+the page stays, and so do all named branches if nothing else on the page has
+text.  A form stays if it holds an article or main part, or if it has paragraphs or
+headings and at least half of the page's text.
 
 The tree is a table of (host, path) rows: counts are partial sums in Spark, so
 a host with a third of all pages is spread over all tasks.  Copies of one page
@@ -22,6 +25,9 @@ count once.  What comes back to the pages is one row for each host with its
 unimportant paths, which are few, as a path must recur on many pages; Spark
 broadcasts that table if its files are small, and joins by shuffle else.
 
+A page counts once for each path, with all its presentations of that path together.
+Reading a page takes time in proportion to its length, whatever its nesting.
+
 Edge cases: null or empty html gives empty text.  Unclosed, misnested and
 truncated markup is read as far as it goes.  Hosts with fewer than ``MIN_PAGES``
 pages have no tree evidence.  If the tree would take all of a page's text, the
@@ -48,9 +54,9 @@ MIN_PAGES, LEAST_IMPORTANCE, G = 6, 0.25, 0.9
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption option select".split())
-DROPPED = frozenset("aside button canvas dialog footer form head iframe input label map menu nav noscript object select script style svg template textarea title".split())
-ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer gdpr menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
+DROPPED = frozenset("aside button canvas dialog footer head iframe input label map menu nav noscript object select script style svg template textarea title".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
+NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer gdpr menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 CLOSES_P = BLOCK - frozenset("html head body option legend caption tbody thead tfoot tr td th li dt dd".split())
 ONE_OF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
@@ -59,17 +65,25 @@ SIGN = re.compile(r"[>\"']")
 ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 READ = frozenset("class id role hidden aria-hidden".split())
 NAME_PART = re.compile(r"[a-z0-9]+")
+CAPITAL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Words that only say where or what kind of box it is, so that site-footer is a footer, but related-work, no-sidebar and has-menu are no names.
-PLACES = frozenset("area bar block bottom box btn button cell col column container content div foot global group head holder inner item items left link links list main mobile outer page panel primary right row secondary section site slot standard sticky sub tertiary top unit widget wrap wrapper zone".split())
+PLACES = frozenset("area article articles bar block bottom box btn button buttons cell col column container content count div feed foot form global google group head holder icon icons inner item items left link links list main message mobile news outer page panel post posts primary reader readers right row secondary section signup site slot standard sticky stories sub tertiary thread threads top trail unit up user users widget wrap wrapper zone".split())
+#: With which "header" is the site's; an article's own (post-header) is no name.
+HEADER_PLACES = frozenset("area bar box container div global header inner left main mobile outer page primary right secondary section site sticky top wrap wrapper".split())
+#: Blocks that make a form with most of the page's text more than a form.
+PROSE = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
 #: Blocks around a text for whose contents it counts.
 EVIDENCE_LEVELS = 64
 KEPT, NAMED, BARRED = 0, 1, 2  # what an element's own tag and attributes say
 
 
 class Node:
-    __slots__ = ("tag", "path", "above", "holder", "depth", "low", "dropped", "barred", "scope", "block", "children", "verdict", "number")
+    __slots__ = ("tag", "path", "above", "holder", "depth", "low", "dropped", "barred", "scope", "block", "children", "verdict", "number", "named", "outer", "form")
 
     def __init__(self, tag, path, above, low, dropped, barred, scope, block, verdict=KEPT, number=0):
+        self.outer = above.named if above is not None else None  # the nearest named element around it
+        self.named = self if verdict == NAMED else self.outer
+        self.form = above.form if above is not None and above.form else number if tag == "form" else 0
         self.tag, self.path, self.low, self.dropped, self.barred, self.scope, self.block, self.verdict, self.number = tag, path, low, dropped, barred, scope, block, verdict, number
         self.holder = self if block or above is None else above.holder  # the nearest block
         self.above = above.holder if above is not None else None  # the block around it
@@ -79,9 +93,13 @@ class Node:
 def _names(value: str) -> set[str]:
     """Names that a class or id consists of: whole tokens, and parts of tokens that hold nothing but names and PLACES."""
     found = set()
-    for token in value.lower().split():
-        parts = NAME_PART.findall(token)
-        if token in NAMES or (parts and all(p in NAMES or p in PLACES or p.isdigit() for p in parts)):
+    for token in value.split():
+        parts = NAME_PART.findall(CAPITAL.sub(" ", token).lower())
+        if "header" in parts and all(p in HEADER_PLACES or p.isdigit() for p in parts):
+            found.add("header")
+        if token.lower() in NAMES:
+            found.add(token.lower())
+        elif parts and all(p in NAMES or p in PLACES or p.isdigit() for p in parts):
             found.update(parts)
     return found
 
@@ -122,17 +140,33 @@ class Page:
         if not self.blocks and self.named:
             self.spared = None
             self._parse(source)
+        self._drop_forms()
         if narrow:
             marked = sum(len(text) for node, text in self.blocks if node.scope)
             if marked and (self.main or 2 * marked >= sum(len(text) for _, text in self.blocks)):
                 self.blocks = [b for b in self.blocks if b[0].scope]
 
+    def _drop_forms(self) -> None:
+        """Drops the text of forms that hold neither an article nor most of the page's text."""
+        size, prose, articles = Counter(), set(), set()
+        for node, text in self.blocks:
+            size[node.form] += len(text)
+            if node.tag in PROSE:
+                prose.add(node.form)
+            if node.scope:
+                articles.add(node.form)
+        gone = {f for f, n in size.items() if f and f not in articles and (f not in prose or 2 * n < size.total())}
+        # a form inside an article is the article's form
+        gone |= {f for f in articles if f and f in self.forms_inside}
+        self.blocks = [b for b in self.blocks if b[0].form not in gone]
+
     def _parse(self, source: str) -> None:
         self.blocks: list[tuple[Node, str]] = []
         self.styles: list[tuple[int, int]] = []
         self.text: list[str] = []
         self.stack = [Node("", 0, None, False, False, False, False, True)]
-        self.open_tags: Counter = Counter()
+        self.open_tags: dict[str, list[int]] = {}  # depths of the open elements of each tag, ascending
+        self.forms_inside: set[int] = set()
         self.unpaired: set[str] = set()  # quotes that do not occur any more
         self.opened, self.marked, self.main, self.named, self.holders = 0, False, False, False, set()
         self._read(source)
@@ -152,7 +186,7 @@ class Page:
         if node.block:
             self._flush()
         self.stack.pop()
-        self.open_tags[node.tag] -= 1
+        self.open_tags[node.tag].pop()
         if node.block and not node.dropped:
             self.styles.append((node.path, zlib.crc32(" ".join(node.children).encode("utf-8", "surrogatepass"))))
 
@@ -160,16 +194,13 @@ class Page:
         while len(self.stack) > depth:
             self._pop()
 
+    def _nearest(self, tags) -> int:
+        return max((depths[-1] for t in tags if (depths := self.open_tags.get(t))), default=0)
+
     def _find(self, tags, stops) -> int:
         """Depth of the nearest open element of ``tags`` not behind one of ``stops``; 0 if there is none."""
-        if not any(self.open_tags[t] for t in tags):
-            return 0
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag in tags:
-                return depth
-            if self.stack[depth].tag in stops:
-                return 0
-        return 0
+        depth = self._nearest(tags)
+        return depth if depth and depth >= self._nearest(stops) else 0
 
     def _open(self, tag: str, raw_attrs: str) -> None:
         if tag in CLOSES_P and (depth := self._find(("p",), ("button", "td", "th", "div", "section", "article", "body", "li"))):
@@ -193,17 +224,18 @@ class Page:
                 verdict = KEPT
         low = holder.low or (block and path in self.unimportant)
         node = Node(tag, path, above, low, above.dropped or verdict != KEPT, above.barred or verdict == BARRED, above.scope or tag in ("article", "main"), block, verdict, self.opened)
+        self.open_tags.setdefault(tag, []).append(len(self.stack))
         self.stack.append(node)
-        self.open_tags[tag] += 1
+        if tag == "form" and above.scope and not above.form:
+            self.forms_inside.add(node.number)
         if tag in ("article", "main"):
             if not node.dropped:
                 self.marked, self.main = True, self.main or tag == "main"
             elif not node.barred:
-                for n in reversed(self.stack):
-                    if n.verdict == NAMED:
-                        if n.number in self.holders:
-                            break
-                        self.holders.add(n.number)
+                around = node.named
+                while around is not None and around.number not in self.holders:
+                    self.holders.add(around.number)
+                    around = around.outer
 
     def _tag_end(self, source: str, at: int) -> tuple[int, int, bool]:
         """(end of the attributes, start of what follows, whether the tag is closed) of a tag whose name ends at ``at``."""
@@ -289,7 +321,10 @@ def tree_evidence(pages: DataFrame) -> DataFrame:
                     continue
                 page = Page(value)
                 own = zlib.crc32("\n".join(t for _, t in page.blocks).encode("utf-8", "surrogatepass"))
-                rows = {(p, 0, v) for p, v in page.styles}
+                shapes: dict[int, set[int]] = {}
+                for p, v in page.styles:
+                    shapes.setdefault(p, set()).add(v)
+                rows = {(p, 0, zlib.crc32(str(sorted(v)).encode())) for p, v in shapes.items()}
                 for node, text in page.blocks:
                     v = zlib.crc32(text.encode("utf-8", "surrogatepass"))
                     for _ in range(EVIDENCE_LEVELS):
@@ -312,7 +347,7 @@ def path_importance(evidence: DataFrame) -> DataFrame:
     """(host, path, pages, importance) for paths on at least MIN_PAGES different pages."""
     seen = evidence.distinct()
     shares = seen.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    # a path has one presentation or more on each of its pages, so their number is at most the presentations' sum
+    # a page has one value of kind 0 for each of its paths, so their sum is the number of different pages
     sums = shares.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("m"),
         F.count(F.when(F.col("kind") == 0, 1)).alias("styles"),

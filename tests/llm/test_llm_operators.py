@@ -655,3 +655,34 @@ def test_site_tree_removes_what_recurs(spark):
     assert all(got[i].text == f"story {i} with its own words {i * 7}" for i in range(12))
     assert got[50].text == "" and got[51].n_chars == 0 and got[52].text == "Read our other offers every day"
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_forms_around_the_page_and_inside_it():
+    story = "<h1>Title</h1><p>the whole long story of the day</p>"
+    for inner in (story, f"<article>{story}</article>", f"<div class=content>{story}</div>"):
+        assert html_text.main_text(f"<body><form id='aspnetForm'><nav>menu</nav>{inner}<input value=x></form><footer>f</footer></body>") == "Title\nthe whole long story of the day"
+    assert html_text.main_text(f"<body>{story}<form><p>sign up here</p></form></body>") == "Title\nthe whole long story of the day"
+    assert html_text.main_text(f"<body><article>{story}<form><p>leave a reply</p></form></article></body>") == "Title\nthe whole long story of the day"
+    assert html_text.main_text("<body><form>Search</form></body>") == ""
+    assert html_text.main_text(f"<body>{story}<div role=form>x</div></body>").startswith("Title\nthe whole")
+
+
+@pytest.mark.parametrize("name", ["header", "site-header", "page-header", "reader-comments", "user-comments", "comment-thread", "share-buttons", "related-posts", "newsletter-signup", "google-ad", "cookie-message", "breadcrumb-trail", "mainNav", "sidebarLeft", "topbar"])
+def test_names_of_what_is_not_the_article(name):
+    for attr in ("class", "id"):
+        assert html_text.main_text(f"<body><div {attr}='{name}'>noise</div><p>story</p></body>") == "story"
+        if "eader-" not in name and "header" not in name or name.endswith("comments"):
+            assert html_text.main_text(f"<body><article><p>story</p><div {attr}='{name}'>noise</div></article></body>") == "story"
+
+
+@pytest.mark.parametrize("name", ["related-work", "post-header", "article-header", "has-menu", "posts", "story", "no-sidebar"])
+def test_names_that_stay(name):
+    assert html_text.main_text(f"<body><div class='{name}'>kept</div><p>story</p></body>") == "kept\nstory"
+    assert html_text.main_text("<body><article><div class=header>kept</div><p>story</p></article></body>") == "kept\nstory"
+
+
+@pytest.mark.parametrize("page", ["<div><article>" + "<b>" * 100_000 + "</div>x" * 100_000, "<div class=menu>" + "<div>" * 50_000 + "<article>a</article>" * 50_000, "<table><tr><td>" * 30_000 + "</p>" * 100_000, "<form>" * 50_000 + "<p>x" * 50_000])
+def test_a_megabyte_of_nesting_takes_seconds(page):
+    start = time.time()
+    html_text.main_text(page)
+    assert time.time() - start < 8
