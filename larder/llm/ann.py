@@ -6,8 +6,10 @@ codebooks start as k-means of successive residuals and are refitted by least
 squares on beam-search codes.  Every vector is encoded by beam search and kept
 with its codes, its stored norm and its components.
 
-A query makes a table of its inner products with all codewords; a candidate's
-approximate score is its norm times the sum of its table entries.  Of each block
+A query, divided by its norm, makes a table of its inner products with all codewords;
+a candidate's approximate score is its norm times the sum of its table entries.  Norms
+are taken relative to the greatest of their block, and where they span more than
+a float holds, scores are compared by sign and logarithm.  Of each block
 of candidates the best ``SHORTLIST`` are scored exactly in double precision on
 the original vectors, and the best ``k`` of all blocks are merged.
 
@@ -20,7 +22,7 @@ number of queries, no query reaches the driver, and each group sends its best
 
 Edge cases: vectors that are null, zero, of another length than most, or that
 hold null or non-finite components take no part, nor do rows without an id.
-Equal scores rank by the smaller id.  Columns other than id and vector are ignored, whatever their names.  Of
+Equal scores rank by the smaller id; scores may overflow to infinity, and those that are no number rank last.  Columns other than id and vector are ignored, whatever their names.  Of
 equal vectors in a block only the k + 1 with the smallest ids can be reported,
 so a vector that a third of the rows share costs no more than that.  Repeated
 ids count once, with their best vector.  An empty table gives no rows.
@@ -41,6 +43,10 @@ QUERY_BLOCK, BLOCK = 1024, 4096
 GROUP, LEAST_GROUPS = 131_072, 64
 
 
+#: The id of a candidate that is none; no row may have it.
+ABSENT = -(2**63)
+
+
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v as doubles) of the rows that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
@@ -57,8 +63,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     scale = np.abs(x).max(axis=1, keepdims=True)
-    norm = scale[:, 0] * np.sqrt(((x / scale) ** 2).sum(axis=1))
-    return (x / norm[:, None]).astype(np.float32), norm
+    length = np.sqrt(((x / scale) ** 2).sum(axis=1))
+    with np.errstate(over="ignore"):
+        norm = np.minimum(scale[:, 0] * length, np.finfo(float).max)
+    return (x / scale / length[:, None]).astype(np.float32), norm
 
 
 def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -142,9 +150,17 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return cut(rows.mapInArrow(code, "vec_id long, v array<double>, codes binary, norm double")), books
 
 
+def approximate_order(cosine: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Values in the order of ``cosine * norm`` along each row, whatever the norms' range."""
+    if norm.min() > norm.max() * 1e-30:
+        return cosine * (norm / norm.max()).astype(np.float32)
+    size = np.log(np.maximum(np.abs(cosine), np.float32(1e-30)), dtype=float) + np.log(norm)
+    return np.sign(cosine) * (size + 1000)  # logarithms of doubles are above -750
+
+
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's k largest scores, ties to the smaller id; absent candidates have id -1."""
-    order = np.lexsort((ids, -score), axis=1)[:, :k]
+    """Each row's k largest scores, ties to the smaller id; absent candidates come last."""
+    order = np.lexsort((ids, -score, ids == ABSENT), axis=1)[:, :k]
     rows = np.arange(len(score))[:, None]
     return score[rows, order], ids[rows, order]
 
@@ -202,16 +218,17 @@ def _best_of_block(block, books: np.ndarray, query_ids: np.ndarray, queries: np.
     approx = np.zeros((len(queries), len(ids)), np.float32)
     for m in range(len(table)):
         approx += table[m][:, codes[:, m]]
-    approx *= norm.astype(np.float32)
+    approx = approximate_order(approx, norm)
     approx[query_ids[:, None] == ids[None, :]] = -np.inf
     width = min(shortlist, len(ids))
     near = np.argpartition(-approx, width - 1, axis=1)[:, :width]
     for at in range(0, len(queries), 64):
         some = slice(at, at + 64)
-        exact = np.einsum("qd,qrd->qr", queries[some], x[near[some]])
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = np.einsum("qd,qrd->qr", queries[some], x[near[some]])
         found = ids[near[some]]
         own = found == query_ids[some][:, None]
-        exact, found = np.where(own, -np.inf, exact), np.where(own, -1, found)
+        exact, found = np.where(own, -np.inf, exact), np.where(own, ABSENT, found)
         top[0][some], top[1][some] = _best(np.hstack([top[0][some], exact]), np.hstack([top[1][some], found]), k)
 
 
@@ -248,11 +265,11 @@ def search(index: DataFrame, books: np.ndarray, asked: DataFrame, groups: int, k
                 for i in range(lo, hi):
                     query_ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
                     queries = np.frombuffer(batch.column("matrix")[i].as_py()).reshape(len(query_ids), -1)
-                    table = np.einsum("qd,mwd->mqw", queries, books.astype(float), optimize=True).astype(np.float32)
-                    top = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1, np.int64)
+                    table = np.einsum("qd,mwd->mqw", _unit(queries)[0], books, optimize=True)
+                    top = np.full((len(queries), k), -np.inf), np.full((len(queries), k), ABSENT, np.int64)
                     for part in held:
                         _best_of_block(part, books, query_ids, queries, table, top, k, shortlist)
-                    use = (top[1] >= 0) & np.isfinite(top[0])
+                    use = top[1] != ABSENT
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, k)[use.ravel()]), pa.array(top[1][use]), pa.array(top[0][use])], names=["query_id", "vec_id", "score"])
 
     return dealt.mapInArrow(look, "query_id long, vec_id long, score double")
@@ -269,7 +286,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
     asked = query_blocks(queries, max(1, -(-n_queries // QUERY_BLOCK)))
     groups = max(-(-n // GROUP), min(LEAST_GROUPS, -(-n // BLOCK)))
     found = search(index, books, asked, groups, k, shortlist).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.nanvl("score", F.lit(float("-inf")))), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
