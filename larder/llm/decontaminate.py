@@ -6,8 +6,8 @@ three tables:
 
 * shift: for each block of two words, how far the search may move on;
 * buckets: for a block at a window's end, the windows that end so, told apart
-  by their first two words;
-* windows: the words of each window, compared directly to confirm an occurrence.
+  by their first two words and, among these, by a hash of all their words;
+* the window of equal hash is compared word by word to confirm an occurrence.
 
 Documents stream past the tables in Arrow batches and are never shuffled.  The
 tables travel with the task, which Spark broadcasts.  Items are dealt by hash into
@@ -53,15 +53,14 @@ class PatternSet:
 
     def __init__(self, length: int, windows: dict[tuple, set]):
         self.length, self.block = length, min(2, length)
-        self.windows = {w: frozenset(ids) for w, ids in windows.items()}
         self.far = length - self.block + 1
         self.shift: dict = {}
         self.buckets: dict = {}
-        for w in self.windows:
+        for w, ids in windows.items():
             for stop in range(self.block, length + 1):
                 key = w[stop - 2 : stop] if self.block == 2 else w[0]
                 self.shift[key] = min(self.shift.get(key, self.far), length - stop)
-            self.buckets.setdefault(w[-2:] if self.block == 2 else w[0], {}).setdefault(w[: self.block], []).append(w)
+            self.buckets.setdefault(w[-2:] if self.block == 2 else w[0], {}).setdefault(w[: self.block], {})[w] = frozenset(ids)
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, frozenset]]:
         """(start, item ids) of each occurrence."""
@@ -75,9 +74,9 @@ class PatternSet:
                 end += step
                 continue
             start = end - length
-            for w in buckets[key].get(tuple(words[start : start + block]), ()):
-                if tuple(words[start:end]) == w:
-                    yield start, self.windows[w]
+            alike = buckets[key].get(tuple(words[start : start + block]))
+            if alike and (ids := alike.get(tuple(words[start:end]))) is not None:
+                yield start, ids
             end += 1
 
 

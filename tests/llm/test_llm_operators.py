@@ -686,3 +686,33 @@ def test_a_megabyte_of_nesting_takes_seconds(page):
     start = time.time()
     html_text.main_text(page)
     assert time.time() - start < 8
+
+
+@pytest.mark.parametrize("scale", ["1e-60", "1e60", "mixed", "1e-300"])
+def test_nearest_of_extreme_norms(spark, monkeypatch, scale):
+    monkeypatch.setattr(ann, "BLOCK", 1024)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 16)) * (10.0 ** rng.uniform(-60, -30, size=(6000, 1)) if scale == "mixed" else float(scale))
+    ids = np.arange(-3000, 3000)
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] * 1 + [(0, x[3000].tolist())], "vec_id long, embedding array<double>")
+    got = ann.nearest(table, F.col("vec_id") % 100 == 0, shortlist=64).toPandas()
+    hits = total = 0
+    for q in ids[ids % 100 == 0]:
+        score = x @ x[q + 3000]
+        score[q + 3000] = -np.inf
+        want = np.lexsort((ids, -score))[:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        hits, total = hits + len(set(ids[want]) & set(mine.vec_id)), total + 20
+        assert list(mine["rank"]) == list(range(1, 21)) and len(set(mine.vec_id)) == 20
+    if scale != "1e-300":  # products below the range of doubles are all 0: ties
+        assert hits >= 0.9 * total
+
+
+def test_patterns_of_one_opening_and_ending():
+    """Windows of one bucket are looked up by hash, not listed."""
+    items = [(f"i{k}", "alpha beta " + " ".join(f"w{k}x{j}" for j in range(9)) + " gamma delta") for k in range(5000)]
+    tables = decontaminate.build_tables(items)
+    words = decontaminate.words_of("alpha beta a b c d e f g h i gamma delta " * 5000 + items[77][1])
+    start = time.time()
+    assert [sorted(i) for t in tables for _, i in t.search(words)] == [["i77"]]
+    assert time.time() - start < 0.5
