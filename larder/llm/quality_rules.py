@@ -10,8 +10,8 @@ average, so a bucket that few of either are in says little.  The log ratios are
 millionths and summed as integers: every run, partitioning and retry gives the same
 scores, and a document is kept if its score is at least the threshold.
 
-The whole plan is DataFrame expressions.  Texts are read twice and never shuffled:
-the first pass sends bucket counts, pre-aggregated in each task, and the second
+The whole plan is DataFrame expressions.  Texts are read twice and not shuffled (but
+once, if there are too many trusted ids to broadcast): the first pass sends bucket counts, pre-aggregated in each task, and the second
 scores each row by itself.  The table of log ratios, one number a bucket whatever
 the corpus, is the one thing that passes the driver.
 
@@ -33,7 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from larder.llm.common import small_side
 
@@ -154,17 +154,19 @@ def bucket(hash_: Column) -> Column:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """log(target / raw) of each bucket in millionths; ``trusted`` has a column ``trusted_id`` of distinct ids."""
-    rows = docs.select(F.col(id_col).alias("trusted_id"), hashed(words_of(F.coalesce(text_col, F.lit("")))).alias("hashes"))
-    rows = rows.select("trusted_id", F.concat("hashes", paired(F.col("hashes"))).alias("grams"))
-    rows = rows.join(small_side(trusted.withColumn("is_trusted", F.lit(1))), "trusted_id", "left")
+    rows = docs.select(F.col(id_col).alias("trusted_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = rows.join(small_side(trusted.withColumn("is_trusted", F.lit(1))), "trusted_id", "left")  # texts, which are smaller than their hashes
+    rows = rows.select("is_trusted", hashed(words_of(F.col("text"))).alias("hashes"))
+    rows = rows.select("is_trusted", F.concat("hashes", paired(F.col("hashes"))).alias("grams"))
     # the outer form, as for the other Spark infers a filter that computes the hashes once more
     seen = rows.select("is_trusted", F.explode_outer("grams").alias("gram")).where("gram is not null").select("is_trusted", bucket(F.col("gram")).alias("bucket"))
     counts = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("is_trusted").alias("target"))
-    total = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
+    all_buckets = Window.partitionBy(F.lit(0))  # at most BUCKETS rows
+    counts = counts.withColumns({"all_raw": F.sum("raw").over(all_buckets), "all_target": F.sum("target").over(all_buckets)})
     # (target + prior * raw / all_raw) / (all_target + prior), divided by raw / all_raw
     prior = PRIOR * BUCKETS
     ratio = (F.col("target") * F.col("all_raw") / F.col("raw") + prior) / (F.col("all_target") + prior)
-    table = counts.join(F.broadcast(total)).select("bucket", F.round(F.log(ratio) * UNIT).cast("long").alias("ratio"))
+    table = counts.select("bucket", F.round(F.log(ratio) * UNIT).cast("long").alias("ratio"))
     found = {r.bucket: r.ratio for r in table.collect()}  # at most BUCKETS rows
     return [found.get(b, 0) for b in range(BUCKETS)]
 
