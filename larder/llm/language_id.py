@@ -19,9 +19,9 @@ the decision is right, a logistic function of the gap to the runner-up fitted on
 the calibration texts.
 
 Counting n-grams and scoring run in Arrow batches.  The labelled texts used are
-hash samples of at most about ``max_texts`` for training and as many for
+hash samples of at most about ``max_texts`` distinct texts for training and as many for
 calibration of each language (a documented bound; of fewer texts a fifth
-calibrates).  N-gram counts are summed by Spark.  The models are bounded by the
+calibrates).  Ids play no part in the draw: they may be null, equal or repeated.  N-gram counts are summed by Spark.  The models are bounded by the
 sample and not by the input, and travel with the task.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and
@@ -215,16 +215,17 @@ class Scorer:
         return means, n
 
 
-def labelled_rows(documents: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, max_texts: int) -> DataFrame:
-    """(lang, text, trains): at most about ``max_texts`` rows of each language that train, and as many that calibrate, drawn by hash."""
-    rows = documents.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(id_col, F.lit("draw")), F.lit(1 << 30)) / (1 << 30)).alias("draw"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def labelled_rows(documents: DataFrame, text_col: str, lang_col: str, learn: Column, max_texts: int) -> DataFrame:
+    """(lang, text, trains): about ``max_texts`` distinct texts of each language at most that train, and as many that calibrate, drawn by a hash of the text."""
+    rows = documents.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col, F.lit("draw")).alias("hash"))
+    sizes = {r["lang"]: r["count"] for r in rows.select("lang", "hash").distinct().groupBy("lang").count().collect()}
     train, until = F.lit(0.0), F.lit(0.0)
     for lang, n in sizes.items():
         share = min(max_texts / n, 0.8) if n >= 5 else 1.0
         train = F.when(F.col("lang") == lang, F.lit(share)).otherwise(train)
         until = F.when(F.col("lang") == lang, F.lit(share + max_texts / n)).otherwise(until)
-    return rows.where(F.col("draw") < until).select("lang", "text", (F.col("draw") < train).alias("trains"))
+    rows = rows.withColumn("draw", F.pmod("hash", F.lit(1 << 30)) / (1 << 30)).where(F.col("draw") < until)
+    return rows.dropDuplicates(["lang", "text"]).select("lang", "text", (F.col("draw") < train).alias("trains"))
 
 
 def _counted_letters(rows: DataFrame) -> list[int]:
@@ -325,11 +326,11 @@ class Identifier:
         return [self.langs[k] if m else "und" for k, m in zip(best, n, strict=True)], score, rejected
 
 
-def fit(documents: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_texts: int = MAX_TEXTS) -> Identifier:
+def fit(documents: DataFrame, *, learn: Column, text_col: str = "text", lang_col: str = "lang", max_texts: int = MAX_TEXTS) -> Identifier:
     """Models of every language among the rows for which ``learn`` holds."""
     bound_batches(documents.sparkSession)
     with Scratch(documents.sparkSession) as work:
-        rows = work.cut(labelled_rows(documents, id_col, text_col, lang_col, learn, max_texts))
+        rows = work.cut(labelled_rows(documents, text_col, lang_col, learn, max_texts))
         train = rows.where("trains")
         letters = _counted_letters(train)
         counted = _counted_grams(train, letters)
