@@ -94,7 +94,7 @@ def records_of(archive: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 def train_dictionary(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> bytes:
-    """A dictionary from whole records drawn by hash, about SAMPLE_BYTES in all; empty if there are too few.
+    """A dictionary from whole records of distinct pages drawn by a hash of the page, at most about SAMPLE_BYTES in all; empty if there are too few.
 
     Records above LARGEST_SAMPLE bytes are not drawn; they are compressed like all others.
     """
@@ -102,7 +102,8 @@ def train_dictionary(pages: DataFrame, id_col: str, url_col: str, html_col: str)
     rows = pages.where(size <= LARGEST_SAMPLE).select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("h"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("h")), F.lit(0))).first()[0]
     share = min(1.0, SAMPLE_BYTES / max(total, 1))
-    drawn = rows.where(F.pmod(F.xxhash64("i", "u"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()
+    drawn = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = drawn.groupBy("h").agg(F.min(F.struct("i", "u")).alias("first")).select("h", "first.i", "first.u").orderBy(F.xxhash64("h"), "i").collect()
     samples = []
     for r in drawn:
         payload = r.h.encode("utf-8", "surrogatepass")
