@@ -18,7 +18,7 @@ the sample's feature numbers only.  Scoring is one Arrow pass over whole texts.
 Edge cases: null texts and texts without a word are never toxic, with the
 probabilities of an empty text.  Label rows with a null in any category teach
 nothing; repeated labels of one document count once, as the larger.  Repeated
-document rows teach as often as they occur and are judged alike; a probability
+document rows teach once and are judged alike; a probability
 equal to the threshold is toxic.  A category
 with one value only predicts its share.  Without labels nothing is toxic.
 Extra columns are kept, those named as an output column are replaced.
@@ -184,11 +184,14 @@ class Chain:
 
 
 def _sample(documents: DataFrame, labels: DataFrame, categories: list[str], id_col: str, text_col: str, max_rows: int) -> DataFrame:
-    """(id, text, categories): labelled documents drawn by hash."""
+    """(id, text, categories): at most ``max_rows`` labelled documents drawn by hash, repeated rows once."""
     known = labels.where(F.col(id_col).isNotNull()).dropna(subset=categories).groupBy(id_col).agg(*(F.max(c).alias(c) for c in categories))
     drawn = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
-    rows = documents.select(id_col, text_col).join(F.broadcast(drawn), id_col)  # bounded by max_rows
-    return rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *categories)
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    # both broadcasts are bounded by max_rows; an id may have many rows, so rows are drawn too, without their texts
+    pairs = rows.select("id", "text_hash").join(F.broadcast(drawn.withColumnRenamed(id_col, "id")), "id").distinct()
+    pairs = pairs.orderBy(F.xxhash64("id", "text_hash"), "id").limit(max_rows)
+    return rows.join(F.broadcast(pairs), ["id", "text_hash"]).dropDuplicates(["id", "text_hash"]).select("id", "text", *categories)
 
 
 def _vocabulary(sample: DataFrame, n: int) -> np.ndarray:

@@ -716,3 +716,21 @@ def test_patterns_of_one_opening_and_ending():
     start = time.time()
     assert [sorted(i) for t in tables for _, i in t.search(words)] == [["i77"]]
     assert time.time() - start < 0.5
+
+
+def test_samples_keep_their_bounds_whatever_the_ids(spark):
+    mark = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    words = [(f"the common words of number {mark(i)} and " if i % 2 else f"les mots communs du nombre {mark(i)} et ") * 12 for i in range(400)]
+    for ids in ([None] * 400, [7] * 400, list(range(400))):
+        rows = [(i, t, "en" if k % 2 else "fr") for k, (i, t) in enumerate(zip(ids, words, strict=True))] + [(None, words[0], "fr")] * 300
+        table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = language_id.labelled_rows(table, "text", "lang", F.lit(True), 40).groupBy("lang", "trains").count().collect()
+        assert len(got) == 4 and all(20 <= r["count"] <= 62 for r in got)
+        model = language_id.fit(table, learn=F.lit(True), max_texts=40)
+        assert np.isfinite(model.limits).all()
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(50)], "doc_id long, low_quality int, toxic int")
+    docs = spark.createDataFrame([(i % 3, f"text {i % 100}") for i in range(900)] + [(1, "again")] * 200, "doc_id long, text string")
+    sample = toxicity._sample(docs, labels, ["low_quality", "toxic"], "doc_id", "text", 60)
+    assert sample.count() == 60 == sample.distinct().count()
+    pages = spark.createDataFrame([(1, "http://a/", f"page {i} " * 30) for i in range(50)] + [(1, "http://a/", "hot " * 2000)] * 100, "page_id long, url string, html string")
+    assert isinstance(warc.train_dictionary(pages, "page_id", "url", "html"), bytes)
