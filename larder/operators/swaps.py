@@ -7,11 +7,13 @@ filtered before the join.  Per-food features are computed once, before pairing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder.functions import text as X, words as W
+from larder.operators.bounded import Rule, best_by_bounds
 from larder.sources.scratch import cut
 
 
@@ -182,33 +184,115 @@ def swap_quality(features: dict[str, Column | None]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def _scored(pairs: DataFrame, shape: Shape) -> DataFrame:
-    quality = swap_quality(pair_features("s", "c", cosine("s", "c", shape)))
-    return pairs.select(F.col("s.id").alias("food_id"), F.col("c.id").alias("swap_id"), F.col("c.row_ord").alias("ord"), F.col("c.swiss_category").alias("swap_category"), (swap_score("s", "c", shape) * (quality + 0.5)).alias("score"))
+#: Ranges that score bounds of the first two rankers use, besides the sums of :func:`with_sums`.
+_SUMS = ["sum_oils", "sum_dairy", "sum_meat", "sum_other4", "sum_other2", "sum_z"]
+_WORD_COLUMNS = ["words", "words_ids", *(f"level{p}" for p in range(1, LEVELS + 2)), "bins", "bin_norm"]
 
 
-def top_swaps(foods: DataFrame, k: int = 3, diets: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
+def with_sums(featured: DataFrame) -> DataFrame:
+    """Foods with their share in the linear parts of :func:`swap_score`, one sum for each group's formula, and of :func:`swap_quality`.
+
+    A pair's linear part is the difference of its foods' sums.
+    """
+    n = F.col
+    oils = -15 * n("saturated_fat_g") - 12 * n("salt_g")
+    dairy = -8 * n("sugars_g") - 6 * n("fat_g") + n("calcium_mg") / 50 * 4 - 12 * n("salt_g")
+    meat = 8 * n("protein_g") - 10 * n("saturated_fat_g") + 8 * n("iron_mg") - 20 * n("salt_g")
+    other = {k: -k * n("sugars_g") - 20 * n("salt_g") for k in (4, 2)}
+    deltas = {"delta_kcal": "kcal", "delta_sugar_g": "sugars_g", "delta_fat_g": "fat_g", "delta_satfat_g": "saturated_fat_g", "delta_protein_g": "protein_g"}
+    z = sum((n(deltas[name]) / scale * weight for name, _, scale, weight in W.RANKER if name in deltas), F.lit(0.0))
+    sums = [oils, dairy, meat, other[4], other[2]]
+    return featured.withColumns({c: x + 5 * n("fiber_g") for c, x in zip(_SUMS[:5], sums, strict=True)} | {"sum_z": z})
+
+
+def swap_parts(flags: dict[str, Column], weighs_cosine: bool) -> Callable[[Callable[[str], Column]], dict[str, Column]]:
+    """Bounds of the swap score and of the quality's exponent over candidates with the ranges ``c.low_*`` and ``c.high_*``.
+
+    ``flags``: the quality's features that a group decides.
+    """
+    S, low, high = (lambda x: F.col(f"s.{x}")), (lambda x: F.col(f"c.low_{x}")), (lambda x: F.col(f"c.high_{x}"))
+    fixed = {name: (mean, scale, weight) for name, mean, scale, weight in W.RANKER}
+
+    def parts(term: Callable[[str], Column]) -> dict[str, Column]:
+        gains = low("health_score") - S("health_score"), high("health_score") - S("health_score")
+        health = F.sqrt(F.greatest(gains[1], F.lit(0)).cast("double")) * 5 + F.when((gains[1] >= 10) & (gains[0] <= 40), 40).otherwise(0)
+        group, gain = S("eq_group"), (lambda x: high(x) - S(x))
+        linear = F.when(group == "OILS_FATS", gain("sum_oils")).when(group == "DAIRY_ALT", gain("sum_dairy")).when(group == "MEAT_ALT", gain("sum_meat")).otherwise(F.greatest(gain("sum_other4"), gain("sum_other2")))
+        one = F.when(S("kcal") == 0, 1.0).otherwise(S("kcal"))
+        near = (high("kcal") >= (0.8 - 1e-9) * one) & (low("kcal") <= (1.2 + 1e-9) * one)
+        far = (low("kcal") > (1.5 + 1e-9) * one) | (high("kcal") < (0.5 - 1e-9) * one)
+        z = F.lit(W.RANKER_INTERCEPT - sum(m / scale * w for n, (m, scale, w) in fixed.items() if n.startswith("delta_"))) - S("sum_z")
+        for name, value in flags.items():
+            mean, scale, weight = fixed[name]
+            z = z + (value - mean) / scale * weight
+        of_cosine = lambda x: F.lit(0.0)
+        if weighs_cosine:
+            mean, scale, weight = fixed["cosine_sim"]  # its weight is positive
+            of_cosine = lambda x: (x - mean) / scale * weight
+        return {
+            "points": health + linear + F.when(near, 40).when(far, -100).otherwise(0) + term("points"), "z": z,
+            "z_low": low("sum_z") + of_cosine(term("cosine_low")), "z_high": high("sum_z") + of_cosine(term("cosine_high")),
+            "cosine_low": term("cosine_low"), "cosine_high": term("cosine_high"),
+        }
+
+    return parts
+
+
+def swap_upper(factor: Callable[[Column], Column]) -> Column:
+    """The greatest swap score times quality, of the parts in ``p``; ``factor``: what it is multiplied by besides, given the cosine."""
+    quality = lambda edge: (1 / (1 + F.exp(-(F.col("p.z") + F.col(f"p.z_{edge}")))) + 0.5) * factor(F.col(f"p.cosine_{edge}"))
+    return F.col("p.points") * F.when(F.col("p.points") >= 0, quality("high")).otherwise(quality("low"))
+
+
+def swap_rule(meets: list[Column], group: list[str], flags: dict[str, Column], allowed: Column, score: Column, factor: Callable[[Column], Column], weighs_cosine: bool, shape: Shape) -> Rule:
+    S, C = (lambda x: F.col(f"s.{x}")), (lambda x: F.col(f"c.{x}"))
+    same = F.when(S("swiss_category") == C("swiss_category"), 300).otherwise(0)
+    exact = cosine("s", "c", shape)
+    return Rule(
+        group=group,
+        signature=[*_WORD_COLUMNS, "unsweet"],
+        numbers=["health_score", "kcal", *_SUMS],
+        source=["health_score", "kcal", "eq_group", "swiss_category", "liquid", "raw", *_SUMS],
+        source_signature=[*_WORD_COLUMNS, "sweet", "swiss_category"],
+        cell=[F.floor(F.col(c) / width) for c, width in (("health_score", 15), ("kcal", 100), ("sum_other4", 60), ("sum_z", 0.5))],
+        meets=meets,
+        possible=F.col("c.high_health_score") >= S("health_score") + 10,
+        allowed=allowed,
+        words={"points": (same + n_shared("s", "c", "words", shape) * 150 + F.when(S("sweet") & C("unsweet"), 150).otherwise(0)).cast("double"), "cosine_low": exact, "cosine_high": exact},
+        loose={"points": (same + F.size(S("words")) * 150 + F.when(S("sweet"), 150).otherwise(0)).cast("double"), "cosine_low": F.lit(0.0), "cosine_high": F.lit(1.0)},
+        parts=swap_parts(flags, weighs_cosine),
+        upper=swap_upper(factor),
+        score=score,
+    )
+
+
+def top_swaps(foods: DataFrame, k: int = 3, diets: list[str] | None = None, sources: DataFrame | None = None, counts: dict[str, int] | None = None) -> DataFrame:
     """food_id, swap_id, score, rank: the k best swaps of each food (of ``sources`` only, column food_id), ties to the earlier candidate.
 
     A candidate shares the food's category, or its group; in strict groups also
-    its branch.  Both ways are equi joins, and a pair of one category comes by
-    the first only.
+    its branch.  Both ways are equi joins with groups of candidates, and a pair
+    of one category comes by the first only.
     """
-    featured = cut(food_features(foods))  # used five times below
+    featured = cut(with_sums(food_features(foods)))
     shape = shape_of(featured)
     wanted = featured.where("health_score < 80")
     if sources is not None:
         wanted = wanted.join(sources.select(F.col("food_id").alias("id")).distinct(), "id", "left_semi")
     candidates = featured.where(~F.col("restricted") & diet_allows(F.col("category"), diets or []))
-    better = (F.col("c.health_score") >= F.col("s.health_score") + 10) & (F.col("c.id") != F.col("s.id"))
     strict = F.col("s.eq_group").isin(W.STRICT_GROUPS)
     branch = ~strict | ((F.col("s.branch") == F.col("c.branch")) & (F.col("s.branch") != ""))
-    s, c = wanted.alias("s"), candidates.alias("c")
     liquid = F.col("c.liquid") == F.col("s.liquid")
-    one = _scored(s.join(c, (F.col("c.swiss_category") == F.col("s.swiss_category")) & liquid & better), shape)
-    two = _scored(s.join(c, (F.col("c.eq_group") == F.col("s.eq_group")) & liquid & (F.col("c.swiss_category") != F.col("s.swiss_category")) & better & branch), shape)
-    place = F.row_number().over(Window.partitionBy("food_id").orderBy(F.desc("score"), "ord"))
-    return one.unionByName(two).withColumn("rank", place).where(F.col("rank") <= k)
+    features = pair_features("s", "c", cosine("s", "c", shape))
+    rule = swap_rule(
+        meets=[(F.col("c.swiss_category") == F.col("s.swiss_category")) & liquid, (F.col("c.eq_group") == F.col("s.eq_group")) & liquid & (F.col("c.swiss_category") != F.col("s.swiss_category")) & branch],
+        group=["swiss_category", "eq_group", "branch", "liquid", "raw"],
+        flags={name: features[name] for name in ("same_swiss_category", "liquid_mismatch", "raw_ingredient_mismatch")},
+        allowed=(F.col("c.health_score") >= F.col("s.health_score") + 10) & (F.col("c.id") != F.col("s.id")),
+        score=swap_score("s", "c", shape) * (swap_quality(features) + 0.5),
+        factor=lambda cosine: F.lit(1.0), weighs_cosine=True, shape=shape,
+    )
+    best = best_by_bounds(wanted, candidates, rule, k, counts=counts)
+    return best.select(F.col("source").alias("food_id"), F.col("c.id").alias("swap_id"), F.col("c.row_ord").alias("ord"), F.col("c.swiss_category").alias("swap_category"), "score", "rank")
 
 
 def personalised_swaps(foods: DataFrame, prefs: DataFrame, k: int = 3, diets: list[str] | None = None) -> DataFrame:
@@ -231,45 +315,85 @@ def recipe_pairs(foods: DataFrame, diets: list[str] | None = None) -> tuple[Data
     return s.join(c, on[0] & on[1] & on[2] & (F.col("c.health_score") >= F.col("s.health_score") + 10) & (F.col("s.id") != F.col("c.id"))), shape_of(featured)
 
 
-def recipe_swaps(foods: DataFrame, diets: list[str] | None = None) -> DataFrame:
+def recipe_swaps(foods: DataFrame, diets: list[str] | None = None, counts: dict[str, int] | None = None) -> DataFrame:
     """food_id, swap_id, score: the best swap of each ingredient within its culinary role."""
-    pairs, shape = recipe_pairs(foods, diets)
+    featured = cut(with_sums(food_features(foods).where(~F.col("role").isin(W.COARSE_ROLES))))
+    shape = shape_of(featured)
     features = pair_features("s", "c", None) | {"liquid_mismatch": F.lit(0.0), "raw_ingredient_mismatch": F.lit(0.0)}
-    score = swap_score("s", "c", shape) * (swap_quality(features) + 0.5) * (0.7 + 0.6 * cosine("s", "c", shape))
-    scored = pairs.select(F.col("s.id").alias("food_id"), F.col("c.id").alias("swap_id"), F.col("c.row_ord").alias("ord"), score.alias("score"))
-    best = scored.groupBy("food_id").agg(F.max_by(F.struct("swap_id", "score"), F.struct("score", -F.col("ord"))).alias("b"))
-    return best.select("food_id", "b.swap_id", "b.score")
-
-
-def smart_swaps(foods: DataFrame, diets: list[str] | None = None) -> DataFrame:
+    nearness = lambda cosine: 0.7 + 0.6 * cosine
+    rule = swap_rule(
+        meets=[(F.col("s.role") == F.col("c.role")) & (F.col("s.liquid") == F.col("c.liquid")) & (F.col("s.raw") == F.col("c.raw"))],
+        group=["role", "liquid", "raw", "swiss_category"],
+        flags={name: features[name] for name in ("same_swiss_category", "liquid_mismatch", "raw_ingredient_mismatch")},
+        allowed=(F.col("c.health_score") >= F.col("s.health_score") + 10) & (F.col("s.id") != F.col("c.id")),
+        score=swap_score("s", "c", shape) * (swap_quality(features) + 0.5) * nearness(cosine("s", "c", shape)),
+        factor=nearness, weighs_cosine=False, shape=shape,
+    )
+    best = best_by_bounds(featured.where("health_score < 75"), featured.where(diet_allows(F.col("category"), diets or [])), rule, 1, counts=counts)
+    return best.select(F.col("source").alias("food_id"), F.col("c.id").alias("swap_id"), "score")
+
+
+def smart_swaps(foods: DataFrame, diets: list[str] | None = None, counts: dict[str, int] | None = None) -> DataFrame:
     """food_id, swap_id, score: the third ranker's best candidate, if it scores above -50."""
     diets = diets or []
-    f = cut(food_features(foods).withColumn("low_name", F.lower("name")))
-    shape, s = shape_of(f), f.alias("s")
+    one = lambda x: F.when(x == 0, 1.0).otherwise(x)
+    top = lambda x: F.get(F.split(x, "/"), F.lit(0))
+    low_name, nova = F.lower("name"), F.coalesce("nova_group", F.lit(0))
+    featured = food_features(foods).withColumns({
+        "low_name": low_name, "decaf": low_name.contains("decaf"), "coffee": low_name.contains("coffee"), "unsweet_name": X.any_of(low_name, W.SMART_UNSWEETENED),
+        "sweet_name": X.any_of(low_name, W.SMART_SWEETENED), "top": top(F.col("swiss_category")), "kcal_one": one(F.col("kcal")),
+        "n_tokens": F.size("smart_tokens"), "nova_one": (nova == 1).cast("int"), "nova_low": nova.between(1, 3).cast("int"),
+    })
+    featured = cut(featured)
+    shape = shape_of(featured)
     banned = X.any_of(F.concat_ws("\n", "low_name", F.lower("category")), W.SMART_RESTRICTED + ["energy drink"])
-    c = f.where((F.col("health_score") >= 65) & ~banned).alias("c")
     S, C = (lambda x: F.col(f"s.{x}")), (lambda x: F.col(f"c.{x}"))
-    decaf = (S("low_name").contains("decaf") == C("low_name").contains("decaf")) | ~(S("low_name").contains("coffee") | C("low_name").contains("coffee"))
-    gain = C("health_score") - S("health_score")
-    pairs = s.join(c, (S("smart_liquid") == C("smart_liquid")) & (gain > 5) & (S("id") != C("id")) & decaf)
-    top = lambda x: F.get(F.split(x, "/"), F.lit(0))
-    fit = F.when(S("swiss_category") == C("swiss_category"), 120).when(S("category") == C("category"), 40 + F.when((top(S("swiss_category")) == top(C("swiss_category"))) & (top(S("swiss_category")) != ""), 45).otherwise(0)).otherwise(-150)
+    fit = F.when(S("swiss_category") == C("swiss_category"), 120).when(S("category") == C("category"), 40 + F.when((S("top") == C("top")) & (S("top") != ""), 45).otherwise(0)).otherwise(-150)
+    less = lambda value, x, w: F.when(value < S(x), (S(x) - value) * w).otherwise(0.0)
+    more = lambda value, x, w: F.when(value > S(x), (value - S(x)) * w).otherwise(0.0)
+    sugar = lambda value: F.when(value < S("sugars_g"), (S("sugars_g") - value) * 4).when(value > S("sugars_g") + 2, (value - S("sugars_g")) * -2).otherwise(0.0)
+
+    def wish(protein: Column, sugars: Column) -> Column:
+        made = F.lit(0)
+        if "High Protein" in diets:
+            made = made + F.when(protein > S("protein_g"), 25).otherwise(0)
+        if "Low Carb" in diets:
+            made = made + F.when(sugars < S("sugars_g"), 25).otherwise(0)
+        return made
+
     shared = n_shared("c", "s", "smart_tokens", shape)
-    dream = F.when((shared > 0) & X.any_of(S("low_name"), W.SMART_SWEETENED) & X.any_of(C("low_name"), W.SMART_UNSWEETENED), 150).otherwise(0)
-    less = lambda x, w: F.when(C(x) < S(x), (S(x) - C(x)) * w).otherwise(0.0)
-    more = lambda x, w: F.when(C(x) > S(x), (C(x) - S(x)) * w).otherwise(0.0)
-    sugar = F.when(C("sugars_g") < S("sugars_g"), (S("sugars_g") - C("sugars_g")) * 4).when(C("sugars_g") > S("sugars_g") + 2, (C("sugars_g") - S("sugars_g")) * -2).otherwise(0.0)
-    one = lambda x: F.when(x == 0, 1.0).otherwise(x)
-    low, high = F.least(one(S("kcal")), one(C("kcal"))), F.greatest(one(S("kcal")), one(C("kcal")))
-    energy = F.when(low / high >= 0.6, 20).otherwise(0) - F.when(one(C("kcal")) > one(S("kcal")) * 1.5, 15).otherwise(0)
-    nova = F.when((S("nova_group") == 4) & (C("nova_group") > 0) & (C("nova_group") < 4), 35).otherwise(0) + F.when(C("nova_group") == 1, 15).otherwise(0)
-    wish = F.lit(0)
-    if "High Protein" in diets:
-        wish = wish + F.when(C("protein_g") > S("protein_g"), 25).otherwise(0)
-    if "Low Carb" in diets:
-        wish = wish + F.when(C("sugars_g") < S("sugars_g"), 25).otherwise(0)
+    dream = F.when((shared > 0) & S("sweet_name") & C("unsweet_name"), 150).otherwise(0)
+    gain = C("health_score") - S("health_score")
+    low, high = F.least(S("kcal_one"), C("kcal_one")), F.greatest(S("kcal_one"), C("kcal_one"))
+    energy = F.when(low / high >= 0.6, 20).otherwise(0) - F.when(C("kcal_one") > S("kcal_one") * 1.5, 15).otherwise(0)
+    novas = F.when((S("nova_group") == 4) & (C("nova_group") > 0) & (C("nova_group") < 4), 35).otherwise(0) + F.when(C("nova_group") == 1, 15).otherwise(0)
     jump = F.sqrt(gain.cast("double")) * 3 + F.when(gain.between(15, 45), 35).when(gain > 45, 10).otherwise(0)
-    score = jump + fit + shared * 40 + dream + sugar + less("saturated_fat_g", 5) + less("salt_g", 25) + more("protein_g", 3) + more("fiber_g", 4) + energy + nova + wish
-    scored = pairs.select(S("id").alias("food_id"), C("id").alias("swap_id"), C("row_ord").alias("ord"), score.alias("score"))
-    best = scored.groupBy("food_id").agg(F.max_by(F.struct("swap_id", "score"), F.struct("score", -F.col("ord"))).alias("b"))
-    return best.select("food_id", F.col("b.swap_id").alias("swap_id"), F.col("b.score").alias("score")).where("score > -50")
+    score = jump + fit + shared * 40 + dream + sugar(C("sugars_g")) + less(C("saturated_fat_g"), "saturated_fat_g", 5) + less(C("salt_g"), "salt_g", 25) + more(C("protein_g"), "protein_g", 3) + more(C("fiber_g"), "fiber_g", 4) + energy + novas + wish(C("protein_g"), C("sugars_g"))
+
+    least, most = (lambda x: F.col(f"c.low_{x}")), (lambda x: F.col(f"c.high_{x}"))
+    gains = least("health_score") - S("health_score"), most("health_score") - S("health_score")
+    above = F.when((gains[1] >= 15) & (gains[0] <= 45), 35).when(gains[0] > 45, 10).otherwise(0)
+    near = (most("kcal_one") >= S("kcal_one") * (0.6 - 1e-9)) & (least("kcal_one") * (0.6 - 1e-9) <= S("kcal_one"))
+    rest = (
+        F.sqrt(F.greatest(gains[1], F.lit(0)).cast("double")) * 3 + above + sugar(least("sugars_g")) + less(least("saturated_fat_g"), "saturated_fat_g", 5) + less(least("salt_g"), "salt_g", 25)
+        + more(most("protein_g"), "protein_g", 3) + more(most("fiber_g"), "fiber_g", 4) + F.when(near, 20).otherwise(0) - F.when(least("kcal_one") > S("kcal_one") * (1.5 + 1e-9), 15).otherwise(0)
+        + F.when((S("nova_group") == 4) & (most("nova_low") > 0), 35).otherwise(0) + F.when(most("nova_one") > 0, 15).otherwise(0) + wish(most("protein_g"), least("sugars_g"))
+    )
+    rule = Rule(
+        group=["smart_liquid", "category", "swiss_category", "top"],
+        signature=["smart_tokens", "smart_tokens_ids", "unsweet_name"],
+        numbers=["health_score", "sugars_g", "saturated_fat_g", "salt_g", "protein_g", "fiber_g", "kcal_one", "nova_one", "nova_low", "n_tokens"],
+        cell=[F.floor(F.col(c) / width) for c, width in (("health_score", 15), ("sugars_g", 8), ("salt_g", 1), ("protein_g", 8))],
+        source=["health_score", "sugars_g", "saturated_fat_g", "salt_g", "protein_g", "fiber_g", "kcal_one", "nova_group"],
+        source_signature=["smart_tokens", "smart_tokens_ids", "sweet_name", "swiss_category", "category", "top"],
+        meets=[S("smart_liquid") == C("smart_liquid")],
+        possible=most("health_score") - S("health_score") > 5,
+        allowed=(gain > 5) & (S("id") != C("id")) & ((S("decaf") == C("decaf")) | ~(S("coffee") | C("coffee"))),
+        words={"points": (fit + shared * 40 + dream).cast("double")},
+        loose={"points": (fit + most("n_tokens") * 40 + F.when(S("sweet_name"), 150).otherwise(0)).cast("double")},
+        parts=lambda term: {"points": rest + term("points")},
+        upper=F.col("p.points"),
+        score=score,
+    )
+    best = best_by_bounds(featured, featured.where((F.col("health_score") >= 65) & ~banned), rule, 1, counts=counts)
+    return best.select(F.col("source").alias("food_id"), F.col("c.id").alias("swap_id"), "score").where("score > -50")
