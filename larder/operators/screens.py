@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder.functions.nutrition import category_icon, half_up
 from larder.operators.recipes import diet_recipes, feed
-from larder.operators.swaps import top_swaps
+from larder.operators.swaps import FEATURES, cosine, food_features, pair_features, top_swaps
+from larder.sources.scratch import cut
 
 WEAK_BELOW, MATCH_FLOOR = 0.72, 0.45
 MATCH_LOG_ROWS = 500
@@ -139,21 +140,42 @@ def scan_summary(items: DataFrame, foods: DataFrame, diets: list[str]) -> DataFr
 
 
 def recipes_with_food(ingredients: DataFrame, k: int) -> DataFrame:
-    """food_id, recipe_id, place: the first ``k`` recipes that use each food."""
+    """food_id, recipe_id, place: the first ``k`` recipes that use each food.
+
+    Places are limited before the exchange, so a food in most recipes costs k rows a task.
+    """
     used = ingredients.where("food_id is not null").select("food_id", "recipe_id").distinct()
-    # at most k recipes of each partial group go on, so a food in most recipes costs k rows a task
-    least = used.groupBy("food_id", F.pmod(F.xxhash64("recipe_id"), F.lit(64)).alias("_b")).agg(F.slice(F.array_sort(F.collect_list(F.col("recipe_id").cast("long"))), 1, k).alias("_r"))
-    first = least.groupBy("food_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_r"))), 1, k).alias("_r"))
-    return first.select("food_id", F.posexplode("_r").alias("place", "recipe_id")).select("food_id", F.col("recipe_id").cast("string").alias("recipe_id"), (F.col("place") + 1).alias("place"))
+    place = F.row_number().over(Window.partitionBy("food_id").orderBy(F.col("recipe_id").cast("long")))
+    return used.withColumn("place", place).where(F.col("place") <= k)
 
 
 def grouped_items(items: DataFrame, group: str, value: str, order: str) -> DataFrame:
-    """group, n, texts: a list's items by recipe in order, those without one under the empty name."""
+    """group, n, texts: one list's items by recipe in order, those without one under the empty name.
+
+    For the lists of one screen; over many lists use :func:`with_group_size`.
+    """
     keyed = items.withColumn("_g", F.coalesce(group, F.lit("")))
     rows = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(order, value))).alias("_v"))
     return rows.select(F.col("_g").alias(group), "n", F.transform("_v", lambda x: x[value]).alias("texts"))
 
 
+def with_group_size(items: DataFrame, group: str) -> DataFrame:
+    """``items`` with n, their group's size; items without a group are one under the empty name.
+
+    Rows stay rows: a group's sizes are summed in each task first, and no group is gathered.
+    """
+    keyed = items.withColumn(group, F.coalesce(group, F.lit("")))
+    return keyed.join(keyed.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group)
+
+
+def decision_rows(decisions: DataFrame, foods: DataFrame) -> DataFrame:
+    """``decisions`` (food_id, swap_id) with the ranker's nine features of the two foods."""
+    f = cut(food_features(foods))
+    pairs = decisions.join(f.select(F.col("id").alias("food_id"), F.struct("*").alias("s")), "food_id").join(f.select(F.col("id").alias("swap_id"), F.struct("*").alias("c")), "swap_id")
+    features = pair_features("s", "c", cosine("s", "c"))
+    return pairs.withColumns({name: features[name] for name in FEATURES}).drop("s", "c")
+
+
 def governed_lines(lines: DataFrame, dictionary: DataFrame, brands: DataFrame, brand_hits) -> DataFrame:
     """line_id, tier, key: the dictionary entry that decides each line, an exact one before a brand."""
     low = lines.withColumn("key", F.lower(F.trim("raw_text")))

@@ -18,6 +18,8 @@ from larder.sources.scratch import cut
 
 
 LEVELS, SHORT = 2, 8
+#: The ranker's features.
+FEATURES = [name for name, *_ in W.RANKER]
 
 
 def is_liquid(name: Column) -> Column:

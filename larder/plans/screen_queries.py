@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.functions import nutrition as N, words as W
-from larder.operators import history, matching, recipes, screens as S, search, swaps
+from larder.functions import nutrition as N, text as X, words as W
+from larder.operators import history, matching, pipelines, recipes, screens as S, search, swaps
 from larder.plans import testdata as D
-from larder.plans.catalog_queries import _BRANDS, _FEATURED, _KCAL, _LINKED, _MICRO_VALUES, _PAIR_SQL, FOODS, INGREDIENTS, ITEMS, LINES, PROFILES, RECIPES, _foods, _query, _r, _recipe_parts, _table, _totals_sql, oracle_sql, queries
+from larder.sources.scratch import fresh_folder
+from larder.plans.catalog_queries import _BRANDS, _COSINE, _FEATURED, _KCAL, _LINKED, _MICRO_VALUES, _PAIR_SQL, FOODS, INGREDIENTS, ITEMS, LINES, PROFILES, RECIPES, _foods, _query, _r, _recipe_parts, _table, _totals_sql, oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
 MICROS = D.duck(D.MICROS)
@@ -116,19 +117,22 @@ def log_counts(spark, d):
     return _items(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(weak).alias("n_weak"), F.count_distinct("scan_id").alias("n_scans"), F.count_distinct(F.when(F.col("is_shopping_list"), F.col("scan_id"))).alias("n_lists"))
 
 
-@_query(f"""WITH f AS ({_FEATURED})
-SELECT i.seq, CAST(s.swiss_category = c.swiss_category AS DOUBLE) AS same_swiss_category, CAST(s.liquid <> c.liquid AS DOUBLE) AS liquid_mismatch, CAST(s.raw <> c.raw AS DOUBLE) AS raw_ingredient_mismatch,
+_DECIDED = f"(SELECT DISTINCT food_id FROM {ITEMS} WHERE food_id IS NOT NULL AND event_type IN ('purchase', 'error'))"
+
+
+@_query(_swaps_sql(_DECIDED, False) + f"""
+SELECT i.seq, r.swap_id, round({_COSINE}, 6) AS cosine_sim, CAST(s.swiss_category = c.swiss_category AS DOUBLE) AS same_swiss_category, CAST(s.liquid <> c.liquid AS DOUBLE) AS liquid_mismatch, CAST(s.raw <> c.raw AS DOUBLE) AS raw_ingredient_mismatch,
        round(c.kcal - s.kcal, 4) AS delta_kcal, round(c.sugars_g - s.sugars_g, 4) AS delta_sugar_g, round(c.fat_g - s.fat_g, 4) AS delta_fat_g, round(c.saturated_fat_g - s.saturated_fat_g, 4) AS delta_satfat_g, round(c.protein_g - s.protein_g, 4) AS delta_protein_g,
        CASE WHEN i.event_type = 'purchase' THEN 'GOOD' ELSE 'BAD' END AS label, CAST(i.event_type = 'purchase' AS INT) AS is_good
-FROM {ITEMS} i JOIN f s ON s.id = i.food_id JOIN f c ON c.row_ord = s.row_ord + 1 WHERE i.event_type IN ('purchase', 'error')""")
+FROM {ITEMS} i JOIN ranked r ON r.food_id = i.food_id AND r.rank = 1 JOIN f s ON s.id = r.food_id JOIN f c ON c.id = r.swap_id WHERE i.event_type IN ('purchase', 'error')""")
 def decision_log(spark, d):
-    """A training row for each decision on a swap, here of a food for the next one in the catalog."""
-    f = swaps.food_features(_foods(spark, d))
-    events = _items(spark, d).where(F.col("event_type").isin("purchase", "error")).select("seq", "food_id", "event_type")
-    pairs = events.join(f.alias("s"), F.col("food_id") == F.col("s.id")).join(f.withColumn("before", F.col("row_ord") - 1).alias("c"), F.col("s.row_ord") == F.col("before"))
-    features = {k: v for k, v in swaps.pair_features("s", "c", None).items() if v is not None}
+    """A training row with all nine features for each decision on the swap that was shown, the best of the food."""
+    foods = _foods(spark, d)
+    events = _items(spark, d).where(F.col("event_type").isin("purchase", "error") & F.col("food_id").isNotNull()).select("seq", "food_id", "event_type")
+    shown = swaps.top_swaps(foods, 1, sources=events).select("food_id", "swap_id")
     good = F.col("event_type") == "purchase"
-    return pairs.select("seq", *(_r(v).alias(k) for k, v in features.items()), F.when(good, "GOOD").otherwise("BAD").alias("label"), good.cast("int").alias("is_good"))
+    rows = S.decision_rows(events.join(shown, "food_id"), foods)
+    return rows.select("seq", "swap_id", *((_r(c, 6) if c == "cosine_sim" else _r(c)).alias(c) for c in swaps.FEATURES), F.when(good, "GOOD").otherwise("BAD").alias("label"), good.cast("int").alias("is_good"))
 
 
 @_query(f"SELECT user_id, count(*) AS n_events FROM {ITEMS} WHERE user_id NOT IN (SELECT user_id FROM (SELECT user_id, arg_min(event_type, seq) AS first_type FROM {ITEMS} GROUP BY user_id) WHERE first_type = 'signup') GROUP BY user_id")
@@ -178,13 +182,13 @@ def all_scan_average(spark, d):
     return scores.agg(F.coalesce(N.half_up(F.avg("average_score")), F.lit(0)).cast("int").alias("average_score"), F.count(F.lit(1)).alias("n_scans"))
 
 
-@_query(f"SELECT coalesce(recipe_name, '') AS recipe_name, count(*) AS n, string_agg(raw_text, '|' ORDER BY seq, raw_text) AS texts FROM (SELECT CASE WHEN i.recipe_id LIKE '%3' THEN NULL ELSE r.name END AS recipe_name, CAST(i.recipe_id AS BIGINT) * 10 + i.sort_order AS seq, i.raw_text FROM {INGREDIENTS} i JOIN {RECIPES} r ON r.id = i.recipe_id) WHERE recipe_name IS NOT NULL GROUP BY recipe_name")
+@_query(f"SELECT coalesce(recipe_name, '') AS recipe_name, count(*) OVER (PARTITION BY coalesce(recipe_name, '')) AS n, seq, raw_text FROM (SELECT CASE WHEN i.recipe_id LIKE '%3' THEN NULL ELSE r.name END AS recipe_name, CAST(i.recipe_id AS BIGINT) * 10 + i.sort_order AS seq, i.raw_text FROM {INGREDIENTS} i JOIN {RECIPES} r ON r.id = i.recipe_id)")
 def items_by_recipe(spark, d):
-    """A list's items by recipe."""
+    """A list's items by recipe, and those that belong to none."""
     r, i, _ = _recipe_parts(spark, d)
-    rows = i.join(r.select(F.col("id").alias("recipe_id"), F.col("name").alias("recipe_name")), "recipe_id").where("recipe_id not like '%3'")
-    rows = rows.withColumn("seq", F.col("recipe_id").cast("long") * 10 + F.col("sort_order"))
-    return S.grouped_items(rows, "recipe_name", "raw_text", "seq").select("recipe_name", "n", F.array_join("texts", "|").alias("texts"))
+    name = F.when(~F.col("recipe_id").like("%3"), F.col("name"))
+    rows = i.join(r.select(F.col("id").alias("recipe_id"), "name"), "recipe_id").withColumns({"recipe_name": name, "seq": F.col("recipe_id").cast("long") * 10 + F.col("sort_order")})
+    return S.with_group_size(rows, "recipe_name").select("recipe_name", "n", "seq", "raw_text")
 
 
 @_query(f"SELECT food_id, recipe_id, CAST(k AS INT) AS place FROM (SELECT food_id, recipe_id, row_number() OVER (PARTITION BY food_id ORDER BY CAST(recipe_id AS BIGINT)) AS k FROM (SELECT DISTINCT food_id, recipe_id FROM {INGREDIENTS} WHERE food_id IS NOT NULL)) WHERE k <= 2")
@@ -275,3 +279,47 @@ def holdout_lines(spark, d):
     brands = spark.sql(f"SELECT bkey AS key, food_name FROM {_BRANDS}")
     dictionary = _foods(spark, d).where("row_ord % 6 = 0").select(F.lower("name").alias("key"), F.col("name").alias("food_name"))
     return S.held_out_keys(S.governed_lines(D.frame(spark, d, D.NOISY_LINES), dictionary, brands, matching.brand_hits), 0.3, 3)
+
+
+@_query()
+def holdout_accuracy(spark, d):
+    """Lines that a withheld key decides, by tier: right with all keys, with the keys that are left, and by the fuzzy matcher alone."""
+    lines, foods = D.frame(spark, d, D.NOISY_LINES), _foods(spark, d)
+    known = reference(spark, d)
+    answers = pipelines.holdout_resolution(lines, foods, known.dictionary, known.brands)
+    return pipelines.holdout_accuracy(answers, lines.select("line_id", F.col("line_id").alias("expected")))
+
+
+# Resolution with external products, and the whole scan pipeline
+def reference(spark, d) -> pipelines.Reference:
+    """Overrides, dictionary, brands, non-matches and products derived from the catalog and its lines."""
+    foods, lines = _foods(spark, d), D.frame(spark, d, D.NOISY_LINES)
+    dish = F.regexp_replace(F.lower(F.concat_ws(" ", F.element_at(F.split("swiss_category", "/"), -1))), "[^a-z]+", "-")
+    named = lines.join(foods.select(F.col("id").alias("line_id"), "name", "category", dish.alias("dish")), "line_id").where("cast(line_id as long) % 5 <> 0")
+    tags = F.array(F.lit("de:lebensmittel"), F.concat(F.lit("en:"), F.lower("category")), F.concat(F.lit("en:"), F.col("dish")), F.concat(F.lit("en:"), F.regexp_replace(F.lower("name"), "[^a-z]+", "-")), F.lit("en:a-very-long-tag-of-many-words"))
+    products = pipelines.products_by_line(named.select("line_id", "raw_text", tags.alias("tags"), "name"), F.col("tags"), F.concat(F.lit("Product "), F.col("name")))
+    return pipelines.Reference(
+        foods=foods,
+        overrides=lines.where("cast(line_id as long) % 7 = 0").select(X.override_key(F.col("raw_text")).alias("key"), F.col("line_id").alias("food_id")).dropDuplicates(["key"]),
+        dictionary=foods.where("row_ord % 6 = 0").select(F.lower("name").alias("key"), F.col("name").alias("food_name")),
+        brands=foods.where("row_ord % 5 = 4 and name_de is not null").select(F.lower("name_de").alias("key"), F.col("name_de").alias("food_name")),
+        non_matches=foods.where("row_ord % 12 = 0").select(F.lower("name").alias("key")),
+        products=products,
+    )
+
+
+@_query()
+def bridge_resolve(spark, d):
+    """Receipt lines through all tiers, the weak ones improved by the best category tag of an external product."""
+    known = reference(spark, d)
+    items = pipelines.scan_stage("resolved", D.frame(spark, d, D.NOISY_LINES), known, {})
+    found = matching.bridge_products(matching.cut(items), known.products, known.foods)
+    return found.select("line_id", "food_id", _r("confidence").alias("confidence"), "source", "display_name")
+
+
+@_query()
+def scan_outputs(spark, d):
+    """Lines to saved scans: resolved, bridged, weak lines logged, swaps offered, scores saved, each stage a table."""
+    lines = D.frame(spark, d, D.NOISY_LINES).withColumn("scan_id", (F.col("line_id").cast("long") % 40).cast("string"))
+    tables, _ = pipelines.run_scan_pipeline(lines, reference(spark, d), fresh_folder(spark))
+    return tables["scans"]

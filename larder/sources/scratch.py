@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder (``spark.checkpoint.dir``) and read back.
+def fresh_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder (``spark.checkpoint.dir``).
 
-    Ends the lineage and the plan of what is used several times.  A local folder
-    is used only where the setting is absent and the master is local, as in tests.
+    A local folder is used only where the setting is absent and the master is local, as in tests.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="larder-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/larder-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/larder-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: ends the lineage and the plan of what is used several times."""
+    spark = df.sparkSession
+    path = fresh_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
