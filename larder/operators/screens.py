@@ -55,6 +55,21 @@ def paged(rows: DataFrame, order: list[Column], limit: int, skip: int = 0) -> Da
     return numbered.where(F.col("place") > skip)
 
 
+def page_after(rows: DataFrame, order: list[tuple[str, bool]], size: int, cursor: tuple | None = None) -> DataFrame:
+    """The next ``size`` rows of an order (column, whether falling) after the row with the keys ``cursor``.
+
+    The columns tell rows apart and hold no nulls.  A page costs as much as the first, however
+    far down it is: rows before the cursor are filtered out, and only a page is sorted.
+    """
+    if cursor is not None:
+        after, equal = F.lit(False), F.lit(True)
+        for (name, falling), value in zip(order, cursor, strict=True):
+            after = after | (equal & ((F.col(name) < value) if falling else (F.col(name) > value)))
+            equal = equal & (F.col(name) == value)
+        rows = rows.where(after)
+    return rows.orderBy(*(F.desc(name) if falling else F.asc(name) for name, falling in order)).limit(size)
+
+
 # screens
 
 

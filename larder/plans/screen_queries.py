@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import nutrition as N, text as X, words as W
 from larder.operators import history, matching, pipelines, recipes, screens as S, search, swaps
 from larder.plans import testdata as D
+from larder.sources import loader
 from larder.sources.scratch import fresh_folder
 from larder.plans.catalog_queries import _BRANDS, _COSINE, _FEATURED, _KCAL, _LINKED, _MICRO_VALUES, _PAIR_SQL, FOODS, INGREDIENTS, ITEMS, LINES, PROFILES, RECIPES, _foods, _query, _r, _recipe_parts, _table, _totals_sql, oracle_sql, queries
 
@@ -323,3 +324,22 @@ def scan_outputs(spark, d):
     lines = D.frame(spark, d, D.NOISY_LINES).withColumn("scan_id", (F.col("line_id").cast("long") % 40).cast("string"))
     tables, _ = pipelines.run_scan_pipeline(lines, reference(spark, d), fresh_folder(spark))
     return tables["scans"]
+
+
+@_query(f"SELECT id, name, health_score FROM {FOODS} ORDER BY health_score DESC, row_ord LIMIT 20 OFFSET 40")
+def food_page(spark, d):
+    """The third page of twenty foods, healthy ones first, each page asked for by the last keys of the one before."""
+    foods, order, cursor = _foods(spark, d), [("health_score", True), ("row_ord", False)], None
+    for _ in range(2):
+        cursor = tuple(S.page_after(foods, order, 20, cursor).agg(F.max_by(F.struct("health_score", "row_ord"), F.struct(-F.col("health_score"), "row_ord"))).first()[0])
+    return S.page_after(foods, order, 20, cursor).select("id", "name", "health_score")
+
+
+_OPEN = "replace(props, '\"k\"', CASE event_id % 3 WHEN 0 THEN '\"iron_mg\"' WHEN 1 THEN '\"vitamin_k_ug\"' ELSE '\"other\"' END)"
+
+
+@_query(f"SELECT user_id, j.key AS nutrient, sum(CAST(j.value AS DOUBLE)) AS amount FROM (SELECT user_id, {_OPEN} AS micros FROM events) e, json_each(e.micros) j WHERE regexp_matches(j.key, '_(mg|ug)$') AND j.type NOT IN ('NULL', 'VARCHAR') GROUP BY user_id, j.key")
+def open_micros(spark, d):
+    """Each user's micronutrients of JSON objects with any fields."""
+    rows = _table(spark, d, "events").select("user_id", F.expr(_OPEN).alias("micros"))
+    return loader.open_micros(rows, "user_id", "micros")
