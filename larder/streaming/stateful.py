@@ -14,15 +14,18 @@ that had closed when they came go to a correction table instead.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from larder.functions.nutrition import half_up
 from larder.operators.feedback import HIGH, LOW, RATE
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
