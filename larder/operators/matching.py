@@ -94,12 +94,31 @@ def edit_variants(token: Column) -> Column:
     return F.concat(level(replaced, 1), level(deleted, 2), level(inserted, 3))
 
 
-def candidate_hits(lines: DataFrame, foods: DataFrame, variants: bool = True) -> DataFrame:
+def token_sets(foods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, row_ord, set_no) of foods by the tokens they have, and (set_no, token); foods of one set are hit alike."""
+    tokens = food_tokens(foods).groupBy("id", "row_ord").agg(F.array_sort(F.collect_set("token")).alias("tokens"))  # those of one name
+    sets = cut(tokens.select("id", "row_ord", F.xxhash64("tokens").alias("set_no"), "tokens"))
+    index = sets.groupBy("set_no").agg(F.first("tokens").alias("tokens")).select("set_no", F.explode("tokens").alias("token"))
+    return sets.drop("tokens"), index
+
+
+def line_set() -> Column:
+    """Lines with the same tokens have the same number."""
+    return F.xxhash64("raw", "ascii")
+
+
+def set_hits(lines: DataFrame, foods: DataFrame, index: DataFrame, variants: bool = True) -> DataFrame:
+    """(line_set, set_no, hits, first_pos, recognized): hits between the different token sets of lines and foods."""
+    asked = lines.select(line_set().alias("line_id"), "raw", "ascii").dropDuplicates(["line_id"])
+    return candidate_hits(asked, foods, variants, cut(index.select(F.col("set_no").alias("id"), "token"))).withColumnsRenamed({"line_id": "line_set", "id": "set_no"})
+
+
+def candidate_hits(lines: DataFrame, foods: DataFrame, variants: bool = True, index: DataFrame | None = None) -> DataFrame:
     """(line_id, id, hits, first_pos, recognized) of every food that shares a key with a line.
 
-    ``lines`` as from :func:`prepare_lines`.
+    ``lines`` as from :func:`prepare_lines`; ``index``: (id, token), by default those of the foods.
     """
-    index = cut(food_tokens(foods).select("id", "token"))
+    index = cut(food_tokens(foods).select("id", "token")) if index is None else index
     keys = index.select("token").distinct()
     tokens = lines.select("line_id", F.posexplode(F.array_distinct(F.concat("raw", "ascii"))).alias("pos", "q")).withColumn("q_stem", X.light_stem(F.col("q")))
     named = lambda df, key: df.select(F.col("token").alias(key), F.col("id"))
@@ -138,12 +157,24 @@ def candidate_hits(lines: DataFrame, foods: DataFrame, variants: bool = True) ->
     return hits.groupBy("line_id", "id").agg(F.sum("w").alias("hits"), F.min("pos").alias("first_pos"), F.max(strong).alias("recognized"))
 
 
-def best_candidates(hits: DataFrame, foods: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """Per recognised line the ``limit`` candidates with most hits, ties to the first seen."""
-    known = hits.where("recognized").select("line_id").distinct()
-    ordered = hits.join(known, "line_id", "left_semi").join(foods.select("id", "row_ord"), "id")
-    place = F.row_number().over(Window.partitionBy("line_id").orderBy(F.desc("hits"), "first_pos", "row_ord"))
-    return ordered.withColumn("place", place).where(F.col("place") <= limit).select("line_id", "id", "hits", "row_ord")
+def best_candidates(lines: DataFrame, foods: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
+    """Per recognised line the ``limit`` candidates with most hits, ties to the first seen.
+
+    Hits are counted between token sets; of each line's sets, in order of their hits, only as many as the
+    limit needs become foods, and of a set no more than the limit.
+    """
+    sets, index = token_sets(foods)
+    hits = cut(set_hits(lines, foods, index))
+    sizes = sets.groupBy("set_no").agg(F.count(F.lit(1)).alias("n"))
+    known = hits.where("recognized").select("line_set").distinct()
+    level = hits.join(known, "line_set", "left_semi").join(sizes, "set_no").groupBy("line_set", "hits", "first_pos").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("line_set").orderBy(F.desc("hits"), "first_pos").rowsBetween(Window.unboundedPreceding, -1)
+    level = level.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < limit).select("line_set", "hits", "first_pos")
+    members = sets.withColumn("at", F.row_number().over(Window.partitionBy("set_no").orderBy("row_ord"))).where(F.col("at") <= limit).drop("at")
+    ordered = hits.join(level, ["line_set", "hits", "first_pos"], "left_semi").join(members, "set_no")
+    place = F.row_number().over(Window.partitionBy("line_set").orderBy(F.desc("hits"), "first_pos", "row_ord"))
+    best = ordered.withColumn("place", place).where(F.col("place") <= limit).select("line_set", "id", "hits", "row_ord")
+    return lines.select("line_id", line_set().alias("line_set")).join(best, "line_set").drop("line_set")
 
 
 def _bound(value: Column, use) -> Column:
@@ -240,7 +271,7 @@ def fuzzy_match(lines: DataFrame, foods: DataFrame) -> DataFrame:
         named = named.withColumns({f"{key}_raw_text": X.normalize(column), f"{key}_ascii_text": X.ascii_fold(column)})
         named = named.withColumns({f"{key}_raw": X.tokens(F.col(f"{key}_raw_text")), f"{key}_ascii": X.tokens(F.col(f"{key}_ascii_text"))})
     named = named.withColumn("parens", F.array_distinct(F.concat(X.paren_tokens(F.col("name")), F.coalesce(X.paren_tokens(F.col("name_de")), F.expr("cast(array() as array<string>)")))))
-    rows = cut(best_candidates(candidate_hits(prepared, foods), foods)).join(prepared, "line_id").join(named, "id")
+    rows = cut(best_candidates(prepared, foods)).join(prepared, "line_id").join(named, "id")
     tries = []
     for key, name in (("de", "name_de"), ("en", "name")):
         for form in ("raw", "ascii"):

@@ -529,8 +529,11 @@ def candidate_hits(spark, d):
     names = foods.select(F.col("id").alias("line_id"), F.explode(F.array_compact(F.array("name", "name_de"))).alias("nm"))
     both = names.groupBy("line_id").agg(F.flatten(F.collect_list(F.concat(X.tokens(X.normalize(F.col("nm"))), X.tokens(X.ascii_fold(F.col("nm")))))).alias("t"))
     lines = both.select("line_id", F.filter(F.array_distinct("t"), lambda t: ~X.is_quantity(t)).alias("raw"), F.expr("cast(array() as array<string>)").alias("ascii"))
-    hits = matching.candidate_hits(lines, foods, variants=False)
-    return hits.groupBy("line_id").agg(F.count(F.lit(1)).alias("n_foods"), F.sum("hits").alias("hits"))
+    sets, index = matching.token_sets(foods)
+    sizes = sets.groupBy("set_no").agg(F.count(F.lit(1)).alias("n"))
+    hits = matching.set_hits(lines, foods, index, variants=False).join(sizes, "set_no")
+    per_set = hits.groupBy("line_set").agg(F.sum("n").alias("n_foods"), F.sum(F.col("hits") * F.col("n")).alias("hits"))
+    return lines.select("line_id", matching.line_set().alias("line_set")).join(per_set, "line_set").drop("line_set")
 
 
 @_query()
