@@ -114,3 +114,25 @@ LINE_RULES = [
     ("line", r"^\d+\s*stk\.?\s*x?$", False),
     ("line", r"-.*-.*-", True),
 ]
+
+# Patterns by which lines are rewritten, each with what takes its place, in order.
+CASE_STEPS = [("([A-Z]+)([A-Z][a-z])", "$1 $2"), ("([a-z])([A-Z])", "$1 $2")]
+NO_WORD_SIGN = r"[^\w\säöüßÄÖÜ]"
+EXPANSION_STEPS = [
+    (r"[.\-]", " "),
+    *((rf"(?i)(?<![A-Za-z0-9_])({prefix})", "$1 ") for prefix in SPLIT_PREFIXES),
+    (NO_WORD_SIGN, " "),
+    (r"(?i)(?<![A-Za-z0-9_])bio\s*bio(?![A-Za-z0-9_])", "bio"),
+]
+OVERRIDE_STEPS = [
+    (r"(?<![a-z0-9_])\d+[.,]\d{2}(?![a-z0-9_])", " "),
+    (r"(?<![a-z0-9_])\d+([.,]\d+)?\s*(mg|kg|g|ml|cl|l)(?![a-z0-9_])", " "),
+    (r"(?<![a-z0-9_])\d+\s*(x|st|stk|er)(?![a-z0-9_])", " "),
+    (r"\s+[a-c]\s*$", " "),
+    (r"[^\p{L}\p{N}]+", " "),
+]
+# Words with one digit inside, which is dropped; words with digits, which are read as letters; the digits and their letters.
+ONE_DIGIT = r"(?iu)^[a-zäöüß]+\d[a-zäöüß]*$"
+DIGITS_IN_WORD = r"(?iu)\d[a-zäöüß]+|[a-zäöüß]+\d"
+DIGITS, DIGITS_AS_LETTERS = "01568", "olsgb"
+FAT = r"(?i)(\d+(?:[.,]\d+)?)\s*(?:%|fat|fett)"
