@@ -536,13 +536,6 @@ def candidate_hits(spark, d):
     return lines.select("line_id", matching.line_set().alias("line_set")).join(per_set, "line_set").drop("line_set")
 
 
-@_query()
-def fuzzy_match_top1(spark, d):
-    """Each receipt line with its best food."""
-    found = matching.parse_lines(D.frame(spark, d, D.NOISY_LINES), _foods(spark, d))
-    return found.select("line_id", "raw_text", "food_id", _r("confidence").alias("confidence"))
-
-
 _BRANDS = D.values([("cola", "cola"), ("gouda", "gouda cheese"), ("apfel", "apple"), ("tomate", "tomato raw"), ("brot", "white bread"), ("milch", "whole milk"), ("bier", "beer"), ("tee", "black tea")], "bkey, food_name")
 
 
@@ -557,27 +550,6 @@ def brand_contains(spark, d):
     return matching.brand_hits(D.frame(spark, d, D.NOISY_LINES), brands).select("line_id", F.col("key").alias("bkey"), "food_name", "whole")
 
 
-@_query()
-def tier_resolve(spark, d):
-    """Receipt lines through all tiers: override, exact, brand, fuzzy, and known non-matches."""
-    foods, lines = _foods(spark, d), D.frame(spark, d, D.NOISY_LINES)
-    overrides = lines.where("cast(line_id as long) % 7 = 0").select(X.override_key(F.col("raw_text")).alias("key"), F.col("line_id").alias("food_id")).dropDuplicates(["key"])
-    dictionary = foods.where("row_ord % 6 = 0").select(F.lower("name").alias("key"), F.col("name").alias("food_name"))
-    brands = foods.where("row_ord % 5 = 4 and name_de is not null").select(F.lower("name_de").alias("key"), F.col("name_de").alias("food_name"))
-    barred = foods.where("row_ord % 12 = 0").select(F.lower("name").alias("key"))
-    found = matching.resolve_lines(lines, foods, overrides, dictionary, brands, barred)
-    return found.select("line_id", "food_id", _r("confidence").alias("confidence"), "source")
-
-
-@_query()
-def line_filter(spark, d):
-    """Which document and benchmark lines pass for product lines."""
-    rows = _doc_lines(spark, d).where("line <> ''").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "line")
-    rows = rows.unionByName(_table(spark, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.col("text").alias("line")))
-    rows = rows.unionByName(D.frame(spark, d, D.NOISY_LINES).select(F.lit("line").alias("kind"), F.col("line_id").cast("long").alias("id"), F.col("raw_text").alias("line")))
-    return rows.groupBy("kind", "id").agg(F.count_if(X.is_product_line(F.col("line"))).alias("n_product"), F.count(F.lit(1)).alias("n_lines"))
-
-
 # Learning
 _EVAL = f"(SELECT i.event_type AS tier, i.food_id AS actual, CASE WHEN seq % 7 = 0 THEN NULL WHEN seq % 5 = 0 THEN '0' ELSE CAST((seq * 7) % 200 + 1 AS VARCHAR) END AS expected, confidence FROM {ITEMS} i)"
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import nutrition as N, text as X, words as W
 from larder.operators import history, matching, pipelines, recipes, screens as S, search, swaps
-from larder.plans import testdata as D
+from larder.plans import matcher_queries, testdata as D
 from larder.sources import loader
 from larder.sources.scratch import fresh_folder
 from larder.plans.catalog_queries import _BRANDS, _COSINE, _FEATURED, _KCAL, _LINKED, _MICRO_VALUES, _PAIR_SQL, FOODS, INGREDIENTS, ITEMS, LINES, PROFILES, RECIPES, _foods, _query, _r, _recipe_parts, _table, _totals_sql, oracle_sql, queries
@@ -301,11 +301,8 @@ def reference(spark, d) -> pipelines.Reference:
     products = pipelines.products_by_line(named.select("line_id", "raw_text", tags.alias("tags"), "name"), F.col("tags"), F.concat(F.lit("Product "), F.col("name")))
     return pipelines.Reference(
         foods=foods,
-        overrides=lines.where("cast(line_id as long) % 7 = 0").select(X.override_key(F.col("raw_text")).alias("key"), F.col("line_id").alias("food_id")).dropDuplicates(["key"]),
-        dictionary=foods.where("row_ord % 6 = 0").select(F.lower("name").alias("key"), F.col("name").alias("food_name")),
-        brands=foods.where("row_ord % 5 = 4 and name_de is not null").select(F.lower("name_de").alias("key"), F.col("name_de").alias("food_name")),
-        non_matches=foods.where("row_ord % 12 = 0").select(F.lower("name").alias("key")),
         products=products,
+        **matcher_queries.dictionaries(spark, d),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import nutrition as N, text as X
 from larder.operators import feedback, history, learning, matching, search, swaps
-from larder.plans import catalog_queries, testdata as D
+from larder.plans import screen_queries as catalog_queries, testdata as D
 from larder.sources import tables
 
 SF = "/root/testdata/sf0.001"
