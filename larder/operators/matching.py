@@ -117,44 +117,49 @@ def candidate_hits(lines: DataFrame, foods: DataFrame, variants: bool = True, in
     """(line_id, id, hits, first_pos, recognized) of every food that shares a key with a line.
 
     ``lines`` as from :func:`prepare_lines`; ``index``: (id, token), by default those of the foods.
+    What a token hits is found once for all lines that hold it, and summed by token and food before lines come in.
     """
     index = cut(food_tokens(foods).select("id", "token")) if index is None else index
     keys = index.select("token").distinct()
-    tokens = lines.select("line_id", F.posexplode(F.array_distinct(F.concat("raw", "ascii"))).alias("pos", "q")).withColumn("q_stem", X.light_stem(F.col("q")))
+    tokens = cut(lines.select("line_id", F.posexplode(F.array_distinct(F.concat("raw", "ascii"))).alias("pos", "q")))
+    asked = cut(tokens.select("q").distinct())
     named = lambda df, key: df.select(F.col("token").alias(key), F.col("id"))
-    exact = tokens.join(named(index, "q"), "q").select("line_id", "pos", "q", "id", F.lit(2).alias("w"), F.lit(True).alias("strong"))
+    exact = asked.join(named(index, "q"), "q").select("q", "id", F.lit(2).alias("w"), F.lit(True).alias("strong"))
 
-    stems = index.withColumn("stem", X.light_stem(F.col("token"))).select("stem", "id").distinct()
-    stemmed = tokens.where("q <> q_stem").select("line_id", "pos", "q", "q_stem")
+    stems = cut(index.withColumn("stem", X.light_stem(F.col("token"))).select("stem", "id").distinct())
+    stemmed = asked.withColumn("q_stem", X.light_stem(F.col("q"))).where("q <> q_stem")
     # the stem's entry is used; only where there is none, that of the token itself
     known = stems.select("stem").distinct()
     by_stem = stemmed.join(known.withColumnRenamed("stem", "q_stem").withColumn("has", F.lit(True)), "q_stem", "left")
     by_stem = by_stem.withColumn("key", F.when(F.col("has"), F.col("q_stem")).otherwise(F.col("q")))
-    stem_hits = by_stem.join(stems.withColumnRenamed("stem", "key"), "key").select("line_id", "pos", "q", "id", F.lit(2).alias("w"), F.lit(True).alias("strong"))
+    stem_hits = by_stem.join(stems.withColumnRenamed("stem", "key"), "key").select("q", "id", F.lit(2).alias("w"), F.lit(True).alias("strong"))
 
     five = shingle_index(foods, 5)
-    long = tokens.where(F.length("q") >= 4).select("line_id", "pos", "q")
+    long = asked.where(F.length("q") >= 4)
     gram5 = F.when(F.length("q") < 5, F.array("q")).otherwise(X.grams(F.col("q"), 5))
     close = F.abs(F.length("token") - F.length("q")) <= 2
-    by5 = long.select("line_id", "pos", "q", F.explode(gram5).alias("gram")).join(five, "gram").where(F.col("token").contains(F.col("q")) | F.col("q").contains(F.col("token")) | close).select("line_id", "pos", "q", "token").distinct()
+    by5 = long.select("q", F.explode(gram5).alias("gram")).join(five, "gram").where(F.col("token").contains(F.col("q")) | F.col("q").contains(F.col("token")) | close).select("q", "token").distinct()
+    by5 = cut(by5)
     four = shingle_index(foods, 4)
-    rest = long.where(F.length("q").between(5, 8)).join(by5.select("line_id", "pos").distinct(), ["line_id", "pos"], "left_anti")
-    by4 = rest.select("line_id", "pos", "q", F.explode(X.grams(F.col("q"), 4)).alias("gram")).join(four, "gram").where(close).select("line_id", "pos", "q", "token").distinct()
-    gram_hits = by5.unionByName(by4).join(index, "token").select("line_id", "pos", "q", "id", F.lit(1).alias("w"), F.lit(False).alias("strong"))
+    rest = long.where(F.length("q").between(5, 8)).join(by5.select("q").distinct(), "q", "left_anti")
+    by4 = rest.select("q", F.explode(X.grams(F.col("q"), 4)).alias("gram")).join(four, "gram").where(close).select("q", "token").distinct()
+    gram_hits = by5.unionByName(by4).join(index, "token").select("q", "id", F.lit(1).alias("w"), F.lit(False).alias("strong"))
 
-    hits = exact.unionByName(stem_hits).unionByName(gram_hits)
+    strong = F.max(F.col("strong") & ~F.col("q").isin(W.DESCRIPTORS)).alias("strong")
+    of_token = cut(exact.unionByName(stem_hits).unionByName(gram_hits).groupBy("q", "id").agg(F.sum("w").alias("w"), strong))
+    hits = tokens.join(of_token, "q").select("line_id", "pos", "id", "w", "strong")
     if variants:
         first = hits.groupBy("line_id", "id").agg(F.min("pos").alias("pos")).select("line_id", "pos").distinct()
-        alone = tokens.where(F.length("q").between(5, 10)).select("line_id", "pos", "q")
-        alone = alone.join(first, ["line_id", "pos"], "left_anti").join(keys.withColumnRenamed("token", "q"), "q", "left_anti")
-        made = alone.select("line_id", "pos", "q", F.explode(edit_variants(F.col("q"))).alias("e")).select("line_id", "pos", "q", "e.variant", "e.level")
-        on_exact = made.join(named(index, "variant"), "variant").select("line_id", "pos", "q", "level", "id", "variant", F.lit(0).alias("kind"))
-        on_stem = made.withColumn("stem", X.light_stem(F.col("variant"))).join(stems, "stem").select("line_id", "pos", "q", "level", "id", "variant", F.lit(1).alias("kind"))
+        alone = tokens.where(F.length("q").between(5, 10)).join(keys.withColumnRenamed("token", "q"), "q", "left_anti")
+        alone = cut(alone.join(first, ["line_id", "pos"], "left_anti"))
+        made = alone.select("q").distinct().select("q", F.explode(edit_variants(F.col("q"))).alias("e")).select("q", "e.variant", "e.level")
+        on_exact = made.join(named(index, "variant"), "variant").select("q", "level", "id", "variant", F.lit(0).alias("kind"))
+        on_stem = made.withColumn("stem", X.light_stem(F.col("variant"))).join(stems, "stem").select("q", "level", "id", "variant", F.lit(1).alias("kind"))
         found = on_exact.unionByName(on_stem).distinct()
-        lowest = found.groupBy("line_id", "pos").agg(F.min("level").alias("level"))
-        hits = hits.unionByName(found.join(lowest, ["line_id", "pos", "level"], "left_semi").select("line_id", "pos", "q", "id", F.lit(2).alias("w"), F.lit(False).alias("strong")))
-    strong = F.col("strong") & ~F.col("q").isin(W.DESCRIPTORS)
-    return hits.groupBy("line_id", "id").agg(F.sum("w").alias("hits"), F.min("pos").alias("first_pos"), F.max(strong).alias("recognized"))
+        lowest = found.groupBy("q").agg(F.min("level").alias("level"))
+        edits = found.join(lowest, ["q", "level"], "left_semi").groupBy("q", "id").agg(F.sum(F.lit(2)).alias("w"))
+        hits = hits.unionByName(alone.join(edits, "q").select("line_id", "pos", "id", "w", F.lit(False).alias("strong")))
+    return hits.groupBy("line_id", "id").agg(F.sum("w").alias("hits"), F.min("pos").alias("first_pos"), F.max("strong").alias("recognized"))
 
 
 def best_candidates(lines: DataFrame, foods: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
@@ -182,11 +187,18 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
-def token_similarity(o: Column, n: Column) -> Column:
-    """How alike a line token and a food token are, 0 to 1."""
+def known_tokens(tokens: Column) -> Column:
+    """Tokens with their stems and what they say of a food, found once for all that they are compared with."""
+    told = {"plant": W.PLANT_WORDS, "diet": W.DIET_WORDS, "composite": W.COMPOSITE_WORDS}
+    form = lambda t: (t == "dough") | (t.endswith("teig") & ~t.contains("waren")) | ((F.length(t) >= 6) & t.endswith("eis") & ~t.endswith("reis"))
+    return F.transform(tokens, lambda t: F.struct(t.alias("t"), X.light_stem(t).alias("stem"), X.is_core_noun(t).alias("core"), form(t).alias("form"), *(X.any_of(t, parts).alias(k) for k, parts in told.items())))
+
+
+def token_similarity(line_token: Column, food_token: Column) -> Column:
+    """How alike a line token and a food token of :func:`known_tokens` are, 0 to 1."""
+    o, n, so, sn = line_token["t"], food_token["t"], line_token["stem"], food_token["stem"]
     lo, ln = F.length(o), F.length(n)
     least, most = F.least(lo, ln), F.greatest(lo, ln)
-    so, sn = X.light_stem(o), X.light_stem(n)
     ratio = least / most
     stem_sim = 1 - F.levenshtein(so, sn) / F.greatest(F.length(so), F.length(sn))
     first4, last4 = F.substring(o, F.lit(1), F.lit(4)), F.substring(o, lo - 3, F.lit(4))
@@ -198,28 +210,21 @@ def token_similarity(o: Column, n: Column) -> Column:
         F.when((least < 4) & (o != n), 0.0)
         .when(o == n, 1.0)
         .when(n.startswith(o) | o.startswith(n), F.when(so == sn, 0.97).otherwise(0.5 + ratio * 0.35))
+        .when(20 * F.abs(lo - ln) >= 11 * most, inside)  # no more than 0.45 alike by spelling
         .otherwise(spelled)
     )
 
 
-def _any_word(tokens: Column, parts: list[str]) -> Column:
-    return F.exists(tokens, lambda t: t.rlike("|".join(parts)))
-
-
-def _has_form(tokens: Column) -> Column:
-    return F.exists(tokens, lambda t: (t == "dough") | (t.endswith("teig") & ~t.contains("waren")) | ((F.length(t) >= 6) & t.endswith("eis") & ~t.endswith("reis")))
-
-
 def score_names(rows: DataFrame) -> DataFrame:
-    """confidence and unmatched of each row: line tokens o, food tokens n, and what goes with them.
+    """confidence and unmatched of each row: line tokens o, food tokens n, both as known tokens too, and what goes with them.
 
     Steps are columns of their own, so that each is computed once.
     """
-    o, n, heads, parens, fat = (F.col(c) for c in ("o", "n", "heads", "parens", "fat"))
+    o, n, known_o, known_n, heads, parens, fat = (F.col(c) for c in ("o", "n", "known_o", "known_n", "heads", "parens", "fat"))
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
-    core = lambda t: X.is_core_noun(t) | F.array_contains(heads, t)
-    rows = rows.withColumn("best", F.transform(o, lambda t: F.coalesce(F.array_max(F.transform(n, lambda x: token_similarity(t, x))), F.lit(0.0))))
-    rows = rows.withColumn("core_at", F.array_position(F.transform(o, core), True).cast("int"))
+    core = lambda x: x["core"] | F.array_contains(heads, x["t"])
+    rows = rows.withColumn("best", F.transform(known_o, lambda t: F.coalesce(F.array_max(F.transform(known_n, lambda x: token_similarity(t, x))), F.lit(0.0))))
+    rows = rows.withColumn("core_at", F.array_position(F.transform(known_o, core), True).cast("int"))
     core_at = F.col("core_at")
 
     def weight(t: Column, i: Column) -> Column:
@@ -229,32 +234,34 @@ def score_names(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("weights", F.transform(o, weight))
     overlap = total(F.zip_with("best", "weights", lambda b, w: b * w))
     best_core = F.get("best", core_at - 1)
-    lead_hit = (core_at > 0) & (best_core > 0.8) & (token_similarity(F.get(o, core_at - 1), F.get(n, F.lit(0))) >= best_core)
+    lead_hit = (core_at > 0) & (best_core > 0.8) & (token_similarity(F.get(known_o, core_at - 1), F.get(known_n, F.lit(0))) >= best_core)
     rows = rows.withColumn("base", F.coalesce(F.try_divide(overlap, total(F.col("weights"))), F.lit(0.0)) + F.when(lead_hit, 0.08).otherwise(0.0))
 
-    counted = F.filter(n, lambda t: ~t.isin(W.IMPLICIT_QUALIFIERS) & ~F.array_contains(parens, t))
-    near = lambda t, q: (t == q) | (1 - F.levenshtein(q, t) / F.greatest(F.length(q), F.length(t)) > 0.6) | ((F.length(t) >= 4) & (t.contains(q) | q.contains(t)))
-    rows = rows.withColumn("covered", F.transform(counted, lambda t: F.struct(F.when(X.is_core_noun(t), 3.0).otherwise(1.0).alias("w"), F.exists(o, lambda q: near(t, q)).alias("hit"))))
+    counted = F.filter(known_n, lambda x: ~x["t"].isin(W.IMPLICIT_QUALIFIERS) & ~F.array_contains(parens, x["t"]))
+    of_like_length = lambda t, q: 10 * F.abs(F.length(q) - F.length(t)) < 4 * F.greatest(F.length(q), F.length(t))
+    spelled = lambda t, q: of_like_length(t, q) & (1 - F.levenshtein(q, t) / F.greatest(F.length(q), F.length(t)) > 0.6)
+    near = lambda t, q: (t == q) | ((F.length(t) >= 4) & (t.contains(q) | q.contains(t))) | spelled(t, q)
+    rows = rows.withColumn("covered", F.transform(counted, lambda x: F.struct(F.when(x["core"], 3.0).otherwise(1.0).alias("w"), F.exists(o, lambda q: near(x["t"], q)).alias("hit"))))
     share = F.try_divide(total(F.transform("covered", lambda c: F.when(c["hit"], c["w"]).otherwise(0.0))), total(F.transform("covered", lambda c: c["w"])))
     rows = rows.withColumn("unmatched", F.size(F.filter("covered", lambda c: ~c["hit"]))).withColumn("mixed", F.col("base") * 0.65 + F.coalesce(share, F.lit(1.0)) * 0.35)
 
     line = F.array_join(o, " ")
     rows = rows.withColumn("whole", 1 - F.levenshtein(line, F.col("full")) / F.greatest(F.length(line), F.length("full")))
     rows = rows.withColumn("conf", F.when((F.col("whole") > F.col("mixed")) & (F.col("whole") > 0.6) & (F.col("mixed") > 0.1), F.col("whole")).otherwise(F.col("mixed")))
-    only_food = lambda parts: _any_word(n, parts) & ~_any_word(o, parts)
-    factor = F.when(F.col("english"), 0.85).otherwise(1.0) * F.when(only_food(W.PLANT_WORDS), 0.6).otherwise(1.0) * F.when(only_food(W.DIET_WORDS), 0.7).otherwise(1.0)
-    factor = factor * F.when(_has_form(n) & ~_has_form(o), 0.65).otherwise(1.0) * F.when(_any_word(n, W.COMPOSITE_WORDS), 0.8).otherwise(1.0)
+    told = lambda tokens, what: F.exists(tokens, lambda t: t[what])
+    only_food = lambda what: told(known_n, what) & ~told(known_o, what)
+    factor = F.when(F.col("english"), 0.85).otherwise(1.0) * F.when(only_food("plant"), 0.6).otherwise(1.0) * F.when(only_food("diet"), 0.7).otherwise(1.0)
+    factor = factor * F.when(only_food("form"), 0.65).otherwise(1.0) * F.when(told(known_n, "composite"), 0.8).otherwise(1.0)
     rows = rows.withColumn("cut", F.col("conf") * factor)
-    additive = F.col("english_name").rlike(r"(?i)(?<![A-Za-z0-9_])E[-\s]?\d{3}(?![A-Za-z0-9_])|additive|chemical|curing salt")
+    additive = F.col("additive")
 
     def bonus(q: Column, t: Column) -> Column:
-        sq, st = X.light_stem(q), X.light_stem(t)
+        sq, st = q["stem"], t["stem"]
         alike = 1 - F.levenshtein(sq, st) / F.greatest(F.length(sq), F.length(st)) > 0.75
-        return F.when(~(X.is_core_noun(q) | X.is_core_noun(t)), 0.0).when(q == t, 0.55).when(alike, 0.5).otherwise(0.0)
+        return F.when(~(q["core"] | t["core"]), 0.0).when(q["t"] == t["t"], 0.55).when(alike, 0.5).otherwise(0.0)
 
-    rows = rows.withColumn("floor", F.coalesce(F.array_max(F.flatten(F.transform(o, lambda q: F.transform(n, lambda t: bonus(q, t))))), F.lit(0.0)))
+    rows = rows.withColumn("floor", F.coalesce(F.array_max(F.flatten(F.transform(known_o, lambda q: F.transform(known_n, lambda t: bonus(q, t))))), F.lit(0.0)))
     capped = F.least(F.lit(0.95), F.when(additive & (F.col("cut") < 0.95), F.col("cut") * 0.4).otherwise(F.col("cut")) + F.col("floor") * 0.2)
-    rows = rows.withColumn("food_fat", X.fat_percent(F.col("tested_name")))
     loss = F.when(fat.isNull(), 0.0).when(F.col("food_fat").isNotNull(), F.abs(fat - F.col("food_fat")) * 0.01).otherwise(0.05)
     return rows.select("line_id", "id", "row_ord", "hits", (capped - loss).alias("confidence"), "unmatched")
 
@@ -262,29 +269,42 @@ def score_names(rows: DataFrame) -> DataFrame:
 def fuzzy_match(lines: DataFrame, foods: DataFrame) -> DataFrame:
     """line_id, food_id, confidence for every line with a recognised token.
 
-    Prepared lines, candidates and their names are written once: each is used by
-    several joins or steps.
+    Lines that are read alike are matched once, and of a line's candidates with one pair of
+    names only the first is scored, as the others score the same and come later.  Prepared
+    lines, candidates and tested names are written once: each is used by several joins or steps.
     """
-    prepared = cut(prepare_lines(lines))
-    named = foods.select("id", "name", "name_de")
+    form = F.xxhash64("raw", "ascii", "heads", "fat")
+    prepared = cut(prepare_lines(lines).withColumn("form", form))
+    forms = prepared.select(F.col("form").alias("line_id"), "raw", "ascii", "heads", "fat").dropDuplicates(["line_id"])
+    forms = cut(forms.withColumns({f"known_{c}": known_tokens(F.col(c)) for c in ("raw", "ascii")}))
+    texts = foods.select("id", F.xxhash64("name", "name_de").alias("names"))
+    named = foods.groupBy(F.xxhash64("name", "name_de").alias("names")).agg(F.first("name").alias("name"), F.first("name_de").alias("name_de"))
     for key, column in (("de", F.col("name_de")), ("en", F.col("name"))):
         named = named.withColumns({f"{key}_raw_text": X.normalize(column), f"{key}_ascii_text": X.ascii_fold(column)})
         named = named.withColumns({f"{key}_raw": X.tokens(F.col(f"{key}_raw_text")), f"{key}_ascii": X.tokens(F.col(f"{key}_ascii_text"))})
-    named = named.withColumn("parens", F.array_distinct(F.concat(X.paren_tokens(F.col("name")), F.coalesce(X.paren_tokens(F.col("name_de")), F.expr("cast(array() as array<string>)")))))
-    rows = cut(best_candidates(prepared, foods)).join(prepared, "line_id").join(named, "id")
+        named = named.withColumns({f"{key}_known_{c}": known_tokens(F.col(f"{key}_{c}")) for c in ("raw", "ascii")}).withColumn(f"{key}_fat", X.fat_percent(column))
+    additive = F.col("name").rlike(r"(?i)(?<![A-Za-z0-9_])E[-\s]?\d{3}(?![A-Za-z0-9_])|additive|chemical|curing salt")
+    named = cut(named.withColumn("additive", additive).withColumn("parens", F.array_distinct(F.concat(X.paren_tokens(F.col("name")), F.coalesce(X.paren_tokens(F.col("name_de")), F.expr("cast(array() as array<string>)"))))))
+    asked = best_candidates(forms, foods).join(texts, "id")
+    first = asked.groupBy("line_id", "names").agg(F.min_by(F.struct("id", "hits", "row_ord"), "row_ord").alias("f"))
+    rows = cut(first.select("line_id", "names", "f.*")).join(forms, "line_id").join(named, "names")
     tries = []
     for key, name in (("de", "name_de"), ("en", "name")):
-        for form in ("raw", "ascii"):
-            one = F.struct(F.col(form).alias("o"), F.col(f"{key}_{form}").alias("n"), F.col(f"{key}_{form}_text").alias("full"), F.col(name).alias("tested_name"), F.lit(key == "en").alias("english"))
-            other = F.lit(True) if form == "raw" else (F.col("ascii") != F.col("raw")) | (F.col(f"{key}_ascii_text") != F.col(f"{key}_raw_text"))
-            tries.append(F.when(F.col(name).isNotNull() & (F.size(form) > 0) & other, one))
-    tested = rows.select("line_id", "id", "row_ord", "hits", "heads", "parens", "fat", F.col("name").alias("english_name"), F.explode(F.array_compact(F.array(*tries))).alias("m"))
+        for kind in ("raw", "ascii"):
+            fields = {"o": kind, "n": f"{key}_{kind}", "known_o": f"known_{kind}", "known_n": f"{key}_known_{kind}", "full": f"{key}_{kind}_text", "food_fat": f"{key}_fat"}
+            one = F.struct(*(F.col(c).alias(field) for field, c in fields.items()), F.lit(key == "en").alias("english"))
+            other = F.lit(True) if kind == "raw" else (F.col("ascii") != F.col("raw")) | (F.col(f"{key}_ascii_text") != F.col(f"{key}_raw_text"))
+            tries.append(F.when(F.col(name).isNotNull() & (F.size(kind) > 0) & other, one))
+    # comparing tokens is more work than their bytes tell, so rows are spread by number
+    spread = rows.repartition(int(foods.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tested = spread.select("line_id", "id", "row_ord", "hits", "heads", "parens", "fat", "additive", F.explode(F.array_compact(F.array(*tries))).alias("m"))
     scored = score_names(cut(tested.select("*", "m.*").drop("m")))
     top = F.max("confidence").over(Window.partitionBy("line_id"))
     banded = scored.withColumn("top", top).where(F.col("confidence") >= F.col("top") - BAND)
     order = F.struct(F.col("unmatched").alias("u"), (-F.col("confidence")).alias("c"), (-F.col("hits")).alias("h"), F.col("row_ord").alias("o"))
     best = banded.groupBy("line_id").agg(F.min_by(F.struct("id", "confidence"), order).alias("b"))
-    return best.select("line_id", F.col("b.id").alias("food_id"), F.col("b.confidence").alias("confidence"))
+    answers = best.select(F.col("line_id").alias("form"), F.col("b.id").alias("food_id"), F.col("b.confidence").alias("confidence"))
+    return prepared.select("line_id", "form").join(answers, "form").drop("form")
 
 
 def parse_lines(lines: DataFrame, foods: DataFrame) -> DataFrame:
