@@ -252,17 +252,51 @@ def receipt_targets(kcal: Column, is_list: Column) -> dict[str, Column]:
 
 # micronutrients, one row each
 
+PRESENT = 60  # nutrients told apart by one number's bits
+
+
+def _by_food(micros: DataFrame, amount: Column) -> tuple[DataFrame, list[str]]:
+    """One row a food (food_id), n0, n1, ... the amounts and given0, ... bits of the nutrients it has, and the nutrients' names.
+
+    What is collected has as many rows as there are nutrients.
+    """
+    names = [r[0] for r in micros.select("nutrient").distinct().orderBy("nutrient").collect()] or [None]
+    is_one = lambda n: F.col("nutrient").eqNullSafe(F.lit(n).cast("string"))
+    amounts = [F.sum(F.when(is_one(n), amount)).alias(f"n{j}") for j, n in enumerate(names)]
+    bits = []
+    for k in range(0, len(names), PRESENT):
+        bit = F.lit(0).cast("long")
+        for j, n in enumerate(names[k : k + PRESENT]):
+            bit = F.when(is_one(n), F.lit(1 << j).cast("long")).otherwise(bit)
+        bits.append(F.bit_or(bit).alias(f"given{k // PRESENT}"))
+    return micros.groupBy(F.col("id").alias("food_id")).agg(*amounts, *bits), names
+
+
+def _summed(rows: DataFrame, by_food: DataFrame, names: list[str], key: str, scaled) -> DataFrame:
+    """(key, nutrient, amount): amounts of the rows' foods, ``scaled``, summed by key for all nutrients in one row.
+
+    Foods come by a merge join: sizes taken from the catalog's file know nothing of what a food's nutrients take.
+    """
+    joined = rows.join(by_food.hint("merge"), "food_id")
+    n_bits = -(-len(names) // PRESENT)
+    sums = joined.groupBy(key).agg(*(F.sum(scaled(F.col(f"n{j}"))).alias(f"n{j}") for j in range(len(names))), *(F.bit_or(f"given{k}").alias(f"given{k}") for k in range(n_bits)))
+    given = lambda j: F.col(f"given{j // PRESENT}").bitwiseAND(F.lit(1 << j % PRESENT).cast("long")) != 0
+    cells = [x for j, n in enumerate(names) for x in (F.lit(n).cast("string"), F.col(f"n{j}"), given(j))]
+    return sums.select(key, F.stack(F.lit(len(names)), *cells).alias("nutrient", "amount", "given")).where("given").drop("given")
+
 
 def recipe_micros(recipes: DataFrame, ingredients: DataFrame, micros: DataFrame) -> DataFrame:
     """recipe_id, nutrient, amount per serving: scaled by grams, absent amounts as 0."""
-    parts = ingredients.join(micros.withColumnRenamed("id", "food_id"), "food_id").groupBy("recipe_id", "nutrient")
-    sums = parts.agg(F.sum(F.coalesce("amount", F.lit(0.0)) * F.col("grams") / 100).alias("amount"))
+    by_food, names = _by_food(micros, F.coalesce("amount", F.lit(0.0)))
+    used = ingredients.where("food_id is not null").select("recipe_id", "food_id", "grams")
+    sums = _summed(used, by_food, names, "recipe_id", lambda amount: amount * F.col("grams") / 100)
     serves = F.coalesce(F.nullif(F.col("serves"), F.lit(0)), F.lit(1))
-    return sums.join(recipes.select(F.col("id").alias("recipe_id"), "serves"), "recipe_id").select("recipe_id", "nutrient", (F.col("amount") / serves).alias("amount"))
+    return sums.join(recipes.select(F.col("id").alias("recipe_id"), "serves").hint("merge"), "recipe_id").select("recipe_id", "nutrient", (F.col("amount") / serves).alias("amount"))
 
 
 def receipt_micros(items: DataFrame, micros: DataFrame) -> DataFrame:
     """scan_id, nutrient, amount at the items' quantities (100 g where absent or 0); only amounts that are given."""
     factor = F.coalesce(F.nullif(F.col("quantity"), F.lit(0.0)), F.lit(100.0)) / 100
-    given = micros.where("amount is not null").withColumnRenamed("id", "food_id")
-    return items.join(given, "food_id").groupBy("scan_id", "nutrient").agg(F.sum(F.col("amount") * factor).alias("amount"))
+    by_food, names = _by_food(micros.where("amount is not null"), F.col("amount"))
+    used = items.where("food_id is not null").select("scan_id", "food_id", factor.alias("factor"))
+    return _summed(used, by_food, names, "scan_id", lambda amount: amount * F.col("factor"))
