@@ -7,10 +7,26 @@ from pyspark.sql import DataFrame, functions as F
 from larder.functions.nutrition import MACROS, half_up
 
 
+NULL_PARTS = 1024
+
+
+def _with_food(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``rows`` left joined with ``right`` by food_id = ``key``; rows without a food match nothing and are dealt over NULL_PARTS keys."""
+    part = F.pmod(F.xxhash64("recipe_id", "sort_order"), F.lit(NULL_PARTS)).cast("string")
+    dealt = rows.withColumn("_key", F.coalesce(F.col("food_id"), F.concat(F.lit("without a food "), part)))
+    return dealt.join(right, (F.col("_key") == F.col(key)) & F.col("food_id").isNotNull(), "left").drop("_key")
+
+
 def linked_ingredients(ingredients: DataFrame, foods: DataFrame) -> DataFrame:
     """Ingredients with their food's columns under ``f_``; null where unlinked."""
     renamed = foods.select(*(F.col(c).alias(f"f_{c}") for c in foods.columns))
-    return ingredients.join(renamed, F.col("food_id") == F.col("f_id"), "left")
+    return _with_food(ingredients, renamed, "f_id")
+
+
+def _swapped(ingredients: DataFrame, swaps: DataFrame) -> DataFrame:
+    """Ingredients with each food replaced by its swap, if it has one."""
+    chosen = last_swaps(swaps).withColumnRenamed("food_id", "_from")
+    return _with_food(ingredients, chosen, "_from").withColumn("food_id", F.coalesce("swap_id", "food_id")).drop("swap_id", "_from")
 
 
 def recipe_totals(recipes: DataFrame, linked: DataFrame) -> DataFrame:
@@ -34,8 +50,7 @@ def last_swaps(swaps: DataFrame) -> DataFrame:
 
 def recipe_totals_with_swaps(recipes: DataFrame, ingredients: DataFrame, foods: DataFrame, swaps: DataFrame) -> DataFrame:
     """As :func:`recipe_totals` with each food replaced by its swap (food_id, swap_id)."""
-    swapped = ingredients.join(last_swaps(swaps), "food_id", "left").withColumn("food_id", F.coalesce("swap_id", "food_id")).drop("swap_id")
-    return recipe_totals(recipes, linked_ingredients(swapped, foods))
+    return recipe_totals(recipes, linked_ingredients(_swapped(ingredients, swaps), foods))
 
 
 def diet_recipes(recipes: DataFrame, linked: DataFrame, diets: list[str]) -> DataFrame:
@@ -56,9 +71,14 @@ def feed(recipes: DataFrame, linked: DataFrame, relevant: DataFrame) -> DataFram
 
 
 def search_recipes(recipes: DataFrame, linked: DataFrame, query: str) -> DataFrame:
-    """Recipes whose name, an ingredient's text or food name contains the query."""
+    """Recipes whose name, an ingredient's text or food name contains the query.
+
+    Texts and food names are searched apart: the first needs no foods, and of these only those found are joined.
+    """
     q = query.lower()
-    child = linked.where(F.lower("raw_text").contains(q) | F.lower(F.coalesce("f_name", F.lit(""))).contains(q)).select(F.col("recipe_id").alias("id"))
+    found = lambda rows: rows.select(F.col("recipe_id").alias("id")).distinct()
+    named_food = F.lower("f_name").contains(q) if q else F.lit(True)
+    child = found(linked.where(F.lower("raw_text").contains(q))).unionByName(found(linked.where(named_food)))
     named = recipes.where(F.lower("name").contains(q)).select("id")
     return recipes.join(named.unionByName(child).distinct(), "id", "left_semi")
 
@@ -74,7 +94,7 @@ def shopping_list(recipes: DataFrame, ingredients: DataFrame, servings: int, swa
     """Items of a list for ``servings`` of each recipe, foods swapped if swaps are given."""
     rows = ingredients.join(recipes.select(F.col("id").alias("recipe_id"), F.col("name").alias("recipe_name"), "serves"), "recipe_id")
     if swaps is not None:
-        rows = rows.join(last_swaps(swaps), "food_id", "left").withColumn("food_id", F.coalesce("swap_id", "food_id"))
+        rows = _swapped(rows, swaps)
     scale = F.lit(float(servings)) / F.coalesce(F.nullif(F.col("serves"), F.lit(0)), F.lit(1))
     quantity = F.when(F.col("grams") > 0, F.col("grams") * scale)
     return rows.select("recipe_id", "sort_order", "food_id", "raw_text", "recipe_name", F.lit(1.0).alias("confidence"), F.lit("recipe").alias("source"), quantity.alias("quantity"), F.when(quantity.isNotNull(), "g").alias("unit"))
