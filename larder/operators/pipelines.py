@@ -17,8 +17,13 @@ def holdout_resolution(lines: DataFrame, foods: DataFrame, dictionary: DataFrame
 
     ``food_full`` is the withheld key's own food, ``food_reduced`` the answer of the keys that are left
     and else of the fuzzy matcher, ``food_fuzzy`` that of the fuzzy matcher alone (null below MATCH_FLOOR
-    confidence).  A line meets its fuzzy match once, whatever the answers.
+    confidence).  A text meets its fuzzy match once, whatever the answers.
     """
+    columns = ["tier", "key", "food_full", "food_reduced", "food_fuzzy"]
+    return matching.by_text(lines.select("line_id", "raw_text"), lambda texts: _holdout_texts(texts, foods, dictionary, brands, share, seed)).select("line_id", *columns)
+
+
+def _holdout_texts(lines: DataFrame, foods: DataFrame, dictionary: DataFrame, brands: DataFrame, share: float, seed: int) -> DataFrame:
     entries = lambda table: screens.held_out_keys(table, share, seed)
     exact, brand = entries(dictionary), entries(brands)
     governed = screens.held_out_keys(screens.governed_lines(lines, dictionary, brands, matching.brand_hits), share, seed).where("held_out").drop("held_out")
@@ -37,7 +42,7 @@ def holdout_resolution(lines: DataFrame, foods: DataFrame, dictionary: DataFrame
 
 def holdout_accuracy(answers: DataFrame, expected: DataFrame) -> DataFrame:
     """tier (and all), n, and how many lines are right with all keys, without the withheld ones, and without any; ``expected`` (line_id, expected)."""
-    rows, out = answers.join(expected, "line_id"), None
+    rows, out = matching.cut(answers.join(expected.hint("merge"), "line_id")), None
     for kind in ("full", "reduced", "fuzzy"):
         part = accuracy_by(rows, "tier", "expected", f"food_{kind}").select("tier", "n", F.col("n_correct").alias(f"{kind}_correct"))
         out = part if out is None else out.join(part.drop("n"), "tier")
@@ -66,7 +71,7 @@ def scan_stage(name: str, lines: DataFrame, known: Reference, earlier: dict[str,
         return matching.resolve_lines(lines.select("line_id", "raw_text"), known.foods, known.overrides, known.dictionary, known.brands, known.non_matches)
     if name == "items":
         bridged = matching.bridge_products(earlier["resolved"], known.products, known.foods)
-        return bridged.join(lines.select("line_id", "scan_id"), "line_id")
+        return bridged.join(lines.select("line_id", "scan_id").hint("merge"), "line_id")
     items = earlier["items"]
     if name == "weak":
         return screens.weak_matches(items).select("scan_id", "line_id", "raw_text", "food_id", "confidence", "source")
@@ -108,5 +113,6 @@ def run_scan_pipeline(lines: DataFrame, known: Reference, path: str) -> tuple[di
 
 def products_by_line(lines: DataFrame, tags: Column, name: Column) -> DataFrame:
     """(query, product_name, categories_tags): one product for each normalised line."""
-    rows = lines.select(X.override_key(F.col("raw_text")).alias("query"), name.alias("product_name"), tags.alias("categories_tags"), "line_id").where("query <> ''")
+    keyed = matching.by_text(lines, lambda texts: texts.select("line_id", X.override_key(F.col("raw_text")).alias("query")))
+    rows = keyed.select("query", name.alias("product_name"), tags.alias("categories_tags"), "line_id").where("query <> ''")
     return rows.groupBy("query").agg(F.min_by(F.struct("product_name", "categories_tags"), "line_id").alias("p")).select("query", "p.*")

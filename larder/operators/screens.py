@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder.functions.nutrition import category_icon, half_up
+from larder.operators.matching import by_text
 from larder.operators.recipes import diet_recipes, feed
 from larder.operators.swaps import FEATURES, cosine, food_features, pair_features, top_swaps
 from larder.sources.scratch import cut
@@ -193,10 +194,14 @@ def decision_rows(decisions: DataFrame, foods: DataFrame) -> DataFrame:
 
 def governed_lines(lines: DataFrame, dictionary: DataFrame, brands: DataFrame, brand_hits) -> DataFrame:
     """line_id, tier, key: the dictionary entry that decides each line, an exact one before a brand."""
-    low = lines.withColumn("key", F.lower(F.trim("raw_text")))
-    exact = low.join(dictionary.select("key").distinct(), "key").select("line_id", F.lit("exact").alias("tier"), "key", F.lit(0).alias("_o"))
-    brand = brand_hits(lines, brands).select("line_id", F.lit("brand").alias("tier"), "key", F.lit(1).alias("_o"))
-    return union_first_wins(exact.unionByName(brand), "line_id", ["_o", "key"]).select("line_id", "tier", "key")
+
+    def answer(texts: DataFrame) -> DataFrame:
+        low = texts.withColumn("key", F.lower(F.trim("raw_text")))
+        exact = low.join(dictionary.select("key").distinct(), "key").select("line_id", F.lit("exact").alias("tier"), "key", F.lit(0).alias("_o"))
+        brand = brand_hits(texts, brands).select("line_id", F.lit("brand").alias("tier"), "key", F.lit(1).alias("_o"))
+        return union_first_wins(exact.unionByName(brand), "line_id", ["_o", "key"]).select("line_id", "tier", "key")
+
+    return by_text(lines.select("line_id", "raw_text"), answer).select("line_id", "tier", "key")
 
 
 def held_out_keys(entries: DataFrame, share: float, seed: int) -> DataFrame:

@@ -96,8 +96,10 @@ def line_filter(spark, d):
     """How many document, benchmark and receipt lines pass for product lines."""
     rows = _doc_lines(spark, d).where("line <> ''").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "line")
     rows = rows.unionByName(_table(spark, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.col("text").alias("line")))
-    rows = rows.unionByName(D.frame(spark, d, D.NOISY_LINES).select(F.lit("line").alias("kind"), F.col("line_id").cast("long").alias("id"), F.col("raw_text").alias("line")))
-    return rows.groupBy("kind", "id").agg(F.count_if(X.is_product_line(F.col("line"))).alias("n_product"), F.count(F.lit(1)).alias("n_lines"))
+    rows = rows.withColumn("product", X.is_product_line(F.col("line")))
+    told = matching.by_text(D.frame(spark, d, D.NOISY_LINES), lambda texts: texts.select("line_id", X.is_product_line(F.col("raw_text")).alias("product")))
+    rows = rows.unionByName(told.select(F.lit("line").alias("kind"), F.col("line_id").cast("long").alias("id"), F.col("raw_text").alias("line"), "product"))
+    return rows.groupBy("kind", "id").agg(F.count_if("product").alias("n_product"), F.count(F.lit(1)).alias("n_lines"))
 
 
 _NO_LETTERS = f"translate(w, '{W.DIGITS}', '{W.DIGITS_AS_LETTERS}')"
@@ -134,11 +136,13 @@ prepared AS (SELECT line_id, raw_text, cased, lookalikes, expanded, fat, heads,
 @_query("WITH " + prepared_sql(LINES) + " SELECT line_id, lookalikes, expanded, fat, array_to_string(list_sort(list_distinct(heads)), ' ') AS heads, array_to_string(raw, ' ') AS raw, array_to_string(ascii, ' ') AS folded FROM (SELECT line_id, lookalikes, expanded, fat, heads, raw, ascii FROM prepared)")
 def line_rewrites(spark, d):
     """Receipt lines as the matcher reads them: digits as letters, abbreviations written out, compounds split, both foldings."""
-    lines = D.frame(spark, d, D.NOISY_LINES)
-    texts = lines.select("line_id", X.with_lookalikes(X.split_case(F.col("raw_text"))).alias("lookalikes")).withColumn("expanded", X.expand_abbreviations(F.col("lookalikes")))
-    read = matching.prepare_lines(lines)
     joined = lambda c: F.array_join(c, " ")
-    return texts.join(read.select("line_id", "fat", joined(F.array_sort("heads")).alias("heads"), joined("raw").alias("raw"), joined("ascii").alias("folded")), "line_id")
+
+    def answer(texts):
+        read = matching.prepare_lines(texts).withColumn("lookalikes", X.with_lookalikes(X.split_case(F.col("raw_text")))).withColumn("expanded", X.expand_abbreviations(F.col("lookalikes")))
+        return matching.cut(read.select("line_id", "lookalikes", "expanded", "fat", joined(F.array_sort("heads")).alias("heads"), joined("raw").alias("raw"), joined("ascii").alias("folded")))
+
+    return matching.by_text(D.frame(spark, d, D.NOISY_LINES), answer).drop("raw_text")
 
 
 # Candidates
@@ -185,8 +189,8 @@ best AS (SELECT line_id, id, hits, row_ord FROM (SELECT c.*, f.row_ord, row_numb
 @_query("WITH " + prepared_sql(LINES) + ", " + _TOKEN_SQL.strip() + ", " + CANDIDATES + " SELECT line_id, id, hits, row_ord FROM best")
 def line_candidates(spark, d):
     """The 120 foods at most that have most hits with a line by tokens, stems, grams and edit variants."""
-    prepared = matching.cut(matching.prepare_lines(D.frame(spark, d, D.NOISY_LINES)))
-    return matching.best_candidates(prepared, _foods(spark, d)).select("line_id", "id", F.col("hits").cast("long").alias("hits"), "row_ord")
+    answer = lambda texts: matching.best_candidates(matching.cut(matching.prepare_lines(texts)), _foods(spark, d))
+    return matching.by_text(D.frame(spark, d, D.NOISY_LINES), answer).select("line_id", "id", F.col("hits").cast("long").alias("hits"), "row_ord")
 
 
 # Scores: o a line's token, n a food's
@@ -268,13 +272,14 @@ def fuzzy_match_top1(spark, d):
 def dictionaries(spark, d) -> dict:
     """Overrides, whole lines, brands and known non-matches, derived from the catalog and its lines; each key once."""
     foods, lines = _foods(spark, d), D.frame(spark, d, D.NOISY_LINES)
-    keyed = lines.where("cast(line_id as long) % 7 = 0").select(X.override_key(F.col("raw_text")).alias("key"), "line_id")
-    return {
+    keyed = matching.by_text(lines.where("cast(line_id as long) % 7 = 0"), lambda texts: texts.select("line_id", X.override_key(F.col("raw_text")).alias("key")))
+    made = {
         "overrides": keyed.groupBy("key").agg(F.min_by("line_id", F.col("line_id").cast("long")).alias("food_id")),
         "dictionary": foods.where("row_ord % 6 = 0").select(F.lower("name").alias("key"), F.col("name").alias("food_name")).distinct(),
         "brands": foods.where("row_ord % 5 = 4 and name_de is not null").select(F.lower("name_de").alias("key"), F.col("name_de").alias("food_name")).distinct(),
         "non_matches": foods.where("row_ord % 12 = 0").select(F.lower("name").alias("key")).distinct(),
     }
+    return {name: matching.cut(table) for name, table in made.items()}  # sizes as they are, not as the catalog's file has them
 
 
 def _override_key(x: str) -> str:

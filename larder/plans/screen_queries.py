@@ -296,7 +296,7 @@ def reference(spark, d) -> pipelines.Reference:
     """Overrides, dictionary, brands, non-matches and products derived from the catalog and its lines."""
     foods, lines = _foods(spark, d), D.frame(spark, d, D.NOISY_LINES)
     dish = F.regexp_replace(F.lower(F.concat_ws(" ", F.element_at(F.split("swiss_category", "/"), -1))), "[^a-z]+", "-")
-    named = lines.join(foods.select(F.col("id").alias("line_id"), "name", "category", dish.alias("dish")), "line_id").where("cast(line_id as long) % 5 <> 0")
+    named = lines.join(foods.select(F.col("id").alias("line_id"), "name", "category", dish.alias("dish")).hint("merge"), "line_id").where("cast(line_id as long) % 5 <> 0")
     tags = F.array(F.lit("de:lebensmittel"), F.concat(F.lit("en:"), F.lower("category")), F.concat(F.lit("en:"), F.col("dish")), F.concat(F.lit("en:"), F.regexp_replace(F.lower("name"), "[^a-z]+", "-")), F.lit("en:a-very-long-tag-of-many-words"))
     products = pipelines.products_by_line(named.select("line_id", "raw_text", tags.alias("tags"), "name"), F.col("tags"), F.concat(F.lit("Product "), F.col("name")))
     return pipelines.Reference(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import words as W
-from larder.operators import recipes, screens, swaps
+from larder.operators import matching, recipes, screens, swaps
 from larder.plans import testdata as T
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +77,31 @@ def test_search_joins_only_found_foods(spark, query):
     want = r.join(r.where(F.lower("name").contains(q)).select("id").unionByName(child).distinct(), "id", "left_semi")
     assert sorted(x.id for x in made.collect()) == sorted(x.id for x in want.collect())
     assert query == "" or "LeftOuter" not in plan(made)
+
+
+def test_texts_are_answered_once(spark):
+    lines = spark.createDataFrame([(str(k), None if k == 7 else f"cola {k % 100}") for k in range(300)], "line_id string, raw_text string")
+    seen = []
+
+    def answer(texts):
+        seen.append((texts.count(), len(texts.inputFiles())))
+        return texts.select("line_id", F.length("raw_text").alias("n"))
+
+    got = matching.by_text(lines, answer)
+    assert got.count() == 299 and seen == [(100, 4)]  # not one task for all
+    brands = spark.createDataFrame([("cola", "cola")], "key string, food_name string")
+    assert matching.brand_hits(lines, brands).count() == 299
+
+
+@driver_tables
+def test_food_features_once_a_name(spark):
+    base = T.frame(spark, SF, T.CATALOG)
+    copies = base.withColumns({"id": F.concat("id", F.lit("-b")), "kcal": F.col("row_ord").cast("double")})
+    holes = base.limit(5).withColumns({"id": F.concat("id", F.lit("-c")), "name": F.lit(None).cast("string"), "category": F.lit(None).cast("string")})
+    foods = base.unionByName(copies).unionByName(holes)
+    made = swaps.food_features(foods)
+    plain = swaps.text_features(foods)
+    columns = ["id", *sorted(set(plain.columns) - set(foods.columns))]
+    as_text = lambda df: sorted(str(tuple(r)) for r in df.select(*columns).collect())
+    assert as_text(made) == as_text(plain) and len(columns) > 15
+    assert "SortMergeJoin" in plan(made)
