@@ -53,6 +53,7 @@ class Ranker:
     words: list[str]  #: columns of both with whole numbers for words
     marks: list[str]  #: columns of both that word terms use besides
     terms: Callable[[Arrays, Arrays], Arrays]  #: terms of different sources (rows) and candidates (columns) by words and marks
+    limits: list[str]  #: the numbers of both that may uses
     may: Callable[[Arrays, Arrays], np.ndarray]  #: whether s may take a candidate with these greatest numbers; exact for one candidate
     bound: Callable[[Arrays, Arrays, Arrays, Arrays, Arrays], np.ndarray]  #: of s, least and greatest numbers, least and greatest terms
     score: Callable[[Arrays, Arrays, Arrays], np.ndarray]  #: exact score of s, c and their terms
@@ -162,7 +163,8 @@ def _search(s: Arrays, c: Arrays, s_words: Arrays, c_words: Arrays, ranker: Rank
         term = ranker.terms({n: x[names] for n, x in s_words.items()}, c_words)
         spread = {n: x[:, c["words"]] for n, x in term.items()}
         t_low, t_high = ({n: f.reduceat(x, starts, axis=1)[name] for n, x in spread.items()} for f in (np.minimum, np.maximum))
-        mine = {n: s[n][batch][:, None] for n in ranker.source}
+        flat = {n: s[n][batch] for n in ranker.source}
+        mine = {n: x[:, None] for n, x in flat.items()}
         bounds = ranker.bound(mine, low, high, t_low, t_high)
         bounds = np.where(np.isnan(bounds), np.inf, bounds + SLACK * (1 + np.abs(bounds)))
         bounds[~ranker.may(mine, high)] = -np.inf
@@ -179,10 +181,10 @@ def _search(s: Arrays, c: Arrays, s_words: Arrays, c_words: Arrays, ranker: Rank
                 many = sizes[leaf]
                 row = np.repeat(r, many)
                 col = np.repeat(starts[leaf] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                both = ranker.may({n: s[n][batch[row]] for n in ranker.source}, {n: c[n][col] for n in ranker.numbers})
-                both &= (s["id"][batch[row]] != c["id"][col]) & ~term["barred"][name[row], c["words"][col]]
+                both = ranker.may({n: flat[n][row] for n in ranker.limits}, {n: c[n][col] for n in ranker.limits})
+                both &= (s["id"][batch][row] != c["id"][col]) & ~term["barred"][name[row], c["words"][col]]
                 row, col = row[both], col[both]
-                value = ranker.score({n: s[n][batch[row]] for n in ranker.source}, {n: c[n][col] for n in ranker.numbers}, {n: x[name[row], c["words"][col]] for n, x in term.items()})
+                value = ranker.score({n: x[row] for n, x in flat.items()}, {n: c[n][col] for n in ranker.numbers}, {n: x[name[row], c["words"][col]] for n, x in term.items()})
                 n += len(row)
                 reach = ~(value < floor[row])
                 kept.append((row[reach], col[reach], value[reach]))
@@ -196,19 +198,23 @@ def _search(s: Arrays, c: Arrays, s_words: Arrays, c_words: Arrays, ranker: Rank
             keep = _first_k(row, value, c["order"][col], k)
             return row[keep], col[keep], value[keep]
 
-        # the leaves of the highest bounds first: the k-th score in them raises the floor
-        n_first = min(len(starts), 2 + 2 * k // LEAF)
-        top = np.argpartition(-bounds, n_first - 1, axis=1)[:, :n_first]
-        rows = np.repeat(np.arange(len(batch)), n_first)
-        leaves = top.ravel()
-        live = (bounds[rows, leaves] > -np.inf) & ~(bounds[rows, leaves] < floor[rows])
-        held = best([(np.zeros(0, np.int64),) * 2 + (np.zeros(0),), *scored(rows[live], leaves[live])])
-        count = np.bincount(held[0], minlength=len(batch))
-        full = np.flatnonzero(count >= k)
-        floor[full] = np.fmax(floor[full], held[2][np.cumsum(count)[full] - 1])
-        bounds[np.arange(len(batch))[:, None], top] = -np.inf
-        rows, leaves = np.nonzero(~(bounds < floor[:, None]) & (bounds > -np.inf))
-        row, col, value = best([held, *scored(rows, leaves)])
+        # the leaves of the highest bounds first, twice as many each time: the k-th score in them raises the floor
+        ahead = np.argsort(-bounds, axis=1)
+        held = best([(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)])
+        done, width = 0, 1 + k // LEAF
+        while done < len(starts):
+            leaves = ahead[:, done : done + width]
+            rows, leaves = np.repeat(np.arange(len(batch)), leaves.shape[1]), leaves.ravel()
+            reach = bounds[rows, leaves]
+            live = (reach > -np.inf) & ~(reach < floor[rows])
+            if not live.any():
+                break  # what follows is bounded lower still
+            held = best([held, *scored(rows[live], leaves[live])])
+            count = np.bincount(held[0], minlength=len(batch))
+            full = np.flatnonzero(count >= k)
+            floor[full] = np.fmax(floor[full], held[2][np.cumsum(count)[full] - 1])
+            done, width = done + width, 2 * width
+        row, col, value = held
         found.append((batch[row], order[col], value))
     return *(np.concatenate([f[i] for f in found]) for i in range(3)), n_scored
 
